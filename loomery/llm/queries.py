@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomery.llm import substring_dedup
+from loomery.llm import jaccard_join, lm_scoring, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_lm_scoring": lm_scoring.query,
+        "op8_jaccard_join": jaccard_join.query,
         "op9_substring_dedup": substring_dedup.query,
     }
 
