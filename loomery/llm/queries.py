@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomery.llm import jaccard_join, lm_scoring, substring_dedup
+from loomery.llm import jaccard_join, language_id, lm_scoring, mixing, substring_dedup, token_files, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_token_files": token_files.query,
         "op3_lm_scoring": lm_scoring.query,
+        "op4_mixing": mixing.query,
+        "op7_language_id": language_id.query,
         "op8_jaccard_join": jaccard_join.query,
         "op9_substring_dedup": substring_dedup.query,
+        "op10_warc": warc.query,
     }
 
 
