@@ -6,7 +6,7 @@ to the bucket its minimiser names. There the strings are cut into windows again
 occurrences of a window meet and all but the first are marked. A word that a marked window covers is removed.
 
 The order of occurrences is (doc_id, start), a null doc_id first. Rows that share a doc_id count as one
-document: occurrences at the same start of such rows are equally early, and neither is removed on account of
+document (a 32-bit print of the text tells them apart when ranges go back to rows): occurrences at the same start of such rows are equally early, and neither is removed on account of
 the other. Null or empty texts, and those with fewer than ``k`` words, keep all their words.
 
 Skew. Identical super-k-mers are merged in each batch before the shuffle: all but the first are marked at once
@@ -29,6 +29,8 @@ from loomery.llm import textkernel as tk
 from loomery.llm.storage import buckets_for, prepare_workers
 
 FIRST = -(1 << 63)
+#: Per super-k-mer: document, print of its text, first word, windows, bytes of the string (0: known to be repeated).
+META = ("<i8", "<i4", "<i4", "<i4", "<i4")
 _HASHERS: list[tk.Hasher] = []
 
 
@@ -75,7 +77,7 @@ def super_kmers(h: np.ndarray, first: np.ndarray, k: int, m: int, hot: np.ndarra
 
 def _pack(k: int, m: int, buckets: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             prints = batch.column(1).to_numpy(zero_copy_only=False)
@@ -105,8 +107,8 @@ def _pack(k: int, m: int, buckets: int, hot: np.ndarray):
             twice[1:] = ~lead[1:] & early[1:] & early[:-1] & (prnt[1:] == prnt[:-1])
             keep = np.flatnonzero(~twice)
             bucket = (key[keep] % np.uint64(buckets)).astype(np.int64)
-            keep = keep[np.argsort(bucket, kind="stable")]
-            bucket = (key[keep] % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((start[keep], doc[keep], bucket))  # small steps between ids pack well
+            keep, bucket = keep[order], bucket[order]
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
             raw, out = buf.tobytes(), []
             for p, q in zip(cuts, np.append(cuts[1:], len(bucket))):
@@ -114,8 +116,8 @@ def _pack(k: int, m: int, buckets: int, hot: np.ndarray):
                 sent = x[early[x]]
                 text = b"".join([raw[u:v] for u, v in zip(low[sent].tolist(), high[sent].tolist())])
                 head = np.array([len(x)], "<i8").tobytes()
-                meta = [doc[x].astype("<i8"), prnt[x].astype("<i8"), start[x].astype("<i4"), n[x].astype("<i4"), np.where(early[x], high[x] - low[x], 0).astype("<i4")]
-                out.append(squeeze.compress(head + b"".join(y.tobytes() for y in meta) + text))
+                meta = [np.diff(doc[x], prepend=0).astype("<i8"), prnt[x], start[x], n[x], np.where(early[x], high[x] - low[x], 0)]
+                out.append(squeeze.compress(head + b"".join(y.astype(kind).tobytes() for y, kind in zip(meta, META)) + text))
             yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), pa.array(out, pa.binary())], ["bucket", "packed"])
 
     return run
@@ -141,9 +143,10 @@ def _mark(k: int):
         for blob in table.column("packed"):
             data = expand.decompress(blob.as_buffer())
             n, at, cols = int(np.frombuffer(data, "<i8", 1)[0]), 8, []
-            for kind in ("<i8", "<i8", "<i4", "<i4", "<i4"):
+            for kind in META:
                 cols.append(np.frombuffer(data, kind, n, at))
                 at += n * cols[-1].itemsize
+            cols[0] = np.cumsum(cols[0])
             metas.append(cols)
             texts.append(data[at:])
         doc, prnt, start, n, size = (np.concatenate(x) for x in zip(*metas))
@@ -177,7 +180,7 @@ def _mark(k: int):
 
 def _runs(d: np.ndarray, p: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.Table:
     """One row per document: its word ranges [s, e), merged, as pairs of 32-bit integers."""
-    schema = pa.schema([("id", pa.int64()), ("print", pa.int64()), ("ranges", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("print", pa.int32()), ("ranges", pa.binary())])
     if not len(d):
         return schema.empty_table()
     order = np.lexsort((e, s, p, d))
@@ -192,7 +195,7 @@ def _runs(d: np.ndarray, p: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.Tabl
     pairs = np.column_stack([s[at], (reach - shift)[np.append(at[1:], len(d)) - 1]]).astype("<i4")
     owner = np.flatnonzero(new)
     bounds = np.searchsorted(at, np.append(owner, len(d)))
-    return pa.Table.from_arrays([pa.array(d[owner]), pa.array(p[owner]), pa.array([pairs[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:])], pa.binary())], schema=schema)
+    return pa.Table.from_arrays([pa.array(d[owner]), pa.array(p[owner].astype(np.int32)), pa.array([pairs[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:])], pa.binary())], schema=schema)
 
 
 def _hot(k: int, m: int):
@@ -249,10 +252,10 @@ def dedup_substrings(documents: DataFrame, k: int = 20, m: int = 5, sample_rows:
     prepare_workers(spark)
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     hot = hot_minimisers(docs, k, m, sample_rows, hot_share)
-    print_of = F.xxhash64(F.coalesce("text", F.lit("")))
+    print_of = F.hash(F.coalesce("text", F.lit("")))
     sent = docs.select(F.coalesce("doc_id", F.lit(FIRST)).alias("id"), print_of.alias("print"), "text")
     packed = sent.mapInArrow(_pack(k, m, buckets_for(spark), hot), "bucket int, packed binary")
-    marks = packed.groupBy("bucket").applyInArrow(_mark(k), "id long, print long, ranges binary")
+    marks = packed.groupBy("bucket").applyInArrow(_mark(k), "id long, print int, ranges binary")
     marks = marks.groupBy("id", "print").agg(F.collect_list("ranges").alias("ranges"))
     both = docs.join(marks, (F.coalesce(docs.doc_id, F.lit(FIRST)) == marks.id) & (print_of == marks["print"]), "left")
     return both.select("doc_id", "text", "ranges").mapInArrow(_apply, "doc_id long, n_words long, n_removed long, kept_text string")
