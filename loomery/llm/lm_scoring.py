@@ -7,7 +7,7 @@ A frequent pair is one entry per block, however often it occurs.
 Filter. A count c has level 1 + floor(log(c) / log(base)). A key of level q is inserted q times, as (key, 1) to
 (key, q), so a count is read back by probing levels upwards until one is missing; errors only ever raise a level.
 The filter holds all words, pairs seen ``pair_least`` times or more, and for each context the sum of its discounted
-pairs. It has ``bits`` bits for each insertion, and ``most_mb`` MB at most: beyond that the same filter gets fuller
+pairs. It has ``bits`` bits for each insertion, and ``most_mb`` MB at most (contexts another eighth): beyond that the same filter gets fuller
 and errors more frequent. This bound is what makes it safe to broadcast.
 
 Model. p(w | v) = max(c(v, w) - d, 0) / c(v) + (1 - s(v) / c(v)) p(w) with s(v) the sum of v's discounted pairs;
@@ -36,7 +36,7 @@ from loomery.llm.storage import buckets_for, materialise, prepare_workers
 
 _U = np.uint64
 END, START = (int(x) for x in tk.numbers(404, 2))
-HASHES, FLUSH = 4, 3_000_000
+HASHES, FLUSH = 4, 1_500_000
 _HASHERS: list[tk.Hasher] = []
 _KEYS = [("bucket", pa.int32()), ("words", pa.binary()), ("word_counts", pa.binary()), ("pairs", pa.binary()), ("pair_counts", pa.binary())]
 
@@ -82,7 +82,7 @@ def _count(buckets: int):
         blocks = []
         for kept in (words, pairs):
             keys, counts = np.unique(np.concatenate(kept), return_counts=True)
-            place = tk.mix(keys) % _U(buckets)
+            place = segment_of(keys, buckets)
             order = np.argsort(place, kind="stable")
             blocks.append((keys[order], counts[order].astype("<u4"), np.searchsorted(place[order], np.arange(buckets + 1, dtype=_U))))
         for b in range(buckets):
@@ -148,86 +148,102 @@ def _context_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys.as_buffer(), "<u8").astype(np.int64)), pa.array(np.frombuffer(sums.as_buffer(), "<f8"))], ["context", "total"])
 
 
-def bit_places(keys: np.ndarray, level: int, bits: int) -> Iterator[np.ndarray]:
-    """The places of (key, level), for one hash function after the other."""
-    h = tk.mix(keys + _U(0x51ED) * _U(level))
-    step = tk.mix(h + _U(1)) | _U(1)
-    for _ in range(HASHES):
-        yield (h >> _U(1)) % _U(bits)
-        h = h + step
+def segment_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return tk.mix(keys) % _U(buckets)
 
 
-def _segment(bits: int, base: float):
-    """One task's keys as the bits they set, byte by byte: (place of the byte, byte)."""
+def set_bits(out: np.ndarray, keys: np.ndarray, levels: np.ndarray) -> None:
+    """Insert (key, 1) to (key, level) into the bytes of one segment."""
+    bits = _U(len(out) * 8)
+    for q in range(1, int(levels.max(initial=0)) + 1):
+        h = tk.mix(keys[levels >= q] + _U(0x51ED) * _U(q))
+        step = tk.mix(h + _U(1)) | _U(1)
+        for _ in range(HASHES):
+            place = (h >> _U(1)) % bits
+            np.bitwise_or.at(out, place >> _U(3), (_U(1) << (place & _U(7))).astype(np.uint8))
+            h = h + step
+
+
+def _count_segments(size: int, base: float):
+    """A filter segment of ``size`` bytes from each bucket's words and pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for kind, keys, counts in zip(*batch.columns):
-                keys = np.frombuffer(keys.as_buffer(), "<u8")
-                level = levels_of(np.frombuffer(counts.as_buffer(), "<f8" if kind.as_py() else "<i8"), base)
-                places = []
-                for q in range(1, int(level.max(initial=0)) + 1):
-                    places += list(bit_places(keys[level >= q], q, bits))
-                if places:
-                    place = np.unique(np.concatenate(places))
-                    byte, which = place >> _U(3), (1 << (place & _U(7)).astype(np.int64))
-                    at = np.flatnonzero(np.concatenate([[True], byte[1:] != byte[:-1]]))
-                    part = (byte[at] >> _U(SEGMENT)).astype(np.int64)
-                    values = np.bitwise_or.reduceat(which, at).astype(np.uint8)
-                    offset = (byte[at] & _U((1 << SEGMENT) - 1)).astype("<u4")
-                    cut = np.flatnonzero(np.diff(part, prepend=-1))
-                    ends = np.append(cut[1:], len(part))
-                    yield pa.RecordBatch.from_arrays([pa.array(part[cut]), pa.array([offset[x:y].tobytes() for x, y in zip(cut, ends)], pa.binary()), pa.array([values[x:y].tobytes() for x, y in zip(cut, ends)], pa.binary())], ["part", "offsets", "bytes"])
+            for bucket, *blocks in zip(*batch.columns):
+                out = np.zeros(size, np.uint8)
+                for keys, counts in zip(blocks[::2], blocks[1::2]):
+                    set_bits(out, np.frombuffer(keys.as_buffer(), "<u8"), levels_of(np.frombuffer(counts.as_buffer(), "<i8"), base))
+                yield pa.RecordBatch.from_arrays([pa.array([bucket.as_py()], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["bucket", "bytes"])
 
     return run
 
 
-#: The filter is put together in segments of 2**SEGMENT bytes.
-SEGMENT = 18
+def _place_contexts(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = context_keys(batch.column(0).to_numpy().astype(_U) << _U(32))
+            yield pa.RecordBatch.from_arrays([pa.array(segment_of(keys, buckets).astype(np.int32)), pa.array(keys.view(np.int64)), batch.column(1)], ["bucket", "key", "total"])
 
+    return run
 
-def _join_segment(key: tuple, table: pa.Table) -> pa.Table:
-    out = np.zeros(1 << SEGMENT, np.uint8)
-    for at, values in zip(table.column("offsets"), table.column("bytes")):
-        at = np.frombuffer(at.as_buffer(), "<u4")
-        out[at] |= np.frombuffer(values.as_buffer(), np.uint8)
-    return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([out.tobytes()], pa.binary())], ["part", "bytes"])
 
+def _context_segment(size: int, base: float):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        out = np.zeros(size, np.uint8)
+        set_bits(out, table.column("key").to_numpy().view(_U), levels_of(table.column("total").to_numpy(), base))
+        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["bucket", "bytes"])
 
-class Model:
-    """What workers need to score: the filter's bits, and a few totals."""
+    return run
 
-    def __init__(self, data: np.ndarray, bits: int, base: float, discount: float, n_tokens: int, n_once: int, n_value: float, n_docs: int):
-        self.data, self.bits, self.base, self.discount = data, bits, base, discount
-        self.n_tokens, self.n_value, self.n_docs = n_tokens, max(n_value, 1.0), max(n_docs, 1)
-        self.unseen = (n_once + 1) / (n_tokens + 2)
-        self.values = level_values(base)
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
+class Filter:
+    """Log-frequency Bloom filter: ``buckets`` segments of ``size`` bytes each."""
+
+    def __init__(self, segments: list, buckets: int, size: int):
+        self.buckets, self.size = buckets, size
+        self.data = np.zeros(buckets * size, np.uint8)
+        for row in segments:
+            self.data[row.bucket * size : (row.bucket + 1) * size] = np.frombuffer(row.bytes, np.uint8)
+
+    def levels(self, keys: np.ndarray, most: int) -> np.ndarray:
         """The highest level up to which all of (key, 1), (key, 2), ... are there."""
         out, left, q = np.zeros(len(keys), np.int64), np.arange(len(keys)), 0
-        while len(left) and q < len(self.values) - 1:
+        begin = segment_of(keys, self.buckets) * _U(self.size)
+        while len(left) and q < most:
             q += 1
-            h, all_there = tk.mix(keys[left] + _U(0x51ED) * _U(q)), left
+            h, there = tk.mix(keys[left] + _U(0x51ED) * _U(q)), left
             step = tk.mix(h + _U(1)) | _U(1)
             for _ in range(HASHES):
-                place = (h >> _U(1)) % _U(self.bits)
-                there = (self.data[place >> _U(3)] >> (place & _U(7)).astype(np.uint8)) & 1 == 1
-                h, step, all_there = (h + step)[there], step[there], all_there[there]
-            out[all_there] = q
-            left = all_there
+                place = (h >> _U(1)) % _U(self.size * 8)
+                found = (self.data[begin[there] + (place >> _U(3))] >> (place & _U(7)).astype(np.uint8)) & 1 == 1
+                h, step, there = (h + step)[found], step[found], there[found]
+            out[there] = q
+            left = there
         return out
 
+
+class Model:
+    """What workers need to score: the filters, and a few totals."""
+
+    def __init__(self, counts: Filter, contexts: Filter, base: float, discount: float, n_tokens: int, n_once: int, n_value: float, n_docs: int):
+        self.counts, self.contexts, self.discount = counts, contexts, discount
+        self.n_tokens, self.n_value, self.n_docs = n_tokens, max(n_value, 1.0), max(n_docs, 1)
+        self.unseen = (n_once + 1) / (n_tokens + 2)
+        self.values = level_values(base)
+
+    def count(self, keys: np.ndarray, among: Filter) -> np.ndarray:
+        return self.values[among.levels(keys, len(self.values) - 1)]
+
     def log10(self, h: np.ndarray, before: np.ndarray) -> np.ndarray:
         """log10 of each token's probability after the token before it."""
         known, back = np.unique(np.concatenate([h, before]), return_inverse=True)
-        count = self.values[self.levels(known)]
+        count = self.count(known, self.counts)
         total = np.where(known == _U(START), self.n_docs, count)
         single = np.where(count > 0, (1 - self.unseen) * count / self.n_value, self.unseen)
         total = np.maximum(total, 1.0)
-        free = np.clip(1 - self.values[self.levels(context_keys(known))] / total, 0.05, 1.0)
+        free = np.clip(1 - self.count(context_keys(known), self.contexts) / total, 0.05, 1.0)
         now, past = back[: len(h)], back[len(h) :]
-        pair = np.maximum(self.values[self.levels(tk.mix(pair_keys(before, h)))] - self.discount, 0)
+        pair = np.maximum(self.count(pair_keys(before, h), self.counts) - self.discount, 0)
         p = np.minimum(pair / total[past], 0.95) + free[past] * single[now]
         return np.log10(np.minimum(p, 1.0))
 
@@ -239,7 +255,7 @@ def _score(model, vocabulary):
         for batch in batches:
             buf, offsets = tk.text_buffer(batch.column(2))
             n, known, plain, score = [], [], [], []
-            for i, j in tk.steps(offsets):
+            for i, j in tk.steps(offsets, 4 * tk.STEP):
                 h, before, first = tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 at = first[:-1]
                 n.append(np.diff(first))
@@ -248,7 +264,7 @@ def _score(model, vocabulary):
                     keys, counts, size = words
                     some, back = np.unique(h, return_inverse=True)
                     place = np.minimum(np.searchsorted(keys, some), max(len(keys) - 1, 0))
-                    c = np.where(keys[place] == some, counts[place], 0) if len(keys) else np.zeros(len(some), np.int64)
+                    c = np.where(keys[place] == some, counts[place].astype(np.int64), 0) if len(keys) else np.zeros(len(some), np.int64)
                     known.append(np.add.reduceat((c > 0).astype(np.int64)[back], at))
                     plain.append(np.add.reduceat(np.log10((c + 1) / (lm.n_tokens + size + 1))[back], at))
             empty = [np.zeros(0, np.int64)]
@@ -290,30 +306,28 @@ def lm_scores(documents: DataFrame, train: Column, base: float = 1.5, discount:
     picked = documents.filter(train).select(F.col("text").cast("string"))
     docs = documents.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("print"), F.col("text").cast("string"))
     kinds = {pa.int32(): "int", pa.binary(): "binary"}
-    counted = picked.mapInArrow(_count(buckets_for(spark)), ", ".join(f"{k} {kinds[v]}" for k, v in _KEYS))
+    buckets = buckets_for(spark)
+    counted = picked.mapInArrow(_count(buckets), ", ".join(f"{k} {kinds[v]}" for k, v in _KEYS))
     merged = counted.groupBy("bucket").applyInArrow(_merge(pair_least, discount, base), ", ".join(f"{k} {kinds[v]}" for k, v in _KEYS) + ", contexts binary, context_sums binary, n_words long, n_tokens long, n_once long, n_value double, inserts long")
     merged = materialise(merged, "counts")
     sums = merged.select("contexts", "context_sums").mapInArrow(_context_sums, "context long, total double").groupBy("context").agg(F.sum("total").alias("total"))
-    # contexts go in under their own keys, as counts of the same kind
-    context = sums.select(F.lit(1).alias("kind"), F.col("context"), F.col("total"))
     figures = merged.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_words", "n_tokens", "n_once", "n_value", "inserts"))).first()
     n_docs = picked.count()
-    wanted = max(1024, int(bits * 1.2 * figures.inserts))
-    size = min(most_mb << 20, -(-wanted // (8 << SEGMENT)) << SEGMENT)
-    keyed = merged.select(F.lit(0).alias("kind"), F.col("words").alias("keys"), F.col("word_counts").alias("counts")).union(merged.mapInArrow(_pair_blocks, "kind int, keys binary, counts binary"))
-    blocks = keyed.union(context.select("context", "total").mapInArrow(_context_blocks, "kind int, keys binary, counts binary"))
-    parts = blocks.mapInArrow(_segment(size * 8, base), "part long, offsets binary, bytes binary").groupBy("part").applyInArrow(_join_segment, "part long, bytes binary")
-    data = np.zeros(size, np.uint8)
-    for row in parts.toLocalIterator():  # most_mb at most, a segment at a time
-        at = row.part << SEGMENT
-        data[at : at + (1 << SEGMENT)] = np.frombuffer(row.bytes, np.uint8)[: size - at]
-    lm = sc.broadcast(Model(data, size * 8, base, discount, figures.n_tokens, figures.n_once, float(figures.n_value), n_docs))
+    # of the filter's bound, an eighth is for the contexts, which are fewer than the words
+    size = min(most_mb << 20, int(bits * figures.inserts) >> 3) // buckets + 8
+    counts = merged.select(*(k for k, _ in _KEYS)).mapInArrow(_count_segments(size, base), "bucket int, bytes binary")
+    counts = Filter(counts.collect(), buckets, size)
+    placed = sums.mapInArrow(_place_contexts(buckets), "bucket int, key long, total double")
+    size = size // 8 + 8
+    contexts = Filter(placed.groupBy("bucket").applyInArrow(_context_segment(size, base), "bucket int, bytes binary").collect(), buckets, size)
+    lm = sc.broadcast(Model(counts, contexts, base, discount, figures.n_tokens, figures.n_once, float(figures.n_value), n_docs))
     kept = None
     if figures.n_words <= most_words:
-        rows = merged.select("words", "word_counts").toLocalIterator()
-        both = [(np.frombuffer(r.words, "<u8"), np.frombuffer(r.word_counts, "<i8")) for r in rows]
-        keys = np.concatenate([x for x, _ in both]) if both else np.zeros(0, _U)
-        counts = np.concatenate([x for _, x in both]) if both else np.zeros(0, np.int64)
+        rows = merged.select("words", "word_counts").collect()
+        keys = np.concatenate([np.zeros(0, _U), *(np.frombuffer(r.words, "<u8") for r in rows)])
+        counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r.word_counts, "<i8") for r in rows)])
+        counts = counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+        del rows
         order = np.argsort(keys)
         kept = sc.broadcast((keys[order], counts[order], figures.n_words))
     out = docs.mapInArrow(_score(lm, kept), "doc_id long, print long, n_tokens long, score double, n_known long, base_score double")
@@ -329,20 +343,6 @@ def lm_scores(documents: DataFrame, train: Column, base: float = 1.5, discount:
     return out.select("doc_id", "n_tokens", "n_known", F.lit(int(figures.n_tokens)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _pair_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for pairs, counts in zip(batch.column("pairs"), batch.column("pair_counts")):
-            keys = tk.mix(np.frombuffer(pairs.as_buffer(), "<u8"))
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([counts.as_py()], pa.binary())], ["kind", "keys", "counts"])
-
-
-def _context_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = context_keys(batch.column(0).to_numpy().astype(_U) << _U(32))
-        totals = batch.column(1).to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([totals.astype("<f8").tobytes()], pa.binary())], ["kind", "keys", "counts"])
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     """op3: scores of all documents by a model of those whose remainder by 7 is not 2."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
