@@ -192,6 +192,25 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
     return docs.mapInArrow(_predict(spark.sparkContext.broadcast(model)), "doc_id long, lang_pred string, score double")
 
 
+def _keep(model, least: float, place: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(place)
+            keep = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+            scores = [model.value.predict(x)[1] for x in features(text)] if model.value is not None else []
+            keep = keep & (np.concatenate([np.zeros(0), *scores]) >= least) if model.value is not None else keep & False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def keep_identified(documents: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
+    """The rows of ``documents``, with all columns, whose language is predicted with a score of ``least`` or more."""
+    spark = documents.sparkSession
+    prepare_workers(spark)
+    return documents.mapInArrow(_keep(spark.sparkContext.broadcast(model), least, documents.columns.index("text")), documents.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 

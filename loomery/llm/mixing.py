@@ -101,7 +101,8 @@ def mix(documents: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float =
     aims = targets(sizes, weights, share, most).withColumnRenamed("source", "source_is")
     # the ratio as a whole number of 2**-30, so that sums of it are exact
     ratio = F.when(F.col("source_size") > 0, F.round(F.col("target") / F.col("source_size") * F.lit(float(1 << 30)))).otherwise(0).cast("decimal(20,0)")
-    offset = F.pmod(F.xxhash64(F.coalesce("source_is", F.lit("")), F.lit(seed)), F.lit(1 << 30)).cast("decimal(20,0)")
+    dice = F.conv(F.substring(F.md5(F.concat(F.coalesce("source_is", F.lit("")), F.lit(f"|{seed}")).cast("binary")), 1, 7), 16, 10)
+    offset = (dice.cast("long") * 4).cast("decimal(20,0)")
     table = tasks.join(aims, F.col("source_of").eqNullSafe(F.col("source_is"))).select("source_of", "task_of", "before", "source_size", "target", ratio.alias("ratio"), offset.alias("offset"))
     out = placed.join(table, F.col("source").eqNullSafe(F.col("source_of")) & (F.col("task") == F.col("task_of")))
     rank = (F.col("before") + F.col("place")).cast("decimal(18,0)")
@@ -110,6 +111,21 @@ def mix(documents: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float =
     return out.select("doc_id", "source", "print", "size", "source_size", "target", (crossed(rank + 1) - crossed(rank)).cast("long").alias("copies"))
 
 
+def mixed(documents: DataFrame, **options) -> DataFrame:
+    """The rows of ``documents``, with all columns, each as often as the mix takes it."""
+    taken = mix(documents, **options).groupBy("doc_id", "source", "print").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    taken = materialise(taken.withColumnsRenamed({"doc_id": "_id", "source": "_source", "print": "_print"}), "taken")
+    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (key == F.col("_print"))
+    out = documents.hint("merge").join(taken.filter("_copies > 0"), same)
+    if not taken.filter("_rows > 1").isEmpty():
+        # rows that repeat each other share what they were given; they are few, and only told apart here
+        turn = F.row_number().over(W.partitionBy("_id", "_source", "_print").orderBy(F.lit(1))) - 1
+        out = out.withColumn("_turn", F.when(F.col("_rows") > 1, turn).otherwise(0))
+        out = out.withColumn("_copies", F.floor((F.col("_copies") + F.col("_rows") - 1 - F.col("_turn")) / F.col("_rows")))
+    return out.select(*documents.columns, F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))).alias("_one")).drop("_one")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op4: what the mix takes of every document."""
     out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomery.llm import jaccard_join, language_id, lm_scoring, mixing, substring_dedup, token_files, warc
+from loomery.llm import decontaminate, jaccard_join, language_id, lm_scoring, mixing, pii, quality, substring_dedup, token_files, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontaminate": decontaminate.query,
         "op2_token_files": token_files.query,
         "op3_lm_scoring": lm_scoring.query,
         "op4_mixing": mixing.query,
+        "op5_quality": quality.query,
+        "op6_pii": pii.query,
         "op7_language_id": language_id.query,
         "op8_jaccard_join": jaccard_join.query,
         "op9_substring_dedup": substring_dedup.query,
