@@ -182,7 +182,7 @@ def _verify(n: int, threshold: float):
     return run
 
 
-def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 256) -> DataFrame:
+def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 96) -> DataFrame:
     """(doc_id, copy, class_id, n_links, is_first) of every row of ``documents`` (doc_id, text).
 
     copy: the text's 128-bit hash, in hex. class_id: the least doc_id among all documents that chains of links
@@ -213,7 +213,7 @@ def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.8, re
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
     member = classes.select("node", "copy", "least", "copies").join(dealt, "node")
     member = materialise(member.select("node", "copy", "least", "copies", "component", "blocks", "part"), "members")
-    picked = docs.join(member.withColumnRenamed("copy", "copy_of"), (F.col("copy") == F.col("copy_of")) & docs.doc_id.eqNullSafe(F.col("least")))
+    picked = docs.hint("merge").join(member.withColumnRenamed("copy", "copy_of"), (F.col("copy") == F.col("copy_of")) & docs.doc_id.eqNullSafe(F.col("least")))
     other = picked.select("node", "copies", "text", "component", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     pairs = other.select("component", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "node", "part", "copies", "text")
     found = pairs.groupBy("component", "one", "two").applyInArrow(_verify(n, threshold), "node long, to long, gain long")
