@@ -247,6 +247,22 @@ def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.8, re
     )
 
 
+def keep_one_of_each(documents: DataFrame, **options) -> DataFrame:
+    """The rows of ``documents``, with all columns, that stand for their classes; of repeated rows, one."""
+    firsts = near_duplicates(documents, **options).filter("is_first").groupBy("doc_id", "copy").agg(F.count(F.lit(1)).alias("rows"))
+    firsts = materialise(firsts.withColumnsRenamed({"doc_id": "id_of", "copy": "copy_of"}), "firsts")
+    copy = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("id_of")) & (copy == F.col("copy_of"))
+    names = documents.columns
+    repeated = firsts.filter("rows > 1")
+    if repeated.isEmpty():
+        return documents.hint("merge").join(firsts, same, "left_semi").select(names)
+    one = documents.join(firsts.filter("rows = 1"), same, "left_semi").select(names)
+    # one of each set of rows with the same id and text
+    many = documents.withColumn("_copy", copy).join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_copy"]).select(names)
+    return one.unionByName(many)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op8: class and number of links of every document."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "n_links")
