@@ -38,55 +38,76 @@ MONTH_FIRST = ("%m/%d/%Y", "%m-%d-%Y", "%m/%d/%y", "%m/%d/%Y %H:%M:%S", "%m/%d/%
 PATTERN = dict(DATE_FORMATS)
 
 _MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
-_FIELDS = {
-    "Y": r"(\d{4})", "y": r"(\d{2})", "m": r"(1[0-2]|0[1-9]|[1-9])", "d": r"(3[01]|[12]\d|0[1-9]|[1-9])", "H": r"(2[0-3]|[01]\d|\d)",
-    "M": r"([0-5]\d|\d)", "S": r"([0-5]\d|\d)", "b": "(" + "|".join(m[:3] for m in _MONTHS) + ")", "B": "(" + "|".join(_MONTHS) + ")",
-}
-
-
-def regex_of(fmt: str) -> tuple[str, list[str]]:
-    """The pattern that a text in this format matches, and what its groups are."""
-    out, fields = "", []
-    for piece in re.findall(r"%.|[^%]", fmt):
-        if piece[0] == "%":
-            out += _FIELDS[piece[1]]
-            fields.append(piece[1])
-        else:
-            out += r"\s+" if piece == " " else re.escape(piece)
-    return f"(?i)^{out}$", fields
-
-
-def _moment(v: Column, fmt: str) -> Column:
-    """Seconds since 1970, or null."""
-    pattern, fields = regex_of(fmt)
-    got = {f: F.regexp_extract(v, pattern, i + 1) for i, f in enumerate(fields)}
-    number = lambda f: F.expr("null").cast("int") if f not in got else got[f].try_cast("int")
-    if "m" in got:
-        month = number("m")
-    else:
-        short = F.lower(F.substring(got.get("b", got.get("B")), 1, 3))
-        month = F.array_position(F.array(*(F.lit(m[:3]) for m in _MONTHS)), short).cast("int")
-    if "Y" in got:
-        year = number("Y")
-    else:
-        year = F.when(number("y") >= 69, number("y") + 1900).otherwise(number("y") + 2000)
-    clock = [number(f) if f in got else F.lit(0) for f in "HMS"]
-    day = number("d")
-    last = F.when(month.isin(4, 6, 9, 11), 30).when(month != 2, 31).when((year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0)), 29).otherwise(28)
-    fits = v.rlike(pattern) & (day <= last) & year.between(1800, 2200)
-    days = F.datediff(F.make_date(F.when(fits, year), F.when(fits, month), F.when(fits, day)), F.lit("1970-01-01").cast("date"))
-    return F.when(fits, days.cast("long") * 86400 + clock[0] * 3600 + clock[1] * 60 + clock[2])
-
-
-def parse_date(v: Column, month_first: bool = False) -> Column:
-    """(format, seconds since 1970) by the first format that fits; null if none does."""
-    formats = [f for f, _ in DATE_FORMATS]
-    if month_first:
-        formats = [f for f in formats if f in MONTH_FIRST] + [f for f in formats if f not in MONTH_FIRST]
-    tries = [F.when(v.rlike(regex_of(f)[0]), F.struct(F.lit(f).alias("format"), _moment(v, f).alias("seconds"))) for f in formats]
-    tries = [F.when(t["seconds"].isNotNull(), t) for t in tries]
-    likely = (F.length(v) <= 30) & (F.length(v) >= 6) & v.rlike(r"^[\p{L}\p{N}].*\d")
-    return F.when(likely, F.coalesce(*tries))
+#: Digits of a year, month and day that stand together: month and day take two digits where they can.
+_TOGETHER = r"^(\d{4})(1[0-2]|0[1-9]|[1-9])(3[01]|[12]\d|0[1-9]|[1-9])$"
+
+
+def shape_of(fmt: str) -> tuple[str, list[str]]:
+    """A format's shape, with 9 for numbers and a for letters, and what its numbers and words are, in order."""
+    fields = re.findall(r"%(.)|(T)", fmt)
+    shape = re.sub(r"%[bB]|T", "a", re.sub(r"%[YymdHMS]", "9", fmt))
+    return re.sub("9+", "9", shape), [x or y for x, y in fields]
+
+
+def _table() -> Column:
+    """The formats as an array of structs: shape, and the places of their parts; -1 for parts that they don't have."""
+    rows = []
+    for fmt, _ in DATE_FORMATS:
+        wanted, fields = shape_of(fmt)
+        if fmt == "%Y%m%d":
+            fields = ["Y", "m", "d"]
+        place = lambda *names: next((fields.index(n) for n in names if n in fields), -1)  # noqa: B023, E731
+        rows.append(
+            f"named_struct('format', '{fmt}', 'late', {str(fmt in MONTH_FIRST).lower()}, 'shape', '{wanted}', 'y', {place('Y', 'y')}, 'digits', {4 if 'Y' in fields else 2}, 'm', {place('m')}, "
+            f"'word', {place('b', 'B')}, 'long', {str('B' in fields).lower()}, 'd', {place('d')}, 't', {place('T')}, 'h', {place('H')}, 'mi', {place('M')}, 's', {place('S')})"
+        )
+    return F.expr(f"array({', '.join(rows)})")
+
+
+def _candidate(parts: Column, f: Column) -> Column:
+    """(format, month first, y, m, d, seconds of the day) of a text of the format's shape; parts that are too long are null."""
+    part = lambda name: F.get(parts, f[name])
+    number = lambda name: F.when(f[name] < 0, 0).when(F.length(part(name)) <= 2, part(name).try_cast("int"))
+    short = F.array_position(F.array(*(F.lit(m[:3]) for m in _MONTHS)), F.lower(F.substring(part("word"), 1, 3))).cast("int")
+    month = F.when(f["word"] < 0, number("m")).when(F.when(f["long"], F.lower(part("word")).isin(*_MONTHS)).otherwise(F.length(part("word")) == 3), short)
+    year = F.when(F.length(part("y")) == f["digits"], part("y").try_cast("int"))
+    year = F.when(f["digits"] == 4, year).otherwise(year + F.when(year >= 69, 1900).otherwise(2000))
+    clock = F.when((number("h") < 24) & (number("mi") < 60) & (number("s") < 60) & ((f["t"] < 0) | (part("t") == "T")), number("h") * 3600 + number("mi") * 60 + number("s"))
+    return F.struct(f["format"].alias("format"), f["late"].alias("late"), year.alias("y"), month.alias("m"), number("d").alias("d"), clock.alias("clock"))
+
+
+def _valid(c: Column) -> Column:
+    y, m = c["y"], c["m"]
+    last = F.when(m.isin(4, 6, 9, 11), 30).when(m != 2, 31).when((y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0)), 29).otherwise(28)
+    return F.coalesce(y.between(1800, 2200) & m.between(1, 12) & c["d"].between(1, last) & c["clock"].isNotNull(), F.lit(False))
+
+
+def _seconds(c: Column) -> Column:
+    """Days from civil date, in whole numbers, then seconds."""
+    y = c["y"] - F.when(c["m"] <= 2, 1).otherwise(0)
+    of_year = F.floor((153 * F.pmod(c["m"] + 9, F.lit(12)) + 2) / 5) + c["d"] - 1
+    days = 365 * y + F.floor(y / 4) - F.floor(y / 100) + F.floor(y / 400) + of_year - 719468
+    return (days.cast("long") * 86400 + c["clock"]).cast("long")
+
+
+def parse_date(v: Column, month_first: Column | bool = False) -> Column:
+    """(format, seconds since 1970) by the first format that fits; null if none does.
+
+    month_first: whether formats with the month first are tried before the others.
+    """
+    together = F.filter(F.array(*(F.regexp_extract(v, _TOGETHER, i) for i in (1, 2, 3))), lambda x: x != "")
+    parts = F.when(F.size(together) == 3, together).otherwise(F.regexp_extract_all(v, F.lit(r"(\d+|\p{L}+)"), F.lit(1)))
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(v, r"\s+", " "), r"\d+", "9"), r"\p{L}+", "a")
+    late = month_first if isinstance(month_first, Column) else F.lit(month_first)
+
+    def tried(bound: Column) -> Column:
+        alike = F.filter(_table(), lambda f: f["shape"] == bound["shape"])
+        every = F.filter(F.transform(alike, lambda f: _candidate(bound["parts"], f)), _valid)
+        best = F.coalesce(F.when(late, F.get(F.filter(every, lambda c: c["late"]), F.lit(0))), F.get(every, F.lit(0)))
+        return F.get(F.transform(F.array(best), lambda c: F.when(c.isNotNull(), F.struct(c["format"].alias("format"), _seconds(c).alias("seconds")))), F.lit(0))
+
+    likely = F.length(v).between(6, 30) & v.rlike(r"^[\p{L}\p{N}].*\d")
+    return F.when(likely, F.get(F.transform(F.array(F.struct(shape.alias("shape"), parts.alias("parts"))), tried), F.lit(0)))
 
 
 _SLASHED = r"^(\d{1,2})[/.-](\d{1,2})[/.-]\d{2,4}"
@@ -94,7 +115,7 @@ _SLASHED = r"^(\d{1,2})[/.-](\d{1,2})[/.-]\d{2,4}"
 
 def month_first_votes(v: Column) -> tuple[Column, Column]:
     """Whether the first number can't be a month, and whether the second can't."""
-    first, second = (F.coalesce(F.regexp_extract(v, _SLASHED, i).try_cast("int"), F.lit(0)) for i in (1, 2))
+    first, second = (F.coalesce(F.regexp_extract(v, _SLASHED, i).try_cast("int"), F.lit(0)) for i in (1, 2))  # 0 if it doesn't match
     return (first > 12).cast("int"), (second > 12).cast("int")
 
 

@@ -78,9 +78,10 @@ def trail(v: Column) -> Column:
 
 def case_style(v: Column) -> Column:
     """upper, lower, title, mixed, or none for text without letters."""
-    titled = title_case(v)
+    # a letter after a letter is lower, any other upper
+    titled = ~v.rlike(r"\p{L}\p{Lu}") & ~v.rlike(r"(?<!\p{L})\p{Ll}")
     return (
-        F.when(~v.rlike(_LETTERS), "none").when(v == F.upper(v), "upper").when(v == F.lower(v), "lower").when(v == titled, "title").otherwise("mixed")
+        F.when(~v.rlike(_LETTERS), "none").when(v == F.upper(v), "upper").when(v == F.lower(v), "lower").when(titled, "title").otherwise("mixed")
     )
 
 

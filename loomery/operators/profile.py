@@ -112,7 +112,7 @@ def _joined(*parts: Column) -> Column:
     return F.concat_ws(SEP, *parts)
 
 
-def facts(kind: str, raw: Column, v: Column, month_first: bool) -> Column:
+def facts(kind: str, raw: Column, v: Column, month_first: Column) -> Column:
     """Array of (kind, key) that one cell adds to the counts of a column of this kind."""
     fact = lambda name, key: F.struct(F.lit(name).alias("kind"), key.alias("key"))
     style = fact("style", _joined(shape.case_style(v), shape.lead(raw), shape.trail(raw)))
@@ -152,9 +152,10 @@ def facts(kind: str, raw: Column, v: Column, month_first: bool) -> Column:
 
 def histogram(long: DataFrame, kinds: list[str], month_first: list[bool]) -> DataFrame:
     """(col, kind, key, n) for all columns, in one aggregation."""
+    late = F.col("col").isin(*[i for i, m in enumerate(month_first) if m])
     each = F.array().cast("array<struct<kind:string,key:string>>")
-    for i, kind in reversed(list(enumerate(kinds))):
-        each = F.when(F.col("col") == i, facts(kind, F.col("raw"), F.col("v"), month_first[i])).otherwise(each)
+    for kind in sorted(set(kinds)):  # once for each kind, not for each column
+        each = F.when(F.col("col").isin(*[i for i, k in enumerate(kinds) if k == kind]), facts(kind, F.col("raw"), F.col("v"), late)).otherwise(each)
     return long.select("col", F.explode(each).alias("x")).groupBy("col", "x.kind", "x.key").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -238,21 +239,16 @@ def build_profiles(df: DataFrame, names: list[str], order: str, k: int = 5, cate
     for p in out:
         p.luhn_valid = p.counts["luhn"].get("true", 0)
 
-    number = F.lit(None).cast("double")
-    for i, p in enumerate(out):
-        if p.kind == "numeric":
-            number = F.when(F.col("col") == i, numbers.parse_number(F.col("v"))["value"]).otherwise(number)
-        elif p.kind == "date":
-            number = F.when(F.col("col") == i, parse_date(F.col("v"), p.month_first)["seconds"].cast("double")).otherwise(number)
+    of = lambda kind: F.col("col").isin(*[i for i, p in enumerate(out) if p.kind == kind])
+    late = F.col("col").isin(*[i for i, p in enumerate(out) if p.month_first])
+    number = F.when(of("numeric"), numbers.parse_number(F.col("v"))["value"]).when(of("date"), parse_date(F.col("v"), late)["seconds"].cast("double"))
     if any(k in ("numeric", "date") for k in kinds):
         values = long.filter(F.col("v").isNotNull()).select("col", number.alias("x")).filter(F.col("x").isNotNull())
         for r in quantile_edges(values, "col", "x").orderBy("col", "place").collect():
             out[r["col"]].edges.append(r["edge"])
     masked = [i for i, p in enumerate(out) if p.kind in ("phone", "identifier", "unknown")]
     if masked:
-        ok = F.lit(False)
-        for i in masked:
-            ok = F.when(F.col("col") == i, detect.conforms(out[i].kind, F.col("v"))).otherwise(ok)
+        ok = F.when(of("phone"), detect.conforms("phone", F.col("v"))).otherwise(of("identifier") | of("unknown"))
         for r in fixed_characters(long.filter(F.col("v").isNotNull() & ok), "col", "raw", k).collect():
             fixed = out[r["col"]].fixed
             mask = r["mask"]
