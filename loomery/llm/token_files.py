@@ -16,15 +16,15 @@ vocabulary, which is all the driver sees. The second pass recodes each provision
 appear under their final name when they are whole, and a task that runs again writes the same, so lost executors
 do no harm.
 
-Tokenising. The pre-tokeniser of byte-level BPE always starts a token at a space between two characters that
-aren't white space, so a text is cut there, and each distinct piece goes to the library once while it is in a task's
-table of pieces. The ids are those of the whole text. Null texts are empty; every document ends with ``end``.
+Tokenising. The pre-tokeniser of byte-level BPE starts a token at a single space between words, and makes a single line
+feed between words a token. So texts are cut there, numpy finds the distinct pieces, and each goes to the library once
+while it is in a worker's table. Texts with other white space go to the library whole. The ids are those of the whole text. Null texts are empty; every document ends with ``end``.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,13 +35,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomery.llm import files
+from loomery.llm import textkernel as tk
 from loomery.llm.storage import materialise, prepare_workers, shared_folder, shuffle_partitions
 
 MAGIC = b"LMTOK1\0\0"
 #: Ids of a block; a longer document is a block of its own.
 BLOCK = 1 << 20
-_CUT = re.compile(r"(?<=[^\s\u180e\u200b]) (?=[^\s\u180e\u200b])")
-_ODD = re.compile(r"[\s\u180e\u200b] | [\s\u180e\u200b]|\A | \Z")
+#: Punctuation that is a token apart from a letter or digit before it; an apostrophe may not be.
+_SIGNS = np.zeros(256, bool)
+_SIGNS[list(b".,!?;:%$&*#|()")] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + np.uint8(1)
 _MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
@@ -66,31 +70,107 @@ def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return out & _MASKS[lengths]
 
 
+def odd_documents(buf: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which documents have white space other than single spaces and line feeds between words, or at an end."""
+    n = len(offsets) - 1
+    odd = np.zeros(n, bool)
+    doc = np.repeat(np.arange(n), np.diff(first))
+    before = np.empty(len(starts), np.int64)
+    before[1:] = ends[:-1]
+    head = first[:-1][np.diff(first) > 0]
+    before[head] = offsets[:-1][np.diff(first) > 0]
+    gap = starts - before
+    sign = buf[np.maximum(starts - 1, 0)]
+    odd[doc[(gap > 1) | ((gap == 1) & (sign != 32) & (sign != 10)) | ((gap == 0) & (starts != offsets[doc]))]] = True
+    full = np.diff(first) > 0
+    rest = offsets[1:].copy()
+    rest[full] -= ends[first[1:][full] - 1]
+    rest[~full] -= offsets[:-1][~full]
+    odd |= rest > 0
+    # white space beyond ASCII, by the bytes it begins with; and the four separators
+    strange = np.flatnonzero((buf >= 0x1C) & (buf <= 0x1F))
+    if len(buf) > 1:
+        one, two = buf[:-1], buf[1:]
+        pair = ((one == 0xC2) & ((two == 0x85) | (two == 0xA0))) | ((one == 0xE1) & ((two == 0x9A) | (two == 0xA0))) | ((one == 0xE2) & (two == 0x81)) | ((one == 0xE3) & (two == 0x80))
+        pair[:-1] |= (one[:-1] == 0xE2) & (two[:-1] == 0x80) & ((buf[2:] <= 0x8F) | (buf[2:] >= 0xA8) & (buf[2:] <= 0xAF))
+        strange = np.concatenate([strange, np.flatnonzero(pair)])
+    odd[np.searchsorted(offsets, strange, "right") - 1] = True
+    return odd
+
+
 class Pieces:
     """Texts to ids, by a table of the pieces seen so far."""
 
-    def __init__(self, path: str, special_as_text: bool, most: int = 600_000):
+    def __init__(self, path: str, special_as_text: bool, most: int = 900_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.most, self.known = most, ({}, {})  # without and with a space before
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        if sum(map(len, self.known)) > self.most:
-            self.known = ({}, {})
-        first, later = self.known
-        cut = [(_CUT.split(t) if _ODD.search(t) else t.split(" ")) for t in texts]
-        heads = {p[0] for p in cut if p[0] not in first}
-        rest = {x for p in cut for x in p[1:]}.difference(later)
-        for table, new, lead in ((first, list(heads), ""), (later, list(rest), " ")):
-            for k in range(0, len(new), 4096):
-                part = new[k : k + 4096]
-                for piece, got in zip(part, self.tokenizer.encode_batch_fast([lead + x for x in part], add_special_tokens=False)):
-                    table[piece] = np.array(got.ids, self.kind).tobytes()
-        return [first[p[0]] + b"".join(map(later.__getitem__, p[1:])) for p in cut]
+        self.most, self.known = most, {}
+        self.hashers = tk.Hasher(66), tk.Hasher(77)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        code = "H" if self.kind.itemsize == 2 else "I"
+        return [array(code, x.ids).tobytes() for k in range(0, len(texts), 4096) for x in self.tokenizer.encode_batch_fast(texts[k : k + 4096], add_special_tokens=False)]
+
+    def look_up(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces. The table keeps what came first, mostly frequent pieces, once it is full."""
+        got = list(map(self.known.get, pieces))
+        new = [i for i, x in enumerate(got) if x is None]
+        made = self._encode([pieces[i] for i in new])
+        for i, x in zip(new, made):
+            got[i] = x
+        if len(self.known) < self.most:
+            self.known.update((pieces[i], x) for i, x in zip(new, made))
+        return got
+
+    def ids(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and how many each has."""
+        starts, ends, first = tk.words(buf, offsets)
+        raw, n = buf.tobytes(), len(offsets) - 1
+        odd = odd_documents(buf, offsets, starts, ends, first)
+        doc = np.repeat(np.arange(n), np.diff(first))
+        spaced = (starts > offsets[doc]) & (buf[np.maximum(starts - 1, 0)] == 32)
+        broken = (starts > offsets[doc]) & (buf[np.maximum(starts - 1, 0)] == 10)
+        begin, stem = starts - spaced, ends.copy()
+        for _ in range(4):
+            stem -= _SIGNS[buf[stem - 1]] & (stem > starts + 1)
+        last = buf[stem - 1]
+        latin = (stem > starts + 1) & (buf[stem - 2] == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)
+        stem = np.where(_ALNUM[last] | latin, stem, ends)
+        signs = np.zeros(len(ends), np.uint32)
+        for k in range(4):
+            signs += np.where(stem + k < ends, buf[np.minimum(stem + k, len(buf) - 1)].astype(np.uint32) << np.uint32(8 * k), 0).astype(np.uint32)
+        one, two = (x(buf, begin, stem) for x in self.hashers)
+        _, rep, back = np.unique(one, return_index=True, return_inverse=True)
+        if (two != two[rep][back]).any() or (stem - begin != (stem - begin)[rep][back]).any():
+            odd[:] = True  # two pieces with the same hash
+        tails, tail = np.unique(signs, return_inverse=True)
+        tails = [int(x).to_bytes(4, "little").rstrip(b"\0").decode() for x in tails]
+        pieces = [raw[x:y].decode() for x, y in zip(begin[rep].tolist(), stem[rep].tolist())]
+        made = [b"", *self.look_up(["\n", *tails]), *self.look_up(pieces)]
+        flat = np.frombuffer(b"".join(made), self.kind)
+        size = np.array(list(map(len, made)), np.int64) // self.kind.itemsize
+        place = np.cumsum(size) - size
+        # a word is perhaps a line feed, its piece, and perhaps punctuation; the first entry is nothing
+        which = np.column_stack([broken.astype(np.int64), 2 + len(tails) + back, 2 + tail])
+        take = size[which]
+        ids = flat[tk.positions(place[which].ravel(), take.ravel())]
+        sizes = np.zeros(n, np.int64)
+        np.add.at(sizes, doc, take.sum(axis=1))
+        if odd.any():
+            whole = np.flatnonzero(odd)
+            bounds = np.concatenate([[0], np.cumsum(sizes)])
+            made = self._encode([raw[offsets[i] : offsets[i + 1]].decode() for i in whole.tolist()])
+            parts, last = [], 0
+            for i, x in zip(whole.tolist(), made):
+                parts += [ids[last : bounds[i]], np.frombuffer(x, self.kind)]
+                last = bounds[i + 1]
+                sizes[i] = len(parts[-1])
+            ids = np.concatenate([*parts, ids[last:]])
+        return ids, sizes
 
 
 _PIECES: dict[tuple, Pieces] = {}
@@ -108,24 +188,24 @@ def _provisional(folder: str, path: Callable[[], str], end: int, special_as_text
             _PIECES[key] = Pieces(*key)
         pieces = _PIECES[key]
         task, counts, total = TaskContext.get().partitionId(), np.zeros(max(pieces.size, end + 1), np.int64), 0
-        finish = np.array([end], pieces.kind).tobytes()
 
         def blocks() -> Iterator[bytes]:
             nonlocal counts, total
             squeeze = zstandard.ZstdCompressor(level=1)
             for batch in batches:
-                for low in range(0, len(batch), 256):
-                    part = batch.slice(low, 256)
-                    ids = [x + finish for x in pieces.ids([t or "" for t in part.column(1).to_pylist()])]
-                    sizes = np.array([len(x) // pieces.kind.itemsize for x in ids], "<i8")
-                    body = b"".join(ids)
-                    counts += np.bincount(np.frombuffer(body, pieces.kind), minlength=len(counts))
-                    total += int(sizes.sum())
-                    doc = part.column(0)
-                    packed = squeeze.compress(body)
-                    null = np.asarray(doc.is_null()).astype(np.uint8)
-                    yield np.array([len(part), len(packed)], "<i8").tobytes()
-                    yield doc.fill_null(0).to_numpy().astype("<i8").tobytes() + null.tobytes() + sizes.tobytes() + packed
+                doc = batch.column(0)
+                null = np.asarray(doc.is_null()).astype(np.uint8)
+                doc = doc.fill_null(0).to_numpy().astype("<i8")
+                buf, offsets = tk.text_buffer(batch.column(1))
+                for i, j in tk.steps(offsets, 4 * tk.STEP):
+                    ids, sizes = pieces.ids(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    ids = np.insert(ids, np.cumsum(sizes), end)
+                    sizes = sizes + 1
+                    counts += np.bincount(ids, minlength=len(counts))
+                    total += len(ids)
+                    packed = squeeze.compress(ids.astype(pieces.kind).tobytes())
+                    yield np.array([j - i, len(packed)], "<i8").tobytes()
+                    yield doc[i:j].tobytes() + null[i:j].tobytes() + sizes.astype("<i8").tobytes() + packed
 
         files.put(folder, f"ids-{task:06d}.part", blocks())
         some = np.flatnonzero(counts)
@@ -136,9 +216,15 @@ def _provisional(folder: str, path: Callable[[], str], end: int, special_as_text
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(0, np.int64)
     for batch in batches:
         for ids, counts in zip(*batch.columns):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids.as_buffer(), "<i4")), pa.array(np.frombuffer(counts.as_buffer(), "<i8"))], ["id", "n"])
+            ids, counts = np.frombuffer(ids.as_buffer(), "<i4"), np.frombuffer(counts.as_buffer(), "<i8")
+            if len(ids) and ids[-1] >= len(total):
+                total = np.concatenate([total, np.zeros(ids[-1] + 1 - len(total), np.int64)])
+            total[ids] += counts
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["id", "n"])
 
 
 def _parts(data: bytes, kind: np.dtype) -> Iterator[tuple[np.ndarray, ...]]:
