@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomery.llm import decontaminate, jaccard_join, language_id, lm_scoring, mixing, pii, quality, substring_dedup, token_files, warc
+from loomery.llm import decontaminate, jaccard_join, language_id, lm_scoring, mixing, oracles, pii, quality, substring_dedup, token_files, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mixing": oracles.MIXING, "op9_substring_dedup": oracles.SUBSTRINGS, "op10_warc": oracles.WARC}
