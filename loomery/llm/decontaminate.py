@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from loomery.llm.storage import materialise
 
 #: Fixed masks: 1 is compared, 0 ignored.
-MASKS = ("1110110010111", "1100110111101", "0011111101100")
+MASKS = ("1110110010111", "1101001111011", "0011111101100")
 SPAN = len(MASKS[0])
 SHORTEST = 5
 SPACES = r"[\x20\x09-\x0D]+"

@@ -13,6 +13,12 @@ def open_folder(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub(r"^file:/(?=[^/])", "file:///", folder))
 
 
+def make_folder(folder: str) -> None:
+    """So that the folder is there though no task writes to it."""
+    store, path = open_folder(folder)
+    store.create_dir(path, recursive=True)
+
+
 def put(folder: str, name: str, parts) -> int:
     """Write ``parts`` (bytes) as one file, which appears when it is whole; a task that runs again replaces it."""
     store, path = open_folder(folder)

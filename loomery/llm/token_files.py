@@ -304,6 +304,7 @@ def write_tokens(documents: DataFrame, path: Callable[[], str], end: int = 2, sp
     spark = documents.sparkSession
     prepare_workers(spark)
     folder = folder or shared_folder(spark, "tokens")
+    files.make_folder(folder)
     text = F.col("text").cast("string")
     docs = documents.select(F.col("doc_id").cast("long"), text.alias("text"))
     keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64(F.coalesce("text", F.lit("")))]

@@ -90,6 +90,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, least_bytes: int = 0
     spark = pages.sparkSession
     prepare_workers(spark)
     folder = folder or shared_folder(spark, "warc")
+    files.make_folder(folder)
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     sha, size = F.sha1(F.col("html").cast("binary")), F.octet_length("html")
     groups = pages.select("page_id", sha.alias("sha"), size.alias("size")).filter(F.col("size") >= least_bytes).groupBy("sha", "size")
