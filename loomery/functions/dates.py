@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomery.functions import rng
+
 # The formats in the order in which they are tried, each with Spark's pattern for writing it.
 DATE_FORMATS = (
     ("%Y-%m-%d", "yyyy-MM-dd"),
@@ -68,7 +70,7 @@ def _candidate(parts: Column, f: Column) -> Column:
     """(format, month first, y, m, d, seconds of the day) of a text of the format's shape; parts that are too long are null."""
     part = lambda name: F.get(parts, f[name])
     number = lambda name: F.when(f[name] < 0, 0).when(F.length(part(name)) <= 2, part(name).try_cast("int"))
-    short = F.array_position(F.array(*(F.lit(m[:3]) for m in _MONTHS)), F.lower(F.substring(part("word"), 1, 3))).cast("int")
+    short = F.array_position(rng.literals([m[:3] for m in _MONTHS]), F.lower(F.substring(part("word"), 1, 3))).cast("int")
     month = F.when(f["word"] < 0, number("m")).when(F.when(f["long"], F.lower(part("word")).isin(*_MONTHS)).otherwise(F.length(part("word")) == 3), short)
     year = F.when(F.length(part("y")) == f["digits"], part("y").try_cast("int"))
     year = F.when(f["digits"] == 4, year).otherwise(year + F.when(year >= 69, 1900).otherwise(2000))

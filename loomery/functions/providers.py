@@ -116,7 +116,7 @@ def word(d: Draws) -> Column:
 
 
 def _words(d: Draws, n: int | Column) -> Column:
-    pool = F.array(*map(F.lit, words.WORDS))
+    pool = rng.literals(words.WORDS)
     return F.transform(F.sequence(F.lit(1), n if isinstance(n, Column) else F.lit(int(n))), lambda i: F.get(pool, rng.index(rng.fast(d.seed, d.label, d.draw, d.row, i), len(words.WORDS))))
 
 

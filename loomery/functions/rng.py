@@ -25,6 +25,17 @@ def fast(seed: Any, label: str, draw: Any, *row: Column) -> Column:
     return F.shiftrightunsigned(h, 12).cast("double") / F.lit(float(1 << 52))
 
 
+def literals(values: Sequence[Any]) -> Column:
+    """An array of constants; plain ones as one SQL text, which is much cheaper to build than a column for each."""
+    values = list(values)
+    if values and all(isinstance(v, str) and v.isprintable() for v in values):
+        quoted = (v.replace("\\", "\\\\").replace("'", "\\'") for v in values)
+        return F.expr("array(" + ", ".join(f"'{v}'" for v in quoted) + ")")
+    if values and all(isinstance(v, float) and abs(v) < 1e300 for v in values):
+        return F.expr("array(" + ", ".join(f"{v!r}D" for v in values) + ")")
+    return F.array(*(v if isinstance(v, Column) else F.lit(v) for v in values))
+
+
 def index(u: Column, n: int | Column) -> Column:
     """0 to n - 1."""
     return F.floor(u * n).cast("int")
@@ -32,7 +43,7 @@ def index(u: Column, n: int | Column) -> Column:
 
 def pick(u: Column, values: Sequence[Any]) -> Column:
     """One of the values, each as likely."""
-    return F.get(F.array(*(v if isinstance(v, Column) else F.lit(v) for v in values)), index(u, len(values)))
+    return F.get(literals(values), index(u, len(values)))
 
 
 def weighted_index(u: Column, weights: Sequence[float]) -> Column:
@@ -44,14 +55,14 @@ def weighted_index(u: Column, weights: Sequence[float]) -> Column:
     if total <= 0:
         return index(u, len(sums))
     target = u * total
-    if len(sums) <= 64:
+    if len(sums) <= 4:
         out = F.lit(len(sums) - 1)
         for i in reversed(range(len(sums) - 1)):
             out = F.when(target < sums[i], i).otherwise(out)
         return out.cast("int")
-    below = F.size(F.filter(F.array(*map(F.lit, sums)), lambda s: s <= target))
+    below = F.size(F.filter(literals(sums), lambda s: s <= target))
     return F.least(below, F.lit(len(sums) - 1)).cast("int")
 
 
 def weighted(u: Column, values: Sequence[Any], weights: Sequence[float]) -> Column:
-    return F.get(F.array(*(v if isinstance(v, Column) else F.lit(v) for v in values)), weighted_index(u, weights))
+    return F.get(literals(values), weighted_index(u, weights))

@@ -33,7 +33,7 @@ def sample(u: Column, v: Column, edges: Sequence[float]) -> Column:
     """Uniform within a bin that u picks; all bins are as likely."""
     if len(edges) < 2:
         return F.lit(float(edges[0] if edges else 0.0))
-    low, high = F.array(*map(F.lit, edges[:-1])), F.array(*map(F.lit, edges[1:]))
+    low, high = rng.literals([float(x) for x in edges[:-1]]), rng.literals([float(x) for x in edges[1:]])
     i = rng.index(u, len(edges) - 1)
     return F.get(low, i) + v * (F.get(high, i) - F.get(low, i))
 
@@ -106,7 +106,7 @@ class Twin:
     def _masked(self, p: ColumnProfile, label: str, draw: int) -> Column:
         masks = sorted(p.counts["mask"]) or [""]
         i = rng.weighted_index(self.u(label, "mask"), [p.counts["mask"].get(m, 1) for m in masks])
-        mask = F.get(F.array(*map(F.lit, masks)), i)
+        mask = F.get(rng.literals(masks), i)
         fixed = F.get(F.array(*(F.lit(p.fixed.get(m, shape.FREE * len(m))) for m in masks)), i)
         return shape.fill_mask(mask, self.seed, label, f"fill{draw}", self.row, fixed)
 

@@ -112,8 +112,8 @@ def _joined(*parts: Column) -> Column:
     return F.concat_ws(SEP, *parts)
 
 
-def facts(kind: str, raw: Column, v: Column, month_first: Column) -> Column:
-    """Array of (kind, key) that one cell adds to the counts of a column of this kind."""
+def facts(kind: str, raw: Column, v: Column, parsed: Column | None = None) -> Column:
+    """Array of (kind, key) that one cell adds to the counts of a column of this kind. parsed: parse_date(v), for dates."""
     fact = lambda name, key: F.struct(F.lit(name).alias("kind"), key.alias("key"))
     style = fact("style", _joined(shape.case_style(v), shape.lead(raw), shape.trail(raw)))
     edges = (shape.lead(raw), shape.trail(raw))
@@ -137,12 +137,12 @@ def facts(kind: str, raw: Column, v: Column, month_first: Column) -> Column:
     elif kind == "numeric":
         good = [fact("format", _joined(numbers.parse_number(v)["format"], *edges))]
     elif kind == "date":
-        good = [fact("format", _joined(parse_date(v, month_first)["format"], shape.case_style(v), *edges))]
+        good = [fact("format", _joined(parsed["format"], shape.case_style(v), *edges))]
     elif kind == "category":
         good = [fact("category", raw)]
     else:
         good = []
-    ok = detect.conforms(kind, v)
+    ok = parsed.isNotNull() if kind == "date" else detect.conforms(kind, v)
     if kind == "full_name":
         ok = name_template(v).isNotNull()
     values = F.when(ok, F.array(*good) if good else F.array().cast("array<struct<kind:string,key:string>>")).otherwise(F.array(fact("junk", shape.mask_of(raw))))
@@ -150,15 +150,21 @@ def facts(kind: str, raw: Column, v: Column, month_first: Column) -> Column:
     return F.when(v.isNull(), blank).otherwise(values)
 
 
-def histogram(long: DataFrame, kinds: list[str], month_first: list[bool]) -> DataFrame:
-    """(col, kind, key, n) for all columns, in one aggregation."""
-    late = F.col("col").isin(*[i for i, m in enumerate(month_first) if m])
+def histogram(long: DataFrame, kinds: list[str]) -> DataFrame:
+    """(col, kind, key, n) for all columns, in one aggregation. long: with ``parsed``, see with_dates."""
     each = F.array().cast("array<struct<kind:string,key:string>>")
     for kind in sorted(set(kinds)):  # once for each kind, not for each column
-        each = F.when(F.col("col").isin(*[i for i, k in enumerate(kinds) if k == kind]), facts(kind, F.col("raw"), F.col("v"), late)).otherwise(each)
+        each = F.when(F.col("col").isin(*[i for i, k in enumerate(kinds) if k == kind]), facts(kind, F.col("raw"), F.col("v"), F.col("parsed"))).otherwise(each)
     return long.select("col", F.explode(each).alias("x")).groupBy("col", "x.kind", "x.key").agg(F.count(F.lit(1)).alias("n"))
 
 
+def with_dates(long: DataFrame, kinds: list[str], month_first: list[bool]) -> DataFrame:
+    """The long form with ``parsed``: what the cells of date columns say."""
+    of = lambda flags: F.col("col").isin(*[i for i, x in enumerate(flags) if x])
+    dated = [k == "date" for k in kinds]
+    return long.withColumn("parsed", F.when(of(dated), parse_date(F.col("v"), of(month_first))) if any(dated) else F.lit(None).cast("struct<format:string,seconds:long>"))
+
+
 def kept_categories(counts: DataFrame, k: int) -> DataFrame:
     """Values that k rows share keep their name; the others are counted by their mask."""
     rare = F.col("kind").isin("category", "domain") & (F.col("n") < k)
@@ -220,6 +226,7 @@ def date_groups(seconds: DataFrame, columns: list[str], least: int = 10, rate: f
 def build_profiles(df: DataFrame, names: list[str], order: str, k: int = 5, category_threshold: int = 50, overrides: dict[str, str] | None = None) -> tuple[list[ColumnProfile], list[list[int]]]:
     """Profiles of the columns c0, c1, ... of ``df``, and groups of date columns that keep an order."""
     columns = [f"c{i}" for i in range(len(names))]
+    df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)  # a small file is one partition
     long = long_form(df, columns, order).persist()
     rows = df.count()
     size, rates = sizes(long), detection_rates(long)
@@ -233,17 +240,17 @@ def build_profiles(df: DataFrame, names: list[str], order: str, k: int = 5, cate
             found = detect.decide(name, r or {}, s["distinct"], s["values"] if r else 0, category_threshold)
         late = bool(r and (r["second"] or 0) > (r["first"] or 0))
         out.append(ColumnProfile(name, found.kind, found.reason, rows, s["values"], s["distinct"], month_first=late))
-    kinds, firsts = [p.kind for p in out], [p.month_first for p in out]
-    for r in kept_categories(histogram(long, kinds, firsts), k).collect():
+    kinds = [p.kind for p in out]
+    dated_long = with_dates(long, kinds, [p.month_first for p in out]).persist()
+    for r in kept_categories(histogram(dated_long, kinds), k).collect():
         out[r["col"]].counts[r["kind"]][r["key"]] = r["n"]
     for p in out:
         p.luhn_valid = p.counts["luhn"].get("true", 0)
 
     of = lambda kind: F.col("col").isin(*[i for i, p in enumerate(out) if p.kind == kind])
-    late = F.col("col").isin(*[i for i, p in enumerate(out) if p.month_first])
-    number = F.when(of("numeric"), numbers.parse_number(F.col("v"))["value"]).when(of("date"), parse_date(F.col("v"), late)["seconds"].cast("double"))
+    number = F.when(of("numeric"), numbers.parse_number(F.col("v"))["value"]).when(of("date"), F.col("parsed.seconds").cast("double"))
     if any(k in ("numeric", "date") for k in kinds):
-        values = long.filter(F.col("v").isNotNull()).select("col", number.alias("x")).filter(F.col("x").isNotNull())
+        values = dated_long.filter(F.col("v").isNotNull()).select("col", number.alias("x")).filter(F.col("x").isNotNull())
         for r in quantile_edges(values, "col", "x").orderBy("col", "place").collect():
             out[r["col"]].edges.append(r["edge"])
     masked = [i for i, p in enumerate(out) if p.kind in ("phone", "identifier", "unknown")]
@@ -255,7 +262,10 @@ def build_profiles(df: DataFrame, names: list[str], order: str, k: int = 5, cate
             held = fixed.setdefault(mask, shape.FREE * len(mask))
             fixed[mask] = held[: r["place"]] + r["ch"] + held[r["place"] + 1 :]
     dated = [i for i, p in enumerate(out) if p.kind == "date"]
-    seconds = df.select(*(F.when(~shape.is_blank(F.col(f"c{i}")), parse_date(shape.strip(F.col(f"c{i}")), out[i].month_first)["seconds"]).alias(f"c{i}") for i in dated)) if dated else None
-    groups = date_groups(seconds, [f"c{i}" for i in dated]) if dated else []
+    groups = []
+    if len(dated) > 1:
+        by_row = dated_long.filter(F.col("parsed").isNotNull()).groupBy("i").agg(*(F.max(F.when(F.col("col") == i, F.col("parsed.seconds"))).alias(f"c{i}") for i in dated))
+        groups = date_groups(by_row, [f"c{i}" for i in dated])
+    dated_long.unpersist()
     long.unpersist()
     return out, [[int(c[1:]) for c in g] for g in groups]

@@ -308,7 +308,7 @@ def name_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT lower(split_part(e, '@', -1)) AS domain, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9._-]+@[A-Za-z0-9-]+[.][A-Za-z]+')) AS e FROM documents) GROUP BY 1 HAVING count(*) >= 2""")
 def domain_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z0-9._-]+@[A-Za-z0-9-]+[.][A-Za-z]+)"), F.lit(1))).alias("e"))
-    facts = profile.facts("email", F.col("e"), F.col("e"), F.lit(False))
+    facts = profile.facts("email", F.col("e"), F.col("e"))
     counts = found.select(F.explode(facts).alias("x")).filter("x.kind = 'domain'").groupBy(F.col("x.key").alias("domain")).agg(F.count(F.lit(1)).alias("n"))
     return counts.filter("n >= 2")
 
