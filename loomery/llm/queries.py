@@ -25,4 +25,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": oracles.MIXING, "op9_substring_dedup": oracles.SUBSTRINGS, "op10_warc": oracles.WARC}
+    return {
+        "op1_decontaminate": oracles.leaks(),
+        "op4_mixing": oracles.MIXING,
+        "op8_jaccard_join": oracles.JACCARD,
+        "op9_substring_dedup": oracles.SUBSTRINGS,
+        "op10_warc": oracles.WARC,
+    }
