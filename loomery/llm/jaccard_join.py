@@ -182,13 +182,27 @@ def _verify(n: int, threshold: float):
     return run
 
 
-def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 96) -> DataFrame:
+def near_duplicates(documents: DataFrame, **options) -> DataFrame:
     """(doc_id, copy, class_id, n_links, is_first) of every row of ``documents`` (doc_id, text).
 
     copy: the text's 128-bit hash, in hex. class_id: the least doc_id among all documents that chains of links
     connect to this one. n_links: documents other than this one whose n-gram sets have at least ``threshold`` of
     their union in common with this one's. is_first: whether the row is the one that stands for its class.
     """
+    signed, named = _classes(documents, **options)
+    out = signed.select("doc_id", "copy").join(named, F.col("copy") == F.col("copy_of"), "left")
+    alone = F.col("copy_of").isNull()
+    return out.select(
+        "doc_id",
+        "copy",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        (alone | (F.col("leads") & F.col("doc_id").eqNullSafe(F.col("least")))).alias("is_first"),
+    )
+
+
+def _classes(documents: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 96) -> tuple[DataFrame, DataFrame]:
+    """Rows with their bands, and for each text with words its class: (copy_of, class_id, n_links, least, leads)."""
     spark = documents.sparkSession
     prepare_workers(spark)
     bands, rows = choose_bands(threshold, recall)
@@ -236,21 +250,16 @@ def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.8, re
         "least",
         (F.col("head").isNull() | F.coalesce("leads", F.lit(False))).alias("leads"),
     )
-    out = signed.select("doc_id", "copy").join(named, F.col("copy") == F.col("copy_of"), "left")
-    alone = F.col("copy_of").isNull()
-    return out.select(
-        "doc_id",
-        "copy",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        (alone | (F.col("leads") & F.col("doc_id").eqNullSafe(F.col("least")))).alias("is_first"),
-    )
+    return signed, named
 
 
 def keep_one_of_each(documents: DataFrame, **options) -> DataFrame:
     """The rows of ``documents``, with all columns, that stand for their classes; of repeated rows, one."""
-    firsts = near_duplicates(documents, **options).filter("is_first").groupBy("doc_id", "copy").agg(F.count(F.lit(1)).alias("rows"))
-    firsts = materialise(firsts.withColumnsRenamed({"doc_id": "id_of", "copy": "copy_of"}), "firsts")
+    signed, named = _classes(documents, **options)
+    rows = signed.groupBy("doc_id", "copy").agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("bands")).alias("bands"))
+    leads = named.filter("leads").select(F.col("least").alias("id"), "copy_of")
+    firsts = rows.join(leads, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("copy") == F.col("copy_of")), "left_semi").unionAll(rows.filter("bands = 0"))
+    firsts = materialise(firsts.select(F.col("doc_id").alias("id_of"), F.col("copy").alias("copy_of"), "rows"), "firsts")
     copy = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("id_of")) & (copy == F.col("copy_of"))
     names = documents.columns
