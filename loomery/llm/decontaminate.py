@@ -1,8 +1,8 @@
 """Benchmark decontamination by spaced seeds, with DataFrame functions only.
 
 Texts are lower-cased and cut into words. A seed is a hash of the words of a ``SPAN``-word window at the places that
-one of three fixed masks selects; every place is ignored by at least one mask, so that a window with any one word
-substituted still has a seed in common with the original. Seeds of the benchmark items meet those of all
+one of seven fixed masks selects; every two places are ignored together by at least one mask, so that a window with any two words
+substituted still has a seed in common with the original: with ``least`` = SPAN - 2 or more no window is missed. Seeds of the benchmark items meet those of all
 windows of all documents. Around each hit the whole window is compared word by word, and it counts if at least
 ``least`` of its words agree. Items of 5 to SPAN - 1 words are one window of their own length, all words of
 which must agree; shorter items can't be told from chance and are not looked for.
@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 
 from loomery.llm.storage import materialise
 
-#: Fixed masks: 1 is compared, 0 ignored.
+#: Masks of the SQL, which finds all windows with one word substituted and some with two: 1 is compared, 0 ignored.
 MASKS = ("1110110010111", "1101001111011", "0011111101100")
-SPAN = len(MASKS[0])
+#: Masks of the seeds here. Their ignored places are a covering design: 7 sets of 6 places that hold all pairs of 13.
+COVER = ("0100010110111", "1111100010010", "1011010100101", "1110001011001", "1010011001110", "0001101101011", "0100111011100")
+SPAN = len(COVER[0])
 SHORTEST = 5
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -35,11 +37,16 @@ def hashed_words(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(words: str, at: str, lengths: list[int]) -> Column:
-    """Seeds of the window that starts at ``at``: one for each mask, and one for each length of short items."""
-    word = lambda i: F.get(F.col(words), F.col(at) + F.lit(i))
-    whole = [F.when(F.col(at) + SPAN <= F.size(words), F.xxhash64(F.lit(k), *(word(i) for i, x in enumerate(mask) if x == "1"))) for k, mask in enumerate(MASKS)]
-    return F.array(*whole, *(F.when(F.col(at) + n <= F.size(words), F.xxhash64(F.lit(-n), *(word(i) for i in range(n)))) for n in lengths))
+def _window(words: str, at: str) -> list[Column]:
+    """The words of the window that starts at ``at``, as columns: each is read once, however many masks select it."""
+    return [F.get(F.col(words), F.col(at) + F.lit(i)).alias(f"w{i}") for i in range(SPAN)]
+
+
+def _seeds(lengths: list[int]) -> Column:
+    """Seeds of the window whose words are w0, w1, ...: one for each mask, and one for each length of short items."""
+    word = lambda i: F.col(f"w{i}")
+    whole = [F.when(word(SPAN - 1).isNotNull(), F.xxhash64(F.lit(k), *(word(i) for i, x in enumerate(mask) if x == "1"))) for k, mask in enumerate(COVER)]
+    return F.array(*whole, *(F.when(word(n - 1).isNotNull(), F.xxhash64(F.lit(-n), *(word(i) for i in range(n)))) for n in lengths))
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -57,10 +64,10 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, least: int = 11, most
     window = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - SPAN)))
     # a short item has one window, at 0; its long seeds are null, and a long item's short ones are not taken
     seeds = items.filter(F.size("words") >= SHORTEST).select("item", "words", window.alias("at"))
-    seeds = seeds.select("item", "words", "at", F.posexplode(_seeds("words", "at", lengths)).alias("kind", "seed"))
-    fits = F.col("kind") < len(MASKS)
+    seeds = seeds.select("item", "words", "at", *_window("words", "at")).select("item", "words", "at", F.posexplode(_seeds(lengths)).alias("kind", "seed"))
+    fits = F.col("kind") < len(COVER)
     for k, n in enumerate(lengths):
-        fits = fits | ((F.col("kind") == len(MASKS) + k) & (F.size("words") == n))
+        fits = fits | ((F.col("kind") == len(COVER) + k) & (F.size("words") == n))
     seeds = seeds.filter(F.col("seed").isNotNull() & fits).select(
         "seed", "kind", F.slice("words", F.col("at") + 1, F.least(F.lit(SPAN), F.size("words"))).alias("part"), F.struct("item", "at", F.size("words").alias("size")).alias("place")
     )
@@ -71,9 +78,10 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, least: int = 11, most
     shortest = lengths[0] if lengths else SPAN
     docs = docs.filter(F.size("words") >= shortest)
     windows = docs.select("doc", "words", F.explode(F.sequence(F.lit(0), F.size("words") - shortest)).alias("start"))
-    windows = windows.select("doc", "words", "start", F.explode(_seeds("words", "start", lengths)).alias("key"))
-    same = sum(F.when(F.get("part", F.lit(i)) == F.get(F.col("words"), F.col("start") + F.lit(i)), 1).otherwise(0) for i in range(SPAN))
-    needed = F.when(F.col("kind") < len(MASKS), F.lit(least)).otherwise(F.size("part"))
+    windows = windows.select("doc", "start", *_window("words", "start"))
+    windows = windows.select("*", F.explode(_seeds(lengths)).alias("key"))
+    same = sum(F.when(F.get("part", F.lit(i)) == F.col(f"w{i}"), 1).otherwise(0) for i in range(SPAN))
+    needed = F.when(F.col("kind") < len(COVER), F.lit(least)).otherwise(F.size("part"))
     hits = []
     for k in range(rounds):
         some = seeds.filter(F.pmod(F.col("seed"), F.lit(rounds)) == k) if rounds > 1 else seeds
