@@ -8,8 +8,9 @@ windows of all documents. Around each hit the whole window is compared word by w
 which must agree; shorter items can't be told from chance and are not looked for.
 
 The benchmark is the query set: its seeds are sent to all tasks in rounds of at most ``most_seeds`` (a size that is
-counted, not guessed), and documents never move. A window that several items share is kept once, under the least
-item_id, so items that repeat each other multiply nothing. Words are 64-bit hashes on both sides.
+counted, not guessed), and documents never move. A window that several items share is looked for once;
+a table of windows and items, which the found windows are joined with, then gives a row for each of its items. An item
+that has a window at several places has it at the first. Words are 64-bit hashes on both sides.
 
 Null texts have no words. Null ids are kept like any other. Rows that share a doc_id are one document in the result.
 """
@@ -69,9 +70,11 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, least: int = 11, most
     for k, n in enumerate(lengths):
         fits = fits | ((F.col("kind") == len(COVER) + k) & (F.size("words") == n))
     seeds = seeds.filter(F.col("seed").isNotNull() & fits).select(
-        "seed", "kind", F.slice("words", F.col("at") + 1, F.least(F.lit(SPAN), F.size("words"))).alias("part"), F.struct("item", "at", F.size("words").alias("size")).alias("place")
+        "seed", "kind", F.slice("words", F.col("at") + 1, F.least(F.lit(SPAN), F.size("words"))).alias("part"), "item", "at", F.size("words").alias("size")
     )
-    seeds = materialise(seeds.groupBy("seed", "kind", "part").agg(F.min("place").alias("place")), "seeds")
+    owners = materialise(seeds.groupBy("part", "item", "size").agg(F.min("at").alias("at")), "owners")
+    owners = F.broadcast(owners) if owners.count() <= most_seeds else owners
+    seeds = materialise(seeds.select("seed", "kind", "part").distinct(), "seeds")
     rounds = -(-max(1, seeds.count()) // most_seeds)
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc"), hashed_words(F.col("text")).alias("words"))
@@ -85,9 +88,9 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, least: int = 11, most
     hits = []
     for k in range(rounds):
         some = seeds.filter(F.pmod(F.col("seed"), F.lit(rounds)) == k) if rounds > 1 else seeds
-        hits.append(windows.join(F.broadcast(some), F.col("key") == F.col("seed")).filter(same >= needed).select("doc", "place", "start", F.size("part").alias("span")))
-    found = reduce(DataFrame.unionAll, hits).groupBy("doc", F.col("place.item").alias("item"), F.col("place.size").alias("size"), "start")
-    found = found.agg(F.min("place.at").alias("first"), F.max(F.col("place.at") + F.col("span")).alias("last"))
+        hits.append(windows.join(F.broadcast(some), F.col("key") == F.col("seed")).filter(same >= needed).select("doc", "start", "part"))
+    found = reduce(DataFrame.unionAll, hits).join(owners, "part").groupBy("doc", "item", "size", "start")
+    found = found.agg(F.min("at").alias("first"), F.max(F.col("at") + F.size("part")).alias("last"))
     found = found.groupBy("doc", "item", "size").agg(F.count(F.lit(1)).alias("n_windows"), (F.max("last") - F.min("first")).cast("long").alias("overlap_words"))
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_windows", "overlap_words", F.col("size").cast("long").alias("item_words"))
 

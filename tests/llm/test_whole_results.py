@@ -49,3 +49,15 @@ def test_every_two_substitutions_are_found(spark):
     assert len(want) > 90 and (300, 1) not in want
     for most in (400_000, 500):  # one round, and several
         assert found_leaks(spark, docs, items, most_seeds=most) == want
+
+
+def test_items_that_share_windows_are_all_found(spark):
+    rng = random.Random(9)
+    passage, ends = " ".join(rng.sample(WORDS, 20)), [" ".join(rng.sample(WORDS, k)) for k in (15, 16, 17)]
+    items = [(1, f"{passage} {ends[0]}"), (2, f"{ends[1]} {passage}"), (3, passage), (4, passage), (5, ends[2]), (6, "one two three four five six"), (7, "one two three four five six")]
+    docs = [(1, f"intro {passage} end"), (2, f"{ends[0]} and {passage}"), (3, ends[1]), (4, "so one two three four five six"), (5, items[0][1]), (6, "none of these")]
+    want = leaks(docs, items)
+    assert {i for d, i in want if d == 1} == {1, 2, 3, 4}
+    want |= {(4, 6): (1, 6), (4, 7): (1, 6)}  # whole short items
+    for most in (400_000, 20):  # one round, and several
+        assert found_leaks(spark, docs, items, most_seeds=most) == want
