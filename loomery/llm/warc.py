@@ -7,8 +7,8 @@ record with the largest page_id is the response, and the others revisit it. Rows
 responses too. A null page_id is less than all others; if all are null, all are responses.
 
 Reading. Archives are cut into byte ranges. A task looks for the three bytes that begin a gzip member, and takes
-a place for a record if what it decodes to begins with a WARC version and whole headers with a length; else it looks
-further. A task owns the records that start inside its range, and reads beyond its end to finish the last. After a
+a place for a record if what it decodes to begins with a WARC version and whole headers, of any length, that give the
+block's; else it looks further. A task owns the records that start inside its range, and reads beyond its end to finish the last. After a
 record it tries the next byte first, so that ranges are read once.
 
 Payloads are UTF-8; null counts as empty. Page ids and, for revisits, the payload's length and the response's page
@@ -33,8 +33,8 @@ from loomery.llm import files
 from loomery.llm.storage import materialise, prepare_workers, shared_folder
 
 BEGIN = b"\x1f\x8b\x08"
-#: Bytes in which a record's headers must end, and bytes read at a time.
-HEADERS, READ = 1 << 16, 1 << 20
+#: Bytes read at a time.
+READ = 1 << 20
 _LENGTH = re.compile(rb"^content-length:[ \t]*([0-9]+)[ \t]*$", re.I | re.M)
 
 
@@ -125,7 +125,7 @@ class _Window:
 def _member(window: _Window, place: int) -> tuple[bytes, int] | None:
     """What the gzip member at ``place`` holds, and where it ends; None if it isn't a record."""
     inflate, out, at, checked = zlib.decompressobj(31), [], place - window.at, False
-    seen = b""
+    seen = bytearray()
     try:
         while not inflate.eof:
             if at >= len(window.data) and not window.more():
@@ -134,12 +134,14 @@ def _member(window: _Window, place: int) -> tuple[bytes, int] | None:
             piece = window.data[at : at + step]
             out.append(inflate.decompress(piece))
             at += len(piece)
-            if not checked:
+            if not checked:  # headers may have any length, as URLs do
+                known = len(seen)
                 seen += out[-1]
-                if not b"WARC/1.".startswith(seen[:7]) or len(seen) > HEADERS and b"\r\n\r\n" not in seen[:HEADERS]:
+                if not b"WARC/1.".startswith(seen[:7]):
                     return None
-                checked = b"\r\n\r\n" in seen
-                if checked and not (len(seen) > 7 and _LENGTH.search(seen.split(b"\r\n\r\n", 1)[0].replace(b"\r\n", b"\n"))):
+                blank = seen.find(b"\r\n\r\n", max(0, known - 3))
+                checked = blank >= 0
+                if checked and not _LENGTH.search(bytes(seen[:blank]).replace(b"\r\n", b"\n")):
                     return None
     except zlib.error:
         return None

@@ -2,10 +2,11 @@
 
 import itertools
 import random
+import re
 
 from pyspark.sql import functions as F
 
-from loomery.llm import decontaminate
+from loomery.llm import decontaminate, warc
 
 WORDS = [a + b for a in "ba ce di fo gu la me ni po ru".split() for b in "ba ce di fo gu la me ni po ru".split()]
 
@@ -61,3 +62,14 @@ def test_items_that_share_windows_are_all_found(spark):
     want |= {(4, 6): (1, 6), (4, 7): (1, 6)}  # whole short items
     for most in (400_000, 20):  # one round, and several
         assert found_leaks(spark, docs, items, most_seeds=most) == want
+
+
+def test_warc_records_with_long_urls_are_read(spark):
+    rng = random.Random(10)
+    urls = ["http://x/", "http://x/" + " " * 400_000, "http://x/" + "".join(chr(rng.randint(1, 0x2FF)) for _ in range(300_000)), "http://x/" + "é" * 70_000, None] * 3
+    pages = spark.createDataFrame([(i, u, f"page {i % 9}") for i, u in enumerate(urls)], "page_id long, url string, html string").repartition(2)
+    folder = warc.write_warc(pages)
+    want = {i: u and re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", u) for i, u in enumerate(urls)}
+    for split in (50_021, 16 << 20):
+        got = warc.read_warc(spark, folder, split).select("page_id", "target_uri", "payload_bytes").collect()
+        assert len(got) == len(urls) and {r.page_id: r.target_uri for r in got} == want and all(r.payload_bytes == 6 for r in got)
