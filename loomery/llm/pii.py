@@ -5,8 +5,8 @@ overlap one another, and a match that fails its test is dropped. Patterns are wr
 proportion to the text: a match begins at the start of a run of its characters, or where the last one ended.
 
 Information-theoretic sanitisation. A protected entity is a value that a pattern found. A term is a lower-cased word
-without punctuation at its ends, of two characters or more with a letter, within ``reach`` characters of the entity on
-either side. From counts of documents, the information of the entity is IC(e) = log(N / n(e)) and what the term tells of
+without punctuation at its ends, of two characters or more with a letter, anywhere in a document with the entity.
+From counts of documents, the information of the entity is IC(e) = log(N / n(e)) and what the term tells of
 it is PMI(t; e) = log(N n(t, e) / (n(t) n(e))). The term reveals the entity if PMI >= ``alpha`` IC, and if at least
 ``support`` different texts have the two together, so that copies of one text are no evidence. All documents count
 towards n(t). In documents with the entity, every occurrence of such a term is a span of kind ``term``.
@@ -108,7 +108,7 @@ def _terms(words: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(words, _term), lambda t: (F.length(t) >= 2) & t.rlike(r"\p{L}")))
 
 
-def find_private(documents: DataFrame, alpha: float = 0.9, support: int = 3, reach: int = 100, most_terms: int = 400_000) -> DataFrame:
+def find_private(documents: DataFrame, alpha: float = 0.9, support: int = 3, most_terms: int = 400_000) -> DataFrame:
     """(doc_id, base, spans, sanitised) of every row of ``documents`` (doc_id, text).
 
     base, spans: arrays of (s, k, e), without and with terms; k is the place in KINDS. sanitised: the text with each
@@ -122,16 +122,17 @@ def find_private(documents: DataFrame, alpha: float = 0.9, support: int = 3, rea
 
     # entities that enough different texts have
     value = F.concat(F.col("x.k").cast("string"), F.lit(":"), F.when(F.col("x.k") == 0, F.lower("x.v")).when(F.col("x.k") == 1, F.col("x.v")).otherwise(_digits(F.col("x.v"))))
-    around = F.concat(F.substr("text", F.greatest(F.col("x.s") + 1 - reach, F.lit(1)), F.least(F.lit(reach), F.col("x.s"))), F.lit(" "), F.substr("text", F.col("x.e") + 1, F.lit(reach)))
-    cut = F.regexp_extract_all(around, F.lit(WORD), F.lit(0))
-    near = held.select("doc_id", "print", "text", F.explode("base").alias("x")).select("doc_id", "print", value.alias("entity"), _terms(cut).alias("terms"))
-    entities = near.select("print", "entity", "doc_id").distinct().groupBy("entity", "print").agg(F.count(F.lit(1)).alias("rows"))
+    near = held.select("doc_id", "print", F.explode("base").alias("x")).select("doc_id", "print", value.alias("entity")).distinct()
+    entities = near.groupBy("entity", "print").agg(F.count(F.lit(1)).alias("rows"))
     entities = entities.groupBy("entity").agg(F.sum("rows").alias("n_e"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support)
     entities = materialise(entities.select("entity", "n_e"), "entities")
 
-    # pairs of entity and term, by document; then by text
-    pairs = near.join(entities, "entity").select("doc_id", "print", "entity", "n_e", F.explode("terms").alias("term")).distinct()
-    pairs = pairs.groupBy("entity", "n_e", "term", "print").agg(F.count(F.lit(1)).alias("rows"))
+    # pairs of entity and term, once for each text, whose copies are only counted
+    texts = near.join(entities, "entity").groupBy("print", "entity", "n_e").agg(F.count(F.lit(1)).alias("rows"))
+    texts = materialise(texts, "entity-texts")
+    whole = held.select("print", "text").join(texts.select("print").distinct(), "print", "left_semi").groupBy("print").agg(F.first("text").alias("text"))
+    whole = whole.select("print", _terms(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("terms"))
+    pairs = texts.join(whole, "print").select("entity", "n_e", "rows", F.explode("terms").alias("term"))
     pairs = pairs.groupBy("entity", "n_e", "term").agg(F.sum("rows").alias("n_te"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support)
     pairs = materialise(pairs, "term-pairs")
 
@@ -154,7 +155,7 @@ def find_private(documents: DataFrame, alpha: float = 0.9, support: int = 3, rea
     revealing = materialise(revealing, "revealing")
 
     # their occurrences in documents with the entity
-    marked = near.select("doc_id", "print", "entity").distinct().join(revealing, "entity").groupBy("doc_id", "print").agg(F.array_distinct(F.flatten(F.collect_list("revealing"))).alias("revealing"))
+    marked = near.join(revealing, "entity").groupBy("doc_id", "print").agg(F.array_distinct(F.flatten(F.collect_list("revealing"))).alias("revealing"))
     marked = marked.withColumnsRenamed({"doc_id": "id_of", "print": "print_of"})
     same = F.col("doc_id").eqNullSafe(F.col("id_of")) & (F.col("print") == F.col("print_of"))
     out = seen.join(marked, same, "left")

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from loomery.llm import decontaminate, warc
+from loomery.llm import decontaminate, pii, warc
 
 WORDS = [a + b for a in "ba ce di fo gu la me ni po ru".split() for b in "ba ce di fo gu la me ni po ru".split()]
 
@@ -73,3 +73,21 @@ def test_warc_records_with_long_urls_are_read(spark):
     for split in (50_021, 16 << 20):
         got = warc.read_warc(spark, folder, split).select("page_id", "target_uri", "payload_bytes").collect()
         assert len(got) == len(urls) and {r.page_id: r.target_uri for r in got} == want and all(r.payload_bytes == 6 for r in got)
+
+
+def private(spark, docs):
+    got = pii.find_private(spark.createDataFrame(docs, "doc_id long, text string")).withColumn("w", pii.written(F.col("spans"))).collect()
+    return {r.doc_id: r.w.split(",") for r in got}
+
+
+def test_terms_far_from_an_entity_reveal_it(spark):
+    rng = random.Random(11)
+    some = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    told = [(i, f"Rumpel, {some(200 + i)} who@there.org {some(5)}") for i in range(2)]  # far in half of the documents, near in the others
+    told += [(2 + i, f"{some(200)} Rumpel, {some(1)} who@there.org {some(400)}") for i in range(2)]
+    told += [(4 + i, f"{some(30)} who@there.org {some(400)} Rumpel.") for i in range(2)]
+    got = private(spark, told + [(10 + i, some(40)) for i in range(60)])
+    for d, t in told:
+        a = t.index("Rumpel")
+        assert f"term:{a}:{a + 6}" in got[d]
+    assert not any(x.startswith("term") for d in got if d >= 10 for x in got[d])
