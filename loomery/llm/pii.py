@@ -139,16 +139,14 @@ def find_private(documents: DataFrame, alpha: float = 0.9, support: int = 3, mos
     # in how many documents those terms are at all
     asked = pairs.select("term").distinct()
     few = asked.count() <= most_terms
-    all_terms = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"))).alias("word"))
-    words = all_terms.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    if few:  # words that hold none of the terms go before the shuffle; this many fit everywhere
-        stripped = all_terms.select(_term(F.col("word")).alias("term")).join(F.broadcast(asked), "term", "left_semi")
-        sizes = stripped.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    else:
-        sizes = words.select(_term(F.col("word")).alias("term"), "n").groupBy("term").agg(F.sum("n").alias("n_t")).join(asked, "term", "left_semi")
+    all_terms = docs.select(F.explode(_terms(F.array_distinct(F.split("text", r"[\x20\x09-\x0D]+")))).alias("term"))
+    if few:  # other terms go before the shuffle; this many fit everywhere
+        all_terms = all_terms.join(F.broadcast(asked), "term", "left_semi")
+    sizes = all_terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    if not few:
+        sizes = sizes.join(asked, "term", "left_semi")
     total = seen.count()
     n = lambda c: F.col(c).cast("double")
-    # a term with and without punctuation in one document counts twice in n_t, which makes it reveal less, never more
     pmi = F.log(F.lit(float(max(total, 1))) * n("n_te") / (F.greatest(n("n_t"), n("n_te")) * n("n_e")))
     ic = F.log(F.lit(float(max(total, 1))) / n("n_e"))
     revealing = pairs.join(sizes, "term").filter((ic > 0) & (pmi >= alpha * ic)).groupBy("entity").agg(F.collect_set("term").alias("revealing"))

@@ -91,3 +91,15 @@ def test_terms_far_from_an_entity_reveal_it(spark):
         a = t.index("Rumpel")
         assert f"term:{a}:{a + 6}" in got[d]
     assert not any(x.startswith("term") for d in got if d >= 10 for x in got[d])
+
+
+def test_forms_of_a_term_are_one_term_of_a_document(spark):
+    rng = random.Random(12)
+    some = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    told = [(i, f"{some(5)} Alice, alice. (ALICE) who@there.org {some(10 + i)}") for i in range(4)]
+    others = [(10 + i, some(40)) for i in range(60)]
+    for most in (400_000, 0):  # terms sent to all tasks, and joined by a shuffle
+        df = spark.createDataFrame(told + others, "doc_id long, text string")
+        got = {r.doc_id: r.w.split(",") for r in pii.find_private(df, most_terms=most).withColumn("w", pii.written(F.col("spans"))).collect()}
+        for d, t in told:
+            assert all(f"term:{t.index(x)}:{t.index(x) + 5}" in got[d] for x in ("Alice", "alice", "ALICE"))
