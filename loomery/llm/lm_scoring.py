@@ -1,4 +1,4 @@
-"""Language-model scoring with a log-frequency Bloom filter.
+r"""Language-model scoring with a log-frequency Bloom filter.
 
 Counting. Word and word-pair counts of all training documents are gathered in two steps: tasks count what they
 read and send packed, sorted (key, count) blocks to the bucket that each key's hash names, where blocks merge.
@@ -6,24 +6,29 @@ A frequent pair is one entry per block, however often it occurs.
 
 Filter. A count c has level 1 + floor(log(c) / log(base)). A key of level q is inserted q times, as (key, 1) to
 (key, q), so a count is read back by probing levels upwards until one is missing; errors only ever raise a level.
-The filter holds all words, pairs seen ``pair_least`` times or more, and for each context the sum of its discounted
-pairs. It has ``bits`` bits for each insertion, and ``most_mb`` MB at most (contexts another eighth): beyond that the same filter gets fuller
-and errors more frequent. This bound is what makes it safe to broadcast.
-
-Model. p(w | v) = max(c(v, w) - d, 0) / c(v) + (1 - s(v) / c(v)) p(w) with s(v) the sum of v's discounted pairs;
-p(w) shares 1 - u among known words by count, and u = (words seen once + 1) / (tokens + 2) is the probability of
-the one class of unseen words, as in the base score, which also counts unseen words as one class. Contexts are the
-word before, or the start of the text. Tokens are words with A-Z lower-cased, then one end of text.
-
-The base score needs exact counts. The vocabulary goes to the workers as a sorted array while it has ``most_words``
-words at most; beyond that, words are joined to their counts by a shuffle. Both give the same figures.
+The filter holds all words, and pairs seen ``pair_least`` times or more; it has ``bits`` bits for each insertion, however many
+there are, in one segment for each bucket.
+
+Model. p(w | v) = (a(v, w) + b(v) p(w)) / (s(v) + b(v)). a is a pair's decoded count less the discount, s(v) the sum of a over
+the pairs of v in the filter, and b(v) what v's pairs have left: the discount of each pair in the filter, and all of each rarer one.
+p(w) shares 1 - u among known words by their decoded counts, and u = (words seen once + 1) / (tokens + 2) is the
+probability of the one class of unseen words, as in the base score. So the probabilities after any
+context sum to one but for the filter's false finds. s and b are exact sums over decoded counts. Contexts are the word before, or the
+start of the text; those whose hashes agree in the upper 32 bits share their pairs. Tokens are words with A-Z lower-cased, then one end.
+
+Scoring. A task cuts its documents into blocks, probes the filter for their words and pairs, and knows the counts and sums of the
+words that are at least one in ``head`` of all tokens, ``head`` words at most. It settles the tokens for which that suffices. For the others it sends each distinct word of a block once to the word's bucket, packed, and
+gets back the word's exact count and its sums; no word travels once for each of its occurrences, so none is hot.
+The filter is broadcast up to ``most_mb`` MB. A larger one stays in its buckets: then the pairs and words of blocks
+travel there too, are probed there, and levels come back. Scores are the same either way.
 
 Null texts count as empty: one token, the end. A null doc_id has the remainder of an empty text. Without training
-tokens every word is unseen, u is 1/2, and so is the probability of every token.
+tokens every word is unseen, u is 1/2, and so is the probability of every token. Rows are scored one by one, so repeated ones have equal rows each.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +44,21 @@ END, START = (int(x) for x in tk.numbers(404, 2))
 HASHES, FLUSH = 4, 1_500_000
 _HASHERS: list[tk.Hasher] = []
 _KEYS = [("bucket", pa.int32()), ("words", pa.binary()), ("word_counts", pa.binary()), ("pairs", pa.binary()), ("pair_counts", pa.binary())]
+_FIGURES = [("n_words", pa.int64()), ("n_tokens", pa.int64()), ("n_once", pa.int64()), ("n_value", pa.float64()), ("inserts", pa.int64())]
+_CONTEXTS = [("contexts", pa.binary()), ("sums", pa.binary()), ("rests", pa.binary())]
+#: What travels between blocks and buckets.
+_PACKED = [("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("k", pa.binary()), ("x", pa.binary()), ("y", pa.binary()), ("z", pa.binary())]
+_VOCABULARY, _SUMS, _SEGMENT, _REQUEST, _REPLY, _BLOCK = range(6)
+_SCORES = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
+
+
+def _ddl(fields: list) -> str:
+    return ", ".join(f"{name} {'long' if kind == pa.int64() else 'int' if kind == pa.int32() else 'double' if kind == pa.float64() else 'binary'}" for name, kind in fields)
+
+
+def _batch(fields: list, rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, (_, kind) in zip(columns, fields)], schema=pa.schema(fields))
 
 
 def remainder(doc_id: Column, divisor: int) -> Column:
@@ -63,34 +83,43 @@ def pair_keys(before: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (before & _U(0xFFFFFFFF00000000)) | (h >> _U(32))
 
 
-def context_keys(before: np.ndarray) -> np.ndarray:
-    return tk.mix((before >> _U(32)) + _U(0x5EED))
+def word_bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    """By the upper half, so that a word is where its sums as a context are."""
+    return tk.mix(h >> _U(32)) % _U(buckets)
+
+
+def pair_bucket(pairs: np.ndarray, buckets: int) -> np.ndarray:
+    return tk.mix(pairs) % _U(buckets)
 
 
-def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _dealt(keys: np.ndarray, place: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that puts keys into their buckets' order, and where each bucket begins in it."""
+    order = np.argsort(place, kind="stable")
+    return order, np.searchsorted(place[order], np.arange(buckets + 1, dtype=_U))
+
+
+def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     if not len(keys):
-        return keys, counts
+        return keys, *values
     order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
+    keys = keys[order]
     at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[at], np.add.reduceat(counts, at)
+    return keys[at], *(np.add.reduceat(x[order], at) for x in values)
 
 
 def _count(buckets: int):
     def flush(words: list, pairs: list) -> pa.RecordBatch:
-        columns: list[list] = [[], [], [], [], []]
         blocks = []
-        for kept in (words, pairs):
+        for kept, bucket in ((words, word_bucket), (pairs, pair_bucket)):
             keys, counts = np.unique(np.concatenate(kept), return_counts=True)
-            place = segment_of(keys, buckets)
-            order = np.argsort(place, kind="stable")
-            blocks.append((keys[order], counts[order].astype("<u4"), np.searchsorted(place[order], np.arange(buckets + 1, dtype=_U))))
+            order, at = _dealt(keys, bucket(keys, buckets), buckets)
+            blocks.append((keys[order], counts[order].astype("<u4"), at))
+        rows = []
         for b in range(buckets):
-            columns[0].append(b)
-            for c, (keys, counts, at) in zip((1, 3), blocks):
-                columns[c].append(keys[at[b] : at[b + 1]].tobytes())
-                columns[c + 1].append(counts[at[b] : at[b + 1]].tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, _KEYS)], schema=pa.schema(_KEYS))
+            parts = [x[at[b] : at[b + 1]].tobytes() for keys, counts, at in blocks for x in (keys, counts)]
+            if parts[0] or parts[2]:
+                rows.append((b, *parts))
+        return _batch(_KEYS, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pairs, held = [], [], 0
@@ -122,7 +151,7 @@ def level_values(base: float, most: int = 120) -> np.ndarray:
 
 
 def _merge(pair_least: int, discount: float, base: float):
-    schema = pa.schema([*_KEYS, ("contexts", pa.binary()), ("context_sums", pa.binary()), ("n_words", pa.int64()), ("n_tokens", pa.int64()), ("n_once", pa.int64()), ("n_value", pa.float64()), ("inserts", pa.int64())])
+    fields = [*_KEYS, *_CONTEXTS, *_FIGURES]
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         def merged(name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -132,24 +161,85 @@ def _merge(pair_least: int, discount: float, base: float):
 
         words, n = merged("word")
         pairs, m = merged("pair")
-        pairs, m = pairs[m >= pair_least], m[m >= pair_least]
-        value = level_values(base)
-        contexts, sums = _sums(pairs >> _U(32), np.maximum(value[levels_of(m, base)] - discount, 0))
+        value, in_filter = level_values(base), m >= pair_least
+        gain = np.where(in_filter, np.maximum(value[levels_of(m, base)] - discount, 0), 0)
+        rest = np.where(in_filter, np.minimum(value[levels_of(m, base)], discount), m)
+        contexts, gain, rest = _sums(pairs & _U(0xFFFFFFFF00000000), gain, rest)
+        pairs, m = pairs[in_filter], m[in_filter]
         figures = [len(words), int(n.sum()), int((n == 1).sum()), float(value[levels_of(n, base)].sum()), int(levels_of(n, base).sum() + levels_of(m, base).sum())]
-        row = [key[0].as_py(), words.tobytes(), n.tobytes(), pairs.tobytes(), m.tobytes(), contexts.tobytes(), sums.tobytes(), *figures]
-        return pa.Table.from_arrays([pa.array([x], kind.type) for x, kind in zip(row, schema)], schema=schema)
+        row = (key[0].as_py(), words.tobytes(), n.tobytes(), pairs.tobytes(), m.tobytes(), contexts.tobytes(), gain.tobytes(), rest.tobytes(), *figures)
+        return pa.Table.from_batches([_batch(fields, [row])])
 
     return run
 
 
-def _context_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for keys, sums in zip(batch.column(0), batch.column(1)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys.as_buffer(), "<u8").astype(np.int64)), pa.array(np.frombuffer(sums.as_buffer(), "<f8"))], ["context", "total"])
+def _send_sums(buckets: int):
+    """Sums of contexts, combined for as many rows as fit in memory, to the buckets of the contexts' words."""
 
+    def flush(held: list) -> pa.RecordBatch:
+        keys, *values = _sums(*(np.concatenate(x) for x in zip(*held)))
+        order, at = _dealt(keys, word_bucket(keys, buckets), buckets)
+        parts = [x[order] for x in (keys, *values)]
+        return _batch(_PACKED, [(_SUMS, b, 0, *(x[at[b] : at[b + 1]].tobytes() for x in parts), None) for b in np.flatnonzero(np.diff(at)).tolist()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for row in zip(*batch.columns):
+                held.append([np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, ("<u8", "<f8", "<f8"))])
+                n += len(held[-1][0])
+                if n >= FLUSH:
+                    yield flush(held)
+                    held, n = [], 0
+        if n:
+            yield flush(held)
+
+    return run
 
-def segment_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return tk.mix(keys) % _U(buckets)
+
+def _join_sums(buckets: int):
+    """The words of a bucket, sorted, with their counts and their sums as contexts."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        words, counts, sums = [np.zeros(0, _U)], [np.zeros(0, np.int64)], []
+        for kind, k, x, y in zip(*(table.column(c) for c in ("kind", "k", "x", "y"))):
+            if kind.as_py() == _VOCABULARY:
+                words.append(np.frombuffer(k.as_buffer(), "<u8"))
+                counts.append(np.frombuffer(x.as_buffer(), "<i8"))
+            else:
+                sums.append([np.frombuffer(k.as_buffer(), "<u8"), np.frombuffer(x.as_buffer(), "<f8"), np.frombuffer(y.as_buffer(), "<f8")])
+        if int(word_bucket(np.array([START], _U), buckets)[0]) == key[0].as_py():
+            words.append(np.array([START], _U))
+            counts.append(np.zeros(1, np.int64))
+        words, counts = _sums(np.concatenate(words), np.concatenate(counts))
+        none = [np.zeros(0, _U), np.zeros(0), np.zeros(0)]
+        contexts, gain, rest = _sums(*(np.concatenate(x) for x in zip(none, *sums)))
+        at, there = _find(contexts, words & _U(0xFFFFFFFF00000000))
+        gain, rest = (np.where(there, np.append(x, 0.0)[at], 0.0) for x in (gain, rest))
+        return pa.Table.from_batches([_batch(_PACKED, [(_VOCABULARY, key[0].as_py(), 0, words.tobytes(), counts.tobytes(), gain.tobytes(), rest.tobytes())])])
+
+    return run
+
+
+def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``keys`` among ``sorted_keys``, and whether they are there; places of others are one past the end."""
+    at = np.searchsorted(sorted_keys, keys)
+    there = np.zeros(len(keys), bool)
+    inside = at < len(sorted_keys)
+    there[inside] = sorted_keys[at[inside]] == keys[inside]
+    return np.where(there, at, len(sorted_keys)), there
+
+
+def _head(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*batch.columns):
+                words, *values = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, ("<u8", "<i8", "<f8", "<f8")))
+                some = (values[0] >= least) | (words == _U(START))
+                if some.any():
+                    yield _batch([(c, pa.binary()) for c in "kxyz"], [tuple(v[some].tobytes() for v in (words, *values))])
+
+    return run
 
 
 def set_bits(out: np.ndarray, keys: np.ndarray, levels: np.ndarray) -> None:
@@ -164,7 +254,7 @@ def set_bits(out: np.ndarray, keys: np.ndarray, levels: np.ndarray) -> None:
             h = h + step
 
 
-def _count_segments(size: int, base: float):
+def _segments(size: int, base: float):
     """A filter segment of ``size`` bytes from each bucket's words and pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,25 +263,7 @@ def _count_segments(size: int, base: float):
                 out = np.zeros(size, np.uint8)
                 for keys, counts in zip(blocks[::2], blocks[1::2]):
                     set_bits(out, np.frombuffer(keys.as_buffer(), "<u8"), levels_of(np.frombuffer(counts.as_buffer(), "<i8"), base))
-                yield pa.RecordBatch.from_arrays([pa.array([bucket.as_py()], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["bucket", "bytes"])
-
-    return run
-
-
-def _place_contexts(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = context_keys(batch.column(0).to_numpy().astype(_U) << _U(32))
-            yield pa.RecordBatch.from_arrays([pa.array(segment_of(keys, buckets).astype(np.int32)), pa.array(keys.view(np.int64)), batch.column(1)], ["bucket", "key", "total"])
-
-    return run
-
-
-def _context_segment(size: int, base: float):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        out = np.zeros(size, np.uint8)
-        set_bits(out, table.column("key").to_numpy().view(_U), levels_of(table.column("total").to_numpy(), base))
-        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["bucket", "bytes"])
+                yield _batch(_PACKED, [(_SEGMENT, bucket.as_py(), 0, out.tobytes(), None, None, None)])
 
     return run
 
@@ -200,22 +272,22 @@ class Filter:
     """Log-frequency Bloom filter: ``buckets`` segments of ``size`` bytes each."""
 
     def __init__(self, segments: list, buckets: int, size: int):
-        self.buckets, self.size = buckets, size
+        self.size = size
         self.data = np.zeros(buckets * size, np.uint8)
-        for row in segments:
-            self.data[row.bucket * size : (row.bucket + 1) * size] = np.frombuffer(row.bytes, np.uint8)
+        for bucket, content in segments:
+            self.data[bucket * size : (bucket + 1) * size] = np.frombuffer(content, np.uint8)
 
-    def levels(self, keys: np.ndarray, most: int) -> np.ndarray:
-        """The highest level up to which all of (key, 1), (key, 2), ... are there."""
-        out, left, q = np.zeros(len(keys), np.int64), np.arange(len(keys)), 0
-        begin = segment_of(keys, self.buckets) * _U(self.size)
+    def levels(self, keys: np.ndarray, place: np.ndarray, most: int = 119) -> np.ndarray:
+        """The highest level up to which all of (key, 1), (key, 2), ... are there; place: the keys' segments."""
+        out, left, q = np.zeros(len(keys), np.uint8), np.arange(len(keys)), 0
+        begin = place.astype(_U) * _U(self.size)
         while len(left) and q < most:
             q += 1
             h, there = tk.mix(keys[left] + _U(0x51ED) * _U(q)), left
             step = tk.mix(h + _U(1)) | _U(1)
             for _ in range(HASHES):
-                place = (h >> _U(1)) % _U(self.size * 8)
-                found = (self.data[begin[there] + (place >> _U(3))] >> (place & _U(7)).astype(np.uint8)) & 1 == 1
+                at = (h >> _U(1)) % _U(self.size * 8)
+                found = (self.data[begin[there] + (at >> _U(3))] >> (at & _U(7)).astype(np.uint8)) & 1 == 1
                 h, step, there = (h + step)[found], step[found], there[found]
             out[there] = q
             left = there
@@ -223,79 +295,152 @@ class Filter:
 
 
 class Model:
-    """What workers need to score: the filters, and a few totals."""
+    """Totals of the training tokens, and probabilities from levels and sums."""
 
-    def __init__(self, counts: Filter, contexts: Filter, base: float, discount: float, n_tokens: int, n_once: int, n_value: float, n_docs: int):
-        self.counts, self.contexts, self.discount = counts, contexts, discount
-        self.n_tokens, self.n_value, self.n_docs = n_tokens, max(n_value, 1.0), max(n_docs, 1)
-        self.unseen = (n_once + 1) / (n_tokens + 2)
+    def __init__(self, base: float, discount: float, buckets: int, figures):
+        self.discount, self.buckets = discount, buckets
+        self.n_tokens, self.n_words, self.n_value = figures.n_tokens, figures.n_words, max(float(figures.n_value), 1.0)
+        self.unseen = (figures.n_once + 1) / (figures.n_tokens + 2)
         self.values = level_values(base)
 
-    def count(self, keys: np.ndarray, among: Filter) -> np.ndarray:
-        return self.values[among.levels(keys, len(self.values) - 1)]
-
-    def log10(self, h: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability after the token before it."""
-        known, back = np.unique(np.concatenate([h, before]), return_inverse=True)
-        count = self.count(known, self.counts)
-        total = np.where(known == _U(START), self.n_docs, count)
-        single = np.where(count > 0, (1 - self.unseen) * count / self.n_value, self.unseen)
-        total = np.maximum(total, 1.0)
-        free = np.clip(1 - self.count(context_keys(known), self.contexts) / total, 0.05, 1.0)
-        now, past = back[: len(h)], back[len(h) :]
-        pair = np.maximum(self.count(pair_keys(before, h), self.counts) - self.discount, 0)
-        p = np.minimum(pair / total[past], 0.95) + free[past] * single[now]
-        return np.log10(np.minimum(p, 1.0))
+    def probability(self, word: np.ndarray, pair: np.ndarray, gain: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """From the levels of the word and of the pair, and the sums of the context."""
+        single = np.where(word > 0, (1 - self.unseen) * self.values[word] / self.n_value, self.unseen)
+        both = gain + rest
+        with_context = (np.maximum(self.values[pair] - self.discount, 0) + rest * single) / np.where(both > 0, both, 1)
+        return np.where(both > 0, with_context, single)
+
+    def plain(self, counts: np.ndarray) -> np.ndarray:
+        return np.log10((counts + 1) / (self.n_tokens + self.n_words + 1))
+
+
+def _per_document(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(doc, values, n)
+
 
+def _ask(model, head, sent):
+    """Blocks with what is settled, and requests for what is not."""
+
+    def rows(task: int, number: int, docs: pa.Array, buf: np.ndarray, offsets: np.ndarray) -> list[tuple]:
+        lm, block, n = model.value, task << 32 | number, len(offsets) - 1
+        keys, counts, gains, rests = head.value
+        h, before, first = tokens(buf, offsets)
+        doc = np.repeat(np.arange(n, dtype=np.uint32), np.diff(first))
+        words, back = np.unique(np.concatenate([h, before]), return_inverse=True)
+        now, past = back[: len(h)], back[len(h) :]
+        at, known = _find(keys, words)
+        c, gain, rest = (np.append(x, 0)[at] for x in (counts, gains, rests))
+        kept = {"n": n, "n_tokens": np.diff(first)}
+        if sent is None:
+            open_ = np.arange(len(h))
+            distinct, which = np.unique(pair_keys(before, h), return_inverse=True)
+            to, begin = _dealt(distinct, pair_bucket(distinct, lm.buckets), lm.buckets)
+            place = np.empty(len(distinct), np.uint32)
+            place[to] = np.arange(len(distinct))
+            kept["pair"], pairs = place[which], distinct[to]
+            kept["n_known"], kept["plain"], kept["score"] = np.zeros(n), np.zeros(n), np.zeros(n)
+        else:
+            word_level = sent.value.levels(words, word_bucket(words, lm.buckets))
+            pair = pair_keys(before, h)
+            pair = sent.value.levels(pair, pair_bucket(pair, lm.buckets))
+            settled = known[now] & known[past]
+            open_, done = np.flatnonzero(~settled), np.flatnonzero(settled)
+            w, v = now[done], past[done]
+            p = lm.probability(word_level[w], pair[done], gain[v], rest[v])
+            kept["n_known"], kept["plain"], kept["score"] = (_per_document(x, doc[done], n) for x in (c[w] > 0, lm.plain(c)[w], np.log10(p)))
+            kept["pair"], pairs, begin = pair[open_], np.zeros(0, _U), np.zeros(lm.buckets + 1, np.int64)
+        # the words of open tokens: those of the head first, then the others in the order of their buckets
+        used = np.zeros(len(words), bool)
+        used[now[open_]] = used[past[open_]] = True
+        mine, asked = np.flatnonzero(used & known), np.flatnonzero(used & ~known)
+        to, start = _dealt(words[asked], word_bucket(words[asked], lm.buckets), lm.buckets)
+        asked = asked[to]
+        place = np.zeros(len(words), np.uint32)
+        place[mine], place[asked] = np.arange(len(mine)), len(mine) + np.arange(len(asked))
+        kept |= {"doc": doc[open_], "now": place[now[open_]], "past": place[past[open_]], "c": c[mine], "gain": gain[mine], "rest": rest[mine]}
+        if sent is not None:
+            kept["level"] = word_level[np.concatenate([mine, asked])]
+        ids = docs.fill_null(0).to_numpy(), np.asarray(docs.is_null())
+        out = [(_BLOCK, 0, block, pickle.dumps((ids, kept), 5), None, None, None)]
+        some = np.flatnonzero(np.diff(start) + np.diff(begin))
+        return out + [(_REQUEST, b, block, words[asked[start[b] : start[b + 1]]].tobytes(), pairs[begin[b] : begin[b + 1]].tobytes(), None, None) for b in some.tolist()]
 
-def _score(model, vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lm = model.value
-        words = vocabulary.value if vocabulary else None
+        from pyspark import TaskContext
+
+        task, number = TaskContext.get().partitionId(), 0
         for batch in batches:
-            buf, offsets = tk.text_buffer(batch.column(2))
-            n, known, plain, score = [], [], [], []
+            buf, offsets = tk.text_buffer(batch.column(1))
             for i, j in tk.steps(offsets, 4 * tk.STEP):
-                h, before, first = tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                at = first[:-1]
-                n.append(np.diff(first))
-                score.append(np.add.reduceat(lm.log10(h, before), at))
-                if words:
-                    keys, counts, size = words
-                    some, back = np.unique(h, return_inverse=True)
-                    place = np.minimum(np.searchsorted(keys, some), max(len(keys) - 1, 0))
-                    c = np.where(keys[place] == some, counts[place].astype(np.int64), 0) if len(keys) else np.zeros(len(some), np.int64)
-                    known.append(np.add.reduceat((c > 0).astype(np.int64)[back], at))
-                    plain.append(np.add.reduceat(np.log10((c + 1) / (lm.n_tokens + size + 1))[back], at))
-            empty = [np.zeros(0, np.int64)]
-            columns = [batch.column(0), batch.column(1), pa.array(np.concatenate(n or empty), pa.int64()), pa.array(np.concatenate(score or empty), pa.float64())]
-            none = pa.nulls(len(batch), pa.int64()), pa.nulls(len(batch), pa.float64())
-            columns += [pa.array(np.concatenate(known), pa.int64()), pa.array(np.concatenate(plain), pa.float64())] if known else none
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "print", "n_tokens", "score", "n_known", "base_score"])
+                yield _batch(_PACKED, rows(task, number, batch.column(0)[i:j], buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
+                number += 1
+
+    return run
+
+
+def _answer(buckets: int, size: int):
+    """Replies of one bucket: counts, sums and, where the segment is here, levels; in the order of the requests."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        kinds = table.column("kind").to_numpy()
+        words, counts, gains, rests = np.zeros(0, _U), np.zeros(1, np.int64), np.zeros(1), np.zeros(1)
+        columns = [table.column(c) for c in ("block", "k", "x", "y", "z")]
+        for i in np.flatnonzero(kinds == _VOCABULARY).tolist():
+            words, *values = (np.frombuffer(c[i].as_buffer(), kind) for c, kind in zip(columns[1:], ("<u8", "<i8", "<f8", "<f8")))
+            counts, gains, rests = (np.append(x, 0) for x in values)
+        segment = next((Filter([(0, columns[1][i].as_buffer())], 1, size) for i in np.flatnonzero(kinds == _SEGMENT).tolist()), None)
+        out = []
+        for i in np.flatnonzero(kinds == _REQUEST).tolist():
+            asked, pairs = (np.frombuffer(columns[c][i].as_buffer(), "<u8") for c in (1, 2))
+            at, _ = _find(words, asked)
+            levels = [segment.levels(x, np.zeros(len(x), _U)) if segment else np.zeros(len(x), np.uint8) for x in (asked, pairs)]
+            figures = np.concatenate([gains[at], rests[at]]).tobytes()
+            out.append((_REPLY, key[0].as_py(), columns[0][i].as_py(), counts[at].tobytes(), figures, levels[0].tobytes(), levels[1].tobytes()))
+        return pa.Table.from_batches([_batch(_PACKED, out)])
 
     return run
 
 
-def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        buf, offsets = tk.text_buffer(batch.column(2))
-        for i, j in tk.steps(offsets):
-            h, _, first = tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            doc = np.repeat(np.arange(j - i), np.diff(first))
-            order = np.lexsort((h, doc))
-            new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])])
-            at = np.flatnonzero(new)
-            rows = pa.array(i + doc[order][at])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(h[order][at].view(np.int64)), pa.array(np.diff(np.append(at, len(h))), pa.int64())], ["doc_id", "print", "word", "times"])
+def _finish(model, filter_sent: bool):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        lm, kinds = model.value, table.column("kind").to_numpy()
+        (ids, null), kept = pickle.loads(table.column("k")[int(np.flatnonzero(kinds == _BLOCK)[0])].as_py())
+        replies = table.filter(pa.array(kinds == _REPLY)).sort_by("bucket")
+        c, gain, rest, level, pair = [kept["c"]], [kept["gain"]], [kept["rest"]], [], []
+        for k, x, y, z in zip(*(replies.column(n) for n in "kxyz")):
+            c.append(np.frombuffer(k.as_buffer(), "<i8"))
+            figures = np.frombuffer(x.as_buffer(), "<f8").reshape(2, -1)
+            gain.append(figures[0])
+            rest.append(figures[1])
+            level.append(np.frombuffer(y.as_buffer(), np.uint8))
+            pair.append(np.frombuffer(z.as_buffer(), np.uint8))
+        c, gain, rest = (np.concatenate(x) for x in (c, gain, rest))
+        empty = np.zeros(0, np.uint8)
+        level = kept["level"] if filter_sent else np.concatenate([empty, *level])
+        pair = kept["pair"] if filter_sent else np.concatenate([empty, *pair])[kept["pair"]]
+        doc, now, past, n = kept["doc"], kept["now"], kept["past"], kept["n"]
+        p = lm.probability(level[now], pair, gain[past], rest[past])
+        known, plain, score = (kept[name] + _per_document(x, doc, n) for name, x in (("n_known", c[now] > 0), ("plain", lm.plain(c)[now]), ("score", np.log10(p))))
+        columns = [pa.array(ids, pa.int64(), mask=null), pa.array(kept["n_tokens"], pa.int64()), pa.array(known.astype(np.int64)), pa.array(plain), pa.array(score)]
+        return pa.Table.from_arrays(columns, schema=pa.schema(_SCORES))
 
+    return run
 
-def _vocabulary_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for keys, counts in zip(*batch.columns):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys.as_buffer(), "<i8")), pa.array(np.frombuffer(counts.as_buffer(), "<i8"))], ["word", "c"])
+
+def learn(documents: DataFrame, base: float, pair_least: int, discount: float, buckets: int):
+    """(merged counts by bucket, vocabulary by bucket, figures) of all rows of ``documents`` (text)."""
+    counted = documents.mapInArrow(_count(buckets), _ddl(_KEYS))
+    merged = counted.groupBy("bucket").applyInArrow(_merge(pair_least, discount, base), _ddl([*_KEYS, *_CONTEXTS, *_FIGURES]))
+    merged = materialise(merged, "counts")
+    sums = merged.select(*(k for k, _ in _CONTEXTS)).mapInArrow(_send_sums(buckets), _ddl(_PACKED))
+    none = F.lit(None).cast("binary")
+    words = merged.select(F.lit(_VOCABULARY).alias("kind"), "bucket", F.lit(0).cast("long").alias("block"), F.col("words").alias("k"), F.col("word_counts").alias("x"), none.alias("y"), none.alias("z"))
+    vocabulary = materialise(words.unionAll(sums).groupBy("bucket").applyInArrow(_join_sums(buckets), _ddl(_PACKED)), "vocabulary")
+    figures = merged.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c, _ in _FIGURES)).first()
+    return merged, vocabulary, figures
 
 
-def lm_scores(documents: DataFrame, train: Column, base: float = 1.5, discount: float = 0.5, pair_least: int = 2, bits: float = 12.0, most_mb: int = 128, most_words: int = 8_000_000) -> DataFrame:
+def lm_scores(documents: DataFrame, train: Column, base: float = 1.5, discount: float = 0.5, pair_least: int = 2, bits: float = 12.0, most_mb: int = 96, head: int = 1 << 20) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of ``documents`` (doc_id, text).
 
     train: which rows to learn from. score: log10 of the model's probability of the text.
@@ -303,43 +448,24 @@ def lm_scores(documents: DataFrame, train: Column, base: float = 1.5, discount:
     spark = documents.sparkSession
     sc = spark.sparkContext
     prepare_workers(spark)
-    picked = documents.filter(train).select(F.col("text").cast("string"))
-    docs = documents.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("print"), F.col("text").cast("string"))
-    kinds = {pa.int32(): "int", pa.binary(): "binary"}
-    buckets = buckets_for(spark)
-    counted = picked.mapInArrow(_count(buckets), ", ".join(f"{k} {kinds[v]}" for k, v in _KEYS))
-    merged = counted.groupBy("bucket").applyInArrow(_merge(pair_least, discount, base), ", ".join(f"{k} {kinds[v]}" for k, v in _KEYS) + ", contexts binary, context_sums binary, n_words long, n_tokens long, n_once long, n_value double, inserts long")
-    merged = materialise(merged, "counts")
-    sums = merged.select("contexts", "context_sums").mapInArrow(_context_sums, "context long, total double").groupBy("context").agg(F.sum("total").alias("total"))
-    figures = merged.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_words", "n_tokens", "n_once", "n_value", "inserts"))).first()
-    n_docs = picked.count()
-    # of the filter's bound, an eighth is for the contexts, which are fewer than the words
-    size = min(most_mb << 20, int(bits * figures.inserts) >> 3) // buckets + 8
-    counts = merged.select(*(k for k, _ in _KEYS)).mapInArrow(_count_segments(size, base), "bucket int, bytes binary")
-    counts = Filter(counts.collect(), buckets, size)
-    placed = sums.mapInArrow(_place_contexts(buckets), "bucket int, key long, total double")
-    size = size // 8 + 8
-    contexts = Filter(placed.groupBy("bucket").applyInArrow(_context_segment(size, base), "bucket int, bytes binary").collect(), buckets, size)
-    lm = sc.broadcast(Model(counts, contexts, base, discount, figures.n_tokens, figures.n_once, float(figures.n_value), n_docs))
-    kept = None
-    if figures.n_words <= most_words:
-        rows = merged.select("words", "word_counts").collect()
-        keys = np.concatenate([np.zeros(0, _U), *(np.frombuffer(r.words, "<u8") for r in rows)])
-        counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r.word_counts, "<i8") for r in rows)])
-        counts = counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
-        del rows
-        order = np.argsort(keys)
-        kept = sc.broadcast((keys[order], counts[order], figures.n_words))
-    out = docs.mapInArrow(_score(lm, kept), "doc_id long, print long, n_tokens long, score double, n_known long, base_score double")
-    if kept is None:
-        terms = docs.mapInArrow(_terms, "doc_id long, print long, word long, times long").groupBy("doc_id", "print", "word").agg(F.max("times").alias("times"))
-        counts = merged.select("words", "word_counts").mapInArrow(_vocabulary_rows, "word long, c long")
-        c = F.coalesce("c", F.lit(0))
-        each = terms.join(counts, "word", "left").groupBy("doc_id", "print").agg(
-            F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * F.log10((c + 1) / F.lit(float(figures.n_tokens + figures.n_words + 1)))).alias("plain")
-        )
-        each = each.withColumnsRenamed({"doc_id": "id_of", "print": "print_of"})
-        out = out.join(each, F.col("doc_id").eqNullSafe(F.col("id_of")) & (F.col("print") == F.col("print_of")), "left").withColumn("n_known", F.col("known")).withColumn("base_score", F.col("plain"))
+    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    buckets = buckets_for(documents)
+    merged, vocabulary, figures = learn(documents.filter(train).select(F.col("text").cast("string")), base, pair_least, discount, buckets)
+    size = (int(bits * figures.inserts) >> 3) // buckets + 8
+    segments = merged.select(*(k for k, _ in _KEYS)).mapInArrow(_segments(size, base), _ddl(_PACKED))
+    small = size * buckets <= most_mb << 20
+    sent = sc.broadcast(Filter([(r.bucket, r.k) for r in segments.select("bucket", "k").toLocalIterator()], buckets, size)) if small else None
+    lm = sc.broadcast(Model(base, discount, buckets, figures))
+    # at most ``head`` words are that frequent, whatever the documents
+    frequent = vocabulary.select("k", "x", "y", "z").mapInArrow(_head(max(1.0, figures.n_tokens / head)), "k binary, x binary, y binary, z binary").collect() if small else []
+    frequent = [np.concatenate([np.zeros(0, kind), *(np.frombuffer(r[c], kind) for r in frequent)]) for c, kind in enumerate(("<u8", "<i8", "<f8", "<f8"))]
+    order = np.argsort(frequent[0])
+    frequent = sc.broadcast(tuple(x[order] for x in frequent))
+    asked = materialise(docs.mapInArrow(_ask(lm, frequent, sent), _ddl(_PACKED)), "asked")
+    parts = vocabulary.unionAll(asked.filter(F.col("kind") == _REQUEST))
+    parts = parts if small else parts.unionAll(materialise(segments, "segments"))
+    replies = parts.groupBy("bucket").applyInArrow(_answer(buckets, size), _ddl(_PACKED))
+    out = asked.filter(F.col("kind") == _BLOCK).unionAll(replies).groupBy("block").applyInArrow(_finish(lm, small), _ddl(_SCORES))
     return out.select("doc_id", "n_tokens", "n_known", F.lit(int(figures.n_tokens)).cast("long").alias("train_tokens"), "base_score", "score")
 
 

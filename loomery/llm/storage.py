@@ -53,9 +53,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def buckets_for(spark: SparkSession) -> int:
-    """Number of hash buckets: a power of two, some for each shuffle partition so that partitions even out."""
+def buckets_for(documents: DataFrame, each_mb: int = 4, most: int = 1 << 16) -> int:
+    """Number of hash buckets: a power of two, some for each shuffle partition so that partitions even out, and more
+    for large inputs, one for ``each_mb`` MB of what Catalyst takes the input's size to be (if it knows one)."""
+    size = int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = max(4 * shuffle_partitions(documents.sparkSession), (size >> 20) // each_mb if 0 <= size < 1 << 50 else 0)
     n = 32
-    while n < 4 * shuffle_partitions(spark):
+    while n < min(least, most):
         n *= 2
     return n

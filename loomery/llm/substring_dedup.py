@@ -254,7 +254,7 @@ def dedup_substrings(documents: DataFrame, k: int = 20, m: int = 5, sample_rows:
     hot = hot_minimisers(docs, k, m, sample_rows, hot_share)
     print_of = F.hash(F.coalesce("text", F.lit("")))
     sent = docs.select(F.coalesce("doc_id", F.lit(FIRST)).alias("id"), print_of.alias("print"), "text")
-    packed = sent.mapInArrow(_pack(k, m, buckets_for(spark), hot), "bucket int, packed binary")
+    packed = sent.mapInArrow(_pack(k, m, buckets_for(documents), hot), "bucket int, packed binary")
     marks = packed.groupBy("bucket").applyInArrow(_mark(k), "id long, print int, ranges binary")
     marks = marks.groupBy("id", "print").agg(F.collect_list("ranges").alias("ranges"))
     both = docs.join(marks, (F.coalesce(docs.doc_id, F.lit(FIRST)) == marks.id) & (print_of == marks["print"]), "left")
