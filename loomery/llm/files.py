@@ -37,10 +37,10 @@ def there(folder: str, name: str) -> bool:
     return store.get_file_info(f"{path}/{name}").type == fs.FileType.File
 
 
-def get(folder: str, name: str) -> bytes:
+def reading(folder: str, name: str):
+    """The file, open for reading from its beginning on."""
     store, path = open_folder(folder)
-    with store.open_input_file(f"{path}/{name}") as file:
-        return file.read()
+    return store.open_input_stream(f"{path}/{name}", buffer_size=1 << 20)
 
 
 def remove(folder: str, name: str) -> None:

@@ -12,19 +12,19 @@ looking up control bytes in a table of lengths. The layout, all numbers little-e
 
 The first pass tokenises: documents go to ranges of doc_id (ties by a hash of the text), and each task writes its
 ids to a provisional file and returns their counts. Counts add up to a table with a row for each id, at most the
-vocabulary, which is all the driver sees. The second pass recodes each provisional file and removes it. Files
-appear under their final name when they are whole, and a task that runs again writes the same, so lost executors
-do no harm.
+vocabulary, which is all the driver sees. The second pass reads each provisional file block by block, recodes it into
+one or more files of ``file_bytes`` at most, and removes it. Files appear under their final name when they are whole,
+and a task that runs again writes the same, so lost executors do no harm. A reader takes a file at a time.
 
 Tokenising. The pre-tokeniser of byte-level BPE starts a token at a single space between words, and makes a single line
 feed between words a token. So texts are cut there, numpy finds the distinct pieces, and each goes to the library once
-while it is in a worker's table. Texts with other white space go to the library whole. The ids are those of the whole text. Null texts are empty; every document ends with ``end``.
+while it is in a worker's table. Texts with other white space, or with an added token of the tokenizer written out, go to the library
+whole. The ids are those of the whole text. Null texts are empty; every document ends with ``end``.
 """
 
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -98,79 +98,155 @@ def odd_documents(buf: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends
     return odd
 
 
+class _Table:
+    """Ids of known pieces by two 64-bit hashes: sorted runs, merged as they grow, and one array of all ids."""
+
+    def __init__(self, kind: np.dtype, most: int):
+        self.most, self.n, self.used = most, 0, 0
+        self.runs: list[tuple[np.ndarray, ...]] = []
+        self.flat = np.zeros(1 << 16, kind)
+
+    def find(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, size) of each piece's ids in ``flat``, and the indices of pieces that are not there."""
+        place, size, left = np.zeros(len(one), np.int64), np.zeros(len(one), np.int64), np.arange(len(one))
+        for keys, seconds, places, sizes in self.runs:
+            at = np.minimum(np.searchsorted(keys, one[left]), len(keys) - 1)
+            there = (keys[at] == one[left]) & (seconds[at] == two[left])
+            place[left[there]], size[left[there]] = places[at[there]], sizes[at[there]]
+            left = left[~there]
+        return place, size, left
+
+    def append(self, ids: np.ndarray) -> int:
+        """Put ids at the end of ``flat``; where they begin."""
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        return self.used - len(ids)
+
+    def add(self, *run: np.ndarray) -> None:
+        """Know the pieces of ``run``, in the order of their first hashes, whose ids are in ``flat``."""
+        self.n += len(run[0])
+        while self.runs and 2 * len(run[0]) >= len(self.runs[-1][0]):
+            run = tuple(map(np.concatenate, zip(self.runs.pop(), run)))
+            order = np.argsort(run[0])
+            run = tuple(x[order] for x in run)
+        self.runs.append(run)
+
+
 class Pieces:
-    """Texts to ids, by a table of the pieces seen so far."""
+    """Texts to ids, by a table of the pieces seen so far. The table keeps what came first, mostly frequent pieces, once it is full."""
 
-    def __init__(self, path: str, special_as_text: bool, most: int = 900_000):
+    def __init__(self, path: str, special_as_text: bool, most: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.most, self.known = most, {}
+        self.table = _Table(self.kind, most)
         self.hashers = tk.Hasher(66), tk.Hasher(77)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        code = "H" if self.kind.itemsize == 2 else "I"
-        return [array(code, x.ids).tobytes() for k in range(0, len(texts), 4096) for x in self.tokenizer.encode_batch_fast(texts[k : k + 4096], add_special_tokens=False)]
-
-    def look_up(self, pieces: list[str]) -> list[bytes]:
-        """Ids of distinct pieces. The table keeps what came first, mostly frequent pieces, once it is full."""
-        got = list(map(self.known.get, pieces))
-        new = [i for i, x in enumerate(got) if x is None]
-        made = self._encode([pieces[i] for i in new])
-        for i, x in zip(new, made):
-            got[i] = x
-        if len(self.known) < self.most:
-            self.known.update((pieces[i], x) for i, x in zip(new, made))
-        return got
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        (self.feed,) = self._encode(["\n"])[0].tolist()
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, self.kind) for k in range(0, len(texts), 4096) for x in self.tokenizer.encode_batch_fast(texts[k : k + 4096], add_special_tokens=False)]
+
+    def _encode_pieces(self, buf: np.ndarray, begin: np.ndarray, sizes: np.ndarray, many: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, and how many each has. Line feeds between pieces are tokens of their own, so many go as one text."""
+        at = np.cumsum(sizes + 1)
+        out = np.full(int(at[-1]), 10, np.uint8)
+        out[tk.positions(at - sizes - 1, sizes)] = buf[tk.positions(begin, sizes)]
+        raw, ends = out.tobytes(), at[many - 1 :: many].tolist()
+        ends += [] if ends and ends[-1] == at[-1] else [int(at[-1])]
+        made = self._encode([raw[x : y - 1].decode() for x, y in zip([0, *ends], ends)])
+        feed = np.array([self.feed], self.kind)
+        ids = np.concatenate([x for m in made for x in (m, feed)])
+        ends = np.flatnonzero(ids == self.feed)
+        if len(ends) != len(begin):
+            raise RuntimeError("a line feed between pieces is no token of its own")
+        return ids[ids != self.feed], np.diff(ends, prepend=-1) - 1
 
     def ids(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and how many each has."""
         starts, ends, first = tk.words(buf, offsets)
         raw, n = buf.tobytes(), len(offsets) - 1
         odd = odd_documents(buf, offsets, starts, ends, first)
+        for literal in self.added:
+            at = raw.find(literal)
+            while at >= 0:  # such texts go to the library whole
+                i = int(np.searchsorted(offsets, at, "right")) - 1
+                odd[i] = True
+                at = raw.find(literal, int(offsets[i + 1]))
+        sizes = np.zeros(n, np.int64)
         doc = np.repeat(np.arange(n), np.diff(first))
-        spaced = (starts > offsets[doc]) & (buf[np.maximum(starts - 1, 0)] == 32)
-        broken = (starts > offsets[doc]) & (buf[np.maximum(starts - 1, 0)] == 10)
+        if odd.any():
+            even = ~odd[doc]
+            starts, ends, doc = starts[even], ends[even], doc[even]
+        ids = np.zeros(0, self.kind)
+        if len(starts):
+            try:
+                ids = self._by_pieces(buf, offsets, starts, ends, doc, sizes)
+            except RuntimeError:
+                odd[:] = True
+        if odd.any():
+            whole = np.flatnonzero(odd)
+            sizes[whole] = 0
+            ids = ids[: sizes.sum()] if odd.all() else ids
+            bounds = np.concatenate([[0], np.cumsum(sizes)])
+            parts, last = [], 0
+            for i, x in zip(whole.tolist(), self._encode([raw[offsets[i] : offsets[i + 1]].decode() for i in whole.tolist()])):
+                parts += [ids[last : bounds[i]], x]
+                last = bounds[i + 1]
+                sizes[i] = len(x)
+            ids = np.concatenate([*parts, ids[last:]])
+        return ids, sizes
+
+    def _by_pieces(self, buf: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        before = np.where(starts > offsets[doc], buf[np.maximum(starts - 1, 0)], 0)
+        spaced, broken = before == 32, before == 10
         begin, stem = starts - spaced, ends.copy()
         for _ in range(4):
             stem -= _SIGNS[buf[stem - 1]] & (stem > starts + 1)
         last = buf[stem - 1]
         latin = (stem > starts + 1) & (buf[stem - 2] == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)
         stem = np.where(_ALNUM[last] | latin, stem, ends)
-        signs = np.zeros(len(ends), np.uint32)
-        for k in range(4):
-            signs += np.where(stem + k < ends, buf[np.minimum(stem + k, len(buf) - 1)].astype(np.uint32) << np.uint32(8 * k), 0).astype(np.uint32)
         one, two = (x(buf, begin, stem) for x in self.hashers)
-        _, rep, back = np.unique(one, return_index=True, return_inverse=True)
-        if (two != two[rep][back]).any() or (stem - begin != (stem - begin)[rep][back]).any():
-            odd[:] = True  # two pieces with the same hash
+        order = np.argsort(one)
+        fresh = np.diff(one[order], prepend=one[order[0]] + np.uint64(1)) != 0
+        rep, back = order[fresh], np.empty(len(one), np.int64)
+        back[order] = np.cumsum(fresh) - 1
+        one, seconds = one[rep], two[rep]
+        if (two != seconds[back]).any():
+            raise RuntimeError("two pieces with the same hash")
+        place, size, new = self.table.find(one, seconds)
+        used = self.table.used
+        if len(new):
+            got, size[new] = self._encode_pieces(buf, begin[rep[new]], (stem - begin)[rep[new]])
+            place[new] = self.table.append(got) + np.cumsum(size[new]) - size[new]
+            if self.table.n < self.table.most:
+                used = self.table.used
+                self.table.add(one[new], seconds[new], place[new], size[new])
+        # punctuation at the end of some words, and line feeds
+        signed = np.flatnonzero(stem < ends)
+        signs = np.zeros(len(signed), np.uint32)
+        for k in range(4):
+            at = stem[signed] + k
+            signs |= np.where(at < ends[signed], buf[np.minimum(at, len(buf) - 1)], 0).astype(np.uint32) << np.uint32(8 * k)
         tails, tail = np.unique(signs, return_inverse=True)
-        tails = [int(x).to_bytes(4, "little").rstrip(b"\0").decode() for x in tails]
-        pieces = [raw[x:y].decode() for x, y in zip(begin[rep].tolist(), stem[rep].tolist())]
-        made = [b"", *self.look_up(["\n", *tails]), *self.look_up(pieces)]
-        flat = np.frombuffer(b"".join(made), self.kind)
-        size = np.array(list(map(len, made)), np.int64) // self.kind.itemsize
-        place = np.cumsum(size) - size
-        # a word is perhaps a line feed, its piece, and perhaps punctuation; the first entry is nothing
-        which = np.column_stack([broken.astype(np.int64), 2 + len(tails) + back, 2 + tail])
-        take = size[which]
-        ids = flat[tk.positions(place[which].ravel(), take.ravel())]
-        sizes = np.zeros(n, np.int64)
-        np.add.at(sizes, doc, take.sum(axis=1))
-        if odd.any():
-            whole = np.flatnonzero(odd)
-            bounds = np.concatenate([[0], np.cumsum(sizes)])
-            made = self._encode([raw[offsets[i] : offsets[i + 1]].decode() for i in whole.tolist()])
-            parts, last = [], 0
-            for i, x in zip(whole.tolist(), made):
-                parts += [ids[last : bounds[i]], np.frombuffer(x, self.kind)]
-                last = bounds[i + 1]
-                sizes[i] = len(parts[-1])
-            ids = np.concatenate([*parts, ids[last:]])
-        return ids, sizes
+        made = self._encode([int(x).to_bytes(4, "little").rstrip(b"\0").decode() for x in tails]) + [np.array([self.feed], self.kind)]
+        tail_size = np.array(list(map(len, made)), np.int64)
+        tail_place = self.table.append(np.concatenate(made)) + np.cumsum(tail_size) - tail_size
+        # a word is perhaps a line feed, its piece, and perhaps punctuation
+        take = np.zeros((len(starts), 3), np.int64)
+        where = np.zeros((len(starts), 3), np.int64)
+        take[:, 0], where[:, 0] = broken, tail_place[-1]
+        take[:, 1], where[:, 1] = size[back], place[back]
+        take[signed, 2], where[signed, 2] = tail_size[tail], tail_place[tail]
+        ids = self.table.flat[tk.positions(where.ravel(), take.ravel())]
+        self.table.used = used
+        sizes += np.bincount(doc, take.sum(axis=1), len(sizes)).astype(np.int64)
+        return ids
 
 
 _PIECES: dict[tuple, Pieces] = {}
@@ -227,27 +303,25 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["id", "n"])
 
 
-def _parts(data: bytes, kind: np.dtype) -> Iterator[tuple[np.ndarray, ...]]:
-    at, expand = 0, zstandard.ZstdDecompressor()
-    while at < len(data):
-        n, size = np.frombuffer(data, "<i8", 2, at)
-        at += 16
-        doc, null, sizes = np.frombuffer(data, "<i8", n, at), np.frombuffer(data, np.uint8, n, at + 8 * n), np.frombuffer(data, "<i8", n, at + 9 * n)
-        at += 17 * n
-        yield doc, null, sizes, np.frombuffer(expand.decompress(data[at : at + size]), kind)
-        at += size
+def _parts(file, kind: np.dtype) -> Iterator[tuple[np.ndarray, ...]]:
+    expand = zstandard.ZstdDecompressor()
+    while head := file.read(16):
+        n, size = np.frombuffer(head, "<i8")
+        rows = file.read(17 * n)
+        yield np.frombuffer(rows, "<i8", n), np.frombuffer(rows, np.uint8, n, 8 * n), np.frombuffer(rows, "<i8", n, 9 * n), np.frombuffer(expand.decompress(file.read(size)), kind)
 
 
-def _blocks(data: bytes, kind: np.dtype, rank: np.ndarray) -> Iterator[bytes]:
+def _blocks(parts: Iterator[tuple[np.ndarray, ...]], rank: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Blocks and their numbers of ids."""
     held, n = [], 0
 
-    def block() -> bytes:
+    def block() -> tuple[int, bytes]:
         doc, null, sizes, ids = (np.concatenate(x) for x in zip(*held))
         control, body = encode_ranks(rank[ids])
         head = np.array([len(doc), len(ids), len(control), len(body)], "<i8").tobytes()
-        return head + doc.tobytes() + null.tobytes() + sizes.astype("<i8").tobytes() + control + body
+        return len(ids), head + doc.tobytes() + null.tobytes() + sizes.astype("<i8").tobytes() + control + body
 
-    for part in _parts(data, kind):
+    for part in parts:
         if n and n + len(part[3]) > BLOCK:
             yield block()
             held, n = [], 0
@@ -257,18 +331,32 @@ def _blocks(data: bytes, kind: np.dtype, rank: np.ndarray) -> Iterator[bytes]:
         yield block()
 
 
-def _recode(folder: str, kind: np.dtype, order):
+def _recode(folder: str, kind: np.dtype, order, file_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = order.value
         rank = np.zeros(int(ids.max(initial=0)) + 1, np.uint32)
         rank[ids] = np.arange(len(ids))
+        table = np.array([len(ids)], "<u4").tobytes() + ids.astype("<u4").tobytes()
         for batch in batches:
             for task, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                name, old = f"ids-{task:06d}.lmtok", f"ids-{task:06d}.part"
-                if not files.there(folder, name):
-                    blocks = list(_blocks(files.get(folder, old), kind, rank))
-                    head = MAGIC + np.array([before, len(blocks)], "<i8").tobytes() + np.array([len(ids)], "<u4").tobytes() + ids.astype("<u4").tobytes()
-                    files.put(folder, name, [head, *blocks])
+                old = f"ids-{task:06d}.part"
+                if not files.there(folder, old):
+                    continue  # a task that ran before has done it
+                number, held, n = 0, [], 0
+
+                def put() -> None:
+                    head = MAGIC + np.array([before, len(held)], "<i8").tobytes() + table
+                    files.put(folder, f"ids-{task:06d}-{number:05d}.lmtok", [head, *held])
+
+                with files.reading(folder, old) as file:
+                    for size, block in _blocks(_parts(file, kind), rank):
+                        if held and sum(map(len, held)) + len(block) > file_bytes:
+                            put()
+                            number, held, before, n = number + 1, [], before + n, 0
+                        held.append(block)
+                        n += size
+                if held:
+                    put()
                 files.remove(folder, old)
             yield batch
 
@@ -296,10 +384,12 @@ def read_file(data) -> Iterator[tuple[int | None, int, np.ndarray]]:
         start += low
 
 
-def write_tokens(documents: DataFrame, path: Callable[[], str], end: int = 2, special_as_text: bool = True, folder: str | None = None) -> str:
+def write_tokens(documents: DataFrame, path: Callable[[], str], end: int = 2, special_as_text: bool = False, folder: str | None = None, file_bytes: int = 32 << 20) -> str:
     """Write the ids of all rows of ``documents`` (doc_id, text) and return the folder.
 
     path: called on the workers, gives the place of the tokenizer's file there. Null doc_ids come first.
+    special_as_text: whether the tokenizer's special tokens, written out in a text, are ordinary text.
+    file_bytes: files end before the block that would make them larger; one document alone may be larger.
     """
     spark = documents.sparkSession
     prepare_workers(spark)
@@ -317,7 +407,7 @@ def write_tokens(documents: DataFrame, path: Callable[[], str], end: int = 2, sp
     starts = tasks.select("task", before.alias("before"))
     starts = starts.repartition(shuffle_partitions(spark), "task")
     kind = np.dtype("<u2" if int(ids.max(initial=0)) < 1 << 16 and _small(path) else "<u4")
-    materialise(starts.mapInArrow(_recode(folder, kind, spark.sparkContext.broadcast(ids)), "task int, before long"), "token-files")
+    materialise(starts.mapInArrow(_recode(folder, kind, spark.sparkContext.broadcast(ids), file_bytes), "task int, before long"), "token-files")
     return folder
 
 

@@ -180,7 +180,10 @@ def test_token_files(docs, rows, empty, spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(token_files.byte_bpe())
-    got = sorted((tuple(r) for r in token_files.read_digests(spark, token_files.write_tokens(docs, token_files.byte_bpe)).collect()), key=lambda r: r[1])
+    rows = [*rows, (300, "a <|endoftext|> b", None, None, 1, "x", 2), (301, "x<|endoftext|>", None, None, 1, "x", 2), (302, f"{LONG} {LONG}", None, None, 1, "x", 2)]
+    docs = docs.union(spark.createDataFrame(rows[-3:], SCHEMA))
+    got, split = (sorted((tuple(r) for r in token_files.read_digests(spark, token_files.write_tokens(docs, token_files.byte_bpe, **options)).collect()), key=lambda r: r[1]) for options in ({}, {"file_bytes": 4000}))
+    assert got == split
     assert [r[0] for r in got] == sorted((r[0] for r in rows), key=lambda d: (d is not None, d or 0))
     ids = [(d, [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]) for d, t, *_ in rows]
     assert sorted((d if d is not None else -1, n, c) for d, _, n, c in got) == sorted((d if d is not None else -1, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for d, x in ids)
@@ -189,14 +192,20 @@ def test_token_files(docs, rows, empty, spark):
 
 
 def test_pieces_give_the_ids_of_whole_texts():
-    pieces = token_files.Pieces(token_files.byte_bpe(), True)
+    pieces = token_files.Pieces(token_files.byte_bpe(), False, most=60)
     rng = random.Random(1)
-    parts = ["ab", "Cd", " ", "  ", "\n", " \n", "\t", ".", "...", "'s", "é", "É,", " ", "　", "​", "!!", "\r", "\x1c", "日本", "’t", "12", "12,5"]
+    parts = ["ab", "Cd", " ", "  ", "\n", " \n", "\t", ".", "...", "'s", "é", "É,", " ", "　", "​", "!!", "\r", "\x1c", "日本", "’t", "12", "12,5", "<|endoftext|>"]
     for _ in range(2000):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 9)))
         raw = text.encode()
         ids, sizes = pieces.ids(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
         assert ids.tolist() == pieces.tokenizer.encode(text, add_special_tokens=False).ids and sizes.sum() == len(ids), repr(text)
+    for _ in range(60):  # several texts together
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(0, 40))]
+        raw = "".join(texts).encode()
+        ids, sizes = pieces.ids(np.frombuffer(raw, np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)]))
+        want = [pieces.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == sum(want, []) and sizes.tolist() == list(map(len, want))
 
 
 def test_rank_codes_round_trip():
