@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomery.llm.decontaminate import MASKS, SPAN
+from loomery.llm.decontaminate import COVER, SPAN
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -47,18 +47,17 @@ CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM b
 def leaks(least: int = 11) -> str:
     """Benchmark passages in documents. Items shorter than a window, of which the test tables have none, are left out."""
     key = lambda mask: "concat_ws(' ', " + ", ".join(f"seq[{i + 1}]" for i, x in enumerate(mask) if x == "1") + ")"
-    keys = ", ".join(f"{key(m)} AS k{i}" for i, m in enumerate(MASKS))
-    joins = " UNION ".join(f"SELECT d.doc_id, d.start AS d_start, d.seq, i.seq AS other, i.place FROM dk d JOIN ik i ON d.k{i} = i.k{i}" for i in range(len(MASKS)))
+    keys = ", ".join(f"{key(m)} AS k{i}" for i, m in enumerate(COVER))
+    joins = " UNION ".join(f"SELECT d.doc_id, d.start AS d_start, d.seq, i.seq AS other FROM dk d JOIN ik i ON d.k{i} = i.k{i}" for i in range(len(COVER)))
     cut = lambda table, name: f"SELECT {name}, regexp_extract_all(lower(coalesce(text, '')), {_WORDS}) AS w FROM {table}"
     return rf"""
 WITH d AS ({cut('documents', 'doc_id')}), b AS ({cut('benchmark', 'item_id')}),
 dw AS (SELECT doc_id, start, w[start + 1 : start + {SPAN}] AS seq FROM (SELECT *, unnest(range(0, len(w) - {SPAN - 1})) AS start FROM d WHERE len(w) >= {SPAN})),
-iw AS (SELECT seq, min(place) AS place FROM (SELECT w[pos + 1 : pos + {SPAN}] AS seq, {{'item': item_id, 'pos': pos, 'size': len(w)}} AS place
-  FROM (SELECT *, unnest(range(0, len(w) - {SPAN - 1})) AS pos FROM b WHERE len(w) >= {SPAN})) GROUP BY seq),
-dk AS (SELECT *, {keys} FROM dw), ik AS (SELECT *, {keys} FROM iw),
-h AS (SELECT * FROM ({joins}) WHERE list_sum(list_transform(range(1, {SPAN + 1}), lambda i: (seq[i] = other[i])::INT)) >= {least}),
-f AS (SELECT doc_id, place.item AS item_id, place.size AS size, d_start, min(place.pos) AS low, max(place.pos + {SPAN}) AS high FROM h GROUP BY ALL)
-SELECT doc_id, item_id, count(*) AS n_windows, (max(high) - min(low))::BIGINT AS overlap_words, size::BIGINT AS item_words FROM f GROUP BY doc_id, item_id, size
+iw AS (SELECT w[pos + 1 : pos + {SPAN}] AS seq, item_id, pos, len(w) AS size FROM (SELECT *, unnest(range(0, len(w) - {SPAN - 1})) AS pos FROM b WHERE len(w) >= {SPAN})),
+dk AS (SELECT *, {keys} FROM dw), ik AS (SELECT *, {keys} FROM (SELECT DISTINCT seq FROM iw)),
+h AS (SELECT * FROM ({joins}) WHERE list_sum(list_transform(range(1, {SPAN + 1}), lambda i: (seq[i] = other[i])::INT)) >= {least})
+SELECT doc_id, item_id, count(DISTINCT d_start) AS n_windows, (max(pos) + {SPAN} - min(pos))::BIGINT AS overlap_words, size::BIGINT AS item_words
+FROM h JOIN iw ON h.other = iw.seq GROUP BY doc_id, item_id, size
 """
 
 

@@ -62,3 +62,12 @@ def buckets_for(documents: DataFrame, each_mb: int = 4, most: int = 1 << 16) ->
     while n < min(least, most):
         n *= 2
     return n
+
+
+def unused(name: str) -> str:
+    """A column name that no table of a caller has."""
+    return f"{name}_{uuid.uuid4().hex}"
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"

@@ -47,13 +47,13 @@ def clean(docs, items):
     for t in items:
         w = t.lower().split()
         for i in range(len(w) - span + 1):
-            for m in decontaminate.MASKS:
+            for m in decontaminate.COVER:
                 seeds.setdefault((m, pick(w[i : i + span], m)), []).append(w[i : i + span])
     kept = set()
     for d, t, *_ in docs:
         w = [x.lower() for x in words(t)]
         windows = (w[i : i + span] for i in range(len(w) - span + 1))
-        if not any(sum(a == b for a, b in zip(x, y)) >= 11 for x in windows for m in decontaminate.MASKS for y in seeds.get((m, pick(x, m)), ())):
+        if not any(sum(a == b for a, b in zip(x, y)) >= 11 for x in windows for m in decontaminate.COVER for y in seeds.get((m, pick(x, m)), ())):
             kept.add(d)
     return kept
 

@@ -49,7 +49,7 @@ def test_every_two_substitutions_are_found(spark):
     docs.append((300, " ".join("changed" if i in (0, 5, 9) else w for i, w in enumerate(passage))))
     want = leaks(docs, items)
     assert len(want) > 90 and (300, 1) not in want
-    for most in (400_000, 500):  # one round, and several
+    for most in (400_000, 500):  # seeds sent to all tasks, and met by a shuffle
         assert found_leaks(spark, docs, items, most_seeds=most) == want
 
 
@@ -61,10 +61,27 @@ def test_items_that_share_windows_are_all_found(spark):
     want = leaks(docs, items)
     assert {i for d, i in want if d == 1} == {1, 2, 3, 4}
     want |= {(4, 6): (1, 6), (4, 7): (1, 6)}  # whole short items
-    for most in (400_000, 20):  # one round, and several
+    for most in (400_000, 20):  # seeds sent to all tasks, and met by a shuffle
         assert found_leaks(spark, docs, items, most_seeds=most) == want
 
 
+def test_short_items_and_repeated_windows(spark):
+    rng = random.Random(16)
+    items = [(n, " ".join(rng.sample(WORDS, n))) for n in range(1, 13)]
+    twice = " ".join(rng.sample(WORDS, 14))
+    items.append((20, f"{twice} between {twice}"))
+    docs = [(20, f"so {twice} ends")]
+    for n, t in items[:12]:
+        docs.append((n, f"before {t} after"))
+        w = t.split()
+        w[n // 2] = "changed"
+        docs.append((100 + n, f"before {' '.join(w)} after"))
+    want = {(n, n): (1, n) for n in range(5, 13)} | {(100 + n, n): (1, n) for n in range(8, 13)} | leaks(docs[:1], items[-1:])
+    for most in (400_000, 3):
+        assert found_leaks(spark, docs, items, most_seeds=most) == want
+    assert (3, 3) in found_leaks(spark, docs, items, shortest=1)
+
+
 def test_warc_records_with_long_urls_are_read(spark):
     rng = random.Random(10)
     urls = ["http://x/", "http://x/" + " " * 400_000, "http://x/" + "".join(chr(rng.randint(1, 0x2FF)) for _ in range(300_000)), "http://x/" + "é" * 70_000, None] * 3
