@@ -5,15 +5,20 @@ gram of all its words). Each document gets ``bands`` hashes of ``rows`` minima e
 threshold shares a band with the target probability. Exact copies are merged first, and only one text of each
 class goes on. Texts that share a band are linked to the least id of that band's bucket, never to each other, and
 connected components of these links are the candidate groups. Each group's whole n-gram sets are then compared
-pairwise inside tasks: a group of more than ``block`` texts is dealt as pairs of blocks. Tasks return a count of
+pairwise inside tasks. A group of more than ``block`` texts, or of more than ``block_mb`` MB, is cut into blocks; each block's sets are written once to the
+shared folder, and a task compares two blocks that it reads there, so texts move once however large the group is (the
+comparisons of a group of m different texts are m * m, as its links may be). Tasks return a count of
 links per text and a spanning forest, never the pairs themselves; components of the forests are the classes.
+What a group has in common reaches the texts of large groups by a join on (group, salt).
 
 Null texts and texts without words have no n-grams: they link to nothing, and each is a class of its own. Rows
-with the same doc_id are told apart by their text; fully repeated rows are copies of each other.
+with the same doc_id, or without one, are told apart by their text; fully repeated rows are copies of each other. A class
+without any doc_id has a null class_id.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomery.llm import files
 from loomery.llm import textkernel as tk
 from loomery.llm.components import components
-from loomery.llm.storage import materialise, prepare_workers
+from loomery.llm.storage import materialise, prepare_workers, quoted, shared_folder, shuffle_partitions, unused
 
+SALTS = 64
 _HASHERS: list[tk.Hasher] = []
 
 
@@ -88,7 +95,7 @@ def _sign(n: int, bands: int, rows: int):
             keys = np.concatenate(found) if found else np.zeros((0, bands), np.uint64)
             some = np.concatenate(sizes) > 0 if sizes else np.zeros(0, bool)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)), pa.array(keys[some].view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["doc_id", "copy", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array(np.diff(offsets))], ["doc_id", "copy", "bands", "bytes"])
 
     return run
 
@@ -147,37 +154,63 @@ def _links(sets: list[np.ndarray], weight: np.ndarray, left: np.ndarray, right:
     return gain, np.array(forest, np.int64).reshape(-1, 2)
 
 
+_FOUND = pa.schema([("node", pa.int64()), ("to", pa.int64()), ("gain", pa.int64())])
+
+
+def _sets_of(table: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Nodes, numbers of copies and n-gram sets of the texts in ``table``."""
+    table = table.combine_chunks()
+    _, keep = np.unique(table.column("node").to_numpy(), return_index=True)  # repeated rows hold the same text
+    table = table.take(pa.array(keep))
+    sets = []
+    for chunk in table.column("text").chunks:
+        buf, offsets = tk.text_buffer(chunk)
+        for i, j in tk.steps(offsets):
+            piece = buf[offsets[i] : offsets[j]]
+            starts, ends, first = tk.words(piece, offsets[i : j + 1] - offsets[i])
+            grams, bounds = shingles(_hasher()(piece, starts, ends), first, n)
+            sets += [np.unique(grams[x:y]) for x, y in zip(bounds[:-1], bounds[1:])]
+    return table.column("node").to_numpy(), table.column("copies").to_numpy(), sets
+
+
+def _compare(one: tuple, two: tuple | None, threshold: float) -> pa.Table:
+    """Links among the texts of one block, or between those of two."""
+    node, weight, sets = one if two is None else (np.concatenate([one[0], two[0]]), np.concatenate([one[1], two[1]]), [*one[2], *two[2]])
+    if len(sets) < 2:
+        return _FOUND.empty_table()
+    left = np.arange(len(one[2]))
+    right = left if two is None else np.arange(len(one[2]), len(sets))
+    gain, forest = _links(sets, weight, left, right, two is None, threshold)
+    got = np.flatnonzero(gain)
+    nodes = np.concatenate([node[got], node[forest[:, 0]]])
+    to = np.concatenate([node[got], node[forest[:, 1]]])
+    return pa.Table.from_arrays([pa.array(nodes), pa.array(to), pa.array(np.concatenate([gain[got], np.zeros(len(forest), np.int64)]))], schema=_FOUND)
+
+
 def _verify(n: int, threshold: float):
-    schema = pa.schema([("node", pa.int64()), ("to", pa.int64()), ("gain", pa.int64())])
+    return lambda key, table: _compare(_sets_of(table, n), None, threshold)
+
+
+def _store(n: int, folder: str):
+    """Write the sets of one block to a file of its own; a task that runs again writes the same."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        node = table.column("node").to_numpy()
-        _, keep = np.unique(node, return_index=True)  # repeated rows hold the same text
-        if len(keep) < 2:
-            return schema.empty_table()
-        table = table.take(pa.array(keep))
-        node, part, weight = (table.column(c).to_numpy() for c in ("node", "part", "copies"))
-        sets = []
-        for chunk in table.column("text").chunks:
-            buf, offsets = tk.text_buffer(chunk)
-            for i, j in tk.steps(offsets):
-                piece = buf[offsets[i] : offsets[j]]
-                starts, ends, first = tk.words(piece, offsets[i : j + 1] - offsets[i])
-                grams, bounds = shingles(_hasher()(piece, starts, ends), first, n)
-                sets += [np.unique(grams[x:y]) for x, y in zip(bounds[:-1], bounds[1:])]
-        parts = np.unique(part)
-        if len(parts) == 1:
-            if key[1].as_py() != key[2].as_py():
-                return schema.empty_table()  # the other block has no text left, and this one is compared elsewhere
-            left = right = np.arange(len(sets))
-        else:
-            left, right = np.flatnonzero(part == parts[0]), np.flatnonzero(part == parts[1])
-        gain, forest = _links(sets, weight, left, right, len(parts) == 1, threshold)
-        got = np.flatnonzero(gain)
-        nodes = np.concatenate([node[got], node[forest[:, 0]]])
-        to = np.concatenate([node[got], node[forest[:, 1]]])
-        return pa.Table.from_arrays([pa.array(nodes), pa.array(to), pa.array(np.concatenate([gain[got], np.zeros(len(forest), np.int64)]))], schema=schema)
+        component, part = (k.as_py() for k in key)
+        files.put(folder, f"{component}-{part}", [pickle.dumps(_sets_of(table, n), 5)])
+        return pa.table({"component": pa.array([component], pa.int64()), "part": pa.array([part], pa.int32())})
+
+    return run
+
+
+def _compare_stored(folder: str, threshold: float):
+    def read(component: int, part: int) -> tuple:
+        with files.reading(folder, f"{component}-{part}") as file:
+            return pickle.loads(file.read())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for component, one, two in zip(*(c.to_pylist() for c in batch.columns)):
+                yield from _compare(read(component, one), read(component, two) if one != two else None, threshold).to_batches()
 
     return run
 
@@ -191,7 +224,7 @@ def near_duplicates(documents: DataFrame, **options) -> DataFrame:
     """
     signed, named = _classes(documents, **options)
     out = signed.select("doc_id", "copy").join(named, F.col("copy") == F.col("copy_of"), "left")
-    alone = F.col("copy_of").isNull()
+    alone = F.col("copy_of").isNull()  # without words
     return out.select(
         "doc_id",
         "copy",
@@ -201,75 +234,97 @@ def near_duplicates(documents: DataFrame, **options) -> DataFrame:
     )
 
 
-def _classes(documents: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 96) -> tuple[DataFrame, DataFrame]:
+def _salted(groups: DataFrame, large) -> DataFrame:
+    """A row for each salt of the large groups, and one, with salt 0, for the others."""
+    return groups.withColumn("salt", F.explode(F.when(large, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+
+
+def _classes(documents: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 256, block_mb: float = 8) -> tuple[DataFrame, DataFrame]:
     """Rows with their bands, and for each text with words its class: (copy_of, class_id, n_links, least, leads)."""
     spark = documents.sparkSession
     prepare_workers(spark)
     bands, rows = choose_bands(threshold, recall)
-    copy = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).select("doc_id", copy.alias("copy"), "text")
-    signed = materialise(docs.mapInArrow(_sign(n, bands, rows), "doc_id long, copy string, bands array<long>"), "signed")
+    text = F.col("text").cast("string")
+    docs = documents.select(F.col("doc_id").cast("long"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("copy"), text.alias("text"))
+    signed = materialise(docs.mapInArrow(_sign(n, bands, rows), "doc_id long, copy string, bands array<long>, bytes long"), "signed")
 
     # classes of equal texts; node is a short name of each
     full = signed.filter(F.size("bands") > 0)
-    node = F.xxhash64("copy", F.lit(1))
-    classes = full.groupBy("copy").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
-    classes = materialise(classes.withColumn("node", node), "classes")
+    classes = full.groupBy("copy").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes"))
+    classes = materialise(classes.withColumn("node", F.xxhash64("copy", F.lit(1))), "classes")
 
     # candidate groups: stars inside each band's bucket
     keys = classes.select("node", F.explode("bands").alias("band"))
     stars = keys.groupBy("band").agg(F.min("node").alias("to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     groups = components(keys.join(stars.select("band", "to"), "band").select(F.col("node").alias("a"), F.col("to").alias("b")))
 
-    # blocks of each group meet in pairs, with their whole texts
-    size = groups.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    dealt = groups.join(size, "component").withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
-    member = classes.select("node", "copy", "least", "copies").join(dealt, "node")
-    member = materialise(member.select("node", "copy", "least", "copies", "component", "blocks", "part"), "members")
-    picked = docs.hint("merge").join(member.withColumnRenamed("copy", "copy_of"), (F.col("copy") == F.col("copy_of")) & docs.doc_id.eqNullSafe(F.col("least")))
-    other = picked.select("node", "copies", "text", "component", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs = other.select("component", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "node", "part", "copies", "text")
-    found = pairs.groupBy("component", "one", "two").applyInArrow(_verify(n, threshold), "node long, to long, gain long")
+    # groups that are too large for one task are cut into blocks
+    member = classes.select("node", "copy", "least", "copies", "bytes").join(groups, "node").withColumn("salt", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(SALTS)).cast("int"))
+    member = materialise(member, "candidates")
+    size = member.groupBy("component").agg(F.count(F.lit(1)).alias("texts"), F.sum("bytes").alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("texts") / block, F.col("bytes") / (block_mb * (1 << 20)))).cast("int")
+    large = materialise(size.select("component", blocks.alias("blocks")).filter("blocks > 1"), "large")
+    member = member.drop("bytes").join(_salted(large, F.lit(True)), ["component", "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    member = member.withColumn("part", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
+    member = materialise(member.withColumn("salt", F.when(F.col("blocks") > 1, F.col("salt")).otherwise(0)), "members")
+
+    # whole texts are compared
+    whole = docs.hint("merge").join(member.withColumnRenamed("copy", "copy_of"), (F.col("copy") == F.col("copy_of")) & docs.doc_id.eqNullSafe(F.col("least")))
+    whole = whole.select("node", "copies", "text", "component", "part", "blocks")
+    folder = shared_folder(spark, "blocks")
+    files.make_folder(folder)
+    if large.isEmpty():
+        found = whole.groupBy("component").applyInArrow(_verify(n, threshold), "node long, to long, gain long")
+    else:
+        whole = materialise(whole, "candidate-texts")
+        found = whole.filter("blocks = 1").groupBy("component").applyInArrow(_verify(n, threshold), "node long, to long, gain long")
+        stored = whole.filter("blocks > 1").groupBy("component", "part").applyInArrow(_store(n, folder), "component long, part int")
+        stored = materialise(stored, "blocks-stored").alias("one")
+        two = stored.select(F.col("component").alias("group"), F.col("part").alias("other"))
+        pairs = stored.join(two, (F.col("component") == F.col("group")) & (F.col("part") <= F.col("other"))).select("component", "part", "other")
+        pairs = pairs.repartition(4 * shuffle_partitions(spark), "component", "part", "other")
+        found = found.unionAll(pairs.mapInArrow(_compare_stored(folder, threshold), "node long, to long, gain long"))
     found = materialise(found, "links")
     gains = found.groupBy("node").agg(F.sum("gain").alias("gain"))
     names = components(found.select(F.col("node").alias("a"), F.col("to").alias("b")))
 
-    # names of classes, back to copies and rows
-    least = member.select("node", "least").join(names, "node")
-    heads = least.groupBy("component").agg(F.min("least").alias("head"))
-    linked = least.join(heads, "component").select("node", "head").join(gains, "node", "left")
-    # among equal ids, the text with the smallest node stands for the class
-    first = least.join(heads, "component").filter(F.col("least").eqNullSafe(F.col("head"))).groupBy("component").agg(F.min("node").alias("chosen"))
-    linked = linked.join(first.select(F.col("chosen"), F.lit(True).alias("leads")), F.col("node") == F.col("chosen"), "left")
-    named = classes.select("copy", "node", "least", "copies").join(linked.select("node", "head", "gain", "leads"), "node", "left")
+    # the text that stands for a class: of the least id, and of the smallest node where ids are equal
+    least = member.select("node", "least", "blocks", "salt").join(names, "node")
+    head = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), F.col("node").alias("of"))).alias("head")
+    heads = _salted(least.groupBy("component").agg(head, (F.max("blocks") > 1).alias("cut")), F.col("cut"))
+    linked = least.join(heads.select("component", "salt", "head"), ["component", "salt"]).select("node", F.col("head.id").alias("id"), (F.col("node") == F.col("head.of")).alias("leads"))
+    linked = linked.join(gains, "node", "left")
+    named = classes.select("copy", "node", "least", "copies").join(linked, "node", "left")
     named = named.select(
         F.col("copy").alias("copy_of"),
-        F.when(F.col("head").isNull(), F.col("least")).otherwise(F.col("head")).alias("class_id"),
+        F.when(F.col("leads").isNull(), F.col("least")).otherwise(F.col("id")).alias("class_id"),
         (F.col("copies") - 1 + F.coalesce("gain", F.lit(0))).alias("n_links"),
         "least",
-        (F.col("head").isNull() | F.coalesce("leads", F.lit(False))).alias("leads"),
+        F.coalesce("leads", F.lit(True)).alias("leads"),
     )
     return signed, named
 
 
 def keep_one_of_each(documents: DataFrame, **options) -> DataFrame:
-    """The rows of ``documents``, with all columns, that stand for their classes; of repeated rows, one."""
+    """The rows of ``documents``, with all columns, that stand for their classes; of repeated rows, one.
+
+    Rows that no other row repeats need no grouping of whole rows, and are only looked up; the result is the same.
+    """
     signed, named = _classes(documents, **options)
     rows = signed.groupBy("doc_id", "copy").agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("bands")).alias("bands"))
     leads = named.filter("leads").select(F.col("least").alias("id"), "copy_of")
     firsts = rows.join(leads, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("copy") == F.col("copy_of")), "left_semi").unionAll(rows.filter("bands = 0"))
-    firsts = materialise(firsts.select(F.col("doc_id").alias("id_of"), F.col("copy").alias("copy_of"), "rows"), "firsts")
+    doc, copy_of, times, key = (unused(x) for x in ("doc", "copy", "rows", "key"))
+    firsts = materialise(firsts.select(F.col("doc_id").alias(doc), F.col("copy").alias(copy_of), F.col("rows").alias(times)), "firsts")
     copy = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("id_of")) & (copy == F.col("copy_of"))
-    names = documents.columns
-    repeated = firsts.filter("rows > 1")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (copy == F.col(copy_of))
+    repeated = firsts.filter(F.col(times) > 1)
     if repeated.isEmpty():
-        return documents.hint("merge").join(firsts, same, "left_semi").select(names)
-    one = documents.join(firsts.filter("rows = 1"), same, "left_semi").select(names)
+        return documents.hint("merge").join(firsts, same, "left_semi")
+    one = documents.join(firsts.filter(F.col(times) == 1), same, "left_semi")
     # one of each set of rows with the same id and text
-    many = documents.withColumn("_copy", copy).join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_copy"]).select(names)
-    return one.unionByName(many)
+    many = documents.withColumn(key, copy).join(repeated, same, "left_semi").dropDuplicates(["doc_id", key]).select([quoted(c) for c in documents.columns])
+    return one.unionAll(many)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -86,11 +87,25 @@ def test_near_duplicates(docs, rows, empty, block):
         ids = [rows[j][0] for j in seen if rows[j][0] is not None]
         r = got[d, hashlib.md5((t or "").encode()).hexdigest()]
         assert r.n_links == sum(linked[i]) and r.class_id == (min(ids) if ids else None), (d, r)
-    kept = jaccard_join.keep_one_of_each(docs)
+    # of the rows that are no copies of one another, one of each class is first
+    assert sum(r.is_first for r in got.values()) == len({r.class_id if r.class_id is not None else r.copy for r in got.values()})
+    kept = jaccard_join.keep_one_of_each(docs, block=block)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None and 100 <= r.doc_id < 200) == [100]
     assert jaccard_join.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_without_ids(spark):
+    rng = random.Random(17)
+    base = sentence(rng, 90).split()
+    texts = [" ".join("x" if i == k else w for i, w in enumerate(base)) for k in range(5)] + [sentence(rng, 30), sentence(rng, 30)]
+    docs = spark.createDataFrame([(None, t, "a.b`c") for t in [*texts, texts[0]]], "doc_id long, text string, `a.b``c` string")
+    got = jaccard_join.near_duplicates(docs, block=2).collect()
+    assert len(got) == 8 and {r.class_id for r in got} == {None}
+    assert sum(r.is_first for r in {r.copy: r for r in got}.values()) == 3 and sorted(r.n_links for r in got) == [0, 0] + [5] * 6
+    kept = [r.text for r in jaccard_join.keep_one_of_each(docs, block=2).collect()]
+    assert len(kept) == 3 and set(kept) >= set(texts[5:])
+
+
 def test_bands_reach_the_recall():
     bands, rows = jaccard_join.choose_bands(0.8, 0.999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999
@@ -220,16 +235,21 @@ def test_decontamination(spark, docs, rows, empty):
     changed = base[10:40]
     changed[7] = "other"
     items = spark.createDataFrame([(1, " ".join(changed)), (2, "nowhere to be found in any of these texts at all not even once more"), (3, None), (4, " ".join(base[50:56])), (5, "too short")], "item_id long, text string")
-    for most in (400_000, 7):  # one round, and several
+    for most in (400_000, 7):  # seeds sent to all tasks, and met by a shuffle
         got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items, most_seeds=most).collect()}
         assert got == {(d, i) for d in (100, 101, 102, 103, None) for i in (1, 4)}
-    assert {r.doc_id for r in decontaminate.remove_leaks(docs, items).collect()} == {r[0] for r in rows} - {100, 101, 102, 103, None}
+        kept = [tuple(r) for r in decontaminate.remove_leaks(docs, items, most_seeds=most).collect()]
+        # of the rows without an id, only the one that leaks goes
+        assert sorted(kept, key=repr) == sorted((r for r in rows if r[0] not in (100, 101, 102, 103) and r[1] != rows[40][1]), key=repr)
     assert decontaminate.find_leaks(empty, items).count() == 0 and decontaminate.find_leaks(docs, items.limit(0)).count() == 0
 
 
-def test_every_single_substitution_is_tolerated():
-    for place in range(decontaminate.SPAN):
-        assert any(m[place] == "0" for m in decontaminate.MASKS)
+def test_masks_leave_out_what_may_be_substituted():
+    for n in range(1, decontaminate.SPAN + 1):
+        masks = decontaminate._masks(n)
+        assert all(len(m) == n for m in masks)
+        for places in itertools.combinations(range(n), 2 if n == decontaminate.SPAN else int(n >= 8)):
+            assert any(all(m[i] == "0" for i in places) for m in masks)
 
 
 def test_quality(spark, docs, rows, empty):
