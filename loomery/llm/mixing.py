@@ -8,13 +8,14 @@ of like size, the words taken are near the target. Sums are exact: they are whol
 
 Targets. Sources by code point, null last, weigh ``weights`` in turn. They share ``share`` times all words, but
 none gets more than ``most`` times its size: what is beyond goes to the others by weight, again and again. This is
-the level at which sum(min(weight x level, most x size)) meets the total, found from sums over the sources in the
-order of most x size / weight; no loop is needed.
+the level at which sum(min(weight x level, most x size)) meets the total. It lies between two sources' most x size / weight; sums over the
+sources narrow the place down 64-fold at a time until ``few`` such values are left, and those decide on the driver. Sources are numbered as documents are.
 
 The order is made by a range shuffle of three narrow columns, so that one source's rows spread over as many tasks
 as they need. A task numbers its own rows; a source's numbers continue from task to task by a table with one row
 for each task and source it holds. Null texts have no words. Documents without words are emitted like any other.
-Repeated rows are documents of their own, neighbours in the order.
+Repeated rows are documents of their own, neighbours in the order. Where rows with equal id, source and text
+are emitted, they share out their copies evenly, and are only told apart then.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomery.llm.storage import materialise, prepare_workers, shuffle_partitions
+from loomery.llm.storage import materialise, prepare_workers, quoted, shuffle_partitions, unused
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -59,28 +60,55 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(codes), task), pa.int32()), pa.array(place, pa.int64())], [*batch.schema.names, "task", "place"])
 
 
-def targets(sizes: DataFrame, weights: Sequence[int], share: float, most: float) -> DataFrame:
+def _ranks(rows: DataFrame, keys: list[Column], name: str) -> DataFrame:
+    """``rows`` with their place, from 0, in the order of ``keys``, as the column ``name``: a range shuffle, and a table with a row for each task."""
+    part, at = unused("part"), unused("at")
+    spread = rows.repartitionByRange(shuffle_partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys).withColumn(at, F.monotonically_increasing_id())
+    spread = materialise(spread.withColumn(part, F.shiftright(at, 33)), "ranked")
+    counts = spread.groupBy(part).agg(F.count(F.lit(1)).alias("n")).withColumnRenamed(part, "of")
+    before = F.coalesce(F.sum("n").over(W.orderBy("of").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("of", before.alias("before"))
+    return spread.join(F.broadcast(counts), F.col(part) == F.col("of")).withColumn(name, F.col("before") + F.col(at).bitwiseAND((1 << 33) - 1)).drop(part, at, "of", "before")
+
+
+def targets(sizes: DataFrame, weights: Sequence[int], share: float, most: float, few: int = 10_000) -> DataFrame:
     """(source, source_size, docs, target) for ``sizes`` (source, source_size, docs), a row for each source."""
-    n = len(weights)
-    turn = (F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1) % n
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int"))
-    t = sizes.select("*", weight.alias("weight")).withColumn("bound", F.lit(float(most)) * F.col("source_size"))
-    order = W.orderBy(F.col("bound") / F.col("weight"), F.col("source").asc_nulls_last())
-    every = W.partitionBy()
-    t = t.withColumns({
-        "total": F.lit(float(share)) * F.sum("source_size").over(every),
-        "below": F.coalesce(F.sum("bound").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)),
-        "above": F.sum("weight").over(order.rowsBetween(W.currentRow, W.unboundedFollowing)),
-    })
-    # the level if this source and all with a higher bound stay below their bounds; the true one is the first that does
-    level = (F.col("total") - F.col("below")) / F.col("above")
-    t = t.withColumn("fits", F.when(level * F.col("weight") <= F.col("bound"), level))
-    t = t.withColumn("level", F.min("fits").over(every))
-    t = t.withColumn("level", F.first("fits", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    target = F.when(F.col("level").isNull(), F.col("bound")).otherwise(F.least("bound", F.col("level") * F.col("weight")))
+    turn = (F.col("rank") % len(weights) + 1).cast("int")
+    t = _ranks(sizes, [F.col("source").asc_nulls_last()], "rank")
+    t = t.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn)).withColumn("bound", F.lit(float(most)) * F.col("source_size"))
+    t = materialise(t.withColumn("edge", F.col("bound") / F.col("weight")), "sources")
+    level = _level(t, share, few)
+    target = F.col("bound") if level is None else F.least("bound", F.lit(level) * F.col("weight"))
     return t.select("source", "source_size", "docs", target.alias("target"))
 
 
+def _level(sources: DataFrame, share: float, few: int) -> float | None:
+    """The level if sources with an edge below it stay at their bounds and the others get weight x level; None if all stay at their bounds."""
+    edges = sources.groupBy("edge").agg(F.sum("bound").alias("bound"), F.sum("weight").alias("weight"), F.min("bound").alias("one_bound"), F.min("weight").alias("one_weight"))
+    edges = materialise(edges, "edges")
+    all_ = sources.agg(F.sum("source_size").alias("size")).first()
+    total, low, high = float(share) * float(all_.size or 0), -1.0, float("inf")
+    while True:
+        inside = edges.filter((F.col("edge") > low) & (F.col("edge") <= high))
+        if inside.count() <= few:
+            break
+        cuts = sorted(set(inside.agg(F.percentile_approx("edge", [k / 64 for k in range(1, 64)], 10_000).alias("cuts")).first().cuts))
+        sums = edges.agg(*(F.sum(F.when(F.col("edge") < x, F.col("bound")).otherwise(0.0)).alias(f"below{i}") for i, x in enumerate(cuts)), *(F.sum(F.when(F.col("edge") >= x, F.col("weight")).otherwise(0.0)).alias(f"above{i}") for i, x in enumerate(cuts))).first()
+        fit = [(total - sums[f"below{i}"]) / sums[f"above{i}"] <= x for i, x in enumerate(cuts)]
+        narrower = max([x for x, ok in zip(cuts, fit) if not ok], default=low), min([x for x, ok in zip(cuts, fit) if ok], default=high)
+        if narrower == (low, high):
+            break
+        low, high = narrower
+    outside = edges.agg(F.sum(F.when(F.col("edge") <= low, F.col("bound")).otherwise(0.0)).alias("below"), F.sum(F.when(F.col("edge") > low, F.col("weight")).otherwise(0.0)).alias("above")).first()
+    below, above = outside.below or 0.0, outside.above or 0.0
+    for r in inside.orderBy("edge").toLocalIterator():
+        level = (total - below) / above
+        if level * r.one_weight <= r.one_bound:
+            return level
+        below, above = below + r.bound, above - r.weight
+    return None
+
+
 def mix(documents: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
     """(doc_id, source, print, size, source_size, target, copies) of every row of ``documents`` (doc_id, text, source).
 
@@ -112,18 +140,30 @@ def mix(documents: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float =
 
 
 def mixed(documents: DataFrame, **options) -> DataFrame:
-    """The rows of ``documents``, with all columns, each as often as the mix takes it."""
-    taken = mix(documents, **options).groupBy("doc_id", "source", "print").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    taken = materialise(taken.withColumnsRenamed({"doc_id": "_id", "source": "_source", "print": "_print"}), "taken")
+    """The rows of ``documents``, with all columns, each as often as the mix takes it.
+
+    Rows that no other row repeats need no numbers; the result is the same.
+    """
+    doc, source, mark, copies, times, part, turn, one = (unused(x) for x in ("doc", "source", "print", "copies", "rows", "part", "turn", "one"))
+    taken = mix(documents, **options).groupBy(F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("print").alias(mark))
+    taken = materialise(taken.agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(times)), "taken")
     key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (key == F.col("_print"))
-    out = documents.hint("merge").join(taken.filter("_copies > 0"), same)
-    if not taken.filter("_rows > 1").isEmpty():
-        # rows that repeat each other share what they were given; they are few, and only told apart here
-        turn = F.row_number().over(W.partitionBy("_id", "_source", "_print").orderBy(F.lit(1))) - 1
-        out = out.withColumn("_turn", F.when(F.col("_rows") > 1, turn).otherwise(0))
-        out = out.withColumn("_copies", F.floor((F.col("_copies") + F.col("_rows") - 1 - F.col("_turn")) / F.col("_rows")))
-    return out.select(*documents.columns, F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))).alias("_one")).drop("_one")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & F.col("source").cast("string").eqNullSafe(F.col(source)) & (key == F.col(mark))
+    out = documents.hint("merge").join(taken.filter(F.col(copies) > 0), same)
+    if not taken.filter((F.col(times) > 1) & (F.col(copies) > 0)).isEmpty():
+        # rows that repeat each other are numbered task by task, and on from task to task
+        many = materialise(out.filter(F.col(times) > 1).withColumn(part, F.spark_partition_id()), "repeated")
+        id_of, source_of, mark_of, part_of, n, before = (unused(x) for x in ("doc", "source", "print", "part", "n", "before"))
+        counts = many.groupBy(F.col(doc).alias(id_of), F.col(source).alias(source_of), F.col(mark).alias(mark_of), F.col(part).alias(part_of)).agg(F.count(F.lit(1)).alias(n))
+        earlier = W.partitionBy(id_of, source_of, mark_of).orderBy(part_of).rowsBetween(W.unboundedPreceding, -1)
+        counts = counts.withColumn(before, F.coalesce(F.sum(n).over(earlier), F.lit(0)))
+        equal = F.col(doc).eqNullSafe(F.col(id_of)) & F.col(source).eqNullSafe(F.col(source_of)) & (F.col(mark) == F.col(mark_of)) & (F.col(part) == F.col(part_of))
+        place = F.row_number().over(W.partitionBy(doc, source, mark, part).orderBy(F.lit(1))) - 1
+        many = many.join(counts, equal).withColumn(turn, F.col(before) + place)
+        many = many.withColumn(copies, F.floor((F.col(copies) + F.col(times) - 1 - F.col(turn)) / F.col(times)))
+        columns = [*(quoted(c) for c in documents.columns), copies]
+        out = out.filter(F.col(times) == 1).select(columns).unionAll(many.select(columns))
+    return out.select(*(quoted(c) for c in documents.columns), F.explode(F.array_repeat(F.lit(0), F.col(copies).cast("int"))).alias(one)).drop(one)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
