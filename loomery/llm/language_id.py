@@ -5,9 +5,9 @@ with unit length. Linear support vector machines first choose a language family,
 inside the family, one machine for each two of its languages votes. Families are a fixed table of language codes;
 a language that is not in the table is a family of its own.
 
-Training takes about ``per_language`` labelled texts of each of the ``languages`` most frequent languages, chosen by
-a hash of doc_id, and ``most_rows`` at most; that bound is what reaches the driver (4 KB a row). Prediction reads
-every whole text, and takes nothing but the text.
+Training takes rows with a letter of every language, chosen by a hash of doc_id: ``per_language`` of each, fewer if that makes more than ``most_rows``, but
+not fewer than ``floor``; a language with fewer rows gives all. This bound is what reaches the driver (4 KB a row); no language is left out.
+Prediction reads every whole text, and takes nothing but the text.
 
 ``und`` with score 0: null texts, texts without a letter, and all texts if there is nothing to learn from. Other
 scores are the family's probability times the mean probability against the family's other languages.
@@ -21,10 +21,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomery.llm import textkernel as tk
-from loomery.llm.storage import prepare_workers
+from loomery.llm.storage import materialise, prepare_workers
 
 DIM = 2048
 FAMILIES = {
@@ -167,20 +168,23 @@ def _predict(model):
     return run
 
 
-def train(documents: DataFrame, learn: Column, per_language: int = 600, languages: int = 100, most_rows: int = 6000) -> Model | None:
+def train(documents: DataFrame, learn: Column, per_language: int = 600, most_rows: int = 6000, floor: int = 30) -> Model | None:
     """A model of the labelled rows for which ``learn`` holds; None if there are none."""
     prepare_workers(documents.sparkSession)
-    rows = documents.filter(learn & F.col("lang").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
-    if not sizes:
-        return None
-    share = F.create_map(*[F.lit(v) for r in sizes for v in (r.lang, min(1.0, 1.2 * per_language / r.n))])
+    rows = documents.filter(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = rows.select(F.col("doc_id").cast("long").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    sizes = materialise(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    each = min(per_language, max(floor, most_rows // max(1, sizes.count())))
+    # somewhat more than needed by a hash, then exactly so many of each language
+    share = sizes.select(F.col("lang").alias("of"), (F.lit(1.5 * each + 20) / F.col("n")).alias("share"))
     dice = F.pmod(F.xxhash64("id", F.lit(77)), F.lit(1_000_000)) / 1e6
-    picked = rows.filter(dice < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0))).filter(F.col("text").rlike(r"\p{L}"))
-    picked = picked.orderBy(F.xxhash64("id"), "id").limit(most_rows)
+    picked = rows.join(share, F.col("lang") == F.col("of")).filter(dice < F.col("share"))
+    place = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(78)), "id", F.xxhash64("text")))
+    picked = picked.select("lang", "text", place.alias("place")).filter(F.col("place") <= each)
     got = picked.select("lang", "text").mapInArrow(_featurise, "lang string, x binary").collect()
     if not got:
         return None
+    got.sort()
     return Model(np.array([np.frombuffer(r.x, np.float16) for r in got]).astype(np.float32), [r.lang for r in got])
 
 
@@ -208,7 +212,9 @@ def keep_identified(documents: DataFrame, model: Model | None, least: float = 0.
     """The rows of ``documents``, with all columns, whose language is predicted with a score of ``least`` or more."""
     spark = documents.sparkSession
     prepare_workers(spark)
-    return documents.mapInArrow(_keep(spark.sparkContext.broadcast(model), least, documents.columns.index("text")), documents.schema)
+    plain = documents.toDF(*(f"c{i}" for i in range(len(documents.columns))))  # whatever the columns' names
+    kept = plain.mapInArrow(_keep(spark.sparkContext.broadcast(model), least, documents.columns.index("text")), plain.schema)
+    return kept.toDF(*documents.columns)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -191,6 +191,45 @@ def test_mixing(docs, rows, empty):
     assert mixing.mix(empty).count() == 0 == mixing.mixed(empty).count()
 
 
+@pytest.mark.parametrize("few", [10_000, 3])
+def test_targets_of_many_sources(spark, few):
+    rng = random.Random(18)
+    sizes = {f"site{i:04d}": rng.choice([0, rng.randint(1, 50), rng.randint(1, 5000)]) for i in range(900)} | {None: 77}
+    order = [*sorted(s for s in sizes if s), None]
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    goal, target, free = 1.5 * sum(sizes.values()), {}, set(order)
+    while free:
+        level = (goal - sum(target.values())) / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] > 2 * sizes[s]}
+        target |= {s: 2.0 * sizes[s] for s in over} if over else {s: level * weight[s] for s in free}
+        free = free - over if over else set()
+    df = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, source_size long, docs long")
+    got = {r.source: r.target for r in mixing.targets(df, (3, 1, 2), 1.5, 2.0, few).collect()}
+    assert got.keys() == target.keys() and all(abs(got[s] - target[s]) < 1e-6 for s in got)
+
+
+def test_many_repeated_rows_share_their_copies(spark):
+    rows = [(None, "the same words again", "a", i) for i in range(500)] + [(i, f"other text number {i}", "a", i) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra long").repartition(4)
+    taken = sum(r.copies for r in mixing.mix(df).collect() if r.doc_id is None)
+    got = [r.extra for r in mixing.mixed(df).collect() if r.doc_id is None]
+    assert len(got) == taken and max(map(got.count, range(500))) - min(map(got.count, range(500))) <= 1
+
+
+def test_extra_columns_with_any_name(spark, docs):
+    """Names that operators used inside once, and names with dots and backticks, go through every operator that keeps rows."""
+    names = ["id_of", "print", "copy", "copy_of", "_id", "_one", "_copies", "_rows", "_source", "_print", "_copy", "_turn", "words", "seed", "part", "node", "salt", "a.b", "c`d", "place", "component"]
+    wide = docs.select("*", *(F.lit(i).alias(c) for i, c in enumerate(names)))
+    items = spark.createDataFrame([(1, "nowhere to be found in any of these texts at all not even once more")], "item_id long, text string")
+    model = language_id.train(wide, F.lit(True))
+    for out in (decontaminate.remove_leaks(wide, items), jaccard_join.keep_one_of_each(wide), mixing.mixed(wide), language_id.keep_identified(wide, model)):
+        assert out.columns == wide.columns
+        row = out.first()
+        assert [row[len(docs.columns) + i] for i in range(len(names))] == list(range(len(names)))
+    for out in (decontaminate.find_leaks(wide, items), jaccard_join.near_duplicates(wide), mixing.mix(wide), lm_scoring.lm_scores(wide, F.lit(True)), quality.judge(wide), pii.find_private(wide), substring_dedup.dedup_substrings(wide), language_id.identify(wide, model)):
+        out.collect()
+
+
 def test_token_files(docs, rows, empty, spark):
     from tokenizers import Tokenizer
 
@@ -298,6 +337,16 @@ def test_language(spark, docs, rows, empty):
     assert language_id.identify(docs, language_id.train(docs, F.lit(True))).count() == len(rows)
 
 
+def test_rare_languages_are_learnt(spark):
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{i}": ["".join(rng.choice(letters) for _ in range(5)) for _ in range(4)] for i in range(130)}
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(20)), k) for i, k in enumerate(["l0"] * 900 + [k for k in words for _ in range(4)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.identify(df, language_id.train(df, F.lit(True), per_language=40, most_rows=200, floor=3)).collect()
+    assert sum(r.lang_pred == rows[r.doc_id][2] for r in got) > 0.95 * len(rows) and {r.lang_pred for r in got} == set(words)
+
+
 def test_warc(spark):
     pages = [(i, f"http://x/{i} y", None if i % 7 == 0 else ["a", "", "b\x1f\x8b\x08" * 50][i % 3]) for i in range(60)] + [(None, None, "alone")]
     want = []
