@@ -152,7 +152,7 @@ class Pieces:
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, self.kind) for k in range(0, len(texts), 4096) for x in self.tokenizer.encode_batch_fast(texts[k : k + 4096], add_special_tokens=False)]
 
-    def _encode_pieces(self, buf: np.ndarray, begin: np.ndarray, sizes: np.ndarray, many: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_pieces(self, buf: np.ndarray, begin: np.ndarray, sizes: np.ndarray, many: int = 64) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces, and how many each has. Line feeds between pieces are tokens of their own, so many go as one text."""
         at = np.cumsum(sizes + 1)
         out = np.full(int(at[-1]), 10, np.uint8)
