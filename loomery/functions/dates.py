@@ -7,8 +7,6 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomery.functions import rng
-
 # The formats in the order in which they are tried, each with Spark's pattern for writing it.
 DATE_FORMATS = (
     ("%Y-%m-%d", "yyyy-MM-dd"),
@@ -42,74 +40,80 @@ PATTERN = dict(DATE_FORMATS)
 _MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 #: Digits of a year, month and day that stand together: month and day take two digits where they can.
 _TOGETHER = r"^(\d{4})(1[0-2]|0[1-9]|[1-9])(3[01]|[12]\d|0[1-9]|[1-9])$"
-
-
-def shape_of(fmt: str) -> tuple[str, list[str]]:
-    """A format's shape, with 9 for numbers and a for letters, and what its numbers and words are, in order."""
-    fields = re.findall(r"%(.)|(T)", fmt)
-    shape = re.sub(r"%[bB]|T", "a", re.sub(r"%[YymdHMS]", "9", fmt))
-    return re.sub("9+", "9", shape), [x or y for x, y in fields]
-
-
-def _table() -> Column:
-    """The formats as an array of structs: shape, and the places of their parts; -1 for parts that they don't have."""
-    rows = []
-    for fmt, _ in DATE_FORMATS:
-        wanted, fields = shape_of(fmt)
-        if fmt == "%Y%m%d":
-            fields = ["Y", "m", "d"]
-        place = lambda *names: next((fields.index(n) for n in names if n in fields), -1)  # noqa: B023, E731
-        rows.append(
-            f"named_struct('format', '{fmt}', 'late', {str(fmt in MONTH_FIRST).lower()}, 'shape', '{wanted}', 'y', {place('Y', 'y')}, 'digits', {4 if 'Y' in fields else 2}, 'm', {place('m')}, "
-            f"'word', {place('b', 'B')}, 'long', {str('B' in fields).lower()}, 'd', {place('d')}, 't', {place('T')}, 'h', {place('H')}, 'mi', {place('M')}, 's', {place('S')})"
-        )
-    return F.expr(f"array({', '.join(rows)})")
-
-
-def _candidate(parts: Column, f: Column) -> Column:
-    """(format, month first, y, m, d, seconds of the day) of a text of the format's shape; parts that are too long are null."""
-    part = lambda name: F.get(parts, f[name])
-    number = lambda name: F.when(f[name] < 0, 0).when(F.length(part(name)) <= 2, part(name).try_cast("int"))
-    short = F.array_position(rng.literals([m[:3] for m in _MONTHS]), F.lower(F.substring(part("word"), 1, 3))).cast("int")
-    month = F.when(f["word"] < 0, number("m")).when(F.when(f["long"], F.lower(part("word")).isin(*_MONTHS)).otherwise(F.length(part("word")) == 3), short)
-    year = F.when(F.length(part("y")) == f["digits"], part("y").try_cast("int"))
-    year = F.when(f["digits"] == 4, year).otherwise(year + F.when(year >= 69, 1900).otherwise(2000))
-    clock = F.when((number("h") < 24) & (number("mi") < 60) & (number("s") < 60) & ((f["t"] < 0) | (part("t") == "T")), number("h") * 3600 + number("mi") * 60 + number("s"))
-    return F.struct(f["format"].alias("format"), f["late"].alias("late"), year.alias("y"), month.alias("m"), number("d").alias("d"), clock.alias("clock"))
-
-
-def _valid(c: Column) -> Column:
-    y, m = c["y"], c["m"]
-    last = F.when(m.isin(4, 6, 9, 11), 30).when(m != 2, 31).when((y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0)), 29).otherwise(28)
-    return F.coalesce(y.between(1800, 2200) & m.between(1, 12) & c["d"].between(1, last) & c["clock"].isNotNull(), F.lit(False))
-
-
-def _seconds(c: Column) -> Column:
-    """Days from civil date, in whole numbers, then seconds."""
-    y = c["y"] - F.when(c["m"] <= 2, 1).otherwise(0)
-    of_year = F.floor((153 * F.pmod(c["m"] + 9, F.lit(12)) + 2) / 5) + c["d"] - 1
-    days = 365 * y + F.floor(y / 4) - F.floor(y / 100) + F.floor(y / 400) + of_year - 719468
-    return (days.cast("long") * 86400 + c["clock"]).cast("long")
+_FIELDS = {
+    "Y": r"(\d{4})", "y": r"(\d{2})", "m": r"(\d{1,2})", "d": r"(\d{1,2})", "b": f"({'|'.join(m[:3] for m in _MONTHS)})", "B": f"({'|'.join(_MONTHS)})",
+    "H": r"([01]?\d|2[0-3])", "M": r"([0-5]?\d)", "S": r"([0-5]?\d)",
+}
+
+
+def _pattern(fmt: str) -> tuple[str, list[str]]:
+    """What texts of a format match, and the fields of its groups."""
+    if fmt == "%Y%m%d":
+        return _TOGETHER, ["Y", "m", "d"]
+    body = re.sub(r"%(.)| |[^%]", lambda m: _FIELDS[m[1]] if m[1] else r"\s+" if m[0] == " " else re.escape(m[0]), fmt)
+    return f"^{'(?i)' if 'b' in fmt.lower() else ''}{body}$", re.findall("%(.)", fmt)
+
+
+def _day(v: Column, fmt: str) -> Column:
+    """The day of a text that matches the format's pattern; null if there is no such day."""
+    pattern, fields = _pattern(fmt)
+    group = lambda *names: next(f"${i + 1}" for i, x in enumerate(fields) if x in names)
+    year = F.regexp_replace(v, pattern, group("Y", "y"))
+    if "y" in fields:
+        year = F.concat(F.when(year >= "69", "19").otherwise("20"), year)
+    if set(fields) & {"b", "B"}:
+        name = F.lower(F.substring(F.regexp_replace(v, pattern, group("b", "B")), 1, 3))
+        month = ((F.instr(F.lit("".join(m[:3] for m in _MONTHS)), name) + 2) / 3).cast("int").cast("string")
+        written = F.concat_ws("-", year, month, F.regexp_replace(v, pattern, group("d")))
+    elif "y" in fields:
+        written = F.concat_ws("-", year, F.regexp_replace(v, pattern, f"{group('m')}-{group('d')}"))
+    else:
+        written = F.regexp_replace(v, pattern, f"{group('Y')}-{group('m')}-{group('d')}")
+    return written.try_cast("date")
+
+
+def _clock(v: Column, fmt: str) -> Column:
+    pattern, fields = _pattern(fmt)
+    if "H" not in fields:
+        return F.lit(0).cast("long")
+    number = lambda name: F.regexp_extract(v, pattern, fields.index(name) + 1).cast("long") if name in fields else F.lit(0)
+    return number("H") * 3600 + number("M") * 60 + number("S")
 
 
 def parse_date(v: Column, month_first: Column | bool = False) -> Column:
     """(format, seconds since 1970) by the first format that fits; null if none does.
 
-    month_first: whether formats with the month first are tried before the others.
+    month_first: whether formats with the month first are tried before the others. A format's texts are told by a
+    pattern; formats that differ in the order of day and month alone have one, so it decides between two at most.
     """
-    together = F.filter(F.array(*(F.regexp_extract(v, _TOGETHER, i) for i in (1, 2, 3))), lambda x: x != "")
-    parts = F.when(F.size(together) == 3, together).otherwise(F.regexp_extract_all(v, F.lit(r"(\d+|\p{L}+)"), F.lit(1)))
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(v, r"\s+", " "), r"\d+", "9"), r"\p{L}+", "a")
     late = month_first if isinstance(month_first, Column) else F.lit(month_first)
+    # as a function of one value the choice stays out of generated code, for which it is too long
+    return F.get(F.transform(F.array(v), lambda x: _parsed(x, late)), F.lit(0))
+
 
-    def tried(bound: Column) -> Column:
-        alike = F.filter(_table(), lambda f: f["shape"] == bound["shape"])
-        every = F.filter(F.transform(alike, lambda f: _candidate(bound["parts"], f)), _valid)
-        best = F.coalesce(F.when(late, F.get(F.filter(every, lambda c: c["late"]), F.lit(0))), F.get(every, F.lit(0)))
-        return F.get(F.transform(F.array(best), lambda c: F.when(c.isNotNull(), F.struct(c["format"].alias("format"), _seconds(c).alias("seconds")))), F.lit(0))
+def _parsed(v: Column, late: Column) -> Column:
 
+    def read(fmt: str) -> Column:
+        found = lambda day: F.struct(F.lit(fmt).alias("format"), (F.unix_date(day).cast("long") * 86400 + _clock(v, fmt)).alias("seconds"))
+        known = lambda day: (day >= F.lit("1800-01-01").cast("date")) & (day <= F.lit("2200-12-31").cast("date"))
+        return F.get(F.transform(F.array(_day(v, fmt)), lambda day: F.when(known(day), found(day))), F.lit(0))
+
+    swapped = {fmt: re.sub("%([md])", lambda m: "%d" if m[1] == "m" else "%m", fmt) for fmt in MONTH_FIRST}
+    signs = ("/", ".", "-", ",", "")  # a text of a format has the signs that the format has
+    groups: dict[str, list[Column]] = {sign: [] for sign in signs}
+    for fmt, _ in DATE_FORMATS:
+        if swapped.get(fmt) in PATTERN:
+            continue  # with its other order
+        found = read(fmt)
+        other = next((x for x, y in swapped.items() if y == fmt), None)
+        if other:
+            found = F.when(late, F.coalesce(read(other), found)).otherwise(F.coalesce(found, read(other)))
+        groups[next(x for x in signs if x in fmt)].append(F.when(v.rlike(_pattern(fmt)[0]), found))
     likely = F.length(v).between(6, 30) & v.rlike(r"^[\p{L}\p{N}].*\d")
-    return F.when(likely, F.get(F.transform(F.array(F.struct(shape.alias("shape"), parts.alias("parts"))), tried), F.lit(0)))
+    of = F.coalesce(*groups[""])
+    for sign in reversed(signs[:-1]):
+        of = F.when(F.contains(v, F.lit(sign)), F.coalesce(*groups[sign])).otherwise(of)
+    return F.when(likely, of)
 
 
 _SLASHED = r"^(\d{1,2})[/.-](\d{1,2})[/.-]\d{2,4}"

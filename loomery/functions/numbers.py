@@ -16,14 +16,23 @@ def is_number(v: Column) -> Column:
 
 
 def parse_number(v: Column) -> Column:
-    """(value, format) with format "currency|thousands|decimals|width with leading zeros|percent"; null if it isn't one."""
-    whole, fraction = F.regexp_extract(v, NUMBER, 3), F.regexp_extract(v, NUMBER, 4)
-    plain = F.regexp_replace(whole, ",", "")
-    value = F.concat(F.when(F.regexp_extract(v, NUMBER, 1) == "-", "-").otherwise(""), F.when(plain == "", "0").otherwise(plain), F.when(fraction == "", "").otherwise(F.concat(F.lit("."), fraction)))
+    """(value, format) with format "currency|thousands|decimals|width with leading zeros|percent"; null if it isn't one.
+
+    One match takes the text apart: its five parts, separated, behind a mark that no number begins with.
+    """
     flag = lambda c: F.when(c, "1").otherwise("0")
-    padded = F.when((F.length(plain) > 1) & plain.startswith("0"), F.length(plain)).otherwise(0)
-    kind = F.concat_ws("|", flag(F.regexp_extract(v, NUMBER, 2) == "$"), flag(F.contains(whole, F.lit(","))), F.length(fraction).cast("string"), padded.cast("string"), flag(F.regexp_extract(v, NUMBER, 5) == "%"))
-    return F.when(is_number(v), F.struct(value.cast("double").alias("value"), kind.alias("format")))
+
+    def read(x: Column) -> Column:
+        sign, currency, whole, fraction, percent = (F.get(x, F.lit(i)) for i in range(5))
+        plain = F.translate(whole, ",", "")
+        value = F.concat(F.when(sign == "\x01-", "-").otherwise(""), F.when(plain == "", "0").otherwise(plain), F.when(fraction == "", "").otherwise(F.concat(F.lit("."), fraction)))
+        padded = F.when((F.length(plain) > 1) & plain.startswith("0"), F.length(plain)).otherwise(0)
+        kind = F.concat_ws("|", flag(currency == "$"), flag(F.contains(whole, F.lit(","))), F.length(fraction).cast("string"), padded.cast("string"), flag(percent == "%"))
+        return F.when((whole != "") | (fraction != ""), F.struct(value.cast("double").alias("value"), kind.alias("format")))
+
+    likely = v.rlike(r"^[+$.\d-]") & v.rlike(r"[\d%]$")
+    apart = F.when(likely, F.split(F.regexp_replace(v, NUMBER, "\x01$1|$2|$3|$4|$5"), r"\|"))
+    return F.get(F.transform(F.array(apart), lambda x: F.when(F.get(x, F.lit(0)).startswith("\x01"), read(x))), F.lit(0))
 
 
 def format_number(value: Column, kind: str) -> Column:

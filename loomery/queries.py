@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomery.functions import dates, numbers, providers, rng, shape
@@ -36,6 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _once(parsed: Column) -> Column:
+    """The fields of a struct as columns, worked out once a row; rows where it is null are left out."""
+    return F.inline(F.array_compact(F.array(parsed)))
+
+
 def _u(column: str, draw: object = 0, seed: int = 42, row: str = "i") -> str:
     """rng.uniform in SQL."""
     return f"(('0x' || substr(md5('{seed}|{column}|{draw}|' || {row}), 1, 8))::BIGINT / 4294967296.0)"
@@ -184,8 +189,8 @@ def parse_number_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("l_linenumber") % 4
     v = F.when(k == 0, F.concat(F.lit("$"), F.format_number(F.col("l_partkey") * 37, 0), F.lit(".5"))).when(k == 1, F.lpad(F.col("l_suppkey").cast("string"), 7, "0"))
     v = v.when(k == 2, F.concat(F.lit("-"), F.col("l_partkey").cast("string"), F.lit(".25%"))).otherwise(F.concat(F.lit("x"), F.col("l_partkey").cast("string")))
-    parsed = table(spark, sf_dir, "lineitem").select(v.alias("v")).select(numbers.parse_number(F.col("v")).alias("p")).filter("p is not null")
-    return parsed.groupBy("p.format").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("p.value"), 2).alias("total"))
+    parsed = table(spark, sf_dir, "lineitem").select(v.alias("v")).select(_once(numbers.parse_number(F.col("v"))))
+    return parsed.groupBy("format").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
 _DATES = "CASE l_linenumber % 4 WHEN 0 THEN strftime(l_shipdate, '%Y-%m-%d') WHEN 1 THEN upper(strftime(l_shipdate, '%d%b%Y')) WHEN 2 THEN strftime(l_shipdate, '%b %d, %Y') ELSE 'soon' END"
@@ -197,8 +202,8 @@ def date_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates as they are written: their formats and moments."""
     k, d = F.col("l_linenumber") % 4, F.col("l_shipdate")
     v = F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.upper(F.date_format(d, "ddMMMyyyy"))).when(k == 2, F.date_format(d, "MMM dd, yyyy")).otherwise("soon")
-    parsed = table(spark, sf_dir, "lineitem").select(v.alias("v")).select(dates.parse_date(F.col("v")).alias("p")).filter("p is not null")
-    return parsed.groupBy("p.format").agg(F.count(F.lit(1)).alias("n"), F.min("p.seconds").alias("first"), F.max("p.seconds").alias("last"))
+    parsed = table(spark, sf_dir, "lineitem").select(v.alias("v")).select(_once(dates.parse_date(F.col("v"))))
+    return parsed.groupBy("format").agg(F.count(F.lit(1)).alias("n"), F.min("seconds").alias("first"), F.max("seconds").alias("last"))
 
 
 @query("""SELECT count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS pairs, round(avg((a <= b)::INT), 6) AS le, round(avg((a >= b)::INT), 6) AS ge
