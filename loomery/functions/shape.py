@@ -19,7 +19,7 @@ FREE = "\0"
 
 
 def strip(v: Column) -> Column:
-    return F.regexp_replace(v, r"^\s+|\s+$", "")
+    return F.btrim(v, F.lit(" \t\n\x0b\f\r"))
 
 
 def is_blank(v: Column) -> Column:

@@ -15,15 +15,19 @@ def unpivot(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def real_keys(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Distinct keys of all values that aren't blank in these columns."""
-    values = unpivot(df, columns).filter(~is_blank(F.col("value"))).distinct()
-    return values.select(F.explode(leak_keys(F.col("value"))).alias("key")).distinct()
+    """Keys of all values that aren't blank in these columns, each as often as it is there."""
+    values = unpivot(df, columns).filter(~is_blank(F.col("value")))
+    return values.select(F.explode(leak_keys(F.col("value"))).alias("key"))
 
 
-def leaked(candidates: DataFrame, keys: DataFrame, by: list[str], value: str = "value") -> DataFrame:
+def leaked(candidates: DataFrame, keys: DataFrame, by: list[str], value: str = "value", most: int = 1_000_000) -> DataFrame:
     """Distinct ``by`` of the candidates with a key among ``keys``, whatever column the real value was in.
 
-    The keys' side is reduced to those that candidates have at all, so that what comes back is small.
+    While candidates have ``most`` keys or fewer, the keys' hashes go to the tasks that read the real values, and no real value
+    moves unless its hash is there; more of them meet the real keys by a shuffle. The rows are the same.
     """
     wanted = candidates.filter(~is_blank(F.col(value))).select(*by, F.explode(leak_keys(F.col(value))).alias("key"))
-    return wanted.join(keys, "key", "left_semi").select(*by).distinct()
+    asked = wanted.select(F.xxhash64("key").alias("asked")).distinct()
+    if asked.count() <= most:
+        keys = keys.join(F.broadcast(asked), F.xxhash64("key") == F.col("asked"), "left_semi")
+    return wanted.join(keys.distinct(), "key", "left_semi").select(*by).distinct()

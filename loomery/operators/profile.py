@@ -71,10 +71,16 @@ def long_form(df: DataFrame, columns: list[str], order: str) -> DataFrame:
 
 
 def strided(long: DataFrame, most: int = SUBSET) -> DataFrame:
-    """Every n-th value of each column, in order, ``most`` at most."""
-    full = long.filter(F.col("v").isNotNull())
-    sizes = full.groupBy("col").agg(F.count(F.lit(1)).alias("n"))
-    numbered = full.withColumn("r", F.row_number().over(W.partitionBy("col").orderBy("i")) - 1).join(F.broadcast(sizes), "col")  # a row for each column
+    """Every n-th value of each column, in order, ``most`` at most.
+
+    ``i`` grows by partition, as monotonically_increasing_id does: values are numbered within one, and on from one to the next.
+    """
+    full = long.filter(F.col("v").isNotNull()).withColumn("part", F.shiftright("i", 33))
+    parts = full.groupBy("col", "part").agg(F.count(F.lit(1)).alias("size"))
+    whole = W.partitionBy("col")
+    parts = parts.withColumn("n", F.sum("size").over(whole)).withColumn("before", F.sum("size").over(whole.orderBy("part")) - F.col("size")).drop("size")
+    numbered = full.withColumn("r", F.row_number().over(W.partitionBy("col", "part").orderBy("i")) - 1).join(parts, ["col", "part"])
+    numbered = numbered.withColumn("r", F.col("r") + F.col("before")).drop("before", "part")
     step = F.greatest(F.lit(1), F.floor(F.col("n") / most))
     return numbered.filter((F.col("r") % step == 0) & (F.col("r") / step < most)).drop("r", "n")
 

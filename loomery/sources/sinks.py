@@ -85,11 +85,16 @@ def write_csv(df: DataFrame, target: str | Path) -> Path:
 
 
 def write_parquet(df: DataFrame, target: str | Path) -> Path:
-    """One Parquet file with the DataFrame's types, also if it has no rows."""
+    """One Parquet file with the DataFrame's types, also if it has no rows.
+
+    All tasks make rows; then one copies what they wrote into one file.
+    """
     target = Path(target)
     with _apart(target) as folder:
-        df.coalesce(1).write.parquet(str(folder))
-        os.replace(_parts(folder)[0], target)
+        df.write.parquet(str(folder / "made"))
+        made = df.sparkSession.read.schema(df.schema).parquet(str(folder / "made"))
+        made.coalesce(1).write.parquet(str(folder / "whole"))
+        os.replace(_parts(folder / "whole")[0], target)
     return target
 
 
