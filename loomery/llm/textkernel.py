@@ -47,7 +47,7 @@ class Hasher:
 
     def _powers(self, n: int) -> None:
         if len(self.up) < n:
-            n = 1 << max(n - 1, STEP).bit_length()
+            n = max(n + n // 8, STEP + 1)
             for name, base in (("up", self.base), ("down", self.inverse)):
                 p = np.full(n, base, _U)
                 p[0] = 1

@@ -99,7 +99,7 @@ def odd_documents(buf: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends
 
 
 class _Table:
-    """Ids of known pieces by two 64-bit hashes: sorted runs, merged as they grow, and one array of all ids."""
+    """Ids of known pieces by 96 bits of hash: sorted runs, merged as they grow, and one array of all ids."""
 
     def __init__(self, kind: np.dtype, most: int):
         self.most, self.n, self.used = most, 0, 0
@@ -111,7 +111,7 @@ class _Table:
         place, size, left = np.zeros(len(one), np.int64), np.zeros(len(one), np.int64), np.arange(len(one))
         for keys, seconds, places, sizes in self.runs:
             at = np.minimum(np.searchsorted(keys, one[left]), len(keys) - 1)
-            there = (keys[at] == one[left]) & (seconds[at] == two[left])
+            there = (keys[at] == one[left]) & (seconds[at] == two[left].astype(np.uint32))
             place[left[there]], size[left[there]] = places[at[there]], sizes[at[there]]
             left = left[~there]
         return place, size, left
@@ -124,12 +124,13 @@ class _Table:
         self.used += len(ids)
         return self.used - len(ids)
 
-    def add(self, *run: np.ndarray) -> None:
-        """Know the pieces of ``run``, in the order of their first hashes, whose ids are in ``flat``."""
-        self.n += len(run[0])
+    def add(self, one: np.ndarray, two: np.ndarray, place: np.ndarray, size: np.ndarray) -> None:
+        """Know these pieces, in the order of their first hashes, whose ids are in ``flat``."""
+        self.n += len(one)
+        run: tuple[np.ndarray, ...] = one, two.astype(np.uint32), place.astype(np.uint32), size.astype(np.uint32)
         while self.runs and 2 * len(run[0]) >= len(self.runs[-1][0]):
             run = tuple(map(np.concatenate, zip(self.runs.pop(), run)))
-            order = np.argsort(run[0])
+            order = np.argsort(run[0]).astype(np.uint32)
             run = tuple(x[order] for x in run)
         self.runs.append(run)
 
@@ -273,7 +274,7 @@ def _provisional(folder: str, path: Callable[[], str], end: int, special_as_text
                 null = np.asarray(doc.is_null()).astype(np.uint8)
                 doc = doc.fill_null(0).to_numpy().astype("<i8")
                 buf, offsets = tk.text_buffer(batch.column(1))
-                for i, j in tk.steps(offsets, 4 * tk.STEP):
+                for i, j in tk.steps(offsets):
                     ids, sizes = pieces.ids(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                     ids = np.insert(ids, np.cumsum(sizes), end)
                     sizes = sizes + 1
