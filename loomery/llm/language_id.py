@@ -62,9 +62,8 @@ def family_of(lang: str) -> str:
 def features(texts: pa.Array) -> Iterator[np.ndarray]:
     """Rows of features, some documents at a time."""
     buf, offsets = tk.text_buffer(pc.utf8_lower(texts))
-    codes = _CODE[buf].astype(np.uint32)
     for i, j in tk.steps(offsets):
-        part, at = codes[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        part, at = _CODE[buf[offsets[i] : offsets[j]]].astype(np.uint32), offsets[i : j + 1] - offsets[i]
         n = j - i
         counts = np.zeros(n * DIM + 1)
         doc = np.repeat(np.arange(n, dtype=np.int64) * DIM, np.diff(at))
