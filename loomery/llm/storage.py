@@ -14,7 +14,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomery.llm.files import open_folder
+
 _OWN: list[str] = []
+#: Intermediate tables of this process, which go when it ends.
+_TABLES: list[str] = []
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -33,9 +37,24 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/loomery/{name}-{uuid.uuid4().hex}"
 
 
+def _remove_tables() -> None:
+    for path in _TABLES:
+        try:
+            store, inside = open_folder(path)
+            store.delete_dir(inside)
+        except (OSError, ValueError):  # gone already, or in a store that only Spark reads
+            pass
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: it is computed once and its lineage ends here."""
+    """Write ``df`` to the shared folder and read it back: it is computed once and its lineage ends here.
+
+    The table is there until the driver's process ends.
+    """
     path = shared_folder(df.sparkSession, name)
+    if not _TABLES:
+        atexit.register(_remove_tables)
+    _TABLES.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
