@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomery.functions.keys import leak_keys
+from loomery.functions.names import named
 from loomery.functions.shape import is_blank
 
 
 def unpivot(df: DataFrame, columns: list[str]) -> DataFrame:
     """(value) of all cells of these columns."""
-    return df.select(F.explode(F.array(*(F.col(f"`{c}`").cast("string") for c in columns))).alias("value"))
+    return df.select(F.explode(F.array(*(named(c).cast("string") for c in columns))).alias("value"))
 
 
 def real_keys(df: DataFrame, columns: list[str]) -> DataFrame:

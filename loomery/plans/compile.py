@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomery.functions.names import named
 from loomery.functions import providers, rng
 from loomery.plans.spec import ColumnSpec, DatasetSpec, SchemaError
 
@@ -119,7 +120,7 @@ def compile_spec(spark: SparkSession, spec: DatasetSpec, rows: int | None = None
         if missing:
             raise SchemaError(f"the reference has no column {', '.join(missing)}")
     for i, c in enumerate(passing):
-        head = source.select(F.col(f"`{c.params['source_column']}`").alias(f"_v{i}")).limit(reference_limit).filter(F.col(f"_v{i}").isNotNull())
+        head = source.select(named(c.params["source_column"]).alias(f"_v{i}")).limit(reference_limit).filter(F.col(f"_v{i}").isNotNull())
         pool = head.select(f"_v{i}", (F.row_number().over(W.orderBy(F.monotonically_increasing_id())) - 1).cast("long").alias(f"_n{i}"))
         size = pool.count()
         if not size:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomery.functions.names import named
 from loomery.plans.compile import open_reference
 from loomery.plans.spec import ColumnSpec, DatasetSpec, SchemaError, dump_schema
 from loomery.session import session
@@ -41,7 +42,7 @@ def slice_rows(df: DataFrame, rows: int, offset: int = 0) -> DataFrame:
 
 def value_counts(df: DataFrame, columns: list[str], most: int) -> DataFrame:
     """(column, value, n, share) of the columns' values, the most frequent first, ``most`` for each."""
-    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns))).alias("x")).select("x.*")
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), named(c).cast("string").alias("value")) for c in columns))).alias("x")).select("x.*")
     counted = long.filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(W.partitionBy("column"))
     ranked = counted.withColumn("share", F.round(F.col("n") / total, 6)).withColumn("place", F.row_number().over(W.partitionBy("column").orderBy(F.desc("n"), "value")))
@@ -56,11 +57,11 @@ def infer_schema(source: str | Path, columns: list[str] | None = None, rows: int
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"{source} has no column {', '.join(missing)}")
-    part = slice_rows(df.select(*(F.col(f"`{c}`") for c in columns)), rows, row_offset).persist()
+    part = slice_rows(df.select(*(named(c) for c in columns)), rows, row_offset).persist()
     kinds = {f.name: f.dataType for f in part.schema.fields}
     wanted: list[Column] = []
     for i, c in enumerate(columns):
-        x, kind = F.col(f"`{c}`"), kinds[c]
+        x, kind = named(c), kinds[c]
         wanted.append(F.count(x).alias(f"n{i}"))
         wanted.append(F.count_distinct(x.cast("string")).alias(f"d{i}"))
         if isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomery.functions.names import named as column
 from loomery.sources.sniff import PARQUET_SUFFIXES, TEXT_SUFFIXES, TextFormat, header_of, sniff_format
 
 BROKEN = "_broken"
@@ -67,7 +68,7 @@ def open_parquet(spark: SparkSession, path: str | Path) -> Source:
     df = spark.read.parquet(str(path))
     out, unsupported = [], []
     for i, f in enumerate(df.schema.fields):
-        text = _as_text(F.col(f"`{f.name}`"), f.dataType)
+        text = _as_text(column(f.name), f.dataType)
         if text is None:
             unsupported.append(f.name)
         out.append((F.lit(None).cast("string") if text is None else text).alias(named(i)))

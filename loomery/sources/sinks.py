@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomery.functions.names import named
 from loomery.sources.sniff import TextFormat
 
 _QUOTED = '[{delimiter}"\\r\\n]'
@@ -59,7 +60,7 @@ def write_text(df: DataFrame, names: list[str], form: TextFormat, target: str |
     """One text file in this format. Tasks write the lines; the parts are then put together in order."""
     target = Path(target)
     with _apart(target) as folder:
-        line = csv_line([F.col(f"`{c}`") for c in df.columns], form.delimiter, form.quote_all)
+        line = csv_line([named(c) for c in df.columns], form.delimiter, form.quote_all)
         df.select(line.alias("value")).write.text(str(folder), lineSep=form.line_end)
         whole = folder / "_whole"
         with open(whole, "wb") as out:

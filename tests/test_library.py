@@ -161,6 +161,16 @@ def test_infer(spark, tmp_path):
     assert (part.params["min"], part.params["max"]) == (90, 99)
 
 
+def test_columns_with_odd_names(spark, tmp_path):
+    odd = ["a`b", "c.d", "e f", "g\"h"]
+    pq.write_table(pa.table({n: [f"{n}{k % 3}" for k in range(9)] for n in odd}), tmp_path / "odd.parquet")
+    found = infer_schema(tmp_path / "odd.parquet", rows=9, threshold=5).spec
+    assert {c.name: sorted(c.params["values"]) for c in found.columns} == {n: [f"{n}{k}" for k in range(3)] for n in odd}
+    s = spec(tmp_path, *(ColumnSpec(n, "passthrough", params={"source_column": n}) for n in odd), rows=20)
+    assert {r[0] for r in compile_spec(spark, s, reference=str(tmp_path / "odd.parquet")).collect()} == {"a`b0", "a`b1", "a`b2"}
+    assert generate_dataset(found, tmp_path / "out", rows=6)["rows"] == 6 and list(read(tmp_path / "out" / "synthetic.csv")[0]) == odd
+
+
 def test_stream(spark):
     from loomery.streaming import generate_stream
 
