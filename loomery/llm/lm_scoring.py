@@ -371,7 +371,7 @@ def _ask(model, head, sent):
         task, number = TaskContext.get().partitionId(), 0
         for batch in batches:
             buf, offsets = tk.text_buffer(batch.column(1))
-            for i, j in tk.steps(offsets, 4 * tk.STEP):
+            for i, j in tk.steps(offsets, 2 * tk.STEP):
                 yield _batch(_PACKED, rows(task, number, batch.column(0)[i:j], buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
                 number += 1
 
