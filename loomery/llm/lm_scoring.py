@@ -1,13 +1,13 @@
 r"""Language-model scoring with a log-frequency Bloom filter.
 
-Counting. Word and word-pair counts of all training documents are gathered in two steps: tasks count what they
-read and send packed, sorted (key, count) blocks to the bucket that each key's hash names, where blocks merge.
-A frequent pair is one entry per block, however often it occurs.
+Reading. A task cuts its documents into blocks of about ``FLUSH`` tokens. A block's distinct words and pairs, each with its count in
+texts to learn from, go to the buckets that their hashes name, packed and once a block; so no word or pair travels once for each
+of its occurrences, and none is hot. What each token is stays in a file of the block. Texts are read once, whatever their number.
 
 Filter. A count c has level 1 + floor(log(c) / log(base)). A key of level q is inserted q times, as (key, 1) to
 (key, q), so a count is read back by probing levels upwards until one is missing; errors only ever raise a level.
-The filter holds all words, and pairs seen ``pair_least`` times or more; it has ``bits`` bits for each insertion, however many
-there are, in one segment for each bucket.
+The filter holds all words, and pairs seen ``pair_least`` times or more, in one segment for each bucket, which has ``bits`` bits for
+each insertion, however many there are. A segment is made where its bucket is merged, probed there for all that blocks have sent, and gone.
 
 Model. p(w | v) = (a(v, w) + b(v) p(w)) / (s(v) + b(v)). a is a pair's decoded count less the discount, s(v) the sum of a over
 the pairs of v in the filter, and b(v) what v's pairs have left: the discount of each pair in the filter, and all of each rarer one.
@@ -16,11 +16,9 @@ probability of the one class of unseen words, as in the base score. So the proba
 context sum to one but for the filter's false finds. s and b are exact sums over decoded counts. Contexts are the word before, or the
 start of the text; those whose hashes agree in the upper 32 bits share their pairs. Tokens are words with A-Z lower-cased, then one end.
 
-Scoring. A task cuts its documents into blocks, probes the filter for their words and pairs, and knows the counts and sums of the
-words that are at least one in ``head`` of all tokens, ``head`` words at most. It settles the tokens for which that suffices. For the others it sends each distinct word of a block once to the word's bucket, packed, and
-gets back the word's exact count and its sums; no word travels once for each of its occurrences, so none is hot.
-The filter is broadcast up to ``most_mb`` MB. A larger one stays in its buckets: then the pairs and words of blocks
-travel there too, are probed there, and levels come back. Scores are the same either way.
+Scoring. Buckets answer each block in the order of what it sent: the levels of its pairs, and the counts, levels and sums of its words.
+The answers of all buckets meet by block, where the block's file is read and its tokens are scored. Nothing that grows with the
+input reaches the driver or is broadcast. The answers are as many as buckets times blocks, so blocks are large.
 
 Null texts count as empty: one token, the end. A null doc_id has the remainder of an empty text. Without training
 tokens every word is unseen, u is 1/2, and so is the probability of every token. Rows are scored one by one, so repeated ones have equal rows each.
@@ -33,22 +31,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomery.llm import files
 from loomery.llm import textkernel as tk
-from loomery.llm.storage import buckets_for, materialise, prepare_workers
+from loomery.llm.storage import buckets_for, materialise, prepare_workers, shuffle_partitions, temporary_folder
 
 _U = np.uint64
 END, START = (int(x) for x in tk.numbers(404, 2))
-HASHES, FLUSH = 4, 1_500_000
+HASHES, FLUSH = 4, 1 << 20
 _HASHERS: list[tk.Hasher] = []
-_KEYS = [("bucket", pa.int32()), ("words", pa.binary()), ("word_counts", pa.binary()), ("pairs", pa.binary()), ("pair_counts", pa.binary())]
+_KEYS = [("bucket", pa.int32()), ("block", pa.int64()), ("words", pa.binary()), ("word_counts", pa.binary()), ("pairs", pa.binary()), ("pair_counts", pa.binary())]
 _FIGURES = [("n_words", pa.int64()), ("n_tokens", pa.int64()), ("n_once", pa.int64()), ("n_value", pa.float64()), ("inserts", pa.int64())]
-_CONTEXTS = [("contexts", pa.binary()), ("sums", pa.binary()), ("rests", pa.binary())]
 #: What travels between blocks and buckets.
 _PACKED = [("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("k", pa.binary()), ("x", pa.binary()), ("y", pa.binary()), ("z", pa.binary())]
-_VOCABULARY, _SUMS, _SEGMENT, _REQUEST, _REPLY, _BLOCK = range(6)
+_VOCABULARY, _SUMS, _CELL, _REPLY = range(4)
 _SCORES = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 
 
@@ -65,22 +64,26 @@ def remainder(doc_id: Column, divisor: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(divisor))
 
 
-def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all tokens and of the tokens before them, and each document's first token (one more at the end)."""
+def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, and each document's number of them."""
     if not _HASHERS:
         _HASHERS.append(tk.Hasher(44, lower=True))
     starts, ends, first = tk.words(buf, offsets)
     h = np.insert(_HASHERS[0](buf, starts, ends), first[1:], _U(END))
-    first = first + np.arange(len(first))
-    before = np.empty_like(h)
-    before[1:] = h[:-1]
-    before[first[:-1]] = _U(START)
-    return h, before, first
+    return h, np.diff(first) + 1
 
 
-def pair_keys(before: np.ndarray, h: np.ndarray) -> np.ndarray:
+def before(of: np.ndarray, sizes: np.ndarray, start) -> np.ndarray:
+    """What stands before each token of documents of these sizes; start: before the first ones."""
+    out = np.empty_like(of)
+    out[1:] = of[:-1]
+    out[np.cumsum(sizes) - sizes] = start
+    return out
+
+
+def pair_keys(past: np.ndarray, h: np.ndarray) -> np.ndarray:
     """The upper halves of both hashes; so a context's pairs are neighbours when sorted."""
-    return (before & _U(0xFFFFFFFF00000000)) | (h >> _U(32))
+    return (past & _U(0xFFFFFFFF00000000)) | (h >> _U(32))
 
 
 def word_bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -92,6 +95,22 @@ def pair_bucket(pairs: np.ndarray, buckets: int) -> np.ndarray:
     return tk.mix(pairs) % _U(buckets)
 
 
+def in_buckets(pairs: np.ndarray, buckets: int) -> np.ndarray:
+    """Keys that stand for pairs one to one, and whose order is that of the pairs' buckets (a power of two of them)."""
+    b = _U(buckets.bit_length() - 1)
+    m = tk.mix(pairs)
+    return (m >> b) | (m << (_U(64) - b))
+
+
+def out_of_buckets(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The pairs that such keys stand for."""
+    b = _U(buckets.bit_length() - 1)
+    h = (keys << b) | (keys >> (_U(64) - b))
+    h = (h ^ (h >> _U(31)) ^ (h >> _U(62))) * _U(pow(0x94D049BB133111EB, -1, 1 << 64))
+    h = (h ^ (h >> _U(27)) ^ (h >> _U(54))) * _U(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+    return h ^ (h >> _U(30)) ^ (h >> _U(60))
+
+
 def _dealt(keys: np.ndarray, place: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The order that puts keys into their buckets' order, and where each bucket begins in it."""
     order = np.argsort(place, kind="stable")
@@ -107,34 +126,56 @@ def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[at], *(np.add.reduceat(x[order], at) for x in values)
 
 
-def _count(buckets: int):
-    def flush(words: list, pairs: list) -> pa.RecordBatch:
-        blocks = []
-        for kept, bucket in ((words, word_bucket), (pairs, pair_bucket)):
-            keys, counts = np.unique(np.concatenate(kept), return_counts=True)
-            order, at = _dealt(keys, bucket(keys, buckets), buckets)
-            blocks.append((keys[order], counts[order].astype("<u4"), at))
-        rows = []
-        for b in range(buckets):
-            parts = [x[at[b] : at[b + 1]].tobytes() for keys, counts, at in blocks for x in (keys, counts)]
-            if parts[0] or parts[2]:
-                rows.append((b, *parts))
-        return _batch(_KEYS, rows)
+def _store(folder: str, block: int, content: tuple) -> None:
+    raw = pickle.dumps(content, 5)
+    files.put(folder, str(block), [len(raw).to_bytes(8, "little"), pa.compress(raw, codec="zstd", asbytes=True)])
+
+
+def _stored(folder: str, block: int) -> tuple:
+    with files.reading(folder, str(block)) as f:
+        raw = f.read()
+    return pickle.loads(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True))
+
+
+def _cut(buckets: int, folder: str):
+    """Blocks of documents: a file of each, and its distinct words and pairs with their counts in texts to learn from."""
+
+    def flush(block: int, held: list) -> pa.RecordBatch:
+        ids, null, sizes, train, h = (np.concatenate(x) for x in zip(*held))
+        held.clear()  # memory matters here
+        learn = np.repeat(train, sizes)
+        words, now, n = np.unique(h, return_inverse=True, return_counts=True)
+        often = np.argsort(-n)  # small numbers for frequent words: the file shrinks
+        rank = np.empty(len(words), np.uint32)
+        rank[often] = np.arange(len(words))
+        now, words = rank[now], np.append(words[often], _U(START))
+        _store(folder, block, (ids, null, sizes, words, np.ascontiguousarray(now.view(np.uint8).reshape(-1, 4).T)))
+        n = np.bincount(now, learn, len(words)).astype("<u4")
+        order, word_at = _dealt(words, word_bucket(words, buckets), buckets)
+        pairs, back = np.unique(in_buckets(pair_keys(before(h, sizes, _U(START)), h), buckets), return_inverse=True)
+        m = np.bincount(back, learn, len(pairs)).astype("<u4")
+        pair_at = np.append(np.searchsorted(pairs, np.arange(buckets, dtype=_U) << _U(65 - buckets.bit_length())), len(pairs))
+        parts = [(words[order], word_at), (n[order], word_at), (pairs, pair_at), (m, pair_at)]
+        some = np.flatnonzero(np.diff(word_at) + np.diff(pair_at))
+        return _batch(_KEYS, [(b, block, *(x[at[b] : at[b + 1]].tobytes() for x, at in parts)) for b in some.tolist()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs, held = [], [], 0
+        from pyspark import TaskContext
+
+        block, held, n = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            buf, offsets = tk.text_buffer(batch.column(0))
+            docs, train = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
+            ids, null = docs.fill_null(0).to_numpy().copy(), docs.is_null().to_numpy(zero_copy_only=False)
+            buf, offsets = tk.text_buffer(batch.column(1))
             for i, j in tk.steps(offsets):
-                h, before, _ = tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                words.append(h)
-                pairs.append(pair_keys(before, h))
-                held += len(h)
-                if held >= FLUSH:
-                    yield flush(words, pairs)
-                    words, pairs, held = [], [], 0
+                h, sizes = tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                held.append((ids[i:j], null[i:j], sizes, train[i:j], h))
+                n += len(h)
+                if n >= FLUSH:
+                    yield flush(block, held)
+                    block, n = block + 1, 0
         if held:
-            yield flush(words, pairs)
+            yield flush(block, held)
 
     return run
 
@@ -150,25 +191,39 @@ def level_values(base: float, most: int = 120) -> np.ndarray:
     return np.where(q > 0, (low + np.maximum(high, low)) / 2, 0.0)
 
 
-def _merge(pair_least: int, discount: float, base: float):
-    fields = [*_KEYS, *_CONTEXTS, *_FIGURES]
+def _merge(buckets: int, pair_least: int, discount: float, base: float, bits: float):
+    """One bucket's words with counts and levels, sums of its pairs' contexts, and for each block its words' places and its pairs' levels."""
+    fields, value = [*_PACKED, *_FIGURES], level_values(base)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        def merged(name: str) -> tuple[np.ndarray, np.ndarray]:
+        def merged(name: str) -> tuple[np.ndarray, ...]:
             keys = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column(name + "s")]
-            counts = [np.frombuffer(x.as_buffer(), "<u4").astype(np.int64) for x in table.column(name + "_counts")]
-            return _sums(np.concatenate(keys), np.concatenate(counts))
-
-        words, n = merged("word")
-        pairs, m = merged("pair")
-        value, in_filter = level_values(base), m >= pair_least
-        gain = np.where(in_filter, np.maximum(value[levels_of(m, base)] - discount, 0), 0)
-        rest = np.where(in_filter, np.minimum(value[levels_of(m, base)], discount), m)
-        contexts, gain, rest = _sums(pairs & _U(0xFFFFFFFF00000000), gain, rest)
-        pairs, m = pairs[in_filter], m[in_filter]
-        figures = [len(words), int(n.sum()), int((n == 1).sum()), float(value[levels_of(n, base)].sum()), int(levels_of(n, base).sum() + levels_of(m, base).sum())]
-        row = (key[0].as_py(), words.tobytes(), n.tobytes(), pairs.tobytes(), m.tobytes(), contexts.tobytes(), gain.tobytes(), rest.tobytes(), *figures)
-        return pa.Table.from_batches([_batch(fields, [row])])
+            counts = [np.frombuffer(x.as_buffer(), "<u4") for x in table.column(name + "_counts")]
+            distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
+            return distinct, np.bincount(back, np.concatenate(counts), len(distinct)).astype(np.int64), back, np.cumsum([0, *map(len, keys)]).tolist()
+
+        bucket = key[0].as_py()
+        words, n, word_back, word_at = merged("word")
+        pairs, m, pair_back, pair_at = merged("pair")
+        pairs = out_of_buckets(pairs, buckets)
+        word_level, pair_level = levels_of(n, base), np.where(m >= pair_least, levels_of(m, base), 0)
+        inserts = int(word_level.sum() + pair_level.sum())
+        segment = Filter([], 1, (int(bits * inserts) >> 3) + 8)
+        set_bits(segment.data, words, word_level)
+        set_bits(segment.data, pairs, pair_level)
+        exact = value[pair_level]
+        gain, rest = np.maximum(exact - discount, 0), np.where(pair_level > 0, np.minimum(exact, discount), m)
+        contexts, gain, rest = _sums(*(x[m > 0] for x in (pairs & _U(0xFFFFFFFF00000000), gain, rest)))
+        figures = [int((n > 0).sum()), int(n.sum()), int((n == 1).sum()), float(value[word_level].sum()), inserts]
+        found = [segment.levels(x, np.zeros(len(x), _U)) for x in (words, pairs)]
+        rows = [
+            (_VOCABULARY, bucket, 0, words.tobytes(), n.tobytes(), found[0].tobytes(), None, *figures),
+            (_SUMS, bucket, 0, contexts.tobytes(), gain.tobytes(), rest.tobytes(), None, *[None] * len(figures)),
+        ]
+        places, levels = word_back.astype("<u4"), found[1][pair_back]
+        for i, block in enumerate(table.column("block").to_pylist()):
+            rows.append((_CELL, bucket, block, places[word_at[i] : word_at[i + 1]].tobytes(), levels[pair_at[i] : pair_at[i + 1]].tobytes(), None, None, *[None] * len(figures)))
+        return pa.Table.from_batches([_batch(fields, rows)])
 
     return run
 
@@ -197,28 +252,29 @@ def _send_sums(buckets: int):
     return run
 
 
-def _join_sums(buckets: int):
-    """The words of a bucket, sorted, with their counts and their sums as contexts."""
+def _answer(table: pa.Table) -> pa.Table:
+    """For each block, counts, levels and sums as contexts of its words in one bucket, in the order in which the block has them."""
+    kinds = table.column("kind").to_numpy()
+    columns = [table.column(c) for c in "kxy"]
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        words, counts, sums = [np.zeros(0, _U)], [np.zeros(0, np.int64)], []
-        for kind, k, x, y in zip(*(table.column(c) for c in ("kind", "k", "x", "y"))):
-            if kind.as_py() == _VOCABULARY:
-                words.append(np.frombuffer(k.as_buffer(), "<u8"))
-                counts.append(np.frombuffer(x.as_buffer(), "<i8"))
-            else:
-                sums.append([np.frombuffer(k.as_buffer(), "<u8"), np.frombuffer(x.as_buffer(), "<f8"), np.frombuffer(y.as_buffer(), "<f8")])
-        if int(word_bucket(np.array([START], _U), buckets)[0]) == key[0].as_py():
-            words.append(np.array([START], _U))
-            counts.append(np.zeros(1, np.int64))
-        words, counts = _sums(np.concatenate(words), np.concatenate(counts))
-        none = [np.zeros(0, _U), np.zeros(0), np.zeros(0)]
-        contexts, gain, rest = _sums(*(np.concatenate(x) for x in zip(none, *sums)))
-        at, there = _find(contexts, words & _U(0xFFFFFFFF00000000))
-        gain, rest = (np.where(there, np.append(x, 0.0)[at], 0.0) for x in (gain, rest))
-        return pa.Table.from_batches([_batch(_PACKED, [(_VOCABULARY, key[0].as_py(), 0, words.tobytes(), counts.tobytes(), gain.tobytes(), rest.tobytes())])])
+    def parts(kind: int, *types: str) -> Iterator[list[np.ndarray]]:
+        for i in np.flatnonzero(kinds == kind).tolist():
+            yield [np.frombuffer(c[i].as_buffer(), t) for c, t in zip(columns, types)]
 
-    return run
+    vocabulary = next(parts(_VOCABULARY, "<u8", "<i8", "u1"), None)
+    if vocabulary is None:  # sums of contexts that only hashes' upper halves name
+        return pa.Table.from_batches([_batch(_PACKED, [])])
+    words, counts, levels = vocabulary
+    none = [np.zeros(0, _U), np.zeros(0), np.zeros(0)]
+    contexts, gain, rest = _sums(*(np.concatenate(x) for x in zip(none, *parts(_SUMS, "<u8", "<f8", "<f8"))))
+    at, there = _find(contexts, words & _U(0xFFFFFFFF00000000))
+    there &= (counts > 0) | (words == _U(START))
+    gain, rest = (np.where(there, np.append(x, 0.0)[at], 0.0) for x in (gain, rest))
+    out = []
+    for i in np.flatnonzero(kinds == _CELL).tolist():
+        p = np.frombuffer(columns[0][i].as_buffer(), "<u4")
+        out.append((_REPLY, table.column("bucket")[i].as_py(), table.column("block")[i].as_py(), *(x[p].tobytes() for x in (counts, levels, gain, rest))))
+    return pa.Table.from_batches([_batch(_PACKED, out)])
 
 
 def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,18 +286,6 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.where(there, at, len(sorted_keys)), there
 
 
-def _head(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in zip(*batch.columns):
-                words, *values = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, ("<u8", "<i8", "<f8", "<f8")))
-                some = (values[0] >= least) | (words == _U(START))
-                if some.any():
-                    yield _batch([(c, pa.binary()) for c in "kxyz"], [tuple(v[some].tobytes() for v in (words, *values))])
-
-    return run
-
-
 def set_bits(out: np.ndarray, keys: np.ndarray, levels: np.ndarray) -> None:
     """Insert (key, 1) to (key, level) into the bytes of one segment."""
     bits = _U(len(out) * 8)
@@ -254,20 +298,6 @@ def set_bits(out: np.ndarray, keys: np.ndarray, levels: np.ndarray) -> None:
             h = h + step
 
 
-def _segments(size: int, base: float):
-    """A filter segment of ``size`` bytes from each bucket's words and pairs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bucket, *blocks in zip(*batch.columns):
-                out = np.zeros(size, np.uint8)
-                for keys, counts in zip(blocks[::2], blocks[1::2]):
-                    set_bits(out, np.frombuffer(keys.as_buffer(), "<u8"), levels_of(np.frombuffer(counts.as_buffer(), "<i8"), base))
-                yield _batch(_PACKED, [(_SEGMENT, bucket.as_py(), 0, out.tobytes(), None, None, None)])
-
-    return run
-
-
 class Filter:
     """Log-frequency Bloom filter: ``buckets`` segments of ``size`` bytes each."""
 
@@ -314,158 +344,58 @@ class Model:
         return np.log10((counts + 1) / (self.n_tokens + self.n_words + 1))
 
 
-def _per_document(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(doc, values, n)
-
-
-def _ask(model, head, sent):
-    """Blocks with what is settled, and requests for what is not."""
-
-    def rows(task: int, number: int, docs: pa.Array, buf: np.ndarray, offsets: np.ndarray) -> list[tuple]:
-        lm, block, n = model.value, task << 32 | number, len(offsets) - 1
-        keys, counts, gains, rests = head.value
-        h, before, first = tokens(buf, offsets)
-        doc = np.repeat(np.arange(n, dtype=np.uint32), np.diff(first))
-        words, back = np.unique(np.concatenate([h, before]), return_inverse=True)
-        now, past = back[: len(h)], back[len(h) :]
-        at, known = _find(keys, words)
-        c, gain, rest = (np.append(x, 0)[at] for x in (counts, gains, rests))
-        kept = {"n": n, "n_tokens": np.diff(first)}
-        if sent is None:
-            open_ = np.arange(len(h))
-            distinct, which = np.unique(pair_keys(before, h), return_inverse=True)
-            to, begin = _dealt(distinct, pair_bucket(distinct, lm.buckets), lm.buckets)
-            place = np.empty(len(distinct), np.uint32)
-            place[to] = np.arange(len(distinct))
-            kept["pair"], pairs = place[which], distinct[to]
-            kept["n_known"], kept["plain"], kept["score"] = np.zeros(n), np.zeros(n), np.zeros(n)
-        else:
-            word_level = sent.value.levels(words, word_bucket(words, lm.buckets))
-            pair = pair_keys(before, h)
-            pair = sent.value.levels(pair, pair_bucket(pair, lm.buckets))
-            settled = known[now] & known[past]
-            open_, done = np.flatnonzero(~settled), np.flatnonzero(settled)
-            w, v = now[done], past[done]
-            p = lm.probability(word_level[w], pair[done], gain[v], rest[v])
-            kept["n_known"], kept["plain"], kept["score"] = (_per_document(x, doc[done], n) for x in (c[w] > 0, lm.plain(c)[w], np.log10(p)))
-            kept["pair"], pairs, begin = pair[open_], np.zeros(0, _U), np.zeros(lm.buckets + 1, np.int64)
-        # the words of open tokens: those of the head first, then the others in the order of their buckets
-        used = np.zeros(len(words), bool)
-        used[now[open_]] = used[past[open_]] = True
-        mine, asked = np.flatnonzero(used & known), np.flatnonzero(used & ~known)
-        to, start = _dealt(words[asked], word_bucket(words[asked], lm.buckets), lm.buckets)
-        asked = asked[to]
-        place = np.zeros(len(words), np.uint32)
-        place[mine], place[asked] = np.arange(len(mine)), len(mine) + np.arange(len(asked))
-        kept |= {"doc": doc[open_], "now": place[now[open_]], "past": place[past[open_]], "c": c[mine], "gain": gain[mine], "rest": rest[mine]}
-        if sent is not None:
-            kept["level"] = word_level[np.concatenate([mine, asked])]
-        ids = docs.fill_null(0).to_numpy(), np.asarray(docs.is_null())
-        out = [(_BLOCK, 0, block, pickle.dumps((ids, kept), 5), None, None, None)]
-        some = np.flatnonzero(np.diff(start) + np.diff(begin))
-        return out + [(_REQUEST, b, block, words[asked[start[b] : start[b + 1]]].tobytes(), pairs[begin[b] : begin[b + 1]].tobytes(), None, None) for b in some.tolist()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        task, number = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            buf, offsets = tk.text_buffer(batch.column(1))
-            for i, j in tk.steps(offsets, 2 * tk.STEP):
-                yield _batch(_PACKED, rows(task, number, batch.column(0)[i:j], buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
-                number += 1
-
-    return run
-
-
-def _answer(buckets: int, size: int):
-    """Replies of one bucket: counts, sums and, where the segment is here, levels; in the order of the requests."""
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        kinds = table.column("kind").to_numpy()
-        words, counts, gains, rests = np.zeros(0, _U), np.zeros(1, np.int64), np.zeros(1), np.zeros(1)
-        columns = [table.column(c) for c in ("block", "k", "x", "y", "z")]
-        for i in np.flatnonzero(kinds == _VOCABULARY).tolist():
-            words, *values = (np.frombuffer(c[i].as_buffer(), kind) for c, kind in zip(columns[1:], ("<u8", "<i8", "<f8", "<f8")))
-            counts, gains, rests = (np.append(x, 0) for x in values)
-        segment = next((Filter([(0, columns[1][i].as_buffer())], 1, size) for i in np.flatnonzero(kinds == _SEGMENT).tolist()), None)
-        out = []
-        for i in np.flatnonzero(kinds == _REQUEST).tolist():
-            asked, pairs = (np.frombuffer(columns[c][i].as_buffer(), "<u8") for c in (1, 2))
-            at, _ = _find(words, asked)
-            levels = [segment.levels(x, np.zeros(len(x), _U)) if segment else np.zeros(len(x), np.uint8) for x in (asked, pairs)]
-            figures = np.concatenate([gains[at], rests[at]]).tobytes()
-            out.append((_REPLY, key[0].as_py(), columns[0][i].as_py(), counts[at].tobytes(), figures, levels[0].tobytes(), levels[1].tobytes()))
-        return pa.Table.from_batches([_batch(_PACKED, out)])
-
-    return run
-
-
-def _finish(model, filter_sent: bool):
+def _finish(model, folder: str):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        lm, kinds = model.value, table.column("kind").to_numpy()
-        (ids, null), kept = pickle.loads(table.column("k")[int(np.flatnonzero(kinds == _BLOCK)[0])].as_py())
-        replies = table.filter(pa.array(kinds == _REPLY)).sort_by("bucket")
-        c, gain, rest, level, pair = [kept["c"]], [kept["gain"]], [kept["rest"]], [], []
-        for k, x, y, z in zip(*(replies.column(n) for n in "kxyz")):
-            c.append(np.frombuffer(k.as_buffer(), "<i8"))
-            figures = np.frombuffer(x.as_buffer(), "<f8").reshape(2, -1)
-            gain.append(figures[0])
-            rest.append(figures[1])
-            level.append(np.frombuffer(y.as_buffer(), np.uint8))
-            pair.append(np.frombuffer(z.as_buffer(), np.uint8))
-        c, gain, rest = (np.concatenate(x) for x in (c, gain, rest))
-        empty = np.zeros(0, np.uint8)
-        level = kept["level"] if filter_sent else np.concatenate([empty, *level])
-        pair = kept["pair"] if filter_sent else np.concatenate([empty, *pair])[kept["pair"]]
-        doc, now, past, n = kept["doc"], kept["now"], kept["past"], kept["n"]
-        p = lm.probability(level[now], pair, gain[past], rest[past])
-        known, plain, score = (kept[name] + _per_document(x, doc, n) for name, x in (("n_known", c[now] > 0), ("plain", lm.plain(c)[now]), ("score", np.log10(p))))
-        columns = [pa.array(ids, pa.int64(), mask=null), pa.array(kept["n_tokens"], pa.int64()), pa.array(known.astype(np.int64)), pa.array(plain), pa.array(score)]
+        lm, block = model.value, key[0].as_py()
+        ids, null, sizes, words, now = _stored(folder, block)
+        now = np.ascontiguousarray(now.T).view(np.uint32)[:, 0]
+        past = before(now, sizes, len(words) - 1)
+        pairs, back = np.unique(in_buckets(pair_keys(words[past], words[now]), lm.buckets), return_inverse=True)
+        kinds, table = table.column("kind"), table.select(["bucket", *"kxyz"])
+
+        def answers(kind: int, *types: str) -> list[np.ndarray]:
+            some = table.filter(pc.equal(kinds, kind)).sort_by("bucket")
+            return [np.concatenate([np.zeros(0, t), *(np.frombuffer(x.as_buffer(), t) for x in some.column(c))]) for c, t in zip("kxyz", types)]
+
+        (level,) = answers(_CELL, "u1")
+        replies = answers(_REPLY, "<i8", "u1", "<f8", "<f8")
+        if len(level) != len(pairs) or len(replies[0]) != len(words):
+            raise ValueError(f"block {block} has {len(pairs)} pairs and {len(words)} words, and answers for {len(level)} and {len(replies[0])}")
+        order = _dealt(words, word_bucket(words, lm.buckets), lm.buckets)[0]
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        c, single, gain, rest = (x[place] for x in replies)
+        p = lm.probability(single[now], level[back], gain[past], rest[past])
+        doc, n = np.repeat(np.arange(len(sizes)), sizes), len(sizes)
+        known, plain, score = (np.bincount(doc, x, n) for x in ((c > 0)[now], lm.plain(c)[now], np.log10(p)))
+        columns = [pa.array(ids, pa.int64(), mask=null), pa.array(sizes, pa.int64()), pa.array(known.astype(np.int64)), pa.array(plain), pa.array(score)]
         return pa.Table.from_arrays(columns, schema=pa.schema(_SCORES))
 
     return run
 
 
-def learn(documents: DataFrame, base: float, pair_least: int, discount: float, buckets: int):
-    """(merged counts by bucket, vocabulary by bucket, figures) of all rows of ``documents`` (text)."""
-    counted = documents.mapInArrow(_count(buckets), _ddl(_KEYS))
-    merged = counted.groupBy("bucket").applyInArrow(_merge(pair_least, discount, base), _ddl([*_KEYS, *_CONTEXTS, *_FIGURES]))
-    merged = materialise(merged, "counts")
-    sums = merged.select(*(k for k, _ in _CONTEXTS)).mapInArrow(_send_sums(buckets), _ddl(_PACKED))
-    none = F.lit(None).cast("binary")
-    words = merged.select(F.lit(_VOCABULARY).alias("kind"), "bucket", F.lit(0).cast("long").alias("block"), F.col("words").alias("k"), F.col("word_counts").alias("x"), none.alias("y"), none.alias("z"))
-    vocabulary = materialise(words.unionAll(sums).groupBy("bucket").applyInArrow(_join_sums(buckets), _ddl(_PACKED)), "vocabulary")
-    figures = merged.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c, _ in _FIGURES)).first()
-    return merged, vocabulary, figures
-
-
 def lm_scores(documents: DataFrame, train: Column, base: float = 1.5, discount: float = 0.5, pair_least: int = 2, bits: float = 12.0, most_mb: int = 96, head: int = 1 << 20) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of ``documents`` (doc_id, text).
 
     train: which rows to learn from. score: log10 of the model's probability of the text.
+    most_mb and head have no effect: they bounded what was broadcast, and nothing is any more.
     """
     spark = documents.sparkSession
-    sc = spark.sparkContext
     prepare_workers(spark)
-    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    buckets = buckets_for(documents)
-    merged, vocabulary, figures = learn(documents.filter(train).select(F.col("text").cast("string")), base, pair_least, discount, buckets)
-    size = (int(bits * figures.inserts) >> 3) // buckets + 8
-    segments = merged.select(*(k for k, _ in _KEYS)).mapInArrow(_segments(size, base), _ddl(_PACKED))
-    small = size * buckets <= most_mb << 20
-    sent = sc.broadcast(Filter([(r.bucket, r.k) for r in segments.select("bucket", "k").toLocalIterator()], buckets, size)) if small else None
-    lm = sc.broadcast(Model(base, discount, buckets, figures))
-    # at most ``head`` words are that frequent, whatever the documents
-    frequent = vocabulary.select("k", "x", "y", "z").mapInArrow(_head(max(1.0, figures.n_tokens / head)), "k binary, x binary, y binary, z binary").collect() if small else []
-    frequent = [np.concatenate([np.zeros(0, kind), *(np.frombuffer(r[c], kind) for r in frequent)]) for c, kind in enumerate(("<u8", "<i8", "<f8", "<f8"))]
-    order = np.argsort(frequent[0])
-    frequent = sc.broadcast(tuple(x[order] for x in frequent))
-    asked = materialise(docs.mapInArrow(_ask(lm, frequent, sent), _ddl(_PACKED)), "asked")
-    parts = vocabulary.unionAll(asked.filter(F.col("kind") == _REQUEST))
-    parts = parts if small else parts.unionAll(materialise(segments, "segments"))
-    replies = parts.groupBy("bucket").applyInArrow(_answer(buckets, size), _ddl(_PACKED))
-    out = asked.filter(F.col("kind") == _BLOCK).unionAll(replies).groupBy("block").applyInArrow(_finish(lm, small), _ddl(_SCORES))
+    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(train, F.lit(False)).alias("train"))
+    buckets, folder, none = buckets_for(documents, each_mb=8, each_partition=2), temporary_folder(spark, "blocks"), F.lit(None).cast("binary")
+    cells = docs.mapInArrow(_cut(buckets, folder), _ddl(_KEYS)).groupBy("bucket")
+    merged = materialise(cells.applyInArrow(_merge(buckets, pair_least, discount, base, bits), _ddl([*_PACKED, *_FIGURES])), "merged")
+    figures = merged.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c, _ in _FIGURES)).first()
+    merged = merged.select(*(c for c, _ in _PACKED))
+    sums = merged.filter(F.col("kind") == _SUMS).select("k", "x", "y").mapInArrow(_send_sums(buckets), _ddl(_PACKED))
+    own = merged.filter(F.col("kind") == _VOCABULARY).unionAll(merged.filter(F.col("kind") == _CELL).withColumn("x", none))
+    replies = own.unionAll(sums).groupBy("bucket").applyInArrow(_answer, _ddl(_PACKED))
+    levels = merged.filter(F.col("kind") == _CELL).withColumns({"k": F.col("x"), "x": none})
+    lm = spark.sparkContext.broadcast(Model(base, discount, buckets, figures))
+    # tasks by number: work goes with blocks, not with the bytes of their answers
+    answered = levels.unionAll(replies).repartition(shuffle_partitions(spark), "block")
+    out = answered.groupBy("block").applyInArrow(_finish(lm, folder), _ddl(_SCORES))
     return out.select("doc_id", "n_tokens", "n_known", F.lit(int(figures.n_tokens)).cast("long").alias("train_tokens"), "base_score", "score")
 
 

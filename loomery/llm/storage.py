@@ -46,15 +46,21 @@ def _remove_tables() -> None:
             pass
 
 
+def temporary_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name under ``spark.checkpoint.dir``; what is there goes when the driver's process ends."""
+    path = shared_folder(spark, name)
+    if not _TABLES:
+        atexit.register(_remove_tables)
+    _TABLES.append(path)
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: it is computed once and its lineage ends here.
 
     The table is there until the driver's process ends.
     """
-    path = shared_folder(df.sparkSession, name)
-    if not _TABLES:
-        atexit.register(_remove_tables)
-    _TABLES.append(path)
+    path = temporary_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -72,11 +78,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def buckets_for(documents: DataFrame, each_mb: int = 4, most: int = 1 << 16) -> int:
+def buckets_for(documents: DataFrame, each_mb: int = 4, most: int = 1 << 16, each_partition: int = 4) -> int:
     """Number of hash buckets: a power of two, some for each shuffle partition so that partitions even out, and more
     for large inputs, one for ``each_mb`` MB of what Catalyst takes the input's size to be (if it knows one)."""
     size = int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    least = max(4 * shuffle_partitions(documents.sparkSession), (size >> 20) // each_mb if 0 <= size < 1 << 50 else 0)
+    least = max(each_partition * shuffle_partitions(documents.sparkSession), (size >> 20) // each_mb if 0 <= size < 1 << 50 else 0)
     n = 32
     while n < min(least, most):
         n *= 2

@@ -4,10 +4,13 @@ import itertools
 import math
 import random
 import re
+import zlib
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from loomery.llm import decontaminate, pii, warc
+from loomery.llm import decontaminate, lm_scoring, pii, warc
 
 WORDS = [a + b for a in "ba ce di fo gu la me ni po ru".split() for b in "ba ce di fo gu la me ni po ru".split()]
 
@@ -196,3 +199,33 @@ def test_spans_equal_a_plain_version(spark):
                 out += t[at : int(s)] + f"<{kind.upper()}>"
             at = max(at, int(e))
         assert got[d].sanitised == (out + t[at:] if want[d] else None)
+
+
+def test_keys_in_the_order_of_buckets_stand_for_their_pairs():
+    pairs = np.random.default_rng(3).integers(0, 1 << 64, 5000, np.uint64)
+    for buckets in (32, 4096):
+        keys = lm_scoring.in_buckets(pairs, buckets)
+        assert (lm_scoring.out_of_buckets(keys, buckets) == pairs).all()
+        assert (np.diff(lm_scoring.pair_bucket(pairs[np.argsort(keys)], buckets).astype(np.int64)) >= 0).all()
+
+
+def test_a_model_of_any_size_reads_texts_once(spark):
+    rng = random.Random(6)
+    texts = [(i, " ".join(f"w{int(rng.paretovariate(0.5)) % 3000}" for _ in range(6000 if i % 50 else 60_000))) for i in range(200)]
+    counts = Counter(w for i, t in texts if zlib.crc32(str(i).encode()) % 7 != 2 for w in [*t.split(), None])
+    n = sum(counts.values())
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    # one task, and more tokens than a block has
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).select("doc_id", seen("text").alias("text"))
+    got = {r.doc_id: r for r in lm_scoring.lm_scores(docs, lm_scoring.remainder(F.col("doc_id"), 7) != 2, most_mb=0).collect()}
+    assert read.value == len(got) == len(texts) and sum(r.n_tokens for r in got.values()) > lm_scoring.FLUSH
+    for i, t in texts:
+        words, r = [*t.split(), None], got[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(words), sum(w in counts for w in words), n)
+        assert abs(r.base_score - sum(math.log10((counts[w] + 1) / (n + len(counts) + 1)) for w in words)) < 1e-6 * len(words)
