@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from loomery.llm import files
 from loomery.llm import textkernel as tk
 from loomery.llm.components import components
-from loomery.llm.storage import materialise, prepare_workers, quoted, shared_folder, shuffle_partitions, unused
+from loomery.llm.storage import lean, materialise, prepare_workers, quoted, shared_folder, shuffle_partitions, unused
 
 SALTS = 64
 _HASHERS: list[tk.Hasher] = []
@@ -246,7 +246,7 @@ def _classes(documents: DataFrame, n: int = 5, threshold: float = 0.8, recall: f
     bands, rows = choose_bands(threshold, recall)
     text = F.col("text").cast("string")
     docs = documents.select(F.col("doc_id").cast("long"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("copy"), text.alias("text"))
-    signed = materialise(docs.mapInArrow(_sign(n, bands, rows), "doc_id long, copy string, bands array<long>, bytes long"), "signed")
+    signed = materialise(docs.mapInArrow(lean(_sign(n, bands, rows)), "doc_id long, copy string, bands array<long>, bytes long"), "signed")
 
     # classes of equal texts; node is a short name of each
     full = signed.filter(F.size("bands") > 0)

@@ -25,9 +25,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomery.llm import textkernel as tk
-from loomery.llm.storage import materialise, prepare_workers
+from loomery.llm.storage import lean, materialise, prepare_workers
 
 DIM = 2048
+#: Bytes of text, and texts, whose features are made at a time.
+STEP, MOST = 1 << 18, 256
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is fo af lb fy yi",
     "romance": "fr es it pt ro ca gl oc la",
@@ -62,7 +64,7 @@ def family_of(lang: str) -> str:
 def features(texts: pa.Array) -> Iterator[np.ndarray]:
     """Rows of features, some documents at a time."""
     buf, offsets = tk.text_buffer(pc.utf8_lower(texts))
-    for i, j in tk.steps(offsets):
+    for i, j in tk.steps(offsets, STEP, MOST):
         part, at = _CODE[buf[offsets[i] : offsets[j]]].astype(np.uint32), offsets[i : j + 1] - offsets[i]
         n = j - i
         counts = np.zeros(n * DIM + 1)
@@ -141,15 +143,22 @@ class Model:
         return out.tolist(), score
 
 
-def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about a MB of text, so that copies of texts are small."""
     for batch in batches:
+        for i, j in tk.steps(tk.text_buffer(batch.column(place))[1]):
+            yield batch.slice(i, j - i)
+
+
+def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _parts(batches, 1):
         rows = [r.astype(np.float16).tobytes() for x in features(batch.column(1)) for r in x]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["lang", "x"])
 
 
 def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches, 1):
             text = batch.column(1)
             written = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             langs, scores = [], [np.zeros(0)]
@@ -180,7 +189,7 @@ def train(documents: DataFrame, learn: Column, per_language: int = 600, most_row
     picked = rows.join(share, F.col("lang") == F.col("of")).filter(dice < F.col("share"))
     place = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(78)), "id", F.xxhash64("text")))
     picked = picked.select("lang", "text", place.alias("place")).filter(F.col("place") <= each)
-    got = picked.select("lang", "text").mapInArrow(_featurise, "lang string, x binary").collect()
+    got = picked.select("lang", "text").mapInArrow(lean(_featurise), "lang string, x binary").collect()
     if not got:
         return None
     got.sort()
@@ -192,12 +201,12 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
     spark = documents.sparkSession
     prepare_workers(spark)
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return docs.mapInArrow(_predict(spark.sparkContext.broadcast(model)), "doc_id long, lang_pred string, score double")
+    return docs.mapInArrow(lean(_predict(spark.sparkContext.broadcast(model))), "doc_id long, lang_pred string, score double")
 
 
 def _keep(model, least: float, place: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches, place):
             text = batch.column(place)
             keep = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             scores = [model.value.predict(x)[1] for x in features(text)] if model.value is not None else []
@@ -212,7 +221,7 @@ def keep_identified(documents: DataFrame, model: Model | None, least: float = 0.
     spark = documents.sparkSession
     prepare_workers(spark)
     plain = documents.toDF(*(f"c{i}" for i in range(len(documents.columns))))  # whatever the columns' names
-    kept = plain.mapInArrow(_keep(spark.sparkContext.broadcast(model), least, documents.columns.index("text")), plain.schema)
+    kept = plain.mapInArrow(lean(_keep(spark.sparkContext.broadcast(model), least, documents.columns.index("text"))), plain.schema)
     return kept.toDF(*documents.columns)
 
 

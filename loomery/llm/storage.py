@@ -7,11 +7,14 @@ Everything that outlives one job is written to the shared folder that the sessio
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from loomery.llm.files import open_folder
@@ -74,6 +77,24 @@ def prepare_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *known])
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, for mapInArrow, that gives freed memory back to the system when a task ends.
+
+    Workers live on beside the executor's JVM, and Arrow and the C library would keep what their largest task took.
+    """
+
+    def leaner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim is not None:
+                trim(0)
+
+    return leaner
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -74,13 +74,14 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, at - at[0]
 
 
-def steps(offsets: np.ndarray, size: int = STEP) -> Iterator[tuple[int, int]]:
-    """Ranges of documents of about ``size`` bytes together."""
+def steps(offsets: np.ndarray, size: int = STEP, most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of documents of about ``size`` bytes together, ``most`` documents at most."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1)
-        yield i, min(j, n)
-        i = min(j, n)
+        j = min(j, n, i + (most or n))
+        yield i, j
+        i = j
 
 
 def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from loomery.llm import files
 from loomery.llm import textkernel as tk
-from loomery.llm.storage import materialise, prepare_workers, shared_folder, shuffle_partitions
+from loomery.llm.storage import lean, materialise, prepare_workers, shared_folder, shuffle_partitions
 
 MAGIC = b"LMTOK1\0\0"
 #: Ids of a block; a longer document is a block of its own.
@@ -400,7 +400,7 @@ def write_tokens(documents: DataFrame, path: Callable[[], str], end: int = 2, sp
     docs = documents.select(F.col("doc_id").cast("long"), text.alias("text"))
     keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64(F.coalesce("text", F.lit("")))]
     dealt = docs.repartitionByRange(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys)
-    tasks = materialise(dealt.mapInArrow(_provisional(folder, path, end, special_as_text), "task int, n long, ids binary, counts binary"), "token-counts")
+    tasks = materialise(dealt.mapInArrow(lean(_provisional(folder, path, end, special_as_text)), "task int, n long, ids binary, counts binary"), "token-counts")
     counts = tasks.select("ids", "counts").mapInArrow(_counts, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     ids = np.array([r.id for r in sorted(counts, key=lambda r: (-r.n, r.id))], np.int64)  # the vocabulary at most
     # a row for each file: how many ids are before it
@@ -408,7 +408,7 @@ def write_tokens(documents: DataFrame, path: Callable[[], str], end: int = 2, sp
     starts = tasks.select("task", before.alias("before"))
     starts = starts.repartition(shuffle_partitions(spark), "task")
     kind = np.dtype("<u2" if int(ids.max(initial=0)) < 1 << 16 and _small(path) else "<u4")
-    materialise(starts.mapInArrow(_recode(folder, kind, spark.sparkContext.broadcast(ids), file_bytes), "task int, before long"), "token-files")
+    materialise(starts.mapInArrow(lean(_recode(folder, kind, spark.sparkContext.broadcast(ids), file_bytes)), "task int, before long"), "token-files")
     return folder
 
 
@@ -430,7 +430,7 @@ def read_digests(spark, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the folder's files."""
     prepare_workers(spark)
     content = spark.read.format("binaryFile").option("pathGlobFilter", "*.lmtok").load(folder).select("content")
-    return content.mapInArrow(_digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return content.mapInArrow(lean(_digests), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def byte_bpe() -> str:
