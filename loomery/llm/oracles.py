@@ -43,6 +43,47 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes, array_to_string(letters,
 CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM b
 """
 
+SUFFIXES = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+g AS (SELECT doc_id, unnest(range(0, n - 199)) AS pos, h FROM d WHERE n >= 200),
+c AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY seq) AS times FROM (SELECT doc_id, pos, md5(substr(h, 2 * pos + 1, 400)) AS seq FROM g)),
+r AS (SELECT doc_id, pos, CASE WHEN pos > max(pos + 200) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS apart FROM c WHERE times > 1),
+s AS (SELECT doc_id, pos, sum(apart) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM r),
+x AS (SELECT doc_id, span, min(pos) AS low, max(pos) + 200 AS high FROM s GROUP BY ALL),
+k AS (SELECT d.doc_id, x.low, substr(d.h, 2 * coalesce(lag(high) OVER w, 0) + 1, 2 * (low - coalesce(lag(high) OVER w, 0))) AS part, substr(d.h, 2 * high + 1) AS rest, lead(low) OVER w IS NULL AS final
+  FROM d JOIN x USING (doc_id) WINDOW w AS (PARTITION BY d.doc_id ORDER BY x.low)),
+j AS (SELECT doc_id, count(*) AS n_spans, string_agg(part, '' ORDER BY low) || max(CASE WHEN final THEN rest ELSE '' END) AS kept FROM k GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, (d.n - length(coalesce(kept, h)) // 2)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN j USING (doc_id)
+"""
+
+#: The polynomial is that of zip files; a table entry is eight shifts of its byte.
+SPELLING = r"""
+WITH t AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(range(0, 8), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS crc),
+runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+b AS (SELECT *, hex(encode(concat(coalesce(doc_id::VARCHAR, 'null'), ':', run))) AS h FROM runs),
+c AS (SELECT run, n, xor(list_reduce(list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT), lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS dice FROM b, t),
+v AS (SELECT CASE WHEN dice % 97 = 0 THEN substr(run, 1, (dice % length(run))::INT) || substr(run, (dice % length(run))::INT + 2) ELSE run END AS word, n FROM c),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM v WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+x AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS short FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word AS word, b.word AS near, b.n AS near_n FROM x a JOIN x b ON a.i = b.i AND a.short = b.short AND a.word <> b.word
+  UNION SELECT x.word, w.word, w.n FROM x JOIN w ON x.short = w.word UNION SELECT w.word, x.word, x.n FROM x JOIN w ON x.short = w.word),
+s AS (SELECT word, count(*)::BIGINT AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n)::BIGINT AS near_n FROM p GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 2 * w.n THEN near END AS form, CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n FROM w LEFT JOIN s USING (word)),
+r AS (SELECT word, word AS root, 0 AS depth FROM f UNION ALL SELECT r.word, f.form, depth + 1 FROM r JOIN f ON r.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM f JOIN (SELECT word, arg_max(root, depth) AS root FROM r GROUP BY word) e USING (word)
+""".replace("WITH t", "WITH RECURSIVE t", 1)
+
+MIDDLES = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+e AS (SELECT doc_id, text, length(text)::BIGINT AS n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::BIGINT) AS dice FROM d),
+c AS (SELECT *, least(dice[1] % (n + 1), dice[2] % (n + 1)) AS low, greatest(dice[1] % (n + 1), dice[2] % (n + 1)) AS high,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR dice[3] % 100 >= 90 THEN 'plain' WHEN dice[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM e),
+p AS (SELECT *, substr(text, 1, low) AS prefix, substr(text, low + 1, high - low) AS middle, substr(text, high + 1) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN low END AS prefix_chars, CASE WHEN form <> 'plain' THEN high - low END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p
+"""
+
 
 def leaks(least: int = 11) -> str:
     """Benchmark passages in documents. Items shorter than a window, of which the test tables have none, are left out."""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomery.llm import decontaminate, jaccard_join, language_id, lm_scoring, mixing, oracles, pii, quality, substring_dedup, token_files, warc
+from loomery.llm import decontaminate, fill_in_middle, jaccard_join, language_id, lm_scoring, mixing, oracles, pii, quality, spelling, substring_dedup, suffix_dedup, token_files, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": jaccard_join.query,
         "op9_substring_dedup": substring_dedup.query,
         "op10_warc": warc.query,
+        "op11_suffix_dedup": suffix_dedup.query,
+        "op12_spelling": spelling.query,
+        "op13_fill_in_middle": fill_in_middle.query,
     }
 
 
@@ -31,4 +34,7 @@ def oracle_sql() -> dict[str, str]:
         "op8_jaccard_join": oracles.JACCARD,
         "op9_substring_dedup": oracles.SUBSTRINGS,
         "op10_warc": oracles.WARC,
+        "op11_suffix_dedup": oracles.SUFFIXES,
+        "op12_spelling": oracles.SPELLING,
+        "op13_fill_in_middle": oracles.MIDDLES,
     }

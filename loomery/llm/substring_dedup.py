@@ -173,12 +173,12 @@ def _mark(k: int):
             late = (d != d[group]) | (begin != begin[group])
             marked.append((d[late], prnt[row[late]], begin[late], np.ones(int(late.sum()), np.int64)))
         d, p, s, n = (np.concatenate(x) for x in zip(*marked))
-        return _runs(d, p, s, s + n - 1 + k)
+        return merged_runs(d, p, s, s + n - 1 + k)
 
     return run
 
 
-def _runs(d: np.ndarray, p: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.Table:
+def merged_runs(d: np.ndarray, p: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.Table:
     """One row per document: its word ranges [s, e), merged, as pairs of 32-bit integers."""
     schema = pa.schema([("id", pa.int64()), ("print", pa.int32()), ("ranges", pa.binary())])
     if not len(d):
