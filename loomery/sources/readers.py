@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomery.functions.names import named as column
+from loomery.sources import records
 from loomery.sources.sniff import PARQUET_SUFFIXES, TEXT_SUFFIXES, TextFormat, header_of, sniff_format
 
 BROKEN = "_broken"
@@ -28,6 +29,7 @@ class Source:
     text: TextFormat | None = None
     schema: T.StructType | None = None
     unsupported: list[str] = field(default_factory=list)
+    warnings: list[str] = field(default_factory=list)
 
     @property
     def kind(self) -> str:
@@ -43,7 +45,8 @@ class Source:
         """Rows, and those with more or fewer fields than the header, in one scan."""
         if self.text is None:
             return self.rows(), 0
-        got = self.data.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(BROKEN).isNotNull() & (F.length(named(0)) >= 0)).alias("ragged")).first()
+        every = F.max(F.hash(*(named(i) for i in range(len(self.columns)))))  # fields are only counted where all are read
+        got = self.data.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(BROKEN).isNotNull()).alias("ragged"), every).first()
         return got["n"], got["ragged"]
 
 
@@ -75,23 +78,38 @@ def open_parquet(spark: SparkSession, path: str | Path) -> Source:
     return Source(Path(path), df.columns, df.select(*out), schema=df.schema, unsupported=unsupported)
 
 
-def open_text(spark: SparkSession, path: str | Path, encoding: str | None = None, delimiter: str | None = None, has_header: bool = True) -> Source:
-    form = sniff_format(path, encoding, delimiter, has_header)
+def open_text(spark: SparkSession, path: str | Path, encoding: str | None = None, delimiter: str | None = None, has_header: bool = True, range_bytes: int = records.RANGE) -> Source:
+    """A text file. All its bytes decide the encoding, if none is given, and how it is read.
+
+    Lines are Spark's to read where they are records and quoted fields are quoted as a whole. Else tasks read the
+    records that begin in their ranges of ``range_bytes``; both ways give the same cells.
+    """
+    form, warnings = sniff_format(path, encoding, delimiter, has_header), []
+    wide = form.encoding.lower().startswith(("utf-16", "utf-32"))
+    seen = None if wide or ord(form.delimiter) > 127 else records.look(spark, path, form.delimiter, range_bytes)
+    if seen and seen.invalid >= 0 and form.encoding.startswith("utf-8"):
+        if encoding is None:
+            form.encoding = "cp1252" if seen.legacy else "latin-1"
+        warnings.append(f"byte {seen.invalid} isn't UTF-8; " + ("it is read as a replacement character" if encoding else f"the file is read as {form.encoding}"))
+    elif seen and encoding is None and form.encoding == "cp1252" and not seen.legacy:
+        form.encoding = "latin-1"
     columns = header_of(path, form)
+    if seen and not seen.plain:
+        return Source(Path(path), columns, records.read(spark, seen, form.encoding, len(columns), has_header), text=form, warnings=warnings)
     fields = [T.StructField(named(i), T.StringType()) for i in range(len(columns))]
     single = form.encoding.lower() in ("cp1252", "latin-1", "iso-8859-1", "windows-1252")
     known = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "ascii": "US-ASCII", "utf-16": "UTF-16", "utf-16-le": "UTF-16LE", "utf-16-be": "UTF-16BE"}
     charset = "ISO-8859-1" if single else known.get(form.encoding.lower(), form.encoding)
     reader = spark.read.schema(T.StructType([*fields, T.StructField(BROKEN, T.StringType())])).options(
         sep=form.delimiter, header=form.has_header, enforceSchema=True, quote='"', escape='"', encoding=charset, mode="PERMISSIVE", columnNameOfCorruptRecord=BROKEN,
-        multiLine=form.multi_line, maxCharsPerColumn=-1, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+        multiLine=seen is None, maxCharsPerColumn=-1, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )
     df = reader.csv(str(path))
     text = lambda c: F.coalesce(c, F.lit(""))
     if form.encoding.lower() in ("cp1252", "windows-1252"):
         text = lambda c: F.coalesce(F.translate(c, _CONTROLS, _MEANT), F.lit(""))
     data = df.select(*(text(F.col(named(i))).alias(named(i)) for i in range(len(columns))), BROKEN)
-    return Source(Path(path), columns, data, text=form)
+    return Source(Path(path), columns, data, text=form, warnings=warnings)
 
 
 def open_source(spark: SparkSession, path: str | Path, encoding: str | None = None, delimiter: str | None = None, has_header: bool = True) -> Source:

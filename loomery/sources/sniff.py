@@ -1,4 +1,7 @@
-"""What a text file looks like, from its beginning: encoding, delimiter, quoting, line ends, header."""
+"""What a text file looks like from its beginning: delimiter, quoting, line ends, header, and a first guess at the encoding.
+
+The guess is only settled by all of the file's bytes, see ``records``.
+"""
 
 from __future__ import annotations
 
@@ -23,7 +26,6 @@ class TextFormat:
     quote_all: bool
     line_end: str
     has_header: bool
-    multi_line: bool = False
 
     def describe(self) -> str:
         names = {"\t": "tab", ",": "comma", ";": "semicolon", "|": "pipe"}
@@ -70,7 +72,7 @@ def sniff_format(path: str | Path, encoding: str | None = None, delimiter: str |
     data = lines[1:] if has_header else lines
     quoted = data[:QUOTED_LINES]
     quote_all = bool(quoted) and all(x.startswith('"') and x.rstrip("\r\n").endswith('"') and len(x) > 1 for x in quoted)
-    return TextFormat(encoding, delimiter, quote_all, "\r\n" if "\r\n" in sample else "\n", has_header, any(x.count('"') % 2 for x in lines))
+    return TextFormat(encoding, delimiter, quote_all, "\r\n" if "\r\n" in sample else "\n", has_header)
 
 
 def header_of(path: str | Path, form: TextFormat) -> list[str]:

@@ -5,8 +5,6 @@ Most start from a table of contacts made of ``customer`` by expressions that Spa
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +16,8 @@ from loomery.plans.infer import infer_schema
 from loomery.plans.twin import generate, guard
 from loomery.queries import _MASK, query, table
 from loomery.sources import sinks
-from loomery.sources.readers import open_source
+from loomery.sources.readers import open_source, open_text
+from loomery.sources.shared import local_folder
 from loomery.sources.sniff import TextFormat
 
 _K = "c_custkey"
@@ -221,8 +220,8 @@ _SAID = "s_name || CASE s_suppkey % 4 WHEN 0 THEN ' \"Ltée\"' WHEN 1 THEN ' a;b
 
 
 def _folder(spark: SparkSession) -> Path:
-    """A folder of this run's files; files of the library's readers and writers are the driver's."""
-    return Path(tempfile.mkdtemp(prefix="loomery-")) / uuid.uuid4().hex
+    """A folder of this run's files, which go at exit or with the shared folder."""
+    return local_folder(spark, "files")
 
 
 @query(f"SELECT form, format('{{:.2f}}', s_acctbal) AS balance, {_SAID} AS said, s_suppkey::VARCHAR AS id FROM supplier, (SELECT unnest([{', '.join(repr(f) for f in _FORMS)}]) AS form)")
@@ -240,6 +239,47 @@ def text_files_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+_LATE = "CASE WHEN o_orderkey > 0.9 * (SELECT max(o_orderkey) FROM orders) THEN 'two' || chr(10) || 'lines; \"' || o_orderstatus || '\"' || chr(13) || chr(10) ELSE o_orderpriority END"
+
+
+@query(f"SELECT o_orderkey::VARCHAR AS id, {_LATE} AS said, format('{{:.2f}}', o_totalprice) AS price FROM orders")
+def late_line_feeds_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file whose cells have line feeds and quotes only near its end, read by ranges of 64 KiB."""
+    orders = table(spark, sf_dir, "orders")
+    late = F.col("o_orderkey") > 0.9 * F.lit(orders.agg(F.max("o_orderkey")).first()[0])
+    said = F.when(late, F.concat(F.lit('two\nlines; "'), F.col("o_orderstatus"), F.lit('"\r\n'))).otherwise(F.col("o_orderpriority"))
+    rows = orders.select(F.col("o_orderkey").cast("string").alias("id"), said.alias("said"), F.format_string("%.2f", "o_totalprice").alias("price"))
+    source = open_text(spark, sinks.write_text(rows, rows.columns, TextFormat("utf-8", ";", False, "\n", True), _folder(spark) / "late.csv"), range_bytes=1 << 16)
+    return source.data.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(source.columns)))
+
+
+@query("""SELECT l_linenumber::BIGINT AS line, count(*) AS n, min(CASE WHEN l_orderkey % 1000 = 999 THEN 'café –' ELSE 'plain' END) AS said, sum(l_quantity)::BIGINT AS quantity, 'cp1252' AS encoding FROM lineitem GROUP BY 1""")
+def late_bytes_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file whose bytes stop being UTF-8 only after those that are: put in order so that they come last."""
+    late = F.col("l_orderkey") % 1000 == 999
+    rows = table(spark, sf_dir, "lineitem").orderBy(late, "l_orderkey", "l_linenumber").select(
+        F.col("l_linenumber").cast("string").alias("line"), F.col("l_quantity").cast("int").cast("string").alias("quantity"),
+        F.when(late, "café –").otherwise("plain").alias("said"), F.repeat(F.lit("-"), 80).alias("filler"),
+    )
+    source = open_source(spark, sinks.write_text(rows, rows.columns, TextFormat("cp1252", ";", False, "\n", True), _folder(spark) / "late.csv"))
+    read = source.data.groupBy(F.col("c0").cast("long").alias("line"))
+    return read.agg(F.count(F.lit(1)).alias("n"), F.min("c2").alias("said"), F.sum(F.col("c1").cast("long")).alias("quantity")).withColumn("encoding", F.lit(source.text.encoding))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (WHERE c_custkey % 7 IN (1, 2)) AS ragged, count(*) FILTER (WHERE c_custkey % 7 = 1) AS filled FROM customer")
+def ragged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a file, and those with fewer or more fields than its header."""
+    key = F.col("c_custkey")
+    fields = F.when(key % 7 == 1, F.array(key.cast("string"), "c_name")).otherwise(F.array(key.cast("string"), F.col("c_name"), F.col("c_mktsegment")))
+    fields = F.when(key % 7 == 2, F.array_append(fields, F.lit("more"))).otherwise(fields)
+    lines = table(spark, sf_dir, "customer").select(F.concat_ws("|", fields).alias("c0"))
+    path = sinks.write_text(lines, ["id|name|segment"], TextFormat("utf-8", "\t", False, "\n", True), _folder(spark) / "ragged.txt")
+    source = open_source(spark, path)
+    n, ragged = source.rows_and_ragged()
+    counted = source.data.agg(F.count_if(F.col("c2") == "").alias("filled"))
+    return counted.select(F.lit(n).cast("long").alias("n"), F.lit(ragged).cast("long").alias("ragged"), "filled")
+
+
 @query("SELECT o_orderstatus AS status, count(*) AS n, round(sum(o_totalprice), 2) AS total, min(o_orderkey) AS low, max(o_orderdate::DATE) AS last FROM orders GROUP BY 1")
 def typed_files_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Parquet file read as text, its texts turned to the file's types again, and written as one file."""
