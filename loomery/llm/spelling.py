@@ -2,8 +2,9 @@
 
 Rare-first prefix filter. One edit changes two bigrams of a word at most, so of the three bigrams of a word that are
 rarest in the whole vocabulary at least one is among the three rarest of every near word, and it is moved by one place
-at most. Words are joined on these bigrams only: with its place for words of the same length, with its place or the
-next for words that are one longer. Every pair that meets is verified.
+at most. Words are joined on these bigrams only, with their place for words of the same length, and with their place or
+the next for words that are one longer; the letters before or after such a bigram must be equal too, as there is one
+edit only. Every pair that meets is verified.
 
 Bigrams are ordered by the number of words that hold them, then by code points, so all words agree on the order. There
 are at most 90 letters, so 8,100 bigrams, which is what the driver and every task hold.
@@ -82,30 +83,50 @@ def bigram_ranks(words: DataFrame) -> dict[str, int]:
     return {r["gram"]: i for i, r in enumerate(sorted(counted.collect(), key=lambda r: (r["count"], r["gram"])))}
 
 
-def _rarest(ranks: dict[str, int], prefix: int):
+def meeting_keys(word: str, ranks: dict[str, int], asking: bool, prefix: int = 3, enough: int = 5) -> set[str]:
+    """What a word is found by, or asks for: its rarest bigrams with their place, and the letters beside them.
+
+    The one edit is before or after a bigram that both words have, so all letters on the other side are equal. Where
+    these and the bigram are fewer than ``enough``, the edit is in the first or the last half of the letters left, and
+    the other half is equal too. A word asks for words of its length ("=") and for words that are one longer ("+").
+    """
+    size, keys = len(word), set()
+    for _, p in nsmallest(prefix, [(ranks[word[i : i + 2]], i) for i in range(size - 1)]):
+        for side, equal, rest in (("<", word[: p + 2], word[p + 2 :]), (">", word[p:], word[:p])):
+            m = len(rest)
+            for more in ("=", "+"):
+                head = f"{side}{equal}{more}{size + (asking and more == '+')}"
+                m = len(rest) - (not asking and more == "+")  # letters left in the shorter word
+                if m < 0:
+                    continue
+                if len(equal) >= enough:
+                    keys.add(head)
+                else:
+                    keys |= {f"{head}<{rest[: m // 2]}", f"{head}>{rest[len(rest) - (m - m // 2) :]}"}
+    return keys
+
+
+def _meeting(ranks: dict[str, int], asking: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, counts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            found = [(w, n, g, p) for w, n in zip(words, counts) for g, p in nsmallest(prefix, [(ranks[w[i : i + 2]], i) for i in range(len(w) - 1)])]
-            columns = zip(*found) if found else ([], [], [], [])
-            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["word", "n", "gram", "place"])
+            keys = [list(meeting_keys(w, ranks, asking)) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.string()))], ["word", "n", "keys"])
 
-    return run
+    return lean(run)
 
 
 def near_words(words: DataFrame) -> DataFrame:
     """(a, a_n, b, b_n): all pairs of ``words`` (word, n; five letters or more) that one inserted, deleted or replaced letter tells apart, each once."""
     prepare_workers(words.sparkSession)
-    rare = words.select("word", "n").mapInArrow(_rarest(bigram_ranks(words), 3), "word string, n long, gram int, place int")
-    rare = rare.withColumn("size", F.length("word"))
-    asked = lambda place, more: F.struct((F.col("place") + place).alias("place"), (F.col("size") + more).alias("size"))
-    asking = rare.select(F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("size").alias("own"), "gram", F.explode(F.array(asked(0, 0), asked(0, 1), asked(1, 1))).alias("at"))
-    asking = asking.select("a", "a_n", "own", "gram", "at.place", "at.size")
-    held = rare.select(F.col("word").alias("b"), F.col("n").alias("b_n"), "gram", "place", "size")
-    once = (F.col("own") < F.col("size")) | (F.col("a") < F.col("b"))
-    met = asking.join(held, ["gram", "place", "size"]).filter(once & (F.levenshtein("a", "b", 1) == 1))
-    return met.select("a", "a_n", "b", "b_n").distinct()
+    ranks = bigram_ranks(words)
+
+    def met(asking: bool, name: str) -> DataFrame:
+        keys = words.select("word", "n").mapInArrow(_meeting(ranks, asking), "word string, n long, keys array<string>")
+        return keys.select(F.col("word").alias(name), F.col("n").alias(f"{name}_n"), F.explode("keys").alias("key")).withColumn("key", F.xxhash64("key"))
+
+    once = (F.length("a") < F.length("b")) | (F.col("a") < F.col("b"))
+    found = met(True, "a").join(met(False, "b"), "key").filter(once & (F.levenshtein("a", "b", 1) == 1))
+    return found.select("a", "a_n", "b", "b_n").distinct()
 
 
 def roots(forms: DataFrame, rounds: int = 7) -> DataFrame:
