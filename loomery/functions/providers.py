@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -21,6 +22,8 @@ class Draws:
 
 
 PROVIDERS: dict[str, Callable[..., Column]] = {}
+#: For each provider, from its keyword arguments: how many values each of its draws may take, by the draw's name.
+PARTS: dict[str, Callable[..., dict[str, int]]] = {}
 
 
 def provider(f: Callable[..., Column]) -> Callable[..., Column]:
@@ -29,6 +32,21 @@ def provider(f: Callable[..., Column]) -> Callable[..., Column]:
     return f
 
 
+def made_of(parts: Callable[..., dict[str, int]]) -> Callable:
+    """Register what a provider's values are made of, so that its columns can be unique."""
+
+    def register(f: Callable[..., Column]) -> Callable[..., Column]:
+        PARTS[f.__name__] = parts
+        return f
+
+    return register
+
+
+def parts(name: str, kwargs: dict | None = None) -> dict[str, int] | None:
+    """The sizes of a provider's draws; their product is the number of its values. None if it isn't known."""
+    return PARTS[name](**(kwargs or {})) if name in PARTS else None
+
+
 def is_known(name: str) -> bool:
     return name in PROVIDERS
 
@@ -40,67 +58,80 @@ def call(name: str, draws: Draws, kwargs: dict | None = None) -> Column:
 
 
 @provider
+@made_of(lambda: {"first": len(words.FIRST)})
 def first_name(d: Draws) -> Column:
     return rng.pick(d("first"), words.FIRST)
 
 
 @provider
+@made_of(lambda: {"last": len(words.LAST)})
 def last_name(d: Draws) -> Column:
     return rng.pick(d("last"), words.LAST)
 
 
 @provider
+@made_of(lambda: {"first": len(words.FIRST), "last": len(words.LAST)})
 def name(d: Draws) -> Column:
     return F.concat_ws(" ", first_name(d), last_name(d))
 
 
 @provider
+@made_of(lambda: {"first": len(words.FIRST), "last": len(words.LAST), "number": 100, "domain": len(words.MAIL)})
 def email(d: Draws) -> Column:
     return F.concat(F.lower(first_name(d)), F.lit("."), F.lower(last_name(d)), rng.index(d("number"), 100).cast("string"), F.lit("@"), free_email_domain(d))
 
 
 @provider
+@made_of(lambda: {"domain": len(words.MAIL)})
 def free_email_domain(d: Draws) -> Column:
     return rng.pick(d("domain"), words.MAIL)
 
 
 @provider
+@made_of(lambda: {"city": len(words.CITY), "city_end": len(words.CITY_END)})
 def city(d: Draws) -> Column:
     return F.concat(rng.pick(d("city"), words.CITY), rng.pick(d("city_end"), words.CITY_END))
 
 
 @provider
+@made_of(lambda: {"street": len(words.STREET), "street_end": len(words.STREET_END)})
 def street_name(d: Draws) -> Column:
     return F.concat_ws(" ", rng.pick(d("street"), words.STREET), rng.pick(d("street_end"), words.STREET_END))
 
 
 @provider
+@made_of(lambda: {"number": 9899, "street": len(words.STREET), "street_end": len(words.STREET_END)})
 def street_address(d: Draws) -> Column:
     return F.concat_ws(" ", (rng.index(d("number"), 9899) + 1).cast("string"), street_name(d))
 
 
 @provider
+@made_of(lambda: {"area": 800, "line": 10_000})
 def phone_number(d: Draws) -> Column:
     part = lambda name, n, size: F.lpad(rng.index(d(name), n).cast("string"), size, "0")
     return F.concat_ws("-", (rng.index(d("area"), 800) + 200).cast("string"), F.lit("555"), part("line", 10_000, 4))
 
 
 @provider
+@made_of(lambda: {"code": 100_000})
 def postcode(d: Draws) -> Column:
     return F.lpad(rng.index(d("code"), 100_000).cast("string"), 5, "0")
 
 
 @provider
+@made_of(lambda min=0, max=9999, step=1: {"int": (int(max) - int(min)) // int(step) + 1})
 def random_int(d: Draws, min: int = 0, max: int = 9999, step: int = 1) -> Column:
     return F.floor(d("int") * ((int(max) - int(min)) // int(step) + 1)).cast("long") * int(step) + int(min)
 
 
 @provider
+@made_of(lambda: {"int": 10})
 def random_digit(d: Draws) -> Column:
     return random_int(d, 0, 9)
 
 
 @provider
+@made_of(lambda min_value=0.0, max_value=1.0: {"float": 1 << 40})
 def pyfloat(d: Draws, min_value: float = 0.0, max_value: float = 1.0) -> Column:
     return d("float") * (float(max_value) - float(min_value)) + float(min_value)
 
@@ -111,6 +142,7 @@ def boolean(d: Draws, chance_of_getting_true: float = 50) -> Column:
 
 
 @provider
+@made_of(lambda: {"word": len(words.WORDS)})
 def word(d: Draws) -> Column:
     return rng.pick(d("word"), words.WORDS)
 
@@ -135,6 +167,7 @@ def text(d: Draws, max_nb_chars: int | Column = 200) -> Column:
 
 
 @provider
+@made_of(lambda start="1970-01-01", end="2024-12-31": {"date": (datetime.date.fromisoformat(end) - datetime.date.fromisoformat(start)).days + 1})
 def date(d: Draws, start: str = "1970-01-01", end: str = "2024-12-31") -> Column:
     first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
     return F.date_format(F.date_add(first, F.floor(d("date") * (F.datediff(last, first) + 1)).cast("int")), "yyyy-MM-dd")
@@ -148,5 +181,6 @@ def uuid4(d: Draws) -> Column:
 
 
 @provider
+@made_of(lambda: {"company": len(words.LAST), "kind": 4})
 def company(d: Draws) -> Column:
     return F.concat_ws(" ", rng.pick(d("company"), words.LAST), rng.pick(d("kind"), ["Ltd", "Inc", "Group", "Partners"]))

@@ -7,8 +7,11 @@ driver, and values only if they are shared by ``k`` rows at least.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -179,15 +182,30 @@ def kept_categories(counts: DataFrame, k: int) -> DataFrame:
     return counts.select("col", kind.alias("kind"), key.alias("key"), "n").groupBy("col", "kind", "key").agg(F.sum("n").alias("n"))
 
 
-def quantile_edges(values: DataFrame, by: str, value: str, bins: int = BINS) -> DataFrame:
-    """(by, place, edge): ``bins`` + 1 order statistics of each group, from the least to the greatest."""
-    w = W.partitionBy(by)
-    ranked = values.select(by, value, (F.row_number().over(w.orderBy(value)) - 1).alias("r"), F.count(F.lit(1)).over(w).alias("n"))
+def quantile_edges(values: DataFrame, by: str, value: str, bins: int = BINS, accuracy: int = 10_000) -> DataFrame:
+    """(by, place, edge): ``bins`` + 1 order statistics of each group, from the least to the greatest; nulls don't count.
+
+    A sketch of each group gives two bounds around every wanted rank. Values between two bounds are counted, the counts
+    summed up in order tell which ranges hold the wanted ranks, and only these are put in order, equal values as one:
+    about 4 / ``accuracy`` of the values for each rank, whatever their number. The bounds of all groups are broadcast,
+    2 * (bins + 1) numbers each, so groups should be few (columns of a file).
+    """
+    values = values.select(by, F.col(value).alias("x")).filter(F.col("x").isNotNull())
+    near = sorted({min(1.0, max(0.0, i / bins + e)) for i in range(bins + 1) for e in (-2 / accuracy, 2 / accuracy)})
+    bounds = values.groupBy(by).agg(F.percentile_approx("x", near, accuracy).alias("bounds"))
+    ranged = values.join(F.broadcast(bounds), by).select(by, "x", F.size(F.filter("bounds", lambda b: b <= F.col("x"))).alias("range"))
+    counted = ranged.groupBy(by, "range").agg(F.count(F.lit(1)).alias("size"))
+    group = W.partitionBy(by)  # over the counts, 2 * bins + 3 rows a group
+    counted = counted.select(by, "range", "size", F.sum("size").over(group).alias("n"), (F.sum("size").over(group.orderBy("range")) - F.col("size")).alias("before"))
     b = F.least(F.lit(bins), F.greatest(F.col("n") - 1, F.lit(1)))
     places = F.sequence(F.lit(0).cast("long"), F.when(F.col("n") > 1, b).otherwise(0).cast("long"))
-    at = F.transform(places, lambda i: F.struct(i.alias("place"), F.bround(i * (F.col("n") - 1) / b, 0).cast("long").alias("r")))
-    hit = F.filter(at, lambda x: x["r"] == F.col("r"))
-    return ranked.select(by, F.col(value).alias("edge"), F.explode(hit).alias("x")).select(by, "x.place", "edge")
+    wanted = F.transform(places, lambda i: F.struct(i.alias("place"), F.bround(i * (F.col("n") - 1) / b, 0).cast("long").alias("r")))
+    held = F.filter(wanted, lambda w: (w["r"] >= F.col("before")) & (w["r"] < F.col("before") + F.col("size")))
+    wanted = counted.select(by, "range", "before", held.alias("held")).filter(F.size("held") > 0)
+    few = ranged.join(F.broadcast(wanted), [by, "range"]).groupBy(by, "range", "before", "held", "x").agg(F.count(F.lit(1)).alias("times"))
+    up_to = F.sum("times").over(W.partitionBy(by, "range").orderBy("x")) + F.col("before")
+    hit = F.filter("held", lambda w: (w["r"] < F.col("up_to")) & (w["r"] >= F.col("up_to") - F.col("times")))
+    return few.withColumn("up_to", up_to).select(by, F.col("x").alias("edge"), F.explode(hit).alias("w")).select(by, "w.place", "edge")
 
 
 def fixed_characters(values: DataFrame, by: str, value: str, k: int) -> DataFrame:
@@ -197,36 +215,49 @@ def fixed_characters(values: DataFrame, by: str, value: str, k: int) -> DataFram
     return got.filter((F.col("ch") == F.col("other")) & (F.col("n") >= k) & F.col("ch").rlike(r"^[\p{L}\p{N}]$")).select(by, "mask", "place", "ch")
 
 
+def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each two columns, rows with both, and how often either is not after the other."""
+    sums: np.ndarray | None = None
+    for batch in batches:
+        table = np.column_stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in batch.columns])
+        sums = np.zeros((3, table.shape[1], table.shape[1]), np.int64) if sums is None else sums
+        for i in range(table.shape[1]):  # comparisons with what is missing are false
+            le, ge = table[:, i, None] <= table[:, i:], table[:, i, None] >= table[:, i:]
+            sums[:, i, i:] += np.stack([(le | ge).sum(axis=0), le.sum(axis=0), ge.sum(axis=0)])
+    if sums is not None:
+        a, b = np.triu_indices(sums.shape[1], 1)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, *sums[:, a, b])], ["a", "b", "n", "le", "ge"])
+
+
 def date_pairs(seconds: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: for each two date columns, rows that have both, and the share in which the first is not after the second, and the reverse."""
-    wanted = [F.median(c).alias(f"m_{c}") for c in columns]
-    for i, a in enumerate(columns):
-        for b in columns[i + 1 :]:
-            both = F.col(a).isNotNull() & F.col(b).isNotNull()
-            wanted += [F.count_if(both).alias(f"n_{a}_{b}"), F.avg((F.when(both, F.col(a) <= F.col(b))).cast("int")).alias(f"le_{a}_{b}"), F.avg((F.when(both, F.col(a) >= F.col(b))).cast("int")).alias(f"ge_{a}_{b}")]
-    return seconds.agg(*wanted)
+    """(a, b, n, le, ge): for each two columns, by number, rows that have both, and the shares in which the first is not after the second, and the reverse.
+
+    Tasks count all pairs of a batch of rows at once; what is shuffled is one row for each pair and task.
+    """
+    counts = seconds.select(*(F.col(c).cast("double") for c in columns)).mapInArrow(_orders, "a long, b long, n long, le long, ge long")
+    total = counts.groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in ("n", "le", "ge")))
+    return total.select("a", "b", "n", (F.col("le") / F.col("n")).alias("le"), (F.col("ge") / F.col("n")).alias("ge"))
 
 
 def date_groups(seconds: DataFrame, columns: list[str], least: int = 10, rate: float = 0.99) -> list[list[str]]:
     """Sets of date columns that keep an order, each from early to late."""
     if len(columns) < 2:
         return []
-    got = date_pairs(seconds, columns).first()
     parent = {c: c for c in columns}
 
     def root(c: str) -> str:
         return c if parent[c] == c else root(parent[c])
 
-    for i, a in enumerate(columns):
-        for b in columns[i + 1 :]:
-            n, le, ge = (got[f"{x}_{a}_{b}"] for x in ("n", "le", "ge"))
-            if n >= least and (le >= rate or ge >= rate) and not (le == 1 and ge == 1):
-                parent[root(b)] = root(a)
+    ordered = (F.col("le") >= rate) | (F.col("ge") >= rate)
+    linked = date_pairs(seconds, columns).filter((F.col("n") >= least) & ordered & ~((F.col("le") == 1) & (F.col("ge") == 1)))
+    for r in linked.orderBy("a", "b").collect():  # a row for each two columns at most
+        parent[root(columns[r["b"]])] = root(columns[r["a"]])
+    middle = seconds.agg(*(F.median(c).alias(c) for c in columns)).first()
     groups = defaultdict(list)
     for c in columns:
-        if got[f"m_{c}"] is not None:
+        if middle[c] is not None:
             groups[root(c)].append(c)
-    return [sorted(g, key=lambda c: got[f"m_{c}"]) for g in groups.values() if len(g) > 1]
+    return [sorted(g, key=lambda c: middle[c]) for g in groups.values() if len(g) > 1]
 
 
 def build_profiles(df: DataFrame, names: list[str], order: str, k: int = 5, category_threshold: int = 50, overrides: dict[str, str] | None = None) -> tuple[list[ColumnProfile], list[list[int]]]:

@@ -1,14 +1,17 @@
 """Specifications to DataFrames: one expression for each column over the row number.
 
-Values depend on (seed, column, row) alone. Unique columns draw without replacement, by a permutation of all values that
-the range or list has; they need at least as many values as rows.
+Values depend on (seed, column, row) alone; without a seed one is drawn. Unique columns draw without replacement, by a
+permutation of all values that the range, the list or the provider's parts together have; they need at least as many
+values as rows.
 """
 
 from __future__ import annotations
 
 import csv
-from math import gcd
+from dataclasses import replace
+from math import gcd, isqrt, prod
 from pathlib import Path
+from secrets import randbits
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +23,8 @@ from loomery.functions import providers, rng
 from loomery.plans.spec import ColumnSpec, DatasetSpec, SchemaError
 
 ROW = "_row"
+#: More numbers than this are permuted by stretches.
+LARGEST = 1 << 40
 
 
 def read_values(path: str | Path) -> list[str]:
@@ -30,14 +35,49 @@ def read_values(path: str | Path) -> list[str]:
         return [line.strip() for line in file if line.strip()]
 
 
-def permuted(row: Column, n: int, seed: Any, label: str) -> Column:
-    """Row numbers below n in another order: a linear map with a multiplier coprime to n."""
-    start = int.from_bytes(f"{seed}|{label}".encode(), "little") % max(n, 1)
-    a = max(1, int(n * 0.6180339887)) | 1
-    while gcd(a, n) != 1:
-        a += 2
-    # the product may exceed 64 bits only beyond 3e9 values
-    return F.pmod(row.cast("decimal(38,0)") * F.lit(a) + F.lit(start), F.lit(n)).cast("long")
+def permuted(row: Column, n: int, seed: Any, label: str, rounds: int = 4) -> Column:
+    """Row numbers below n in another order, which the seed and the label choose.
+
+    A number is a pair below (a, b) with a * b = n; in turn, each half is moved round by a hash of the other, which
+    can be undone, so no two numbers become one. If n is prime, numbers are multiplied and moved round.
+    """
+    row = row.cast("long")
+    if n > LARGEST:  # as many stretches of numbers, and any number in each
+        k = n // LARGEST
+        return permuted(row, LARGEST, seed, label) * F.lit(k) + F.pmod(F.xxhash64(F.lit(str(seed)), F.lit(label), row), F.lit(k))
+    a = next(d for d in range(isqrt(max(n, 1)), 0, -1) if n % d == 0)
+    if a == 1:
+        start = int.from_bytes(f"{seed}|{label}".encode(), "little") % max(n, 1)
+        by = max(1, int(n * 0.6180339887)) | 1
+        while gcd(by, n) != 1:
+            by += 2
+        return F.pmod(row.cast("decimal(38,0)") * F.lit(by) + F.lit(start), F.lit(n)).cast("long")
+    b = n // a
+    moved = lambda x, by, k, size: F.pmod(x + F.pmod(F.xxhash64(F.lit(str(seed)), F.lit(label), F.lit(k), by), F.lit(size)), F.lit(size))
+    left, right = _whole(row, b), F.pmod(row, F.lit(b))
+    for k in range(rounds):
+        left = moved(left, right, 2 * k, a)
+        right = moved(right, left, 2 * k + 1, b)
+    return left * F.lit(b) + right
+
+
+def _whole(x: Column, by: int) -> Column:
+    """x over by, without the rest."""
+    return ((x - F.pmod(x, F.lit(by))) / F.lit(by)).cast("long")
+
+
+class Placed(providers.Draws):
+    """Draws that together stand for one place among all combinations of a provider's parts."""
+
+    def __init__(self, parts: dict[str, int], place: Column, seed: Any, label: str, row: Column):
+        super().__init__(seed, label, 0, row)
+        self.digits: dict[str, Column] = {}
+        for name, size in parts.items():
+            self.digits[name] = (F.pmod(place, F.lit(size)) + 0.5) / F.lit(float(size))
+            place = _whole(place, size)
+
+    def __call__(self, name: str) -> Column:
+        return self.digits[name] if name in self.digits else super().__call__(name)
 
 
 def _date(x: Any) -> Column:
@@ -81,13 +121,14 @@ def _value(c: ColumnSpec, seed: Any, row: Column, rows: int, passed: Column | No
         return F.date_format(F.date_add(_date(start), below(days + 1).cast("int")), "yyyy-MM-dd")
     if c.type == "faker":
         if c.unique:
-            if p["provider"] not in ("uuid4", "random_int"):
-                base = providers.call(p["provider"], providers.Draws(seed, c.name, 0, row), p.get("kwargs")).cast("string")
-                return F.concat_ws(" ", base, row.cast("string"))  # the row's number makes it unique
-            if p["provider"] == "random_int":
-                k = p.get("kwargs") or {}
-                low, high, step = int(k.get("min", 0)), int(k.get("max", 9999)), int(k.get("step", 1))
-                return below((high - low) // step + 1) * step + low
+            if p["provider"] == "uuid4":
+                return providers.call("uuid4", providers.Draws(seed, c.name, 0, row), p.get("kwargs"))
+            if not providers.is_known(p["provider"]):
+                raise ValueError(f"Unknown provider: {p['provider']}")
+            parts = providers.parts(p["provider"], p.get("kwargs"))
+            if parts is None:
+                raise SchemaError(f"{c.name}: values of {p['provider']} can't be made unique")
+            return providers.call(p["provider"], Placed(parts, below(prod(parts.values())), seed, c.name, row), p.get("kwargs"))
         return providers.call(p["provider"], providers.Draws(seed, c.name, 0, row), p.get("kwargs"))
     if c.type == "passthrough":
         return passed
@@ -111,7 +152,8 @@ def compile_spec(spark: SparkSession, spec: DatasetSpec, rows: int | None = None
     list is the bound of what is sent to the tasks.
     """
     n = spec.rows if rows is None else rows
-    seed = "" if spec.seed is None else spec.seed
+    spec = spec if spec.seed is not None else replace(spec, seed=randbits(31))  # another dataset each time
+    seed = spec.seed
     base = spark.range(0, n, 1, partitions or max(1, min(n // 50_000 + 1, 100_000))).withColumnRenamed("id", ROW)
     passing = [c for c in spec.columns if c.type == "passthrough"]
     if passing:

@@ -13,7 +13,8 @@ from loomery.operators import detect, leaks, profile
 from loomery.plans.compile import compile_spec
 from loomery.plans.infer import slice_rows, value_counts
 from loomery.plans.spec import ColumnSpec, DatasetSpec
-from loomery.plans.twin import generate, guard, hash_sample
+from loomery.plans.twin import hash_sample, safe_twin
+from loomery.sources.shared import tables_until_exit
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -212,7 +213,7 @@ def date_order_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often one date is not after another."""
     both = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     seconds = both.select(F.unix_timestamp("o_orderdate").alias("a"), F.unix_timestamp("l_shipdate").alias("b"))
-    return profile.date_pairs(seconds, ["a", "b"]).select(F.col("n_a_b").alias("pairs"), F.round("le_a_b", 6).alias("le"), F.round("ge_a_b", 6).alias("ge"))
+    return profile.date_pairs(seconds, ["a", "b"]).select(F.col("n").alias("pairs"), F.round("le", 6).alias("le"), F.round("ge", 6).alias("ge"))
 
 
 _KEYS_SQL = "list_distinct(['#' || array_to_string(t, '')] || CASE WHEN len(t) > 1 THEN ['~' || array_to_string(list_sort(t), ' ')] ELSE [] END)"
@@ -341,6 +342,6 @@ def twin_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles, groups = profile.build_profiles(df.withColumn("_o", F.monotonically_increasing_id()), ["client", "c_acctbal", "c_mktsegment"], "_o", overrides={"client": "identifier"})
     stats: dict = {i: None for i in range(3)}
     profiles[0].fixed = {}  # fixed characters would leave only the customers' own numbers, which are dense
-    twin = guard(generate(spark, profiles, groups, "1:customer", n), df, ["c0", "c1", "c2"], profiles, groups, "1:customer", stats)
+    twin = safe_twin(spark, profiles, groups, "1:customer", n, df, ["c0", "c1", "c2"], stats, tables_until_exit(spark))
     hit = leaks.leaked(twin.select(F.col("c0").alias("value")), leaks.real_keys(df, ["c0"]), ["value"])
     return twin.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("c2").alias("segments")).select("n", F.lit(hit.count()).cast("long").alias("leaks"), "segments")
