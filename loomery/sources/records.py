@@ -36,7 +36,7 @@ class RecordTooLong(ValueError):
     """A record of more than LONGEST bytes: most likely a quote that is never closed."""
 
 
-def _locate(path: str | Path) -> tuple[fs.FileSystem, str]:
+def locate(path: str | Path) -> tuple[fs.FileSystem, str]:
     if re.match(r"[a-z][a-z0-9+.-]*:/", str(path)):
         return fs.FileSystem.from_uri(re.sub(r"^file:/(?=[^/])", "file:///", str(path)))
     return fs.LocalFileSystem(), str(Path(path).resolve())
@@ -46,7 +46,7 @@ class Bytes:
     """A file's bytes by place."""
 
     def __init__(self, path: str | Path):
-        store, inside = _locate(path)
+        store, inside = locate(path)
         self.size = store.get_file_info(inside).size
         self.file = store.open_input_file(inside)
 

@@ -39,9 +39,13 @@ class Tables:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
+    def folder(self, name: str) -> str:
+        """A folder that goes with the tables."""
+        self.paths.append(shared_folder(self.spark, name))
+        return self.paths[-1]
+
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = shared_folder(self.spark, name)
-        self.paths.append(path)
+        path = self.folder(name)
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path).select(*(named(c) for c in df.columns))
 
@@ -49,6 +53,21 @@ class Tables:
         return self
 
     def __exit__(self, *_: object) -> None:
+        self.drop()
+
+    def drop(self) -> None:
         for path in self.paths:
             where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def tables_until_exit(spark: SparkSession) -> Tables:
+    """Tables that stay as long as the driver's process: for results that are read later."""
+    tables = Tables(spark)
+    atexit.register(_drop_if_alive, tables)
+    return tables
+
+
+def _drop_if_alive(tables: Tables) -> None:
+    if tables.spark.sparkContext._jsc is not None:
+        tables.drop()

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,27 +57,60 @@ def header_line(names: list[str], delimiter: str, quote_all: bool, end: str) ->
     return out.getvalue()
 
 
+def _write_part(folder: str, encoding: str, end: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, size = TaskContext.get(), 0
+        unready = f"{folder}/unready-{task.partitionId()}-{task.taskAttemptId()}"
+        with open(unready, "wb") as out:
+            for batch in batches:
+                lines = batch.column(0).to_pylist()
+                size += out.write("".join(f"{line}{end}" for line in lines).encode(encoding, "replace"))
+        os.replace(unready, f"{folder}/part-{task.partitionId()}")  # a task that runs again writes the same
+        yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int64()), pa.array([size], pa.int64())], ["part", "bytes"])
+
+    return run
+
+
+def _copy_parts(folder: str, places: list[tuple[int, int]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                part, place = places[i]
+                with open(f"{folder}/part-{part}", "rb") as read, open(f"{folder}/whole", "r+b") as out:
+                    out.seek(place)
+                    shutil.copyfileobj(read, out, 1 << 20)
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64())], ["part"])
+
+    return run
+
+
 def write_text(df: DataFrame, names: list[str], form: TextFormat, target: str | Path) -> Path:
-    """One text file in this format. Tasks write the lines; the parts are then put together in order."""
+    """One text file in this format, rows in the order of the partitions.
+
+    Tasks write their lines, in the file's encoding, beside the target; from the parts' sizes follow their places in
+    the whole, to which tasks copy them all at once. Driver and executors need to share the target's folder only.
+    """
     target = Path(target)
+    encoding = {"utf-8-sig": "utf-8", "utf-16": "utf-16-le", "utf-32": "utf-32-le"}.get(form.encoding, form.encoding)
+    head = header_line(names, form.delimiter, form.quote_all, form.line_end) if form.has_header else ""
+    head = head.encode(form.encoding, "replace")  # with the byte order mark, if the encoding has one
     with _apart(target) as folder:
+        folder.mkdir()
         line = csv_line([named(c) for c in df.columns], form.delimiter, form.quote_all)
-        df.select(line.alias("value")).write.text(str(folder), lineSep=form.line_end)
-        whole = folder / "_whole"
-        with open(whole, "wb") as out:
-            if form.has_header:
-                out.write(header_line(names, form.delimiter, form.quote_all, form.line_end).encode(form.encoding, "replace"))
-            elif form.encoding == "utf-8-sig":
-                out.write(b"\xef\xbb\xbf")
-            for part in _parts(folder):
-                with open(part, "rb") as file:
-                    if form.encoding in ("utf-8", "utf-8-sig"):
-                        shutil.copyfileobj(file, out, 1 << 20)
-                    else:
-                        with io.TextIOWrapper(file, "utf-8", newline="") as decoded:
-                            while piece := decoded.read(1 << 20):
-                                out.write(piece.encode(form.encoding, "replace"))
-        os.replace(whole, target)
+        parts = df.select(line.alias("value")).mapInArrow(_write_part(str(folder), encoding, form.line_end), "part long, bytes long").collect()
+        places, size = {}, len(head)
+        for r in sorted(parts, key=lambda r: r["part"]):
+            if r["bytes"]:
+                places[r["part"]], size = size, size + r["bytes"]
+        with open(folder / "whole", "wb") as out:
+            out.write(head)
+            out.truncate(size)
+        if places:
+            full = df.sparkSession.range(0, len(places), 1, min(len(places), 10_000))
+            full.mapInArrow(_copy_parts(str(folder), list(places.items())), "part long").count()
+        os.replace(folder / "whole", target)
     return target
 
 

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from loomery.functions import dates, numbers, shape
 from loomery.operators import detect, profile
 from loomery.plans.infer import infer_schema
-from loomery.plans.twin import generate, guard
+from loomery.plans.twin import safe_twin
 from loomery.queries import _MASK, query, table
 from loomery.sources import sinks
 from loomery.sources.readers import open_source, open_text
-from loomery.sources.shared import local_folder
+from loomery.sources.shared import local_folder, tables_until_exit
 from loomery.sources.sniff import TextFormat
 
 _K = "c_custkey"
@@ -68,7 +68,7 @@ def _twin(spark: SparkSession, sf_dir: str, seed: str, n: int) -> tuple[DataFram
     df = contacts(spark, sf_dir).select(*(F.col(f"c{i}").alias(c) for i, c in zip(at, columns)), "_o")
     profiles, groups = profile.build_profiles(df, list(_TWINS), "_o")
     df = df.select(columns)
-    return df, guard(generate(spark, profiles, groups, seed, n), df, columns, profiles, groups, seed, dict.fromkeys(range(len(columns)))).persist()
+    return df, safe_twin(spark, profiles, groups, seed, n, df, columns, {}, tables_until_exit(spark))
 
 
 @query(f"""{_CELLS} SELECT name, kind, count(v) AS n_values, count(DISTINCT CASE WHEN v IS NOT NULL THEN raw END) AS n_distinct,
