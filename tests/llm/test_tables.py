@@ -6,6 +6,7 @@ from collections import Counter
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomery.llm import language_id, lm_scoring, pii, quality
 
@@ -63,3 +64,16 @@ def test_private_spans_of_the_tables(spark, rows):
             assert {"email": "@" in part, "ip": part.count(".") == 3, "card": part[0].isdigit(), "phone": part[0] == "+", "term": part == part.strip() and any(c.isalpha() for c in part)}[kind]
         found += r.n_terms
     assert found > 0
+
+
+def test_quality_estimates_decide(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    coin = F.when(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0, 1).otherwise(-1)
+    rated = quality.features(docs).withColumn("coin", coin).withColumn("votes", F.array(*quality.rules().values(), coin)).select("votes").cache()
+    model = quality.learn(rated, [*quality.rules(), "coin"])
+    assert abs(model.good_votes[0][-1] - 0.5) < 0.05 < abs(quality.Model([*quality.rules(), "coin"], 5).first[0][-1] - 0.5)  # a useless rule is found out
+    assert model.good_votes[0][0] > 0.95 and model.good_votes[1][1] < 0.2
+    verdicts = [{(r.doc_id, r.kept) for r in quality.judge(docs, more_rules={"coin": coin, "coin2": coin, "coin3": coin}, rounds=n).collect()} for n in (0, 30)]
+    assert verdicts[0] != verdicts[1]
+    plain = {(r.doc_id, r.kept) for r in quality.judge(docs).collect()}
+    assert len(plain ^ verdicts[1]) < 0.02 * len(plain)
