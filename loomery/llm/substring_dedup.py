@@ -10,7 +10,7 @@ document (a 32-bit print of the text tells them apart when ranges go back to row
 the other. Null or empty texts, and those with fewer than ``k`` words, keep all their words.
 
 Skew. Identical super-k-mers are merged in each batch before the shuffle: all but the first are marked at once
-and travel as three numbers. A minimiser that many documents share would still draw the differing strings
+and travel as three numbers, to a bucket that their document's number names. A minimiser that many documents share would still draw the differing strings
 around it into one bucket, so minimisers found often in a sample are split: their windows travel one by one to
 the bucket that the whole window's hash names. The sample only decides how rows are dealt, never the result.
 """
@@ -106,7 +106,9 @@ def _pack(k: int, m: int, buckets: int, hot: np.ndarray):
             twice = np.zeros(len(doc), bool)
             twice[1:] = ~lead[1:] & early[1:] & early[:-1] & (prnt[1:] == prnt[:-1])
             keep = np.flatnonzero(~twice)
-            bucket = (key[keep] % np.uint64(buckets)).astype(np.int64)
+            # what is known to be repeated needs no one to meet, and goes where its document's number says
+            home = np.where(early[keep], key[keep], tk.mix(doc[keep].astype(np.int64).view(np.uint64)))
+            bucket = (home % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((start[keep], doc[keep], bucket))  # small steps between ids pack well
             keep, bucket = keep[order], bucket[order]
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
