@@ -108,7 +108,7 @@ class _Window:
     """A file's bytes from a place onwards, read as far as they are asked for."""
 
     def __init__(self, file, start: int):
-        self.file, self.at, self.data, self.ended = file, start, b"", False
+        self.file, self.at, self.data, self.ended = file, start, bytearray(), False  # which grows in place
         file.seek(start)
 
     def more(self) -> bool:
@@ -119,7 +119,8 @@ class _Window:
 
     def drop(self, place: int) -> None:
         if place - self.at >= READ:
-            self.data, self.at = self.data[place - self.at :], place
+            del self.data[: place - self.at]
+            self.at = place
 
 
 def _member(window: _Window, place: int) -> tuple[bytes, int] | None:
@@ -131,7 +132,7 @@ def _member(window: _Window, place: int) -> tuple[bytes, int] | None:
             if at >= len(window.data) and not window.more():
                 return None
             step = READ if checked else 1 << 12
-            piece = window.data[at : at + step]
+            piece = bytes(memoryview(window.data)[at : at + step])
             out.append(inflate.decompress(piece))
             at += len(piece)
             if not checked:  # headers may have any length, as URLs do
