@@ -86,7 +86,7 @@ def _cut(seed: int, plain: int, spm: int):
     return lean(run)
 
 
-def fill_in_middle(documents: DataFrame, seed: int = 1, plain_percent: int = 10, spm_percent: int = 20, hot_rows: int = 20_000) -> DataFrame:
+def fill_in_middle(documents: DataFrame, seed: int = 1, plain_percent: int = 10, spm_percent: int = 20, hot_rows: int = 1000) -> DataFrame:
     """(doc_id, n, form, prefix_chars, middle_chars, output) of each row of ``documents`` (doc_id, text).
 
     n counts code points; the form is "psm" (prefix, suffix, middle), "spm" (suffix, prefix, middle) or "plain"
