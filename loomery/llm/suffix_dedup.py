@@ -50,15 +50,15 @@ def _hashers() -> list[tk.Hasher]:
     return _HASHERS
 
 
-def segments(offsets: np.ndarray, w: int) -> Iterator[tuple[int, np.ndarray, int]]:
+def segments(offsets: np.ndarray, w: int, step: int = tk.STEP) -> Iterator[tuple[int, np.ndarray, int]]:
     """First document, byte offsets of documents, and place in the first: about a megabyte at a time, whole windows only."""
-    for i, j in tk.steps(offsets):
+    for i, j in tk.steps(offsets, step):
         low, high = int(offsets[i]), int(offsets[j])
-        if j - i > 1 or high - low <= 2 * tk.STEP:
+        if j - i > 1 or high - low <= 2 * step:
             yield i, offsets[i : j + 1], 0
             continue
-        for at in range(0, max(high - low - w + 1, 1), tk.STEP):
-            yield i, np.array([low + at, min(low + at + tk.STEP + w - 1, high)]), at
+        for at in range(0, max(high - low - w + 1, 1), step):
+            yield i, np.array([low + at, min(low + at + step + w - 1, high)]), at
 
 
 def pieces(part: np.ndarray, bounds: np.ndarray, w: int, k: int, last: np.ndarray) -> tuple[np.ndarray, ...]:

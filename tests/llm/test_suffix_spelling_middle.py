@@ -59,14 +59,13 @@ def test_suffixes(spark, rows, w, k, share, most, parts):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got), key=repr) == plain_suffixes(rows, w)
 
 
-def test_suffixes_of_nothing_and_of_long_texts(spark, monkeypatch):
+def test_suffixes_of_nothing_and_of_long_texts(spark):
     assert suffix_dedup.dedup_suffixes(table(spark, [])).count() == 0
     rng = random.Random(5)
     long = noise(rng, 30_000)
     rows = [(1, long + PASSAGE + long[:5000]), (2, noise(rng, 9000) + PASSAGE)]
     offsets = np.cumsum([0, *(len(t.encode()) for _, t in rows)])
-    monkeypatch.setattr(suffix_dedup.tk, "STEP", 4096)
-    cut = list(suffix_dedup.segments(offsets, 200))
+    cut = list(suffix_dedup.segments(offsets, 200, 4096))
     assert len(cut) > 10 and all(b[-1] - b[0] <= 2 * 4096 + 199 for _, b, _ in cut)
     windows = sorted((i + j, int(p) - int(b[j]) + at * (j == 0)) for i, b, at in cut for j in range(len(b) - 1) for p in range(int(b[j]), int(b[j + 1]) - 199))
     assert windows == sorted((i, p) for i in range(2) for p in range(int(offsets[i + 1] - offsets[i]) - 199))
