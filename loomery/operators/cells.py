@@ -90,8 +90,7 @@ class Twin:
 
     def _local(self, draw: int) -> Column:
         first, _, last = self._names(draw)
-        plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z]", "")
-        first, last = plain(first), plain(last)
+        first, last = providers.ascii_letters(first), providers.ascii_letters(last)
         initial = F.substring(first, 1, 1)
         number = F.lpad(rng.index(self.x("local", "n", draw), 100 if not draw else 100_000).cast("string"), 2, "0")
         forms = [F.concat(first, F.lit("."), last), F.concat(initial, last), F.concat(initial, last, number), F.concat(last, F.lit("."), first), F.concat(first, F.lit("_"), last)]

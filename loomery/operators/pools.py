@@ -38,7 +38,7 @@ class Pools:
         return F.get(F.split(F.lit(_SIGN.join(pool)), _SIGN), rng.index(u, len(pool)))
 
 
-def checked_pools(spark: SparkSession, seed: str, rows: int, known: RealKeys, kinds: Iterable[str]) -> Pools:
+def checked_pools(spark: SparkSession, seed: str, rows: int, known: RealKeys, kinds: Iterable[str], locale: str = "en") -> Pools:
     """Pools of these kinds, sized by the twin, in which no value has a key of a real one.
 
     Candidates are a table of (kind, made_up, place, value); those that leak are left out, and the others keep their
@@ -46,7 +46,7 @@ def checked_pools(spark: SparkSession, seed: str, rows: int, known: RealKeys, ki
     """
     size, table = pool_size(rows), None
     for kind in kinds:
-        drawn = spark.range(size).select(F.lit(kind).alias("kind"), F.lit(False).alias("made_up"), F.col("id").alias("place"), MAKERS[kind](Draws(seed, f"pool {kind}", 0, F.col("id"))).alias("value"))
+        drawn = spark.range(size).select(F.lit(kind).alias("kind"), F.lit(False).alias("made_up"), F.col("id").alias("place"), MAKERS[kind](Draws(seed, f"pool {kind}", 0, F.col("id"), locale)).alias("value"))
         word = shape.pronounceable(4 + rng.index(rng.fast(seed, kind, "length", F.col("id")), 5), seed, kind, "word", F.col("id"))
         made = spark.range(MADE_UP).select(F.lit(kind).alias("kind"), F.lit(True).alias("made_up"), F.col("id").alias("place"), word.alias("value"))
         both = drawn.unionAll(made)

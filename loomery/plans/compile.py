@@ -53,28 +53,31 @@ def permuted(row: Column, n: int, seed: Any, label: str, rounds: int = 4) -> Col
             by += 2
         return F.pmod(row.cast("decimal(38,0)") * F.lit(by) + F.lit(start), F.lit(n)).cast("long")
     b = n // a
-    moved = lambda x, by, k, size: F.pmod(x + F.pmod(F.xxhash64(F.lit(str(seed)), F.lit(label), F.lit(k), by), F.lit(size)), F.lit(size))
-    left, right = _whole(row, b), F.pmod(row, F.lit(b))
-    for k in range(rounds):
-        left = moved(left, right, 2 * k, a)
-        right = moved(right, left, 2 * k + 1, b)
-    return left * F.lit(b) + right
+    moved = lambda x, by, k, size: F.pmod(x + F.pmod(F.xxhash64(F.lit(str(seed)), F.lit(label), k, by), F.lit(size)), F.lit(size))
+
+    def turn(halves: Column, k: Column) -> Column:
+        left = moved(halves["left"], halves["right"], 2 * k, a)
+        return F.struct(left.alias("left"), moved(halves["right"], left, 2 * k + 1, b).alias("right"))
+
+    first = F.struct(_whole(row, b).alias("left"), F.pmod(row, F.lit(b)).alias("right"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), first, turn, lambda halves: halves["left"] * F.lit(b) + halves["right"])
 
 
 def _whole(x: Column, by: int) -> Column:
     """x over by, without the rest."""
-    return ((x - F.pmod(x, F.lit(by))) / F.lit(by)).cast("long")
+    return F.call_function("div", x, F.lit(by)).cast("long")
 
 
 class Placed(providers.Draws):
     """Draws that together stand for one place among all combinations of a provider's parts."""
 
-    def __init__(self, parts: dict[str, int], place: Column, seed: Any, label: str, row: Column):
-        super().__init__(seed, label, 0, row)
+    def __init__(self, parts: dict[str, int], place: Column, seed: Any, label: str, row: Column, locale: str):
+        super().__init__(seed, label, 0, row, locale)
         self.digits: dict[str, Column] = {}
+        below = 1
         for name, size in parts.items():
-            self.digits[name] = (F.pmod(place, F.lit(size)) + 0.5) / F.lit(float(size))
-            place = _whole(place, size)
+            self.digits[name] = (F.pmod(_whole(place, below) if below < 1 << 62 else F.lit(0), F.lit(size)) + 0.5) / F.lit(float(size))
+            below *= size
 
     def __call__(self, name: str) -> Column:
         return self.digits[name] if name in self.digits else super().__call__(name)
@@ -84,7 +87,7 @@ def _date(x: Any) -> Column:
     return F.lit(str(x)).cast("date")
 
 
-def _value(c: ColumnSpec, seed: Any, row: Column, rows: int, passed: Column | None) -> Column:
+def _value(c: ColumnSpec, seed: Any, row: Column, rows: int, passed: Column | None, locale: str) -> Column:
     p, u = c.params, rng.uniform(seed, c.name, 0, row)
 
     def below(n: int) -> Column:
@@ -92,7 +95,7 @@ def _value(c: ColumnSpec, seed: Any, row: Column, rows: int, passed: Column | No
             return F.floor(u * n).cast("long")
         if n < rows:
             raise SchemaError(f"{c.name}: {rows} unique values are needed, and there are {n}")
-        return permuted(row, n, seed, c.name)
+        return permuted(row, min(n, 1 << 62), seed, c.name)
 
     if c.type == "sequence":
         return row * F.lit(p.get("step", 1)) + F.lit(p.get("start", 1))
@@ -122,14 +125,14 @@ def _value(c: ColumnSpec, seed: Any, row: Column, rows: int, passed: Column | No
     if c.type == "faker":
         if c.unique:
             if p["provider"] == "uuid4":
-                return providers.call("uuid4", providers.Draws(seed, c.name, 0, row), p.get("kwargs"))
+                return providers.call("uuid4", providers.Draws(seed, c.name, 0, row, locale), p.get("kwargs"))
             if not providers.is_known(p["provider"]):
                 raise ValueError(f"Unknown provider: {p['provider']}")
-            parts = providers.parts(p["provider"], p.get("kwargs"))
+            parts = providers.parts(p["provider"], p.get("kwargs"), locale)
             if parts is None:
                 raise SchemaError(f"{c.name}: values of {p['provider']} can't be made unique")
-            return providers.call(p["provider"], Placed(parts, below(prod(parts.values())), seed, c.name, row), p.get("kwargs"))
-        return providers.call(p["provider"], providers.Draws(seed, c.name, 0, row), p.get("kwargs"))
+            return providers.call(p["provider"], Placed(parts, below(prod(parts.values())), seed, c.name, row, locale), p.get("kwargs"))
+        return providers.call(p["provider"], providers.Draws(seed, c.name, 0, row, locale), p.get("kwargs"))
     if c.type == "passthrough":
         return passed
     raise SchemaError(f"{c.name}: type {c.type!r} can't be generated")
@@ -178,7 +181,7 @@ def column_expressions(spec: DatasetSpec, rows: int) -> list[Column]:
     passing = [c for c in spec.columns if c.type == "passthrough"]
     row, out = F.col(ROW), []
     for c in spec.columns:
-        value = _value(c, seed, row, rows, F.col(f"_v{passing.index(c)}") if c in passing else None)
+        value = _value(c, seed, row, rows, F.col(f"_v{passing.index(c)}") if c in passing else None, spec.locale)
         if c.missing_pct:
             value = F.when(rng.uniform(seed, c.name, "missing", row) * 100 >= c.missing_pct, value)
         out.append(value.alias(c.name))

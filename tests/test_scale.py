@@ -92,3 +92,36 @@ def test_without_a_seed_runs_differ(spark):
     spec = DatasetSpec(rows=50, columns=[ColumnSpec("v", "faker", params={"provider": "name"})])
     runs = [[r.v for r in compile_spec(spark, spec).collect()] for _ in range(2)]
     assert runs[0] != runs[1] and spec.seed is None
+
+
+def made(spark, provider, locale="en_US", rows=60, **kwargs):
+    spec = DatasetSpec(rows=rows, seed=3, locale=locale, columns=[ColumnSpec("v", "faker", params={"provider": provider, "kwargs": kwargs})])
+    return [r.v for r in compile_spec(spark, spec).collect()]
+
+
+def test_locales_have_their_words(spark):
+    for locale, language in (("fr_CA", "fr"), ("de_DE", "de"), ("fr-FR", "fr")):
+        own = words.LANGUAGES[language]
+        assert set(made(spark, "first_name", locale)) <= set(own["FIRST"]) and set(made(spark, "last_name", locale)) <= set(own["LAST"])
+        assert all(m.isascii() for m in made(spark, "email", locale)) and set(made(spark, "word", locale)) <= set(words.WORDS)
+    assert set(made(spark, "first_name", "xx_YY")) <= set(words.FIRST)
+    assert not any("_" in s for s in made(spark, "street_name", "fr_FR")) and not any(" " in s for s in made(spark, "street_name", "de_AT"))
+
+
+def test_check_digits(spark):
+    luhn = lambda s: sum(sum(divmod(int(c) * (1 + (i % 2)), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
+    assert all(luhn(v) for v in made(spark, "credit_card_number"))
+    for provider in ("isbn13", "ean13"):
+        assert all(sum(int(c) * (3 if i % 2 else 1) for i, c in enumerate(v)) % 10 == 0 for v in made(spark, provider))
+    assert all(int(v[4:] + "1314" + v[2:4]) % 97 == 1 for v in made(spark, "iban"))
+    assert all(v[0] == "A" and v[1:3].isdigit() and v[3].islower() for v in made(spark, "bothify", text="A##?"))
+    assert sorted(unique(spark, "numerify", 100, text="x##")) == [f"x{i:02d}" for i in range(100)]
+
+
+def test_twins_of_a_locale(spark, tmp_path):
+    from loomery.plans.twin import synthesize_file
+
+    (tmp_path / "p.csv").write_text("first_name,n\n" + "".join(f"{n},{i}\n" for i, n in enumerate(["Ann", "Bob", "Cy", "Dee"] * 20)))
+    assert synthesize_file(tmp_path / "p.csv", tmp_path / "t.csv", seed=1, locale="de_DE").ok
+    names = {line.split(",")[0] for line in (tmp_path / "t.csv").read_text(encoding="utf-8").splitlines()[1:]}
+    assert names <= set(words.LANGUAGES["de"]["FIRST"]) and len(names) > 10
