@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,22 +61,34 @@ SPEC = DatasetSpec(rows=20_000, seed=42, columns=[
 
 
 @query(f"""
+WITH s AS (SELECT list(o_orderpriority ORDER BY o_orderpriority) AS sites, count(*) AS n FROM (SELECT DISTINCT o_orderpriority FROM orders)), a AS (SELECT min(p_size) AS low, max(p_size) AS high FROM part)
 SELECT 100 + 2 * i AS subject_id,
   CASE WHEN {_u('arm')} * 1.0 < 0.34 THEN 'Placebo' WHEN {_u('arm')} * 1.0 < 0.67 THEN 'DrugA' ELSE 'DrugB' END AS arm,
-  ['N','S','E','W'][floor({_u('site')} * 4)::INT + 1] AS site, 18 + floor({_u('age')} * 73)::BIGINT AS age, round(40 + {_u('weight')} * 80, 6) AS weight,
+  sites[floor({_u('site')} * s.n)::INT + 1] AS site, low + floor({_u('age')} * (high - low + 1))::BIGINT AS age, round(40 + {_u('weight')} * 80, 6) AS weight,
   strftime(DATE '2023-01-01' + floor({_u('enrolled')} * 731)::INT, '%Y-%m-%d') AS enrolled, 'Active' AS status,
   CASE WHEN {_u('note', 'missing')} * 100 >= 15 THEN 'seen' END AS note
-FROM range(20000) t(i)""")
+FROM range((SELECT count(*) FROM orders)) t(i), s, a""")
 def generate_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All plain column types of a specification."""
-    return compile_spec(spark, SPEC).withColumn("weight", F.round("weight", 6))
+    """All plain column types of a specification: as many rows as orders, with codes and a range that tables have."""
+    orders = table(spark, sf_dir, "orders")
+    sites = [r[0] for r in orders.select("o_orderpriority").distinct().orderBy("o_orderpriority").collect()]
+    span = table(spark, sf_dir, "part").agg(F.min("p_size").alias("min"), F.max("p_size").alias("max")).first().asDict()
+    given = {"site": {"values": sites}, "age": span}
+    columns = [replace(c, params=given.get(c.name, c.params)) for c in SPEC.columns]
+    return compile_spec(spark, replace(SPEC, rows=orders.count(), columns=columns)).withColumn("weight", F.round("weight", 6))
 
 
-@query("SELECT count(*) AS n, count(DISTINCT code) AS distinct_codes, min(code) AS low, max(code) AS high FROM (SELECT i + 1 AS code FROM range(5000) t(i))")
+@query("""SELECT count(*) AS n, count(*) AS distinct_codes, min(c_custkey) AS low, max(c_custkey) AS high, count(*) AS distinct_mails, count(*) AS distinct_towns, count(*) AS plain_mails
+FROM (SELECT unnest(range(min(c_custkey), max(c_custkey) + 1)) AS c_custkey FROM customer)""")
 def generate_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unique values: all of a range, each once."""
-    spec = DatasetSpec(rows=5000, seed=1, columns=[ColumnSpec("code", "numeric_range", unique=True, params={"min": 1, "max": 5000})])
-    return compile_spec(spark, spec).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("code").alias("distinct_codes"), F.min("code").alias("low"), F.max("code").alias("high"))
+    """Unique values for all customers' keys: all of a range, each once, and values of providers that are made of parts."""
+    low, high = table(spark, sf_dir, "customer").agg(F.min("c_custkey"), F.max("c_custkey")).first()
+    faker = lambda name, provider: ColumnSpec(name, "faker", unique=True, params={"provider": provider})
+    spec = DatasetSpec(rows=high - low + 1, seed=1, columns=[ColumnSpec("code", "numeric_range", unique=True, params={"min": low, "max": high}), faker("mail", "email"), faker("town", "street_address")])
+    return compile_spec(spark, spec).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("code").alias("distinct_codes"), F.min("code").alias("low"), F.max("code").alias("high"),
+        F.count_distinct("mail").alias("distinct_mails"), F.count_distinct("town").alias("distinct_towns"), F.count_if(F.col("mail").rlike(r"^[a-z]+\.[a-z]+\d{1,2}@[a-z.]+$")).alias("plain_mails"),
+    )
 
 
 @query(f"""
@@ -88,11 +101,26 @@ def passthrough_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compile_spec(spark, spec, reference=f"{sf_dir}/nation.parquet", reference_limit=20).groupBy("nation").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+#: What values of providers look like.
+_LOOKS = {
+    "first_name": r"\p{Lu}\p{L}+", "last_name": r"\p{Lu}\p{L}+", "name": r"\p{Lu}\p{L}+ \p{Lu}\p{L}+", "email": r"[a-z]+\.[a-z]+\d{1,2}@[a-z.]+", "free_email_domain": r"[a-z]+\.example\.[a-z]+",
+    "city": r"\p{Lu}\p{L}+", "street_name": r"[\p{L} ]+", "street_address": r"\d{1,4} [\p{L} ]+", "phone_number": r"\d{3}-555-\d{4}", "postcode": r"\d{5}", "random_int": r"\d{1,4}", "random_digit": r"\d",
+    "pyfloat": r"\d\.\d+(E-\d+)?", "boolean": "true|false", "word": "[a-z]+", "sentence": r"[A-Z][a-z ]+\.", "text": "[A-Z][a-z ]+", "date": r"\d{4}-\d\d-\d\d", "uuid4": "[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}",
+    "company": r"\p{L}+ (Ltd|Inc|Group|Partners)", "job": "[a-z-]+", "country": r"\p{Lu}[\p{L} ]+", "country_code": "[A-Z]{2}", "currency_code": "[A-Z]{3}", "color_name": "[a-z]+", "hex_color": "#[0-9a-f]{6}",
+    "month_name": "[A-Z][a-z]+", "day_of_week": "[A-Z][a-z]+day", "time": r"([01]\d|2[0-3])(:[0-5]\d){2}", "date_time": r"\d{4}-\d\d-\d\d ([01]\d|2[0-3])(:[0-5]\d){2}", "user_name": r"[a-z]+_[a-z]+\d{1,3}",
+    "domain_name": r"[a-z]+-[a-z]+\.(example|test|invalid)", "url": r"https://www\.[a-z]+-[a-z]+\.[a-z]+/", "ipv4": r"10(\.\d{1,3}){3}", "mac_address": "[0-9a-f]{2}(:[0-9a-f]{2}){5}", "credit_card_number": r"9\d{15}",
+    "isbn13": r"978\d{10}", "ean13": r"20\d{11}", "iban": r"DE\d{20}", "latitude": r"-?\d{1,2}\.\d+(E-\d+)?", "longitude": r"-?\d{1,3}\.\d+(E-\d+)?", "numerify": r"\d{3}", "lexify": "[a-z]{4}", "bothify": r"\d\d [a-z]{2}",
+    "random_element": "[abc]",
+}
+
+
+@query("SELECT provider, count(*) AS n, count(*) AS fitting FROM customer, (SELECT unnest([" + ", ".join(f"'{p}'" for p in _LOOKS) + "]) AS provider) GROUP BY provider")
 def generate_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every provider, by name."""
+    """Every provider, a value for each customer: how many look as they should."""
     columns = [ColumnSpec(name, "faker", params={"provider": name}) for name in providers.PROVIDERS]
-    return compile_spec(spark, DatasetSpec(rows=1000, seed=3, columns=columns))
+    df = compile_spec(spark, DatasetSpec(rows=table(spark, sf_dir, "customer").count(), seed=3, columns=columns))
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("provider"), F.col(c).cast("string").rlike(f"^(?:{_LOOKS[c]})$").alias("fits")) for c in df.columns)))
+    return df.select(cells.alias("x")).groupBy("x.provider").agg(F.count(F.lit(1)).alias("n"), F.count_if("x.fits").alias("fitting"))
 
 
 _MASK = "regexp_replace(regexp_replace(regexp_replace({0}, '[A-Z]', chr(1), 'g'), '[a-z]', 'a', 'g'), '[0-9]', '9', 'g').replace(chr(1), 'A')"
@@ -319,9 +347,10 @@ def domain_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.filter("n >= 2")
 
 
-@query(f"SELECT i AS row, round({_u('x', 3, 11)}, 9) AS u FROM range(1000) t(i)")
+@query(f"SELECT c_custkey AS row, round({_u('x', 3, 11, 'c_custkey')}, 9) AS u FROM customer")
 def uniform_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1000).select(F.col("id").alias("row"), F.round(rng.uniform(11, "x", 3, F.col("id")), 9).alias("u"))
+    """A uniform number for each customer."""
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row"), F.round(rng.uniform(11, "x", 3, F.col("c_custkey")), 9).alias("u"))
 
 
 @query("""SELECT unnest(['c0', 'c1', 'c2']) AS name, unnest(['identifier', 'numeric', 'category']) AS kind, unnest([count(*), count(*), count(*)]) AS n_values,
@@ -334,14 +363,13 @@ def detect_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(p.name, p.kind, p.values, p.distinct) for p in profiles], "name string, kind string, n_values long, n_distinct long")
 
 
-@query("SELECT count(*) AS n, 0::BIGINT AS leaks, 5::BIGINT AS segments FROM customer")
+@query("SELECT count(*) AS n, 0::BIGINT AS leaks, 0::BIGINT AS unresolved, count(DISTINCT c_mktsegment) AS segments FROM customer")
 def twin_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A twin: as many rows, no real name among them, and the segments of the source."""
     df = table(spark, sf_dir, "customer").select(F.col("c_name").alias("c0"), F.format_string("%.2f", "c_acctbal").alias("c1"), F.col("c_mktsegment").alias("c2"))
     n = df.count()
     profiles, groups = profile.build_profiles(df.withColumn("_o", F.monotonically_increasing_id()), ["client", "c_acctbal", "c_mktsegment"], "_o", overrides={"client": "identifier"})
-    stats: dict = {i: None for i in range(3)}
-    profiles[0].fixed = {}  # fixed characters would leave only the customers' own numbers, which are dense
+    stats: dict = {}
     twin = safe_twin(spark, profiles, groups, "1:customer", n, df, ["c0", "c1", "c2"], stats, tables_until_exit(spark))
     hit = leaks.leaked(twin.select(F.col("c0").alias("value")), leaks.real_keys(df, ["c0"]), ["value"])
-    return twin.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("c2").alias("segments")).select("n", F.lit(hit.count()).cast("long").alias("leaks"), "segments")
+    return twin.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("c2").alias("segments")).select("n", F.lit(hit.count()).cast("long").alias("leaks"), F.lit(sum(s.unresolved for s in stats.values())).cast("long").alias("unresolved"), "segments")

@@ -10,8 +10,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.functions import dates, numbers, shape
-from loomery.operators import detect, profile
+from loomery.functions import dates, numbers, shape, words
+from loomery.operators import detect, leaks, profile
+from loomery.operators.pools import checked_pools
 from loomery.plans.infer import infer_schema
 from loomery.plans.twin import safe_twin
 from loomery.queries import _MASK, query, table
@@ -135,6 +136,61 @@ def twin_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.groupBy("name").agg(some.alias("some"), F.count_if((F.col("x") < F.col("low")) | (F.col("x") > F.col("high"))).alias("outside"), F.count("real").alias("real_values"))
 
 
+#: First names of customers; half of all that pools would draw.
+_GIVEN, _FAMILY = words.FIRST[: len(words.FIRST) // 2], words.LAST[:8]
+_LIST = lambda x: "[" + ", ".join(f"'{w}'" for w in x) + "]"
+
+
+@query(f"""WITH real AS (SELECT DISTINCT {_LIST(_GIVEN)}[c_custkey % {len(_GIVEN)} + 1] AS v FROM customer)
+SELECT 'first' AS kind, v AS value FROM (SELECT unnest({_LIST(words.FIRST)}) AS v) WHERE v NOT IN (SELECT v FROM real) UNION ALL SELECT 'last', unnest({_LIST(words.LAST)})""")
+def pools_without_real_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What pools of names have left when customers' first names are real."""
+    real = table(spark, sf_dir, "customer").selectExpr(f"upper(array({', '.join(map(repr, _GIVEN))})[c_custkey % {len(_GIVEN)}]) AS v")
+    known = leaks.RealKeys(real, ["v"], tables_until_exit(spark))
+    pools = checked_pools(spark, "1", 1500, known, ["first", "last"])
+    return spark.createDataFrame([(k, v) for k, values in pools.values.items() for v in sorted(set(values))], "kind string, value string")
+
+
+@query("SELECT count(*) AS n, 0::BIGINT AS real_people FROM customer")
+def names_of_no_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as many as customers, none of which has a customer's first and last name together."""
+    key = "c_custkey"
+    df = table(spark, sf_dir, "customer").selectExpr(f"concat(array({', '.join(map(repr, words.FIRST))})[{key} % {len(words.FIRST)}], ' ', array({', '.join(map(repr, _FAMILY))})[{key} % {len(_FAMILY)}]) AS c0", f"{key} AS _o")
+    profiles, groups = profile.build_profiles(df, ["client"], "_o", overrides={"client": "full_name"})
+    twin = safe_twin(spark, profiles, groups, "2:names", df.count(), df.select("c0"), ["c0"], {}, tables_until_exit(spark))
+    hit = leaks.leaked(twin.select(F.col("c0").alias("value")), leaks.real_keys(df, ["c0"]), ["value"])
+    return twin.agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(hit.count()).cast("long").alias("real_people"))
+
+
+@query("SELECT count(*) AS n, 0::BIGINT AS leaks, 0::BIGINT AS unresolved, true AS repaired FROM customer WHERE c_custkey % 10 <> 0")
+def repaired_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of a space of which nine tenths are real: cells are drawn again until none is."""
+    customers = table(spark, sf_dir, "customer")
+    digits = len(str(customers.agg(F.max("c_custkey")).first()[0])) - 1
+    code = F.concat(F.lit("A"), F.lpad((F.col("c_custkey") % 10**digits).cast("string"), digits, "0"))
+    df = customers.filter("c_custkey % 10 <> 0").select(code.alias("c0"), F.col("c_custkey").alias("_o"))
+    profiles, groups = profile.build_profiles(df, ["code"], "_o", overrides={"code": "identifier"})
+    stats: dict = {}
+    twin = safe_twin(spark, profiles, groups, "3:codes", df.count(), df.select("c0"), ["c0"], stats, tables_until_exit(spark))
+    hit = leaks.leaked(twin.select(F.col("c0").alias("value")), leaks.real_keys(df, ["c0"]), ["value"])
+    found = stats.get(0)
+    out = twin.agg(F.count(F.lit(1)).alias("n"))
+    return out.select("n", F.lit(hit.count()).cast("long").alias("leaks"), F.lit(found.unresolved if found else 0).cast("long").alias("unresolved"), F.lit(bool(found and found.collisions)).alias("repaired"))
+
+
+@query(f"{_CELLS} SELECT name, kind, true AS filled, 0::BIGINT AS leaks FROM cells WHERE kind IN ({', '.join(repr(k) for k in sorted(set(detect.SENSITIVE_TYPES) & set(KINDS.values())))}) GROUP BY name, kind")
+def leaks_by_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A twin of all columns of contacts, and its private cells that equal a real private value of any column, by column."""
+    df, profiles, groups = contacts(spark, sf_dir), *_profiles(spark, sf_dir)
+    columns = [f"c{i}" for i in range(len(CONTACTS))]
+    df = df.select(columns)
+    twin = safe_twin(spark, profiles, groups, "7:contacts", df.count(), df, columns, {}, tables_until_exit(spark))
+    private = [i for i, p in enumerate(profiles) if p.sensitive]
+    cells = twin.select(F.explode(F.array(*(F.struct(F.lit(profiles[i].name).alias("name"), F.lit(profiles[i].kind).alias("kind"), F.col(columns[i]).alias("value")) for i in private))).alias("x")).select("x.*")
+    hit = leaks.leaked(cells, leaks.real_keys(df, [columns[i] for i in private]), ["name", "value"]).groupBy("name").agg(F.count(F.lit(1)).alias("hits"))
+    return cells.groupBy("name", "kind").agg((F.count("value") > 0).alias("filled")).join(hit, "name", "left").select("name", "kind", "filled", F.coalesce("hits", F.lit(0)).cast("long").alias("leaks"))
+
+
 _FORMATS = [fmt for fmt, _ in dates.DATE_FORMATS]
 #: Which format a text is taken for if the day could be a month: the one with the day first, if there is one.
 _SWAP = {"%m/%d/%Y": "%d/%m/%Y", "%m-%d-%Y": "%d-%m-%Y", "%m/%d/%y": "%d/%m/%y", "%m/%d/%Y %H:%M": "%d/%m/%Y %H:%M"}
