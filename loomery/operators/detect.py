@@ -26,8 +26,8 @@ PROVINCES = {
     "NU": "Nunavut", "ON": "Ontario", "PE": "Prince Edward Island", "QC": "Quebec", "SK": "Saskatchewan", "YT": "Yukon",
 }
 OTHER_NAMES = {
-    "pq": "QC", "québec": "QC", "que": "QC", "nf": "NL", "nfld": "NL", "newfoundland": "NL", "pei": "PE", "p.e.i": "PE", "yukon territory": "YT", "yk": "YT", "sask": "SK",
-    "alta": "AB", "man": "MB", "ont": "ON", "b.c": "BC", "nwt": "NT",
+    "pq": "QC", "québec": "QC", "que": "QC", "nf": "NL", "nfld": "NL", "newfoundland": "NL", "pei": "PE", "p.e.i": "PE", "yukon territory": "YT", "sask": "SK", "alta": "AB",
+    "man": "MB", "ont": "ON", "b.c": "BC", "nwt": "NT", "yk": "YT",
 }
 POSTAL_LETTERS = {"NL": "A", "NS": "B", "PE": "C", "NB": "E", "QC": "GHJ", "ON": "KLMNP", "MB": "R", "SK": "S", "AB": "T", "BC": "V", "NT": "X", "NU": "X", "YT": "Y"}
 PROVINCE_LOOKUP = {k.lower(): k for k in PROVINCES} | {v.lower(): k for k, v in PROVINCES.items()} | OTHER_NAMES
@@ -42,36 +42,47 @@ PHONE_STRICT = r"^(?:\+?1[ .-]?)?\(?\d{3}\)?[ .-]?\d{3}[ .-]\d{4}$"
 NAME = rf"^{_L}+(?:[ '\-.’]+{_L}+)*\.?$"
 FULL_NAME = rf"^{_L}+(?:[ ,'\-.’]+{_L}+)+\.?$"
 NAME_WORD = rf"^{_L}[^\P{{L}}'\-’]*\.?$"
+# Words that name kinds of streets.
 STREET_WORDS = (
-    "st street ave avenue rd road blvd boulevard dr drive cres crescent way lane ln court ct crt rue ch chemin pl place trail hwy highway pkwy parkway terr terrace cir circle"
-).split()
+    "st", "street", "ave", "avenue", "rd", "road", "blvd", "boulevard", "dr", "drive", "cres", "crescent", "way", "lane", "ln", "court", "ct", "crt", "rue", "ch", "chemin",
+    "pl", "place", "trail", "hwy", "highway", "pkwy", "parkway", "terr", "terrace", "cir", "circle",
+)
 STREET = r"(?i)^\d+[A-Za-z]?(?:-\d+)?\s+.*\b(?:" + "|".join(STREET_WORDS) + r")\b.*$"
 
-# Words of headers. Lists of (kind, words any of which is a token, parts of the joined tokens).
-_HINTS_BEFORE = (
-    ("sin", "sin ssn nas sinno sinnum", "socialinsurance socialsecurity"),
-    ("email", "", "email courriel"),
-    ("phone", "phone tel telephone mobile cell fax cellphone", "phone"),
-    ("postal_code", "zip", "postal postcode zipcode"),
-    ("province", "province prov state territory", "province"),
-    ("city", "city town municipality ville", ""),
-    ("first_name", "fname first given prenom forename", "firstname givenname"),
-    ("last_name", "lname last nom family", "lastname surname familyname"),
+# Words of headers by kind. First those of which one is a word of the header, then those that are part of its words put together.
+HEADERS_BEFORE_NAMES = (
+    ("sin", ("sin", "ssn", "nas", "sinno", "sinnum"), ("socialinsurance", "socialsecurity")),
+    ("email", (), ("email", "courriel")),
+    ("phone", ("phone", "tel", "telephone", "mobile", "cell", "fax", "cellphone"), ("phone",)),
+    ("postal_code", ("zip",), ("postal", "postcode", "zipcode")),
+    ("province", ("province", "prov", "state", "territory"), ("province",)),
+    ("city", ("city", "town", "municipality", "ville"), ()),
+    ("first_name", ("fname", "first", "given", "prenom", "forename"), ("firstname", "givenname")),
+    ("last_name", ("lname", "last", "nom", "family"), ("lastname", "surname", "familyname")),
 )
-_HINTS_AFTER = (
-    ("street_address", "street adresse line1", "address addr"),
-    ("date", "date dob dt dte birthdate birthday", "birth"),
-    ("free_text", "note notes comment comments description desc remarks memo narrative", ""),
-    ("identifier", "id no num number nbr code key acct account ref uid guid uuid file case claim policy", ""),
+HEADERS_AFTER_NAMES = (
+    ("street_address", ("street", "adresse", "line1"), ("address", "addr")),
+    ("date", ("date", "dob", "dt", "dte", "birthdate", "birthday"), ("birth",)),
+    ("free_text", ("note", "notes", "comment", "comments", "description", "desc", "remarks", "memo", "narrative"), ()),
+    (
+        "identifier",
+        ("id", "no", "num", "number", "nbr", "code", "key", "acct", "account", "ref", "uid", "guid", "uuid", "file", "case", "claim", "policy"),
+        (),
+    ),
 )
-_FULL = "fullname clientname customername patientname employeename personname contactname membername name".split()
-_OWNERS = "full client person customer patient employee contact member applicant beneficiary recipient claimant student owner holder legal display spouse name".split()
-_PEOPLE = (
-    "worker caseworker staff agent officer manager supervisor clerk author employee patient beneficiary applicant claimant recipient spouse guardian counsellor counselor adjudicator "
-    "assessor reviewer"
-).split()
-_WITH_PEOPLE = "assigned primary case full name responsible lead".split()
-_ENDINGS = {"date": "date", "identifier": "id"}
+# How headers of two kinds may end.
+ENDINGS = {"date": "date", "identifier": "id"}
+# Headers of full names, whole; owners of names; words for people, and what may stand with them.
+FULL_NAME_HEADERS = ("fullname", "clientname", "customername", "patientname", "employeename", "personname", "contactname", "membername", "name")
+NAME_OWNERS = (
+    "full", "client", "person", "customer", "patient", "employee", "contact", "member", "applicant", "beneficiary", "recipient", "claimant", "student", "owner", "holder", "legal",
+    "display", "spouse", "name",
+)
+PEOPLE = (
+    "worker", "caseworker", "staff", "agent", "officer", "manager", "supervisor", "clerk", "author", "employee", "patient", "beneficiary", "applicant", "claimant", "recipient",
+    "spouse", "guardian", "counsellor", "counselor", "adjudicator", "assessor", "reviewer",
+)
+BESIDE_PEOPLE = ("assigned", "primary", "case", "full", "name", "responsible", "lead")
 
 
 def tokens_of(header: str) -> list[str]:
@@ -84,20 +95,20 @@ def column_hint(header: str) -> str | None:
     tokens = tokens_of(header)
     joined = "".join(tokens)
 
-    def first(hints: tuple) -> str | None:
-        for kind, any_of, parts in hints:
-            if set(tokens) & set(any_of.split()) or any(p in joined for p in parts.split()) or (kind in _ENDINGS and joined.endswith(_ENDINGS[kind])):
+    def first(headers: tuple) -> str | None:
+        for kind, own, parts in headers:
+            if set(tokens) & set(own) or any(p in joined for p in parts) or (kind in ENDINGS and joined.endswith(ENDINGS[kind])):
                 return kind
         return None
 
-    found = first(_HINTS_BEFORE)
+    found = first(HEADERS_BEFORE_NAMES)
     if found:
         return found
-    owned = "name" in tokens and set(tokens) <= set(_OWNERS)
-    people = set(tokens) & set(_PEOPLE) and set(tokens) <= {*_PEOPLE, *_WITH_PEOPLE}
-    if joined in _FULL or owned or people:
+    owned = "name" in tokens and set(tokens) <= set(NAME_OWNERS)
+    people = set(tokens) & set(PEOPLE) and set(tokens) <= {*PEOPLE, *BESIDE_PEOPLE}
+    if joined in FULL_NAME_HEADERS or owned or people:
         return "full_name"
-    return first(_HINTS_AFTER)
+    return first(HEADERS_AFTER_NAMES)
 
 
 def province_of(v: Column) -> Column:

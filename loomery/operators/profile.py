@@ -96,10 +96,25 @@ def detection_rates(long: DataFrame) -> dict[int, dict[str, float]]:
     return {r["col"]: r.asDict() for r in rows}
 
 
-def sizes(long: DataFrame) -> dict[int, dict[str, int]]:
-    """For each column, its values, and its distinct values as they are written."""
-    got = long.groupBy("col").agg(F.count("v").alias("values"), F.count_distinct(F.when(F.col("v").isNotNull(), F.col("raw"))).alias("distinct")).collect()
-    return {r["col"]: r.asDict() for r in got}
+#: Shares of the values at which the number of distinct ones decides between kinds.
+SETTLING = (0.3, 0.5, 0.9)
+
+
+def sizes(long: DataFrame, category_threshold: int = 50, exact: bool = False) -> dict[int, dict[str, int]]:
+    """For each column, its values, and its distinct values as they are written.
+
+    One pass of sketches, right to about one in a hundred, is enough where the number settles nothing. Columns with few
+    distinct values, and those within five errors of a share in SETTLING, are counted exactly in a second pass; all
+    columns are if ``exact``.
+    """
+    written = F.when(F.col("v").isNotNull(), F.col("raw"))
+    got = {r["col"]: r.asDict() for r in long.groupBy("col").agg(F.count("v").alias("values"), F.approx_count_distinct(written, 0.01).alias("distinct")).collect()}
+    near = lambda r: r["distinct"] <= 4 * category_threshold or any(abs(r["distinct"] - t * r["values"]) <= 0.05 * r["values"] for t in SETTLING)
+    again = [i for i, r in got.items() if exact or near(r)]
+    if again:
+        for r in long.filter(F.col("col").isin(again)).groupBy("col").agg(F.count_distinct(written).alias("distinct")).collect():
+            got[r["col"]]["distinct"] = r["distinct"]
+    return got
 
 
 def name_template(v: Column) -> Column:
@@ -260,13 +275,16 @@ def date_groups(seconds: DataFrame, columns: list[str], least: int = 10, rate: f
     return [sorted(g, key=lambda c: middle[c]) for g in groups.values() if len(g) > 1]
 
 
-def build_profiles(df: DataFrame, names: list[str], order: str, k: int = 5, category_threshold: int = 50, overrides: dict[str, str] | None = None) -> tuple[list[ColumnProfile], list[list[int]]]:
-    """Profiles of the columns c0, c1, ... of ``df``, and groups of date columns that keep an order."""
+def build_profiles(df: DataFrame, names: list[str], order: str, k: int = 5, category_threshold: int = 50, overrides: dict[str, str] | None = None, exact_distinct: bool = False) -> tuple[list[ColumnProfile], list[list[int]]]:
+    """Profiles of the columns c0, c1, ... of ``df``, and groups of date columns that keep an order.
+
+    exact_distinct: count all distinct values, not only where their number decides a column's kind.
+    """
     columns = [f"c{i}" for i in range(len(names))]
     df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)  # a small file is one partition
     long = long_form(df, columns, order).persist()
     rows = df.count()
-    size, rates = sizes(long), detection_rates(long)
+    size, rates = sizes(long, category_threshold, exact_distinct), detection_rates(long)
     out = []
     for i, name in enumerate(names):
         s, r = size.get(i, {"values": 0, "distinct": 0}), rates.get(i)

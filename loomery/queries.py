@@ -359,7 +359,7 @@ def detect_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds of columns, from their values alone."""
     df = table(spark, sf_dir, "customer")
     part = df.select(F.col("c_name").alias("c0"), F.format_string("%.2f", "c_acctbal").alias("c1"), F.col("c_mktsegment").alias("c2"), F.col("c_custkey").alias("_o"))
-    profiles, _ = profile.build_profiles(part, ["c0", "c1", "c2"], "_o")
+    profiles, _ = profile.build_profiles(part, ["c0", "c1", "c2"], "_o", exact_distinct=True)
     return spark.createDataFrame([(p.name, p.kind, p.values, p.distinct) for p in profiles], "name string, kind string, n_values long, n_distinct long")
 
 

@@ -55,8 +55,8 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df
 
 
-def _profiles(spark: SparkSession, sf_dir: str):
-    return profile.build_profiles(contacts(spark, sf_dir), list(CONTACTS), "_o")
+def _profiles(spark: SparkSession, sf_dir: str, exact: bool = False):
+    return profile.build_profiles(contacts(spark, sf_dir), list(CONTACTS), "_o", exact_distinct=exact)
 
 
 #: The columns of the twins below.
@@ -76,10 +76,18 @@ def _twin(spark: SparkSession, sf_dir: str, seed: str, n: int) -> tuple[DataFram
 count(*) - count(v) AS n_null, count(*) FILTER (WHERE v IS NOT NULL AND {_JUNK}) AS n_junk FROM cells GROUP BY name, kind""")
 def detect_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds of columns from headers and values, with their blanks and junk."""
-    rows = [(p.name, p.kind, p.values, p.distinct, p.nulls, p.junk) for p in _profiles(spark, sf_dir)[0]]
+    rows = [(p.name, p.kind, p.values, p.distinct, p.nulls, p.junk) for p in _profiles(spark, sf_dir, exact=True)[0]]
     return spark.createDataFrame(rows, "name string, kind string, n_values long, n_distinct long, n_null long, n_junk long")
 
 
+@query(f"{_CELLS} SELECT DISTINCT name, kind, true AS near FROM cells")
+def kinds_by_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of columns whose distinct values are counted exactly only where that decides; all counts are near the exact ones."""
+    exact = profile.sizes(profile.long_form(contacts(spark, sf_dir), [f"c{i}" for i in range(len(CONTACTS))], "_o"), exact=True)
+    found = enumerate(_profiles(spark, sf_dir)[0])
+    return spark.createDataFrame([(p.name, p.kind, abs(p.distinct - exact[i]["distinct"]) <= 0.05 * exact[i]["distinct"]) for i, p in found], "name string, kind string, near boolean")
+
+
 _FACTS = f"""{_CELLS}, good AS (SELECT * FROM cells WHERE v IS NOT NULL AND NOT {_JUNK}),
 facts AS (SELECT name, 'null' AS kind, substr(raw, 1, 20) AS key FROM cells WHERE v IS NULL
 UNION ALL SELECT name, 'junk', {_MASK.format('raw')} FROM cells WHERE v IS NOT NULL AND {_JUNK}

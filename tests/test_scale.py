@@ -125,3 +125,14 @@ def test_twins_of_a_locale(spark, tmp_path):
     assert synthesize_file(tmp_path / "p.csv", tmp_path / "t.csv", seed=1, locale="de_DE").ok
     names = {line.split(",")[0] for line in (tmp_path / "t.csv").read_text(encoding="utf-8").splitlines()[1:]}
     assert names <= set(words.LANGUAGES["de"]["FIRST"]) and len(names) > 10
+
+
+def test_distinct_counts_that_decide_are_exact(spark):
+    n, shares = 4000, (0.28, 0.3, 0.31, 0.5, 0.52, 0.7, 0.88, 0.9, 0.93, 1.0)
+    df = spark.range(n).select(F.col("id").alias("_o"), *((F.col("id") % int(n * s)).cast("string").alias(f"c{i}") for i, s in enumerate(shares)), (F.col("id") % 49).cast("string").alias("c10"), F.lit(None).cast("string").alias("c11"))
+    long = profile.long_form(df, [f"c{i}" for i in range(12)], "_o")
+    about, exact = profile.sizes(long), profile.sizes(long, exact=True)
+    for i, s in enumerate(shares):
+        assert exact[i] == {"col": i, "values": n, "distinct": int(n * s)}
+        assert abs(about[i]["distinct"] - int(n * s)) <= (0.05 * n if s in (0.7, 1.0) else 0)
+    assert about[10]["distinct"] == 49 and about[11] == {"col": 11, "values": 0, "distinct": 0}
