@@ -7,7 +7,8 @@ of its occurrences, and none is hot. What each token is stays in a file of the b
 Filter. A count c has level 1 + floor(log(c) / log(base)). A key of level q is inserted q times, as (key, 1) to
 (key, q), so a count is read back by probing levels upwards until one is missing; errors only ever raise a level.
 The filter holds all words, and pairs seen ``pair_least`` times or more, in one segment for each bucket, which has ``bits`` bits for
-each insertion, however many there are. A segment is made where its bucket is merged, probed there for all that blocks have sent, and gone.
+each insertion, however many there are. Exact counts of pairs end where a segment is made. ``fit`` keeps the segments and the sums
+of contexts; while these are small they are broadcast, and the tasks that score, of these or other texts, probe them.
 
 Model. p(w | v) = (a(v, w) + b(v) p(w)) / (s(v) + b(v)). a is a pair's decoded count less the discount, s(v) the sum of a over
 the pairs of v in the filter, and b(v) what v's pairs have left: the discount of each pair in the filter, and all of each rarer one.
@@ -16,8 +17,9 @@ probability of the one class of unseen words, as in the base score. So the proba
 context sum to one but for the filter's false finds. s and b are exact sums over decoded counts. Contexts are the word before, or the
 start of the text; those whose hashes agree in the upper 32 bits share their pairs. Tokens are words with A-Z lower-cased, then one end.
 
-Scoring. Buckets answer each block in the order of what it sent: the levels of its pairs, and the counts, levels and sums of its words.
-The answers of all buckets meet by block, where the block's file is read and its tokens are scored. Nothing that grows with the
+Scoring. Buckets answer each block in the order of what it sent with exact counts of its words, which the base score needs; and,
+if the filter is too large to be broadcast, with the levels of its words and pairs and the words' sums. The answers of all buckets
+meet by block, where the block's file is read and its tokens are scored. Nothing else that grows with the
 input reaches the driver or is broadcast. The answers are as many as buckets times blocks, so blocks are large.
 
 Null texts count as empty: one token, the end. A null doc_id has the remainder of an empty text. Without training
@@ -47,7 +49,7 @@ _KEYS = [("bucket", pa.int32()), ("block", pa.int64()), ("words", pa.binary()),
 _FIGURES = [("n_words", pa.int64()), ("n_tokens", pa.int64()), ("n_once", pa.int64()), ("n_value", pa.float64()), ("inserts", pa.int64())]
 #: What travels between blocks and buckets.
 _PACKED = [("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("k", pa.binary()), ("x", pa.binary()), ("y", pa.binary()), ("z", pa.binary())]
-_VOCABULARY, _SUMS, _CELL, _REPLY = range(4)
+_VOCABULARY, _SUMS, _CELL, _REPLY, _SEGMENT = range(5)
 _SCORES = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 
 
@@ -208,7 +210,7 @@ def _merge(buckets: int, pair_least: int, discount: float, base: float, bits: fl
         pairs = out_of_buckets(pairs, buckets)
         word_level, pair_level = levels_of(n, base), np.where(m >= pair_least, levels_of(m, base), 0)
         inserts = int(word_level.sum() + pair_level.sum())
-        segment = Filter([], 1, (int(bits * inserts) >> 3) + 8)
+        segment = Filter([np.zeros((int(bits * inserts) >> 3) + 8, np.uint8)])
         set_bits(segment.data, words, word_level)
         set_bits(segment.data, pairs, pair_level)
         exact = value[pair_level]
@@ -219,6 +221,7 @@ def _merge(buckets: int, pair_least: int, discount: float, base: float, bits: fl
         rows = [
             (_VOCABULARY, bucket, 0, words.tobytes(), n.tobytes(), found[0].tobytes(), None, *figures),
             (_SUMS, bucket, 0, contexts.tobytes(), gain.tobytes(), rest.tobytes(), None, *[None] * len(figures)),
+            (_SEGMENT, bucket, 0, segment.data.tobytes(), None, None, None, *[None] * len(figures)),
         ]
         places, levels = word_back.astype("<u4"), found[1][pair_back]
         for i, block in enumerate(table.column("block").to_pylist()):
@@ -268,7 +271,7 @@ def _answer(table: pa.Table) -> pa.Table:
     none = [np.zeros(0, _U), np.zeros(0), np.zeros(0)]
     contexts, gain, rest = _sums(*(np.concatenate(x) for x in zip(none, *parts(_SUMS, "<u8", "<f8", "<f8"))))
     at, there = _find(contexts, words & _U(0xFFFFFFFF00000000))
-    there &= (counts > 0) | (words == _U(START))
+    there &= (levels > 0) | (words == _U(START))
     gain, rest = (np.where(there, np.append(x, 0.0)[at], 0.0) for x in (gain, rest))
     out = []
     for i in np.flatnonzero(kinds == _CELL).tolist():
@@ -299,25 +302,25 @@ def set_bits(out: np.ndarray, keys: np.ndarray, levels: np.ndarray) -> None:
 
 
 class Filter:
-    """Log-frequency Bloom filter: ``buckets`` segments of ``size`` bytes each."""
+    """Log-frequency Bloom filter: a segment for each bucket, each of its own size."""
 
-    def __init__(self, segments: list, buckets: int, size: int):
-        self.size = size
-        self.data = np.zeros(buckets * size, np.uint8)
-        for bucket, content in segments:
-            self.data[bucket * size : (bucket + 1) * size] = np.frombuffer(content, np.uint8)
+    def __init__(self, segments: list[np.ndarray]):
+        self.data = segments[0] if len(segments) == 1 else np.concatenate(segments)
+        self.size = np.array([len(x) for x in segments], _U)
+        self.begin = np.cumsum(self.size) - self.size
 
     def levels(self, keys: np.ndarray, place: np.ndarray, most: int = 119) -> np.ndarray:
         """The highest level up to which all of (key, 1), (key, 2), ... are there; place: the keys' segments."""
         out, left, q = np.zeros(len(keys), np.uint8), np.arange(len(keys)), 0
-        begin = place.astype(_U) * _U(self.size)
+        place = place.astype(np.int64)
         while len(left) and q < most:
             q += 1
             h, there = tk.mix(keys[left] + _U(0x51ED) * _U(q)), left
             step = tk.mix(h + _U(1)) | _U(1)
             for _ in range(HASHES):
-                at = (h >> _U(1)) % _U(self.size * 8)
-                found = (self.data[begin[there] + (at >> _U(3))] >> (at & _U(7)).astype(np.uint8)) & 1 == 1
+                own = place[there]
+                at = (h >> _U(1)) % (self.size[own] * _U(8))
+                found = (self.data[self.begin[own] + (at >> _U(3))] >> (at & _U(7)).astype(np.uint8)) & 1 == 1
                 h, step, there = (h + step)[found], step[found], there[found]
             out[there] = q
             left = there
@@ -325,7 +328,13 @@ class Filter:
 
 
 class Model:
-    """Totals of the training tokens, and probabilities from levels and sums."""
+    """Totals of the training tokens, and probabilities from levels and sums; and, if it is to be broadcast, the filter.
+
+    ``filter`` has all segments, ``contexts`` the hashes of contexts, in order, and their sums.
+    """
+
+    filter: Filter | None = None
+    contexts: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def __init__(self, base: float, discount: float, buckets: int, figures):
         self.discount, self.buckets = discount, buckets
@@ -340,6 +349,15 @@ class Model:
         with_context = (np.maximum(self.values[pair] - self.discount, 0) + rest * single) / np.where(both > 0, both, 1)
         return np.where(both > 0, with_context, single)
 
+    def probed(self, words: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Levels of words and pairs, and the words' sums as contexts, all from the filter."""
+        single = self.filter.levels(words, word_bucket(words, self.buckets))
+        pair = self.filter.levels(pairs, pair_bucket(pairs, self.buckets))
+        at, there = _find(self.contexts[0], words & _U(0xFFFFFFFF00000000))
+        there &= (single > 0) | (words == _U(START))
+        gain, rest = (np.where(there, np.append(x, np.float32(0))[at], 0.0) for x in self.contexts[1:])
+        return single, pair, gain, rest
+
     def plain(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / (self.n_tokens + self.n_words + 1))
 
@@ -357,14 +375,18 @@ def _finish(model, folder: str):
             some = table.filter(pc.equal(kinds, kind)).sort_by("bucket")
             return [np.concatenate([np.zeros(0, t), *(np.frombuffer(x.as_buffer(), t) for x in some.column(c))]) for c, t in zip("kxyz", types)]
 
-        (level,) = answers(_CELL, "u1")
-        replies = answers(_REPLY, "<i8", "u1", "<f8", "<f8")
-        if len(level) != len(pairs) or len(replies[0]) != len(words):
-            raise ValueError(f"block {block} has {len(pairs)} pairs and {len(words)} words, and answers for {len(level)} and {len(replies[0])}")
+        level = answers(_CELL, "u1")[0] if lm.filter is None else None
+        replies = answers(_REPLY, *(("<i8", "u1", "<f8", "<f8") if lm.filter is None else ("<i8",)))
+        if len(replies[0]) != len(words) or level is not None and len(level) != len(pairs):
+            raise ValueError(f"block {block} has {len(pairs)} pairs and {len(words)} words, and answers for {level if level is None else len(level)} and {len(replies[0])}")
         order = _dealt(words, word_bucket(words, lm.buckets), lm.buckets)[0]
         place = np.empty(len(words), np.int64)
         place[order] = np.arange(len(words))
-        c, single, gain, rest = (x[place] for x in replies)
+        c, *found = (x[place] for x in replies)
+        if lm.filter is None:
+            single, gain, rest = found
+        else:
+            single, level, gain, rest = lm.probed(words, out_of_buckets(pairs, lm.buckets))
         p = lm.probability(single[now], level[back], gain[past], rest[past])
         doc, n = np.repeat(np.arange(len(sizes)), sizes), len(sizes)
         known, plain, score = (np.bincount(doc, x, n) for x in ((c > 0)[now], lm.plain(c)[now], np.log10(p)))
@@ -374,29 +396,97 @@ def _finish(model, folder: str):
     return run
 
 
-def lm_scores(documents: DataFrame, train: Column, base: float = 1.5, discount: float = 0.5, pair_least: int = 2, bits: float = 12.0, most_mb: int = 96, head: int = 1 << 20) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of ``documents`` (doc_id, text).
+class Fitted:
+    """A model learnt from a table: ``merged`` has what the buckets made, ``cells`` what blocks of that table are answered with."""
 
-    train: which rows to learn from. score: log10 of the model's probability of the text.
-    most_mb and head have no effect: they bounded what was broadcast, and nothing is any more.
-    """
+    def __init__(self, spark, merged: DataFrame, figures, base: float, discount: float, buckets: int, folder: str):
+        self.spark, self.merged, self.folder, self.buckets = spark, merged, folder, buckets
+        self.n_tokens = int(figures.n_tokens)
+        self.model = Model(base, discount, buckets, figures)
+        sizes = merged.filter(F.col("kind").isin(_SEGMENT, _SUMS)).agg(F.coalesce(F.sum(F.octet_length("k")), F.lit(0)).alias("bytes")).first()
+        self.bytes = sizes["bytes"]
+
+    def of(self, kind: int) -> DataFrame:
+        return self.merged.filter(F.col("kind") == kind)
+
+    def whole(self) -> Model:
+        """The model with its filter, to be broadcast."""
+        if self.model.filter is None:
+            found = {r.bucket: np.frombuffer(r.k, np.uint8) for r in self.of(_SEGMENT).select("bucket", "k").toLocalIterator()}
+            self.model.filter = Filter([found.get(b, np.zeros(8, np.uint8)) for b in range(self.buckets)])
+            sums = [[np.frombuffer(x, t) for x, t in zip(r, ("<u8", "<f8", "<f8"))] for r in self.of(_SUMS).select("k", "x", "y").toLocalIterator()]
+            keys, gain, rest = _sums(*(np.concatenate(x) for x in zip([np.zeros(0, _U), np.zeros(0), np.zeros(0)], *sums)))
+            self.model.contexts = keys, gain.astype(np.float32), rest.astype(np.float32)
+        return self.model
+
+
+def fit(documents: DataFrame, train: Column, base: float = 1.5, discount: float = 0.5, pair_least: int = 1, bits: float = 12.0) -> Fitted:
+    """Learn from the rows of ``documents`` (doc_id, text) that ``train`` chooses."""
     spark = documents.sparkSession
     prepare_workers(spark)
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(train, F.lit(False)).alias("train"))
-    buckets, folder, none = buckets_for(documents, each_mb=8, each_partition=2), temporary_folder(spark, "blocks"), F.lit(None).cast("binary")
+    buckets, folder = buckets_for(documents, each_mb=8, each_partition=2), temporary_folder(spark, "blocks")
     cells = docs.mapInArrow(_cut(buckets, folder), _ddl(_KEYS)).groupBy("bucket")
     merged = materialise(cells.applyInArrow(_merge(buckets, pair_least, discount, base, bits), _ddl([*_PACKED, *_FIGURES])), "merged")
     figures = merged.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c, _ in _FIGURES)).first()
-    merged = merged.select(*(c for c, _ in _PACKED))
-    sums = merged.filter(F.col("kind") == _SUMS).select("k", "x", "y").mapInArrow(_send_sums(buckets), _ddl(_PACKED))
-    own = merged.filter(F.col("kind") == _VOCABULARY).unionAll(merged.filter(F.col("kind") == _CELL).withColumn("x", none))
-    replies = own.unionAll(sums).groupBy("bucket").applyInArrow(_answer, _ddl(_PACKED))
-    levels = merged.filter(F.col("kind") == _CELL).withColumns({"k": F.col("x"), "x": none})
-    lm = spark.sparkContext.broadcast(Model(base, discount, buckets, figures))
+    return Fitted(spark, merged.select(*(c for c, _ in _PACKED)), figures, base, discount, buckets, folder)
+
+
+def _score(model):
+    """Scores of texts, whatever the model learnt from, by probing its filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lm = model.value
+        for batch in batches:
+            buf, offsets = tk.text_buffer(batch.column(1))
+            for i, j in tk.steps(offsets):
+                h, sizes = tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                words, now = np.unique(np.append(h, _U(START)), return_inverse=True)
+                past, now = before(now[:-1], sizes, now[-1]), now[:-1]
+                pairs, back = np.unique(pair_keys(words[past], words[now]), return_inverse=True)
+                single, pair, gain, rest = lm.probed(words, pairs)
+                p = lm.probability(single[now], pair[back], gain[past], rest[past])
+                score = np.bincount(np.repeat(np.arange(j - i), sizes), np.log10(p), j - i)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(score)], ["doc_id", "n_tokens", "score"])
+
+    return run
+
+
+def score(documents: DataFrame, fitted: Fitted, most_mb: int = 16) -> DataFrame:
+    """(doc_id, n_tokens, score) of the rows of any table (doc_id, text), in one pass and without a shuffle.
+
+    The filter is broadcast; one of more than ``most_mb`` isn't.
+    """
+    if fitted.bytes > most_mb << 20:
+        raise ValueError(f"the filter has {fitted.bytes >> 20} MB, and {most_mb} may be broadcast")
+    prepare_workers(documents.sparkSession)
+    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return docs.mapInArrow(_score(documents.sparkSession.sparkContext.broadcast(fitted.whole())), "doc_id long, n_tokens long, score double")
+
+
+def lm_scores(documents: DataFrame, train: Column, most_mb: int = 16, **options) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of ``documents`` (doc_id, text).
+
+    train: which rows to learn from. score: log10 of the model's probability of the text. A filter of ``most_mb`` MB or
+    less is broadcast and probed by the tasks that score; a larger one is probed where its segments are made. The
+    scores are the same, but for the sums' 24 bits in what is broadcast. The base score needs exact counts of words in
+    either case, which buckets send to the blocks.
+    """
+    spark, none = documents.sparkSession, F.lit(None).cast("binary")
+    fitted = fit(documents, train, **options)
+    own = fitted.of(_VOCABULARY).unionAll(fitted.of(_CELL).withColumn("x", none))
+    if fitted.bytes <= most_mb << 20:
+        lm = spark.sparkContext.broadcast(fitted.whole())
+        answered = own.groupBy("bucket").applyInArrow(_answer, _ddl(_PACKED)).withColumns({c: none for c in "xyz"})
+    else:
+        lm = spark.sparkContext.broadcast(fitted.model)
+        sums = fitted.of(_SUMS).select("k", "x", "y").mapInArrow(_send_sums(fitted.buckets), _ddl(_PACKED))
+        levels = fitted.of(_CELL).withColumns({"k": F.col("x"), "x": none})
+        answered = levels.unionAll(own.unionAll(sums).groupBy("bucket").applyInArrow(_answer, _ddl(_PACKED)))
     # tasks by number: work goes with blocks, not with the bytes of their answers
-    answered = levels.unionAll(replies).repartition(shuffle_partitions(spark), "block")
-    out = answered.groupBy("block").applyInArrow(_finish(lm, folder), _ddl(_SCORES))
-    return out.select("doc_id", "n_tokens", "n_known", F.lit(int(figures.n_tokens)).cast("long").alias("train_tokens"), "base_score", "score")
+    answered = answered.repartition(shuffle_partitions(spark), "block")
+    out = answered.groupBy("block").applyInArrow(_finish(lm, fitted.folder), _ddl(_SCORES))
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(fitted.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

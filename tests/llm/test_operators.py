@@ -122,8 +122,8 @@ def test_lm_scores(docs, rows, empty):
     n, v = sum(counts.values()), len(counts)
     want = sorted((d if d is not None else -1, len(low(t)), sum(x in counts for x in low(t)), round(sum(np.log10((counts.get(x, 0) + 1) / (n + v + 1)) for x in low(t)), 6)) for d, t, *_ in rows)
     scores = []
-    for most, head in ((96, 1 << 20), (96, 100), (96, 1), (0, 1 << 20)):  # a sent filter with all, some and no frequent words; a filter that stays in its buckets
-        got = lm_scoring.lm_scores(docs, train, most_mb=most, head=head).collect()
+    for most in (64, 0):  # a filter that is broadcast; one that stays in its buckets
+        got = lm_scoring.lm_scores(docs, train, most_mb=most).collect()
         assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
         assert all(r.train_tokens == n and r.score <= 0 for r in got)
         scores.append(sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens, round(r.score, 8)) for r in got))
@@ -133,15 +133,17 @@ def test_lm_scores(docs, rows, empty):
 
 def test_filter_counts_never_fall_short():
     keys, levels = np.arange(1, 3000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.arange(1, 3000) % 9 + 1
-    f = lm_scoring.Filter([], 4, 16_000)
     place = lm_scoring.pair_bucket(keys, 4)
+    parts = [np.zeros(15_000 + 1000 * b, np.uint8) for b in range(4)]  # segments of any size
     for b in range(4):
-        lm_scoring.set_bits(f.data[b * f.size : (b + 1) * f.size], keys[place == b], levels[place == b])
+        lm_scoring.set_bits(parts[b], keys[place == b], levels[place == b])
+    f = lm_scoring.Filter(parts)
     got = f.levels(keys, place)
     assert (got >= levels).all() and (got == levels).mean() > 0.95
 
 
-def test_scores_equal_a_plain_model_whose_probabilities_sum_to_one(spark):
+@pytest.mark.parametrize("least", [1, 2])
+def test_scores_equal_a_plain_model_whose_probabilities_sum_to_one(spark, least):
     rng = random.Random(14)
     texts = [(i, " ".join(rng.choice(WORDS[:12]) if rng.random() < 0.8 else rng.choice(WORDS) for _ in range(rng.randint(0, 30)))) for i in range(150)]
     seen = [[*t.split(), "END"] for i, t in texts if zlib.crc32(str(i).encode()) % 7 != 2]
@@ -155,19 +157,27 @@ def test_scores_equal_a_plain_model_whose_probabilities_sum_to_one(spark):
     u, all_ = (sum(c == 1 for c in single.values()) + 1) / (sum(single.values()) + 2), sum(map(value, single.values()))
     gain, rest = {}, {}
     for (v, _), c in pair.items():
-        gain[v] = gain.get(v, 0) + (value(c) - 0.5 if c >= 2 else 0)
-        rest[v] = rest.get(v, 0) + (0.5 if c >= 2 else 1)
+        gain[v] = gain.get(v, 0) + (max(value(c) - 0.5, 0) if c >= least else 0)
+        rest[v] = rest.get(v, 0) + (min(value(c), 0.5) if c >= least else c)
 
     def p(v, w):
         one = (1 - u) * value(single[w]) / all_ if w in single else u
-        a = value(pair[v, w]) - 0.5 if pair.get((v, w), 0) >= 2 else 0
+        a = value(pair[v, w]) - 0.5 if pair.get((v, w), 0) >= least else 0
         return (a + rest[v] * one) / (gain[v] + rest[v]) if v in gain else one
 
     for v in ["START", "never", *single]:
         assert v == "END" or abs(sum(p(v, w) for w in [*single, "unseen"]) - 1) < 1e-6
     train = lm_scoring.remainder(F.col("doc_id"), 7) != 2
-    for most in (96, 0):
-        got = lm_scoring.lm_scores(spark.createDataFrame(texts, "doc_id long, text string"), train, bits=400.0, most_mb=most).collect()
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    other = [(i, " ".join(rng.choice(WORDS[:20]) for _ in range(rng.randint(0, 40)))) for i in range(40)] + [(40, None), (41, "never seen before"), (42, "")]
+    fitted = lm_scoring.fit(table, train, bits=400.0, pair_least=least)
+    for r in lm_scoring.score(spark.createDataFrame(other, "doc_id long, text string").repartition(3), fitted).collect():  # texts that weren't there
+        t = [*(other[r.doc_id][1] or "").split(), "END"]
+        assert r.n_tokens == len(t) and abs(r.score - sum(np.log10(p(v, w)) for v, w in zip(["START", *t], t))) < 1e-6
+    with pytest.raises(ValueError, match="may be broadcast"):
+        lm_scoring.score(table, fitted, most_mb=0)
+    for most in (64, 0):
+        got = lm_scoring.lm_scores(table, train, bits=400.0, most_mb=most, pair_least=least).collect()
         for r in got:
             t = [*texts[r.doc_id][1].split(), "END"]
             assert abs(r.score - sum(np.log10(p(v, w)) for v, w in zip(["START", *t], t))) < 1e-6
