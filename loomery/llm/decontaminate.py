@@ -11,8 +11,8 @@ as a few words in a row can't be told from chance; ``shortest`` = 1 looks for al
 Seeds of the benchmark, the query set, are sent to all tasks while they are ``most_seeds`` or fewer (a size that is counted, not guessed), and documents never move.
 More of them meet the hashes of the documents' windows by a shuffle of narrow rows; the texts of hits are then read again. The rows are the same.
 A window that several items share is looked for once;
-a table of windows and items, which the found windows are joined with, then gives a row for each of its items. A window that
-an item has at several places covers all of them. Words are 64-bit hashes on both sides.
+a table of windows and items, which the found windows are joined with, then gives a row for each of its items. What is counted
+is the document's: a window of it counts once for an item, at however many places the item has it. Words are 64-bit hashes on both sides.
 
 Null texts have no words. A document is a doc_id and a text: rows with different texts are different documents, whether their ids are
 equal or null, and give a row each; rows with both equal are one. Items with equal item_id and number of words are one.
@@ -22,13 +22,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from loomery.llm.storage import materialise, unused
 
 #: Masks of the seeds, 1 compared and 0 ignored. Their ignored places are a covering design: 7 sets of 6 places that hold all pairs of 13.
 COVER = ("0100010110111", "1111100010010", "1011010100101", "1110001011001", "1010011001110", "0001101101011", "0100111011100")
 SPAN = len(COVER[0])
-SHORTEST = 5
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -68,8 +68,8 @@ def _found(documents: DataFrame, benchmark: DataFrame, least: int, most_seeds: i
     # a short item has one window, at 0; its long seeds are null, and a long item's short ones are not taken
     seeds = items.select("item", "words", window.alias("at")).select("item", "words", "at", *_window("words", "at"))
     seeds = seeds.select("item", "words", "at", F.explode(_seeds(lengths)).alias("x")).filter(F.col("x.seed").isNotNull() & (F.col("x.n") == F.least(F.lit(SPAN), F.size("words"))))
-    seeds = seeds.select("x.seed", F.slice("words", F.col("at") + 1, F.col("x.n")).alias("part"), "item", "at", F.size("words").alias("size"))
-    owners = materialise(seeds.groupBy("part", "item", "size").agg(F.min("at").alias("low"), F.max("at").alias("high")), "owners")
+    seeds = seeds.select("x.seed", F.slice("words", F.col("at") + 1, F.col("x.n")).alias("part"), "item", F.size("words").alias("size"))
+    owners = materialise(seeds.select("part", "item", "size").distinct(), "owners")
     owners = F.broadcast(owners) if owners.count() <= most_seeds else owners
     seeds = materialise(seeds.select("seed", "part").distinct(), "seeds")
 
@@ -88,15 +88,18 @@ def _found(documents: DataFrame, benchmark: DataFrame, least: int, most_seeds: i
         hits = hits.withColumnRenamed("at", "start").select("doc", "print", "start", "part", *_window("words", "start"))
     same = sum(F.when(F.get("part", F.lit(i)) == F.col(f"w{i}"), 1).otherwise(0) for i in range(SPAN))
     needed = F.when(F.size("part") == SPAN, F.lit(least)).otherwise(F.size("part") - (F.size("part") >= 8).cast("int"))
-    found = hits.filter(same >= needed).select("doc", "print", "start", "part").join(owners, "part").groupBy("doc", "print", "item", "size", "start")
-    found = found.agg(F.min("low").alias("low"), F.max(F.col("high") + F.size("part")).alias("high"))
-    return found.groupBy("doc", "print", "item", "size").agg(F.count(F.lit(1)).alias("n_windows"), (F.max("high") - F.min("low")).cast("long").alias("overlap"))
+    found = hits.filter(same >= needed).select("doc", "print", "start", "part").join(owners, "part").select("doc", "print", "item", "size", "start").distinct()
+    # a window's own words are those before the next window of the same item begins
+    step = F.lead("start").over(W.partitionBy("doc", "print", "item", "size").orderBy("start")) - F.col("start")
+    found = found.withColumn("own", F.least(step, F.col("size"), F.lit(SPAN)))
+    return found.groupBy("doc", "print", "item", "size").agg(F.count(F.lit(1)).alias("n_windows"), F.sum("own").alias("overlap"))
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, least: int = 11, most_seeds: int = 400_000, shortest: int = 5) -> DataFrame:
     """(doc_id, item_id, n_windows, overlap_words, item_words): documents and the items they hold parts of.
 
-    overlap_words: from the first to the last word of the item that a counted window covers.
+    n_windows: windows of the document that are in the item. overlap_words: words of the document that these cover, each once, substituted
+    ones among them; more than item_words where the document holds the item twice. Extra columns of either table are not read.
     """
     found = _found(documents, benchmark, least, most_seeds, shortest)
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_windows", F.col("overlap").alias("overlap_words"), F.col("size").cast("long").alias("item_words"))

@@ -97,7 +97,7 @@ dw AS (SELECT doc_id, start, w[start + 1 : start + {SPAN}] AS seq FROM (SELECT *
 iw AS (SELECT w[pos + 1 : pos + {SPAN}] AS seq, item_id, pos, len(w) AS size FROM (SELECT *, unnest(range(0, len(w) - {SPAN - 1})) AS pos FROM b WHERE len(w) >= {SPAN})),
 dk AS (SELECT *, {keys} FROM dw), ik AS (SELECT *, {keys} FROM (SELECT DISTINCT seq FROM iw)),
 h AS (SELECT * FROM ({joins}) WHERE list_sum(list_transform(range(1, {SPAN + 1}), lambda i: (seq[i] = other[i])::INT)) >= {least})
-SELECT doc_id, item_id, count(DISTINCT d_start) AS n_windows, (max(pos) + {SPAN} - min(pos))::BIGINT AS overlap_words, size::BIGINT AS item_words
+SELECT doc_id, item_id, count(DISTINCT d_start) AS n_windows, len(list_distinct(flatten(list(range(d_start, d_start + {SPAN})))))::BIGINT AS overlap_words, size::BIGINT AS item_words
 FROM h JOIN iw ON h.other = iw.seq GROUP BY doc_id, item_id, size
 """
 

@@ -25,8 +25,8 @@ def leaks(docs, items, least=11):
                 v = other.lower().split()
                 for at in range(len(v) - span + 1):
                     if sum(a == b for a, b in zip(w[start : start + span], v[at : at + span])) >= least:
-                        found.setdefault((d, i), []).append((start, at))
-    return {k: (len({s for s, _ in v}), max(a for _, a in v) + span - min(a for _, a in v)) for k, v in found.items()}
+                        found.setdefault((d, i), []).append(start)
+    return {k: (len(set(v)), len({p for s in v for p in range(s, s + span)})) for k, v in found.items()}
 
 
 def found_leaks(spark, docs, items, **options):
@@ -85,6 +85,18 @@ def test_short_items_and_repeated_windows(spark):
     assert (3, 3) in found_leaks(spark, docs, items, shortest=1)
 
 
+def test_overlap_is_what_the_document_has(spark):
+    rng = random.Random(17)
+    ends, middle = " ".join(rng.sample(WORDS, 13)), " ".join(f"inner{i}" for i in range(90))
+    items = [(1, f"{ends} {middle} {ends}")]
+    docs = [(1, f"so {ends} it is"), (2, items[0][1]), (3, f"{items[0][1]} and {items[0][1]}"), (4, f"{ends} but {ends}"), (5, middle[: middle.index(" inner30")])]
+    for most in (400_000, 3):
+        got = found_leaks(spark, docs, items, most_seeds=most)
+        assert got == leaks(docs, items)
+        # windows reach up to two words beyond what agrees, where a text goes on
+        assert {d: n for (d, _), (_, n) in got.items()} == {1: 16, 2: 116, 3: 233, 4: 27, 5: 30}
+
+
 def test_warc_records_with_long_urls_are_read(spark):
     rng = random.Random(10)
     urls = ["http://x/", "http://x/" + " " * 400_000, "http://x/" + "".join(chr(rng.randint(1, 0x2FF)) for _ in range(300_000)), "http://x/" + "é" * 70_000, None] * 3
