@@ -425,7 +425,7 @@ def fit(documents: DataFrame, train: Column, base: float = 1.5, discount: float
     spark = documents.sparkSession
     prepare_workers(spark)
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(train, F.lit(False)).alias("train"))
-    buckets, folder = buckets_for(documents, each_mb=8, each_partition=2), temporary_folder(spark, "blocks")
+    buckets, folder = buckets_for(documents, each_mb=8, most=1 << 16, each_partition=2), temporary_folder(spark, "blocks")
     cells = docs.mapInArrow(_cut(buckets, folder), _ddl(_KEYS)).groupBy("bucket")
     merged = materialise(cells.applyInArrow(_merge(buckets, pair_least, discount, base, bits), _ddl([*_PACKED, *_FIGURES])), "merged")
     figures = merged.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c, _ in _FIGURES)).first()

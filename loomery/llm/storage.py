@@ -99,9 +99,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def buckets_for(documents: DataFrame, each_mb: int = 4, most: int = 1 << 16, each_partition: int = 4) -> int:
+def buckets_for(documents: DataFrame, each_mb: int = 4, most: int = 1 << 30, each_partition: int = 4) -> int:
     """Number of hash buckets: a power of two, some for each shuffle partition so that partitions even out, and more
-    for large inputs, one for ``each_mb`` MB of what Catalyst takes the input's size to be (if it knows one)."""
+    for large inputs, one for ``each_mb`` MB of what Catalyst takes the input's size to be (if it knows one).
+
+    A bucket therefore has the same size for any input, as ``most`` is the range of bucket numbers only."""
     size = int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = max(each_partition * shuffle_partitions(documents.sparkSession), (size >> 20) // each_mb if 0 <= size < 1 << 50 else 0)
     n = 32

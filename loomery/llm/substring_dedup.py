@@ -12,7 +12,10 @@ the other. Null or empty texts, and those with fewer than ``k`` words, keep all
 Skew. Identical super-k-mers are merged in each batch before the shuffle: all but the first are marked at once
 and travel as three numbers, to a bucket that their document's number names. A minimiser that many documents share would still draw the differing strings
 around it into one bucket, so minimisers found often in a sample are split: their windows travel one by one to
-the bucket that the whole window's hash names. The sample only decides how rows are dealt, never the result.
+the bucket that the whole window's hash names. The sample grows with the input, so that what isn't split is in about ``most_docs`` documents
+at most, and neither buckets (of 4 MB of input each) nor what one minimiser draws into them grow with it. The sample only decides how rows are dealt, never the result.
+
+Repeated rows are documents of their own; an empty table gives an empty one; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -51,7 +54,7 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def super_kmers(h: np.ndarray, first: np.ndarray, k: int, m: int, hot: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Document, first word in it, number of windows, and bucket hash of each super-k-mer."""
+    """Document, first word in it, number of windows, and bucket hash of each super-k-mer. ``hot`` is in order."""
     count = np.maximum(np.diff(first) - k + 1, 0)
     if not count.sum():
         none = np.zeros(0, np.int64)
@@ -65,7 +68,7 @@ def super_kmers(h: np.ndarray, first: np.ndarray, k: int, m: int, hot: np.ndarra
     new = np.ones(len(at), bool)
     new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
     if len(hot):
-        split = np.isin(least, hot)
+        split = hot[np.minimum(np.searchsorted(hot, least), len(hot) - 1)] == least
         if split.any():
             new |= split
             new[1:] |= split[:-1]
@@ -215,15 +218,26 @@ def _hot(k: int, m: int):
     return run
 
 
-def hot_minimisers(docs: DataFrame, k: int, m: int, rows: int, share: float) -> np.ndarray:
-    """Minimisers that occur in more than ``share`` of about ``rows`` sampled documents: 1/share x k at most."""
+def sampling(total: int, rows: int, share: float, most_docs: int, seen: int = 20) -> tuple[int, int]:
+    """How many of ``total`` documents to sample, and in how many of these a minimiser is split: ``rows`` and ``share`` of them, or,
+    where that would leave minimisers of more than ``most_docs`` documents whole, so many that these are seen ``seen`` times."""
+    if share * total <= most_docs:
+        return rows, max(seen, int(share * min(total, rows)))
+    return max(rows, -(-seen * total // most_docs)), seen
+
+
+def hot_minimisers(docs: DataFrame, k: int, m: int, rows: int, share: float, most_docs: int) -> np.ndarray:
+    """Minimisers that occur in more than ``share`` of the documents, or in more than ``most_docs``, as far as a sample tells; in order.
+
+    They are a 20th of the sample's minimisers at most, and a sample has ``rows`` or a 20 / ``most_docs`` of all documents: one in 15,000 by default.
+    """
     total = docs.count()
     if not total:
         return np.zeros(0, np.uint64)
+    rows, least = sampling(total, rows, share, most_docs)
     part = docs.select("text").sample(min(1.0, rows / total), seed=9)
     seen = part.mapInArrow(_hot(k, m), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    least = max(20, int(share * min(total, rows)))
-    return np.array([r.key for r in seen.filter(F.col("n") > least).collect()], np.int64).view(np.uint64)
+    return np.sort(np.array([r.key for r in seen.filter(F.col("n") > least).collect()], np.int64).view(np.uint64))
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +259,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
 
-def dedup_substrings(documents: DataFrame, k: int = 20, m: int = 5, sample_rows: int = 4000, hot_share: float = 0.005) -> DataFrame:
+def dedup_substrings(documents: DataFrame, k: int = 20, m: int = 5, sample_rows: int = 4000, hot_share: float = 0.005, most_docs: int = 300_000) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) of each row of ``documents`` (doc_id, text).
 
     ``kept_text`` has the words that stay, joined by one space.
@@ -253,7 +267,7 @@ def dedup_substrings(documents: DataFrame, k: int = 20, m: int = 5, sample_rows:
     spark = documents.sparkSession
     prepare_workers(spark)
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    hot = hot_minimisers(docs, k, m, sample_rows, hot_share)
+    hot = hot_minimisers(docs, k, m, sample_rows, hot_share, most_docs)
     print_of = F.hash(F.coalesce("text", F.lit("")))
     sent = docs.select(F.coalesce("doc_id", F.lit(FIRST)).alias("id"), print_of.alias("print"), "text")
     packed = sent.mapInArrow(_pack(k, m, buckets_for(documents), hot), "bucket int, packed binary")

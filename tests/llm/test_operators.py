@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomery.llm import decontaminate, jaccard_join, language_id, lm_scoring, mixing, pii, quality, substring_dedup, token_files, warc
+from loomery.llm import decontaminate, jaccard_join, language_id, lm_scoring, mixing, pii, quality, storage, substring_dedup, token_files, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bucket string, word long"  # with names that operators use inside
 LONG = " ".join(f"w{i % 4000}" for i in range(12_000))
@@ -61,12 +61,34 @@ def test_substrings(docs, rows, empty):
             if first[tuple(w[i : i + 20])] != (key(d), i):
                 gone.update(range(i, i + 20))
         want.append((d, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
-    for share in (0.005, 0.0):  # without and with split minimisers
-        got = [tuple(r) for r in substring_dedup.dedup_substrings(docs, hot_share=share).collect()]
+    for options in ({}, {"hot_share": 0.0}, {"most_docs": 30, "hot_share": 1.0}):  # without and with split minimisers
+        got = [tuple(r) for r in substring_dedup.dedup_substrings(docs, **options).collect()]
         assert sorted(got, key=repr) == sorted(want, key=repr)
     assert substring_dedup.dedup_substrings(empty).count() == 0
 
 
+def test_buckets_keep_their_size(spark):
+    assert storage.buckets_for(spark.range(1 << 40)) == 1 << 21 and storage.buckets_for(spark.range(1 << 43)) == 1 << 24
+    for total in (10, 10_000, 1 << 22, 1 << 36):
+        rows, least = substring_dedup.sampling(total, 4000, 0.005, 300_000)
+        assert least >= 20 and least * total / min(rows, total) <= max(20 * total / min(total, 4000), 300_000)
+    assert substring_dedup.sampling(256_410, 4000, 0.005, 300_000) == (4000, 20)
+    assert substring_dedup.sampling(1 << 36, 4000, 0.005, 300_000) == (-(-20 * (1 << 36) // 300_000), 20)
+
+
+def test_minimisers_in_order_are_split(spark):
+    rng = random.Random(6)
+    shared = sentence(rng, 12)
+    texts = spark.createDataFrame([(i, f"{sentence(rng, 15)} {shared} {sentence(rng, 15)}") for i in range(60)], "doc_id long, text string")
+    hot = substring_dedup.hot_minimisers(texts, 20, 5, 4000, 0.005, 300_000)
+    assert len(hot) and (np.diff(hot.astype(object)) > 0).all()
+    h = np.array(rng.choices(range(1 << 30), k=60), np.uint64)
+    first = np.array([0, 60])
+    _, _, whole, key = substring_dedup.super_kmers(h, first, 20, 5, np.zeros(0, np.uint64))
+    _, _, n, _ = substring_dedup.super_kmers(h, first, 20, 5, np.sort(key[1:2]))
+    assert n.sum() == whole.sum() == 41 and (n == 1).sum() >= whole[1]
+
+
 def grams(text):
     w = [x.lower() for x in words(text)]
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
