@@ -204,24 +204,30 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
     return docs.mapInArrow(lean(_predict(spark.sparkContext.broadcast(model))), "doc_id long, lang_pred string, score double")
 
 
-def _keep(model, least: float, place: int):
+def _keep(model, least: float, languages: tuple[str, ...] | None, place: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches, place):
             text = batch.column(place)
             keep = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            scores = [model.value.predict(x)[1] for x in features(text)] if model.value is not None else []
-            keep = keep & (np.concatenate([np.zeros(0), *scores]) >= least) if model.value is not None else keep & False
+            if model.value is None:
+                keep &= False
+            else:
+                found = [model.value.predict(x) for x in features(text)]
+                keep &= np.concatenate([np.zeros(0), *(p for _, p in found)]) >= least
+                if languages is not None:
+                    keep &= np.array([name in languages for names, _ in found for name in names], bool)
             yield batch.filter(pa.array(keep))
 
     return run
 
 
-def keep_identified(documents: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
-    """The rows of ``documents``, with all columns, whose language is predicted with a score of ``least`` or more."""
+def keep_identified(documents: DataFrame, model: Model | None, least: float = 0.5, languages: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows of ``documents``, with all columns, whose language is predicted with a score of ``least`` or more and is one
+    of ``languages`` (None: any that the model knows). Without a model no row stays."""
     spark = documents.sparkSession
     prepare_workers(spark)
     plain = documents.toDF(*(f"c{i}" for i in range(len(documents.columns))))  # whatever the columns' names
-    kept = plain.mapInArrow(lean(_keep(spark.sparkContext.broadcast(model), least, documents.columns.index("text"))), plain.schema)
+    kept = plain.mapInArrow(lean(_keep(spark.sparkContext.broadcast(model), least, languages, documents.columns.index("text"))), plain.schema)
     return kept.toDF(*documents.columns)
 
 

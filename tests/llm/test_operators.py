@@ -369,6 +369,16 @@ def test_language(spark, docs, rows, empty):
     assert language_id.identify(docs, language_id.train(docs, F.lit(True))).count() == len(rows)
 
 
+def test_only_wanted_languages_are_kept(spark, docs, rows):
+    model = language_id.train(docs, F.lit(True))
+    said = {r.doc_id: r.lang_pred for r in language_id.identify(docs.filter("doc_id < 40"), model).collect()}
+    assert set(said.values()) == {"en", "de"}
+    for wanted in (("en",), ("de",), ("en", "de"), ("fr",), ()):
+        kept = language_id.keep_identified(docs.filter("doc_id < 40"), model, 0.0, wanted)
+        assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, x in said.items() if x in wanted) and kept.columns == docs.columns
+    assert language_id.keep_identified(docs, None).count() == 0
+
+
 def test_rare_languages_are_learnt(spark):
     rng = random.Random(6)
     letters = "abcdefghijklmnopqrstuvwxyz"
