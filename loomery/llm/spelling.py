@@ -11,7 +11,8 @@ are at most 90 letters, so 8,100 bigrams, which is what the driver and every tas
 
 A null text has no words; a null doc_id is written "null" for the dice. Repeated rows count as often as they are
 there. Other columns aren't looked at. An empty table, or one without frequent words, gives an empty result. Words of
-any length are compared whole; memory holds the different words of a few hundred thousand at a time.
+any length are compared whole; memory holds the different words of a few hundred thousand at a time. Both sides of all
+joins grow with the vocabulary and are far larger than the compressed files they come from, so none may be broadcast.
 """
 
 from __future__ import annotations
@@ -125,7 +126,7 @@ def near_words(words: DataFrame) -> DataFrame:
         return keys.select(F.col("word").alias(name), F.col("n").alias(f"{name}_n"), F.explode("keys").alias("key")).withColumn("key", F.xxhash64("key"))
 
     once = (F.length("a") < F.length("b")) | (F.col("a") < F.col("b"))
-    found = met(True, "a").join(met(False, "b"), "key").filter(once & (F.levenshtein("a", "b", 1) == 1))
+    found = met(True, "a").join(met(False, "b").hint("merge"), "key").filter(once & (F.levenshtein("a", "b", 1) == 1))
     return found.select("a", "a_n", "b", "b_n").distinct()
 
 
@@ -138,7 +139,7 @@ def roots(forms: DataFrame, rounds: int = 7) -> DataFrame:
     reached = forms.select("word", F.col("form").alias("root"))
     for _ in range(rounds):
         on = reached.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        farther = materialise(reached.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        farther = materialise(reached.join(on.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         reached = farther.select("word", "root")
         if farther.filter("moved").isEmpty():
             break
@@ -158,12 +159,12 @@ def spelling_variants(documents: DataFrame, shortest: int = 5, least: int = 3, t
     both = pairs.union(pairs.select("b", "b_n", "a", "a_n"))
     best = both.groupBy(F.col("a").alias("word")).agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("b_n")).alias("less"), F.col("b").alias("near"))).alias("best"))
     fits = -F.col("best.less") >= times * F.col("n")
-    judged = words.join(best, "word", "left").select(
+    judged = words.join(best.hint("merge"), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(fits, F.col("best.near")).alias("form"), F.when(fits, -F.col("best.less")).alias("form_n")
     )
     judged = materialise(judged, "forms")
     ends = roots(judged.filter(F.col("form").isNotNull()))
-    return judged.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return judged.join(ends.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
