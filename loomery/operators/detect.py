@@ -166,8 +166,11 @@ class Detected:
     reason: str
 
 
-def decide(header: str, rates: dict[str, float], n_distinct: int, n_values: int, category_threshold: int = 50) -> Detected:
-    """The first kind in the list of rules whose condition holds."""
+def decide(header: str, rates: dict[str, float], n_distinct: int, n_values: int, category_threshold: int = 50, n_shared: int = 0, covered: bool = False) -> Detected:
+    """The first kind in the list of rules whose condition holds.
+
+    n_shared: values that several rows have; covered: whether they are nearly all values, however many rare ones there are.
+    """
     if not n_values:
         return Detected("empty", "no values")
     hint, r = column_hint(header), rates
@@ -200,6 +203,8 @@ def decide(header: str, rates: dict[str, float], n_distinct: int, n_values: int,
         if hint == "identifier" or r["leading_zero"] >= 0.2:
             return Detected("identifier", "numbers that name things")
         return Detected("numeric", said("numeric"))
+    if covered and 0 < n_shared <= category_threshold and hint not in PERSONAL:
+        return Detected("category", f"{n_shared} values that nearly all rows share")
     if r["words"] >= 4 or r["length"] >= 40 or hint == "free_text" and r["length"] >= 15:
         return Detected("free_text", "long text")
     if hint == "identifier" or n_distinct >= 0.9 * n_values:
