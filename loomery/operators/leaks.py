@@ -18,6 +18,7 @@ def unpivot(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def real_keys(df: DataFrame, columns: list[str]) -> DataFrame:
     """Keys of all values that aren't blank in these columns, each as often as it is there."""
+    df = df.select(*(named(c) for c in columns)).repartition(df.sparkSession.sparkContext.defaultParallelism)  # a small file is one partition
     values = unpivot(df, columns).filter(~is_blank(F.col("value")))
     return values.select(F.explode(leak_keys(F.col("value"))).alias("key"))
 

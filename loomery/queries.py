@@ -370,6 +370,7 @@ def twin_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = df.count()
     profiles, groups = profile.build_profiles(df.withColumn("_o", F.monotonically_increasing_id()), ["client", "c_acctbal", "c_mktsegment"], "_o", overrides={"client": "identifier"})
     stats: dict = {}
-    twin = safe_twin(spark, profiles, groups, "1:customer", n, df, ["c0", "c1", "c2"], stats, tables_until_exit(spark))
+    tables = tables_until_exit(spark)
+    twin = tables.keep(safe_twin(spark, profiles, groups, "1:customer", n, df, ["c0", "c1", "c2"], stats, tables), "twin")  # it is read three times
     hit = leaks.leaked(twin.select(F.col("c0").alias("value")), leaks.real_keys(df, ["c0"]), ["value"])
     return twin.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("c2").alias("segments")).select("n", F.lit(hit.count()).cast("long").alias("leaks"), F.lit(sum(s.unresolved for s in stats.values())).cast("long").alias("unresolved"), "segments")
