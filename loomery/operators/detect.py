@@ -146,20 +146,30 @@ def conforms(kind: str, v: Column) -> Column:
     return tests[kind]() if kind in tests else F.lit(True)
 
 
-def rate_columns(v: Column) -> dict[str, Column]:
-    """Aggregates over a column's stripped values that detection needs."""
-    share = lambda c: F.coalesce(F.avg(F.coalesce(c, F.lit(False)).cast("int")), F.lit(0.0))
+def rate_values(v: Column) -> dict[str, Column]:
+    """What one stripped value adds to each rate: a number, or null where it doesn't count."""
+    share = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     out = {k: share(conforms(k, v)) for k in ("sin", "email", "postal_code", "phone", "date", "province", "first_name", "full_name", "street_address", "numeric")}
-    out["luhn"] = F.coalesce(F.avg(F.when(v.rlike(SIN), numbers.luhn_ok(v).cast("int"))), F.lit(0.0))
+    out["luhn"] = F.when(v.rlike(SIN), numbers.luhn_ok(v).cast("int"))
     out["phone_strict"] = share(v.rlike(PHONE_STRICT))
     out["street_strong"] = share(v.rlike(STREET))
     out["person"] = share(is_person_name(v))
     out["leading_zero"] = share(v.rlike(r"^0\d"))
-    out["length"] = F.coalesce(F.avg(F.length(v)), F.lit(0.0))
-    out["words"] = F.coalesce(F.avg(F.size(F.array_remove(F.split(v, r"\s+"), ""))), F.lit(0.0))
+    out["length"] = F.length(v)
+    out["words"] = F.size(F.array_remove(F.split(v, r"\s+"), ""))
     return out
 
 
+def rate(x: Column, times: Column) -> Column:
+    """The mean of what values add to a rate; 0 if none counts. times: how many rows have the value."""
+    return F.coalesce(F.sum(x * times) / F.sum(F.when(x.isNotNull(), times)), F.lit(0.0))
+
+
+def rate_columns(v: Column) -> dict[str, Column]:
+    """Aggregates over a column's stripped values that detection needs."""
+    return {k: F.coalesce(F.avg(x), F.lit(0.0)) for k, x in rate_values(v).items()}
+
+
 @dataclass
 class Detected:
     kind: str
