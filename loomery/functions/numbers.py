@@ -58,14 +58,13 @@ def luhn_ok(v: Column) -> Column:
 
 def luhn_digit(digits: Column) -> Column:
     """The digit that makes ``digits`` and itself pass the Luhn check."""
-    n = F.length(digits)
 
-    def share(i: Column) -> Column:
-        d = F.substring(digits, n - i, F.lit(1)).cast("int")
+    def share(held: Column, i: Column) -> Column:
+        d = F.substring(held, F.length(held) - i, F.lit(1)).cast("int")
         twice = d * 2
         return F.when(i % 2 == 0, F.when(twice > 9, twice - 9).otherwise(twice)).otherwise(d)
 
-    total = F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), share), F.lit(0), lambda a, x: a + x)
+    total = rng.once(digits, lambda held: F.aggregate(F.transform(F.sequence(F.lit(0), F.length(held) - 1), lambda i: share(held, i)), F.lit(0), lambda a, x: a + x))
     return (F.lit(10) - total % 10) % 10
 
 
@@ -73,5 +72,4 @@ def new_sin(seed: str, label: str, draw: object, row: Column) -> Column:
     """Nine digits, the first 1 to 7, the last a check digit."""
     first = rng.index(rng.fast(seed, label, f"{draw}:0", row), 7) + 1
     seven = F.lpad(rng.index(rng.fast(seed, label, f"{draw}:1", row), 10_000_000).cast("string"), 7, "0")
-    body = F.concat(first.cast("string"), seven)
-    return F.concat(body, luhn_digit(body).cast("string"))
+    return rng.once(F.concat(first.cast("string"), seven), lambda body: F.concat(body, luhn_digit(body).cast("string")))

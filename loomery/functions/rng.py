@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import Any
 
 from pyspark.sql import Column
@@ -25,6 +25,11 @@ def fast(seed: Any, label: str, draw: Any, *row: Column) -> Column:
     return F.shiftrightunsigned(h, 12).cast("double") / F.lit(float(1 << 52))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once a row, however often it is used; places of text would each work it out again."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def literals(values: Sequence[Any]) -> Column:
     """An array of constants; plain ones as one SQL text, which is much cheaper to build than a column for each."""
     values = list(values)

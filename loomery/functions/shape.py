@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loomery.functions import rng
+from loomery.functions.rng import once
 
 # The tokens that stand for a missing value, compared exactly after stripping.
 NULL_TOKENS = (
@@ -42,26 +43,27 @@ def _char(kind: Column, u: Column) -> Column:
 def fill_mask(mask: Column, seed: str, label: str, draw: object, row: Column, fixed: Column | None = None) -> Column:
     """Random characters in the mask's places. fixed: as long as the mask, FREE where the place is free."""
 
-    def place(c: Column, i: Column) -> Column:
+    def place(c: Column, i: Column, held: Column | None) -> Column:
         new = _char(c, rng.fast(seed, label, draw, row, i))
-        if fixed is None:
+        if held is None:
             return new
-        pinned = F.substring(fixed, i + 1, F.lit(1))
+        pinned = F.substring(held, i + 1, F.lit(1))
         return F.when((pinned == FREE) | (pinned == ""), new).otherwise(pinned)
 
-    return F.array_join(F.transform(F.split(mask, ""), place), "")
+    fill = lambda held: F.array_join(F.transform(F.split(mask, ""), lambda c, i: place(c, i, held)), "")
+    return fill(None) if fixed is None else once(fixed, fill)
 
 
 def fill_mask_with(mask: Column, chars: Column, seed: str, label: str, draw: object, row: Column) -> Column:
     """Pour characters into the mask's places, in the case the mask has; random ones when they run out."""
 
-    def place(c: Column, i: Column) -> Column:
-        nth = F.length(F.regexp_replace(F.substring(mask, F.lit(1), i), "[^9Aa]", ""))
-        given = F.substring(chars, nth + 1, F.lit(1))
+    def place(c: Column, i: Column, held: Column) -> Column:
+        nth = F.length(F.regexp_replace(F.substring(held["mask"], F.lit(1), i), "[^9Aa]", ""))
+        given = F.substring(held["chars"], nth + 1, F.lit(1))
         given = F.when(given == "", _char(c, rng.fast(seed, label, draw, row, i))).when(c == "A", F.upper(given)).when(c == "a", F.lower(given)).otherwise(given)
         return F.when(c.isin("9", "A", "a"), given).otherwise(c)
 
-    return F.array_join(F.transform(F.split(mask, ""), place), "")
+    return once(F.struct(mask.alias("mask"), chars.alias("chars")), lambda held: F.array_join(F.transform(F.split(held["mask"], ""), lambda c, i: place(c, i, held)), ""))
 
 
 def lead(v: Column) -> Column:

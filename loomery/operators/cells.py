@@ -132,9 +132,9 @@ class Twin:
             return self._masked(p, label, draw)
         if p.kind == "sin":
             digits = numbers.new_sin(self.seed, label, draw, self.at(draw))
-            wrong = F.concat(F.substring(digits, 1, 8), ((F.substring(digits, 9, 1).cast("int") + 1 + rng.index(self.x(label, "w", draw), 9)) % 10).cast("string"))
+            wrong = lambda sin: F.concat(F.substring(sin, 1, 8), ((F.substring(sin, 9, 1).cast("int") + 1 + rng.index(self.x(label, "w", draw), 9)) % 10).cast("string"))
             total = sum(p.counts["luhn"].values())
-            digits = F.when(self.u(label, "luhn") < (p.luhn_valid / total if total else 1.0), digits).otherwise(wrong)
+            digits = rng.once(digits, lambda sin: F.when(self.u(label, "luhn") < (p.luhn_valid / total if total else 1.0), sin).otherwise(wrong(sin)))
             return shape.fill_mask_with(choice(self.u(label, "mask"), p.counts["mask"], "999999999"), digits, self.seed, label, f"x{draw}", self.at(draw))
         if p.kind == "postal_code":
             return shape.fill_mask_with(choice(self.u(label, "mask"), p.counts["mask"], "A9A 9A9"), self._postal("postal", draw), self.seed, label, f"x{draw}", self.at(draw))

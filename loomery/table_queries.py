@@ -51,8 +51,8 @@ _JUNK = "(v IN ('see file', 'asked twice'))"
 
 
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "customer").selectExpr(*(f"{e} AS c{i}" for i, e in enumerate(CONTACTS.values())), f"{_K} AS _o")
-    return df
+    customers = table(spark, sf_dir, "customer").select(_K, "c_mktsegment").repartition(spark.sparkContext.defaultParallelism)  # a small file is one partition
+    return customers.selectExpr(*(f"{e} AS c{i}" for i, e in enumerate(CONTACTS.values())), f"{_K} AS _o")
 
 
 def _profiles(spark: SparkSession, sf_dir: str, exact: bool = False):
@@ -192,7 +192,8 @@ def leaks_by_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, profiles, groups = contacts(spark, sf_dir), *_profiles(spark, sf_dir)
     columns = [f"c{i}" for i in range(len(CONTACTS))]
     df = df.select(columns)
-    twin = safe_twin(spark, profiles, groups, "7:contacts", df.count(), df, columns, {}, tables_until_exit(spark))
+    tables = tables_until_exit(spark)
+    twin = tables.keep(safe_twin(spark, profiles, groups, "7:contacts", df.count(), df, columns, {}, tables), "twin")  # read three times, made once
     private = [i for i, p in enumerate(profiles) if p.sensitive]
     cells = twin.select(F.explode(F.array(*(F.struct(F.lit(profiles[i].name).alias("name"), F.lit(profiles[i].kind).alias("kind"), F.col(columns[i]).alias("value")) for i in private))).alias("x")).select("x.*")
     hit = leaks.leaked(cells, leaks.real_keys(df, [columns[i] for i in private]), ["name", "value"]).groupBy("name").agg(F.count(F.lit(1)).alias("hits"))
